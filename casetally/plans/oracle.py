@@ -270,7 +270,7 @@ quality AS (
          CAST(count_if(flag) AS BIGINT) AS n_true
   FROM q_flag GROUP BY unit, year),
 quality_f AS (
-  SELECT *, prop_missing <= 0.05 AND share_true >= 0.45 AS flag_1 FROM quality
+  SELECT *, prop_missing <= 0.15 AND share_true >= 0.42 AS flag_1 FROM quality
   WHERE NOT coalesce(unit IN ('NATION_0', 'NATION_1'), FALSE))"""
 
 SQL["quality_flags"] = with_(QUALITY) + "\nSELECT * FROM quality_f"

@@ -267,7 +267,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = S.line_slots(S.lines(spark, sf_dir))
     df = li.select("unit", "year", R.tri_flag(["s1", "s2", "s3", "s4"]).alias("flag"))
     return Q.quality_flags(df, ["unit", "year"], "flag", exclude=["NATION_0", "NATION_1"],
-                           max_missing=0.05, min_share=0.45)
+                           max_missing=0.15, min_share=0.42)
 
 
 @query
