@@ -102,13 +102,16 @@ def complete_long(df: DataFrame, drawn: DataFrame, target: str, m: int, imp_col:
 
 
 def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]], row_key: Sequence[str],
-                     m: int, seed: int, imp_col: str = IMP) -> DataFrame:
+                     m: int, seed: int, imp_col: str = IMP, donors: DataFrame | None = None) -> DataFrame:
     """Completed long data for several targets, each drawn from its own cells.
 
     Rows with no missing target are repeated m times without any join; rows
     with at least one missing target get every missing target drawn per
     imputation (cell keys must be observed columns, not other targets).
+    Donor distributions come from ``donors`` (default ``df``), so a subset of
+    the records can be completed with the distributions of the whole table.
     """
+    pool = donors if donors is not None else df
     any_missing = None
     for t in targets:
         any_missing = F.col(t).isNull() if any_missing is None else (any_missing | F.col(t).isNull())
@@ -116,14 +119,14 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
     part = with_imputations(df.filter(any_missing), m, imp_col)
     u_cols = [F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col)]
     for t, cells in targets.items():
-        donors = df.filter(F.col(t).isNotNull())
+        observed_t = pool.filter(F.col(t).isNotNull())
         levels = [list(c) for c in cells]
         if not levels or levels[-1]:
             levels.append([])
         thr_cols, tot_cols = [], []
         for i, cell in enumerate(levels):
             tag = f"__{t}_l{i}"
-            dist = cell_distribution(donors, t, cell, tag)
+            dist = cell_distribution(observed_t, t, cell, tag)
             if cell:
                 part = natural_left_join(part, dist, keys=cell, null_safe=True)
             else:

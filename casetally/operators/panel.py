@@ -40,6 +40,6 @@ def level_order(df: DataFrame, key_col: str, sort_cols: Sequence, ord_col: str =
     is joined back to label the category (``factor(levels = order$key)``).
     """
     src = df.filter(where) if where is not None else df
-    order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in sort_cols]
+    order = [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in sort_cols]
     w = Window.orderBy(*order, F.col(key_col).asc_nulls_last())
     return src.select(key_col, F.row_number().over(w).alias(ord_col))

@@ -72,8 +72,8 @@ fs_slots AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus, {TY
 fs_flags AS (SELECT year, l_linestatus, {TYPE_FLAGS_SQL} FROM fs_slots),
 flag_sums AS (
   SELECT year, l_linestatus,
-         CAST(count_if(phy_abuse) AS BIGINT) AS phy_abuse, CAST(count_if(neglect) AS BIGINT) AS neglect,
-         CAST(count_if(sex_abuse) AS BIGINT) AS sex_abuse, CAST(count_if(other) AS BIGINT) AS other
+         CAST(count(*) FILTER (WHERE phy_abuse) AS BIGINT) AS phy_abuse, CAST(count(*) FILTER (WHERE neglect) AS BIGINT) AS neglect,
+         CAST(count(*) FILTER (WHERE sex_abuse) AS BIGINT) AS sex_abuse, CAST(count(*) FILTER (WHERE other) AS BIGINT) AS other
   FROM fs_flags GROUP BY year, l_linestatus)"""
 
 # (year, state, group) counts pooled over the five priority codes, completed
@@ -91,7 +91,7 @@ pooled_units AS (
   FROM pu_pooled p LEFT JOIN pop ON p.state IS NOT DISTINCT FROM pop.state
                               AND p.race_ethn IS NOT DISTINCT FROM pop.race_ethn)"""
 
-STRICT = "CASE WHEN count_if({c} IS NULL) > 0 THEN NULL ELSE sum({c}) END"
+STRICT = "CASE WHEN count(*) FILTER (WHERE {c} IS NULL) > 0 THEN NULL ELSE sum({c}) END"
 
 WITH_TOTALS = f"""
 tot_base AS (
@@ -138,7 +138,7 @@ WITH r AS (
          l_linenumber = 1 AS is_first
   FROM lineitem)
 SELECT line_code, line_swap, flag_code, is_first, count(*) AS n,
-       CAST(count_if(qty_capped IS NULL) AS BIGINT) AS n_qty_missing,
+       CAST(count(*) FILTER (WHERE qty_capped IS NULL) AS BIGINT) AS n_qty_missing,
        CAST(sum(qty_capped) AS BIGINT) AS sum_qty
 FROM r GROUP BY ALL"""
 
@@ -237,7 +237,7 @@ SQL["distinct_keys"] = with_(CASES_NS) + "\nSELECT DISTINCT state, year FROM cas
 SQL["assert_unique"] = """
 WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys,
-       CAST(count_if(n > 1) AS BIGINT) AS n_dup_keys,
+       CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS n_dup_keys,
        CAST(coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0) AS BIGINT) AS n_extra_rows
 FROM k"""
 
@@ -256,7 +256,7 @@ SELECT race_ethn, medical, count(*) AS n FROM cases GROUP BY ALL"""
 
 SQL["strict_sum"] = """
 WITH q AS (SELECT l_orderkey, CASE WHEN l_discount = 0.0 THEN NULL ELSE l_quantity END AS qty FROM lineitem)
-SELECT l_orderkey, CASE WHEN count_if(qty IS NULL) > 0 THEN NULL ELSE sum(qty) END AS qty_strict,
+SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE qty IS NULL) > 0 THEN NULL ELSE sum(qty) END AS qty_strict,
        sum(qty) AS qty_loose
 FROM q GROUP BY l_orderkey"""
 
@@ -265,9 +265,9 @@ q_slots AS (SELECT unit, year, {SLOTS_SQL} FROM lines),
 q_flag AS (SELECT unit, year, {TRI_SQL} AS flag FROM q_slots),
 quality AS (
   SELECT unit, year,
-         CAST(count_if(flag IS NULL) AS DOUBLE) / count(*) AS prop_missing,
-         CAST(count_if(flag) AS DOUBLE) / count(*) AS share_true,
-         CAST(count_if(flag) AS BIGINT) AS n_true
+         CAST(count(*) FILTER (WHERE flag IS NULL) AS DOUBLE) / count(*) AS prop_missing,
+         CAST(count(*) FILTER (WHERE flag) AS DOUBLE) / count(*) AS share_true,
+         CAST(count(*) FILTER (WHERE flag) AS BIGINT) AS n_true
   FROM q_flag GROUP BY unit, year),
 quality_f AS (
   SELECT *, prop_missing <= 0.15 AND share_true >= 0.42 AS flag_1 FROM quality
@@ -358,3 +358,211 @@ SELECT CAST(substr(value, 1, 8) AS BIGINT) AS c_custkey, CAST(substr(value, 9, 2
        CASE WHEN substr(value, 11, 1) = '-' THEN -CAST(substr(value, 12, 9) AS BIGINT)
             ELSE CAST(substr(value, 12, 9) AS BIGINT) END AS bal_cents
 FROM p"""
+
+
+# ---------------------------------------------------------------- imputation
+# Oracles use the plain long form: every record repeated m times, draws
+# attached, then counted. The Spark side avoids replicating observed records;
+# equal results check that shortcut.
+
+M, SEED = 10, 57
+U32 = 4294967296
+IMPS = f"(SELECT CAST(unnest(generate_series(1, {M})) AS INTEGER) AS imp)"
+
+
+def u_sql(row_key: str, imp: str, target: str) -> str:
+    text = (f"concat_ws('|', CAST({SEED} AS VARCHAR), CAST({row_key} AS VARCHAR), "
+            f"CAST({imp} AS VARCHAR), '{target}', '0')")
+    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+
+
+def hotdeck_ctes(t: str, src: str) -> str:
+    """Draws of target ``t`` for rows of ``src`` where it is missing.
+
+    Cells (state, year), then (state), then the whole table; within a cell the
+    value whose cumulative count range contains u / 2^32 of the total.
+    """
+    def dist(name, keys):
+        k = ", ".join(keys)
+        part = f"PARTITION BY {k} " if keys else ""
+        sel = f"{k}, " if keys else ""
+        return f"""
+{name}_c AS (SELECT {sel}{t} AS v, count(*) AS cnt FROM {src} WHERE {t} IS NOT NULL GROUP BY ALL),
+{name} AS (SELECT {sel}v, cnt,
+       CAST(sum(cnt) OVER ({part}ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hi,
+       CAST(sum(cnt) OVER ({part.strip()}) AS BIGINT) AS tot FROM {name}_c)"""
+
+    def rng(a):
+        return (f"({a}.hi - {a}.cnt) * {U32} <= m.u * {a}.tot AND m.u * {a}.tot < {a}.hi * {U32}")
+
+    return ",".join([
+        dist(f"{t}_d0", ["state", "year"]), dist(f"{t}_d1", ["state"]), dist(f"{t}_d2", []),
+        f"""
+{t}_m AS (SELECT s.row_key, s.state, s.year, g.imp, {u_sql('s.row_key', 'g.imp', t)} AS u
+          FROM {src} s CROSS JOIN {IMPS} g WHERE s.{t} IS NULL),
+{t}_draw AS (
+  SELECT m.row_key, m.imp, coalesce(a.v, b.v, z.v) AS v FROM {t}_m m
+  LEFT JOIN {t}_d0 a ON a.state = m.state AND a.year = m.year AND {rng('a')}
+  LEFT JOIN {t}_d1 b ON b.state = m.state AND {rng('b')}
+  LEFT JOIN {t}_d2 z ON {rng('z')})"""])
+
+
+def long_cte(src: str, name: str = "long") -> str:
+    return hotdeck_ctes("race_ethn", src) + "," + hotdeck_ctes("ipse", src) + f""",
+{name} AS (
+  SELECT c.* REPLACE (coalesce(c.race_ethn, r.v) AS race_ethn, coalesce(c.ipse, i.v) AS ipse), g.imp
+  FROM {src} c CROSS JOIN {IMPS} g
+  LEFT JOIN race_ethn_draw r ON r.row_key = c.row_key AND r.imp = g.imp
+  LEFT JOIN ipse_draw i ON i.row_key = c.row_key AND i.imp = g.imp)"""
+
+
+POPY = """
+popy AS (
+  SELECT year, state, race_ethn, count(*) AS pop FROM (
+    SELECT DISTINCT CAST(year(o.o_orderdate) AS INTEGER) AS year, n.n_name AS state,
+           c.c_mktsegment AS race_ethn, o.o_custkey
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+    JOIN nation n ON c.c_nationkey = n.n_nationkey) GROUP BY ALL)"""
+
+SQL["impute_hotdeck"] = with_(CASES, hotdeck_ctes("ipse", "cases")) + """
+SELECT row_key, imp, v AS ipse FROM ipse_draw"""
+
+SQL["impute_complete_long"] = with_(CASES, hotdeck_ctes("ipse", "cases")) + f"""
+SELECT c.row_key, g.imp, coalesce(c.ipse, d.v) AS ipse
+FROM cases c CROSS JOIN {IMPS} g LEFT JOIN ipse_draw d ON d.row_key = c.row_key AND d.imp = g.imp"""
+
+SQL["pool_imputations"] = with_(CASES, hotdeck_ctes("ipse", "cases"), f"""
+lng AS (SELECT c.state, c.year, coalesce(c.ipse, d.v) AS ipse, g.imp
+        FROM cases c CROSS JOIN {IMPS} g LEFT JOIN ipse_draw d ON d.row_key = c.row_key AND d.imp = g.imp)""", """
+cnt AS (SELECT state, year, ipse, imp, count(*) AS n FROM lng GROUP BY ALL)""") + """
+SELECT state, year, ipse, CAST(sum(n) AS DOUBLE) / count(*) AS n_mean, min(n) AS n_min, max(n) AS n_max
+FROM cnt GROUP BY state, year, ipse"""
+
+NATIONAL = (CASES, POPY, long_cte("cases"), """
+dd AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY imp, year, person ORDER BY rptdt DESC NULLS LAST, row_key ASC) AS rn
+  FROM long WHERE ipse) WHERE rn = 1)""")
+
+SQL["group_rates"] = with_(*NATIONAL, """
+cnt AS (SELECT year, race_ethn, medical, imp, count(*) AS n FROM dd GROUP BY ALL)""", """
+pooled AS (SELECT year, race_ethn, medical, CAST(sum(n) AS DOUBLE) / count(*) AS n_bar,
+                  min(n) AS n_min, max(n) AS n_max FROM cnt GROUP BY year, race_ethn, medical)""", """
+pop_g AS (SELECT year, race_ethn, CAST(sum(pop) AS BIGINT) AS pop FROM popy GROUP BY ALL)""") + f"""
+SELECT p.*, g.pop, {rate('p.n_max', 'g.pop')} AS rate_max, {rate('p.n_min', 'g.pop')} AS rate_min,
+       {rate('p.n_bar', 'g.pop')} AS rate_bar
+FROM pooled p LEFT JOIN pop_g g ON p.year = g.year AND p.race_ethn = g.race_ethn
+WHERE p.year > 1995"""
+
+_SLOT4 = ["chmal1", "chmal2", "chmal3", "chmal4"]
+
+
+def _any(op: str) -> str:
+    return " OR ".join(f"{s} {op}" for s in _SLOT4)
+
+
+SQL["type_rates"] = with_(*NATIONAL, f"""
+fl AS (SELECT imp, year, medical, ({_any('= 1')}) AS phy_abuse, ({_any('IN (2, 3)')}) AS neglect,
+              ({_any('= 4')}) AS sex_abuse, ({_any('> 4')}) AS other FROM dd)""", """
+sums AS (SELECT imp, year, medical, count(*) FILTER (WHERE phy_abuse) AS phy_abuse, count(*) FILTER (WHERE neglect) AS neglect,
+                count(*) FILTER (WHERE sex_abuse) AS sex_abuse, count(*) FILTER (WHERE other) AS other FROM fl GROUP BY ALL)""", """
+lng AS (SELECT imp, year, medical, 'phy_abuse' AS type, phy_abuse AS n FROM sums
+        UNION ALL SELECT imp, year, medical, 'neglect', neglect FROM sums
+        UNION ALL SELECT imp, year, medical, 'sex_abuse', sex_abuse FROM sums
+        UNION ALL SELECT imp, year, medical, 'other', other FROM sums)""", """
+pooled AS (SELECT year, medical, type, CAST(sum(n) AS DOUBLE) / count(*) AS n_mean,
+                  CAST(min(n) AS BIGINT) AS n_min, CAST(max(n) AS BIGINT) AS n_max
+           FROM lng GROUP BY year, medical, type)""", """
+pop_y AS (SELECT year, CAST(sum(pop) AS BIGINT) AS pop FROM popy GROUP BY year)""", f"""
+lab AS (
+  SELECT p.year,
+         CASE WHEN p.medical THEN 'Medical professionals' WHEN NOT p.medical THEN 'All others' END AS medical,
+         CASE WHEN p.type = 'neglect' THEN 'Neglect' WHEN p.type = 'phy_abuse' THEN 'Physical abuse'
+              WHEN p.type = 'sex_abuse' THEN 'Sexual abuse' WHEN p.type = 'other' THEN 'Other' END AS type,
+         p.n_mean, p.n_min, p.n_max, y.pop,
+         {rate('p.n_mean', 'y.pop')} AS rate_mean, {rate('p.n_min', 'y.pop')} AS rate_min,
+         {rate('p.n_max', 'y.pop')} AS rate_max
+  FROM pooled p LEFT JOIN pop_y y ON p.year = y.year)""") + """
+SELECT *, CASE WHEN type = 'Neglect' THEN 1 WHEN type = 'Physical abuse' THEN 2 WHEN type = 'Sexual abuse' THEN 3
+                WHEN type = 'Other' THEN 4 END AS type_ord,
+          CASE WHEN medical = 'Medical professionals' THEN 1 WHEN medical = 'All others' THEN 2 END AS source_ord
+FROM lab"""
+
+STATE = (CASES, POPY, """
+qual AS (SELECT state, year, CAST(count(*) FILTER (WHERE ipse IS NULL) AS DOUBLE) / count(*) AS pm,
+                CAST(count(*) FILTER (WHERE ipse) AS DOUBLE) / count(*) AS st FROM cases GROUP BY ALL)""", """
+gated AS (SELECT c.* FROM cases c WHERE EXISTS (
+  SELECT 1 FROM qual q WHERE q.state = c.state AND q.year = c.year AND q.pm <= 0.36 AND q.st >= 0.30))""",
+         long_cte("gated", "glong"), """
+sc AS (SELECT year, imp, state, race_ethn, chmal1, ipse, count(*) AS n FROM glong WHERE medical GROUP BY ALL)""", """
+grid AS (SELECT * FROM (SELECT DISTINCT year FROM sc) CROSS JOIN (SELECT DISTINCT imp FROM sc)
+         CROSS JOIN (SELECT DISTINCT state FROM sc) CROSS JOIN (SELECT DISTINCT race_ethn FROM sc)
+         CROSS JOIN (SELECT DISTINCT chmal1 FROM sc) CROSS JOIN (SELECT DISTINCT ipse FROM sc))""", """
+state_counts AS (
+  SELECT g.*, coalesce(s.n, 0) AS n FROM grid g LEFT JOIN sc s
+  ON g.year IS NOT DISTINCT FROM s.year AND g.imp IS NOT DISTINCT FROM s.imp
+ AND g.state IS NOT DISTINCT FROM s.state AND g.race_ethn IS NOT DISTINCT FROM s.race_ethn
+ AND g.chmal1 IS NOT DISTINCT FROM s.chmal1 AND g.ipse IS NOT DISTINCT FROM s.ipse)""", """
+sc2 AS (SELECT * FROM state_counts WHERE NOT coalesce(state IN ('NATION_1', 'NATION_2'), FALSE))""")
+
+SQL["state_counts"] = with_(*STATE[:-1]) + "\nSELECT * FROM state_counts"
+
+
+def pool_units_sql(where: str, keys: str) -> str:
+    return f"""
+per AS (SELECT {keys}, imp, sum(n) AS n FROM sc2 {where} GROUP BY ALL),
+units0 AS (SELECT {keys}, CAST(sum(n) AS DOUBLE) / {M} AS n_mn,
+                  CAST(CASE WHEN count(*) < {M} THEN 0 ELSE min(n) END AS BIGINT) AS n_min,
+                  CAST(greatest(max(n), 0) AS BIGINT) AS n_max FROM per GROUP BY ALL),
+units AS (SELECT u.*, p.pop, {rate('u.n_mn', 'p.pop')} AS r_mn, {rate('u.n_min', 'p.pop')} AS r_min,
+                 {rate('u.n_max', 'p.pop')} AS r_max
+          FROM units0 u LEFT JOIN popy p ON u.year IS NOT DISTINCT FROM p.year
+           AND u.state IS NOT DISTINCT FROM p.state AND u.race_ethn IS NOT DISTINCT FROM p.race_ethn)"""
+
+
+def totals_sql(by: str, src: str) -> str:
+    return f"""
+tot0 AS (
+  SELECT {by}, race_ethn, n_mn, n_min, n_max, pop FROM {src}
+  UNION ALL
+  SELECT {by}, 'Total' AS race_ethn, {STRICT.format(c='n_mn')} AS n_mn,
+         CAST({STRICT.format(c='n_min')} AS BIGINT) AS n_min, CAST({STRICT.format(c='n_max')} AS BIGINT) AS n_max,
+         CAST({STRICT.format(c='pop')} AS BIGINT) AS pop
+  FROM {src} GROUP BY {by}),
+tot AS (SELECT *, {rate('n_mn')} AS r_mn, {rate('n_min')} AS r_min, {rate('n_max')} AS r_max FROM tot0)"""
+
+
+SQL["state_panel"] = with_(*STATE, pool_units_sql("", "ipse, race_ethn, year, state"), """
+per_unit AS (SELECT state, count(*) AS n FROM units GROUP BY state)""", """
+panel AS (SELECT * FROM units WHERE state IN (SELECT state FROM per_unit WHERE n = (SELECT max(n) FROM per_unit))
+          AND state <> 'NATION_5')""", totals_sql("year, state, ipse", "panel")) + """
+SELECT year, state, ipse, race_ethn, round(n_mn, 6) AS n_mn, n_min, n_max, pop, round(r_mn, 6) AS r_mn,
+       r_min, r_max FROM tot"""
+
+UNIT_RATES = (*STATE, pool_units_sql("WHERE ipse AND year = 2000", "race_ethn, year, state"),
+              totals_sql("year, state", "units"), """
+ord AS (SELECT state, row_number() OVER (ORDER BY round(r_mn, 9) ASC NULLS LAST, state ASC NULLS LAST) AS state_ord
+        FROM tot WHERE race_ethn = 'Total')""", """
+unit_rates AS (
+  SELECT t.*, o.state_ord,
+         CASE WHEN t.race_ethn = 'Total' THEN 1 WHEN t.race_ethn = 'AUTOMOBILE' THEN 2
+              WHEN t.race_ethn = 'BUILDING' THEN 3 WHEN t.race_ethn = 'FURNITURE' THEN 4
+              WHEN t.race_ethn = 'HOUSEHOLD' THEN 5 WHEN t.race_ethn = 'MACHINERY' THEN 6 END AS group_ord
+  FROM tot t LEFT JOIN ord o ON t.state = o.state)""")
+
+SQL["unit_rates"] = with_(*UNIT_RATES) + """
+SELECT * REPLACE (round(n_mn, 6) AS n_mn, round(r_mn, 6) AS r_mn) FROM unit_rates"""
+
+SQL["unit_disparity"] = with_(*UNIT_RATES, """
+ref AS (SELECT year, state, r_mn AS wht_mn, r_min AS wht_min, r_max AS wht_max FROM tot WHERE race_ethn = 'BUILDING')""",
+                              f"""
+dsp AS (
+  SELECT t.*, r.wht_mn, r.wht_min, r.wht_max, {ratio('t.r_mn', 'r.wht_mn')} AS d,
+         {ratio('t.r_min', 'r.wht_max')} AS d_min, {ratio('t.r_max', 'r.wht_min')} AS d_max
+  FROM tot t LEFT JOIN ref r ON t.year = r.year AND t.state = r.state
+  WHERE t.race_ethn NOT IN ('BUILDING', 'Total') AND t.race_ethn IS NOT NULL)""", """
+dord AS (SELECT state, row_number() OVER (ORDER BY d ASC NULLS LAST, state ASC NULLS LAST) AS state_ord
+         FROM dsp WHERE race_ethn = 'AUTOMOBILE')""") + """
+SELECT d.*, CASE WHEN d.d_min > 1 THEN 'Greater than reference rate'
+                 WHEN NOT (d.d_min > 1) THEN 'Less than or equal to reference rate' END AS grt1,
+       o.state_ord
+FROM dsp d LEFT JOIN dord o ON d.state = o.state"""

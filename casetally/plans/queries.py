@@ -398,3 +398,86 @@ def fwf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(
         "c_custkey", "c_nationkey",
         F.when(F.col("bal_sign") == "-", -F.col("bal_cents")).otherwise(F.col("bal_cents")).alias("bal_cents"))
+
+
+# ----------------------------------------------------------------- imputation
+
+from casetally.operators import impute as IM  # noqa: E402
+from casetally.plans import surveillance as SV  # noqa: E402
+
+IMPUTATION = SV.Imputation(targets=S.TARGETS, m=S.M, seed=S.SEED)
+STATE_QUALITY = {"max_missing": 0.36, "min_share": 0.30}
+
+
+@query
+def impute_hotdeck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell-conditional draws of the missing exposure flag, m per record."""
+    c = S.cases(spark, sf_dir)
+    drawn = IM.hotdeck_draws(c, "ipse", S.TARGETS["ipse"], ["row_key"], S.M, S.SEED)
+    return drawn.select("row_key", "imp", "ipse")
+
+
+@query
+def impute_complete_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``complete(action = "long")``: every record once per imputation."""
+    c = S.cases(spark, sf_dir)
+    drawn = IM.hotdeck_draws(c, "ipse", S.TARGETS["ipse"], ["row_key"], S.M, S.SEED)
+    return IM.complete_long(c, drawn, "ipse", S.M).select("row_key", "imp", "ipse")
+
+
+@query
+def pool_imputations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by (unit, year, flag) pooled over imputations (sparse form)."""
+    c = S.cases(spark, sf_dir)
+    drawn = IM.hotdeck_draws(c, "ipse", S.TARGETS["ipse"], ["row_key"], S.M, S.SEED)
+    observed = c.filter(F.col("ipse").isNotNull())
+    return PL.sparse_pool(observed, drawn, ["state", "year", "ipse"], S.M)
+
+
+@query
+def group_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure-2 shape: exposed cases, latest report per person, by year x group x source."""
+    return SV.group_rates(S.cases(spark, sf_dir), S.population_by_year(spark, sf_dir), IMPUTATION,
+                          where=F.col("ipse") == True, min_year=1995)  # noqa: E712
+
+
+@query
+def type_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure-1 shape: type counts by year x source with labels and level order."""
+    return SV.type_rates(S.cases(spark, sf_dir), S.population_by_year(spark, sf_dir), IMPUTATION,
+                         where=F.col("ipse") == True)  # noqa: E712
+
+
+def _state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SV.state_counts(S.cases(spark, sf_dir), IMPUTATION, where=F.col("medical"),
+                           quality=STATE_QUALITY)
+
+
+@query
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state_counts(spark, sf_dir)
+
+
+@query
+def state_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SV.state_panel(_state_counts(spark, sf_dir), S.population_by_year(spark, sf_dir), S.M,
+                         exclude=S.EXCLUDED_UNITS, drop_units=[S.DROPPED_UNIT])
+    return out.withColumns({"n_mn": F.round("n_mn", 6), "r_mn": F.round("r_mn", 6)})
+
+
+def _unit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SV.unit_rates(_state_counts(spark, sf_dir), S.population_by_year(spark, sf_dir), S.M,
+                         S.FOCUS_YEAR, exclude=S.EXCLUDED_UNITS, group_levels=S.GROUP_LEVELS)
+
+
+@query
+def unit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unit_rates(spark, sf_dir).withColumns({"n_mn": F.round("n_mn", 6),
+                                                   "r_mn": F.round("r_mn", 6)})
+
+
+@query
+def unit_disparity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SV.unit_disparity(_unit_rates(spark, sf_dir), S.REFERENCE_GROUP, S.ORDER_GROUP,
+                             labels=("Greater than reference rate",
+                                     "Less than or equal to reference rate"))

@@ -119,3 +119,30 @@ def type_flags(slots: list[str]) -> dict:
 
 
 TYPE_COLUMNS = ["phy_abuse", "neglect", "sex_abuse", "other"]
+
+
+def population_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons at risk per (year, unit, group): customers with an order that year.
+
+    Summed over groups it gives the per-year denominator, so the group and
+    total denominators nest as in the surveillance tables.
+    """
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = (o.join(c, o.o_custkey == c.c_custkey)
+          .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+          .select(F.year("o_orderdate").cast("int").alias("year"), F.col("n_name").alias("state"),
+                  F.col("c_mktsegment").alias("race_ethn"), "o_custkey"))
+    per_person = j.distinct()
+    return per_person.groupBy("year", "state", "race_ethn").agg(F.count(F.lit(1)).alias("pop"))
+
+
+# Hot-deck targets of the stand-in cases and their cells (finest first; the
+# whole table is the last fallback).
+TARGETS = {"race_ethn": [["state", "year"], ["state"]],
+           "ipse": [["state", "year"], ["state"]]}
+GROUP_LEVELS = ["Total", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+EXCLUDED_UNITS = ["NATION_1", "NATION_2"]
+FOCUS_YEAR = 2000
+ORDER_GROUP = "AUTOMOBILE"
