@@ -7,9 +7,10 @@ task retries, and replayable in SQL.
 Hot-deck (``hotdeck_draws``): a missing value is drawn from the observed
 distribution of the target within its cell (e.g. unit x year). Empty cells
 back off to coarser cells, then to the whole table. The distribution tables
-are aggregated (one row per cell, the value list bounded by the number of
-levels), then attached to the missing rows by an equi-join on the cell keys;
-they are broadcast only when their estimated size is checked small.
+are aggregated in one pass per target, the backoff is resolved on the small
+table (one row per cell, the value list bounded by the number of levels), and
+it is attached to the missing rows by one equi-join on the finest cell keys,
+broadcast when its materialised row count is within bounds.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from casetally.functions.draws import U32, uniform_u32
 from casetally.operators.joins import natural_left_join
+from casetally.operators.materialize import DEFAULT_MAX_ROWS, checked_broadcast
 
 IMP = "imp"
 
@@ -30,22 +32,71 @@ def with_imputations(df: DataFrame, m: int, imp_col: str = IMP) -> DataFrame:
     return df.withColumn(imp_col, F.explode(F.sequence(F.lit(1), F.lit(m))))
 
 
-def cell_distribution(observed: DataFrame, target: str, cell: Sequence[str], tag: str) -> DataFrame:
+def _levels(cells: Sequence[Sequence[str]]) -> list[list[str]]:
+    levels = [list(c) for c in cells]
+    if not levels or levels[-1]:
+        levels.append([])
+    finest = set(levels[0])
+    for lv in levels[1:]:
+        if not set(lv) <= finest:
+            raise ValueError(f"backoff cell {lv} is not nested in the finest cell {levels[0]}")
+    return levels
+
+
+def cell_distribution(counts: DataFrame, target: str, cell: Sequence[str], tag: str) -> DataFrame:
     """Per cell: observed values with cumulative counts, as one sorted array.
 
-    Output columns: the cell keys, ``{tag}_thr`` = array<struct<hi, v>>
-    (``hi`` = cumulative count up to and including value ``v``, values in
-    ascending order) and ``{tag}_tot`` = number of observed rows in the cell.
+    ``counts`` holds observed counts ``__c`` per (finer cell, value); they are
+    summed up to ``cell``. Output: the cell keys, ``{tag}_thr`` =
+    array<struct<hi, v>> (``hi`` = cumulative count up to and including value
+    ``v``, values ascending) and ``{tag}_tot`` = observed rows in the cell.
     """
-    counts = observed.groupBy(*cell, target).agg(F.count(F.lit(1)).alias("__c"))
+    per = counts.groupBy(*cell, target).agg(F.sum("__c").alias("__c"))
     w = Window.partitionBy(*cell).orderBy(F.col(target).asc()) if cell else Window.orderBy(F.col(target).asc())
-    counts = counts.withColumn("__hi", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return counts.groupBy(*cell).agg(
+    per = per.withColumn("__hi", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return per.groupBy(*cell).agg(
         F.sort_array(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col(target).alias("v")))).alias(f"{tag}_thr"),
-        F.sum("__c").alias(f"{tag}_tot"),
+        F.sum("__c").cast("bigint").alias(f"{tag}_tot"),
     )
 
 
+def backoff_table(cells_needed: DataFrame, donors: DataFrame, targets: dict[str, Sequence[Sequence[str]]]) -> DataFrame:
+    """Donor distributions with backoff applied, one row per needed finest cell.
+
+    All ``targets`` must share the finest cell. Donors are aggregated once per
+    target at the finest cell (one pass over the records, map-side combined);
+    coarser cells are sums of that small table. For every cell in
+    ``cells_needed`` the finest level with donors is chosen, giving columns
+    ``{t}_thr`` and ``{t}_tot`` per target. The size is bounded by the number
+    of cells, not by the number of records.
+    """
+    finest = None
+    table = cells_needed
+    for t, cells in targets.items():
+        levels = _levels(cells)
+        if finest is None:
+            finest = levels[0]
+        elif levels[0] != finest:
+            raise ValueError("targets in one backoff table must share the finest cell")
+        fine = (donors.filter(F.col(t).isNotNull())
+                      .groupBy(*levels[0], t).agg(F.count(F.lit(1)).alias("__c")))
+        thr_cols, tot_cols = [], []
+        for i, cell in enumerate(levels):
+            tag = f"__{t}_l{i}"
+            dist = cell_distribution(fine, t, cell, tag)
+            if cell:
+                table = natural_left_join(table, dist, keys=cell, null_safe=True, broadcast_max_bytes=None)
+            else:  # the whole-table distribution: one row, attached by a constant key
+                table = (table.withColumn("__all", F.lit(0))
+                              .join(dist.withColumn("__all", F.lit(0)), "__all", "left").drop("__all"))
+            thr_cols.append(F.col(f"{tag}_thr"))
+            tot_cols.append(F.col(f"{tag}_tot"))
+        table = table.withColumns({f"{t}_thr": F.coalesce(*thr_cols), f"{t}_tot": F.coalesce(*tot_cols)})
+        table = table.select(*finest, *[c for c in table.columns
+                                        if c.endswith(("_thr", "_tot")) and not c.startswith("__")])
+    return table
+
+
 def _pick(thr: Column, tot: Column, u: Column) -> Column:
     """Value whose cumulative range contains ``u / 2**32`` of the cell total.
 
@@ -55,39 +106,31 @@ def _pick(thr: Column, tot: Column, u: Column) -> Column:
     return F.filter(thr, lambda x: x["hi"] * F.lit(U32) > scaled)[0]["v"]
 
 
+def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    small, _ = checked_broadcast(table, max_rows)
+    return natural_left_join(df, small, keys=list(keys), null_safe=True, broadcast_max_bytes=None)
+
+
 def hotdeck_draws(df: DataFrame, target: str, cells: Sequence[Sequence[str]], row_key: Sequence[str],
                   m: int, seed: int, imp_col: str = IMP, draw_round: int = 0,
-                  observed: DataFrame | None = None, donors_where: Column | None = None) -> DataFrame:
+                  observed: DataFrame | None = None,
+                  max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Rows with a missing ``target``, one per imputation, with the value drawn.
 
-    ``cells`` lists conditioning key sets from finest to coarsest; the whole
-    table is always the last fallback. Donor distributions come from
-    ``observed`` (default: the non-missing rows of ``df``).
+    ``cells`` lists conditioning key sets from finest to coarsest (each nested
+    in the finest); the whole table is always the last fallback. Donor
+    distributions come from ``observed`` (default: ``df``). The missing rows
+    are joined to the small backoff table once (broadcast when its row count
+    is within bounds), then expanded to m imputations.
     """
     donors = observed if observed is not None else df
-    donors = donors.filter(F.col(target).isNotNull())
-    if donors_where is not None:
-        donors = donors.filter(donors_where)
-    missing = with_imputations(df.filter(F.col(target).isNull()), m, imp_col)
-    levels = [list(c) for c in cells]
-    if not levels or levels[-1]:
-        levels.append([])
-    out = missing
-    thr_cols, tot_cols = [], []
-    for i, cell in enumerate(levels):
-        tag = f"__l{i}"
-        dist = cell_distribution(donors, target, cell, tag)
-        if cell:
-            out = natural_left_join(out, dist, keys=cell, null_safe=True)
-        else:
-            out = out.join(F.broadcast(dist), how="left")  # one row: the global distribution
-        thr_cols.append(F.col(f"{tag}_thr"))
-        tot_cols.append(F.col(f"{tag}_tot"))
+    finest = _levels(cells)[0]
+    missing = df.filter(F.col(target).isNull())
+    table = backoff_table(missing.select(*finest).distinct(), donors, {target: cells})
+    out = with_imputations(_attach(missing, table, finest, max_broadcast_rows), m, imp_col)
     u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
-    # first level whose cell has donors
-    thr = F.coalesce(*thr_cols)
-    tot = F.coalesce(*tot_cols)
-    out = out.withColumn(target, _pick(thr, tot, u).cast(df.schema[target].dataType))
+    out = out.withColumn(target, _pick(F.col(f"{target}_thr"), F.col(f"{target}_tot"), u)
+                         .cast(df.schema[target].dataType))
     return out.select(*df.columns, imp_col)
 
 
@@ -102,12 +145,14 @@ def complete_long(df: DataFrame, drawn: DataFrame, target: str, m: int, imp_col:
 
 
 def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]], row_key: Sequence[str],
-                     m: int, seed: int, imp_col: str = IMP, donors: DataFrame | None = None) -> DataFrame:
+                     m: int, seed: int, imp_col: str = IMP, donors: DataFrame | None = None,
+                     max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Completed long data for several targets, each drawn from its own cells.
 
     Rows with no missing target are repeated m times without any join; rows
-    with at least one missing target get every missing target drawn per
-    imputation (cell keys must be observed columns, not other targets).
+    with at least one missing target are joined once per group of targets
+    sharing a finest cell (one small broadcast table), expanded m times, and
+    get every missing target drawn (cell keys must be observed columns).
     Donor distributions come from ``donors`` (default ``df``), so a subset of
     the records can be completed with the distributions of the whole table.
     """
@@ -116,24 +161,17 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
     for t in targets:
         any_missing = F.col(t).isNull() if any_missing is None else (any_missing | F.col(t).isNull())
     full = with_imputations(df.filter(~any_missing), m, imp_col)
-    part = with_imputations(df.filter(any_missing), m, imp_col)
-    u_cols = [F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col)]
+    part_rows = df.filter(any_missing)
+    groups: dict[tuple, dict] = {}
     for t, cells in targets.items():
-        observed_t = pool.filter(F.col(t).isNotNull())
-        levels = [list(c) for c in cells]
-        if not levels or levels[-1]:
-            levels.append([])
-        thr_cols, tot_cols = [], []
-        for i, cell in enumerate(levels):
-            tag = f"__{t}_l{i}"
-            dist = cell_distribution(observed_t, t, cell, tag)
-            if cell:
-                part = natural_left_join(part, dist, keys=cell, null_safe=True)
-            else:
-                part = part.join(F.broadcast(dist), how="left")
-            thr_cols.append(F.col(f"{tag}_thr"))
-            tot_cols.append(F.col(f"{tag}_tot"))
-        u = uniform_u32(*u_cols, F.lit(t), F.lit(0))
-        drawn = _pick(F.coalesce(*thr_cols), F.coalesce(*tot_cols), u).cast(df.schema[t].dataType)
-        part = part.withColumn(t, F.coalesce(F.col(t), drawn))
+        groups.setdefault(tuple(_levels(cells)[0]), {})[t] = cells
+    part = part_rows
+    for finest, group in groups.items():
+        table = backoff_table(part_rows.select(*finest).distinct(), pool, group)
+        part = _attach(part, table, finest, max_broadcast_rows)
+    part = with_imputations(part, m, imp_col)
+    u_cols = [F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col)]
+    for t in targets:
+        drawn = _pick(F.col(f"{t}_thr"), F.col(f"{t}_tot"), uniform_u32(*u_cols, F.lit(t), F.lit(0)))
+        part = part.withColumn(t, F.coalesce(F.col(t), drawn.cast(df.schema[t].dataType)))
     return full.unionByName(part.select(*df.columns, imp_col))
