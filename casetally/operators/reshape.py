@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetally.operators.joins import natural_left_join
+from casetally.operators.materialize import materialize
 
 
 def stack_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -96,6 +97,9 @@ def complete_grid(counts: DataFrame, dims: dict[str, Sequence | None], fill: dic
     observed count in a NULL category survives, then the fill value is put in
     the empty cells.
     """
+    # counts are bounded by the grid; materialise them once so discovering the
+    # levels and the join below do not both recompute the upstream pipeline
+    counts = materialize(counts)
     grid = level_grid(counts, dims, max_cells)
     for d, levels in dims.items():
         if levels is not None:

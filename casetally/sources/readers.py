@@ -21,28 +21,56 @@ def _cast(col, dtype: T.DataType, strict: bool):
     return c.cast(dtype) if strict else c.try_cast(dtype)
 
 
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Expand files, directories and globs with the Hadoop FileSystem API.
+
+    Works on any cluster file system; hidden and marker files (``_``, ``.``)
+    are skipped. The result is sorted so the stacking order is stable.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for p in ([paths] if isinstance(paths, str) else list(paths)):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        statuses = fs.globStatus(path) or []
+        for st in statuses:
+            children = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
+            for ch in children:
+                name = ch.getPath().getName()
+                if ch.isFile() and not name.startswith(("_", ".")):
+                    out.append(ch.getPath().toString())
+    if not out:
+        raise FileNotFoundError(f"no input files in {paths}")
+    return sorted(set(out))
+
+
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: dict[str, T.DataType],
                    sep: str = "\t", null_values: str | None = None, strict: bool = False,
                    year_pattern: str | None = None, year_col: str = "file_year") -> DataFrame:
-    """Delimited files with a header line, one per year, stacked.
-
-    Header names are lower-cased, then only ``columns`` are kept and cast
-    (``try_cast`` unless ``strict``); the CSV reader prunes the other columns.
-    With ``year_pattern`` (a regex with one group) the year is taken from the
-    file name rather than from the position of the file in a listing.
+    """Delimited files with a header line, one per year, stacked by column name.
+
+    Each file is its own relation, so each file's header decides its column
+    order (yearly files may order or case their columns differently). Header
+    names are lower-cased, only ``columns`` are kept and cast (``try_cast``
+    unless ``strict``); the CSV reader prunes the other columns. With
+    ``year_pattern`` (a regex with one group) the year is taken from the file
+    name rather than from the position of the file in a listing.
     """
     reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
     if null_values is not None:
         reader = reader.option("nullValue", null_values)
-    raw = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    if year_pattern:
-        raw = raw.withColumn("__file", F.col("_metadata.file_name"))
-    raw = lower_names(raw)
-    missing = [c for c in columns if c not in raw.columns]
-    if missing:
-        raise KeyError(f"columns {missing} not in the file header")
-    out = raw.select(*[_cast(c, t, strict).alias(c) for c, t in columns.items()],
-                     *(["__file"] if year_pattern else []))
+    frames = []
+    for f in list_files(spark, paths):
+        raw = lower_names(reader.csv(f))
+        missing = [c for c in columns if c not in raw.columns]
+        if missing:
+            raise KeyError(f"columns {missing} not in the header of {f}")
+        extra = [F.col("_metadata.file_name").alias("__file")] if year_pattern else []
+        frames.append(raw.select(*[_cast(c, t, strict).alias(c) for c, t in columns.items()], *extra))
+    out = frames[0]
+    for fr in frames[1:]:
+        out = out.unionByName(fr)
     if year_pattern:
         out = (out.withColumn(year_col, F.regexp_extract("__file", year_pattern, 1).cast("int"))
                   .drop("__file"))
