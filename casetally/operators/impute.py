@@ -108,6 +108,9 @@ def _pick(thr: Column, tot: Column, u: Column) -> Column:
 
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
     small, _ = checked_broadcast(table, max_rows)
+    if not keys:  # whole-table distribution only: one row, constant key
+        return (df.withColumn("__all", F.lit(0))
+                  .join(small.withColumn("__all", F.lit(0)), "__all", "left").drop("__all"))
     return natural_left_join(df, small, keys=list(keys), null_safe=True, broadcast_max_bytes=None)
 
 
@@ -175,3 +178,130 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
         drawn = _pick(F.col(f"{t}_thr"), F.col(f"{t}_tot"), uniform_u32(*u_cols, F.lit(t), F.lit(0)))
         part = part.withColumn(t, F.coalesce(F.col(t), drawn.cast(df.schema[t].dataType)))
     return full.unionByName(part.select(*df.columns, imp_col))
+
+
+# -------------------------------------------------- predictive mean matching
+
+
+def design_columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[tuple[str, Column]]:
+    """Regression design: intercept, numeric columns, one-hot categorical levels.
+
+    Levels of categorical predictors are found with one small aggregate; the
+    first level of each is the baseline.
+    """
+    cols: list[tuple[str, Column]] = [("__1", F.lit(1.0))]
+    cols += [(c, F.col(c).cast("double")) for c in numeric]
+    if categorical:
+        levels = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in categorical]).first()
+        for c in categorical:
+            for lv in list(levels[c])[1:]:
+                cols.append((f"{c}={lv}", F.when(F.col(c) == F.lit(lv), F.lit(1.0)).otherwise(F.lit(0.0))))
+    return cols
+
+
+def fit_linear(df: DataFrame, target: str, design: list[tuple[str, Column]]):
+    """OLS from distributed sufficient statistics (one pass: X'X, X'y, y'y, n)."""
+    import numpy as np
+    p = len(design)
+    y = F.col(target).cast("double")
+    aggs = [F.sum(design[i][1] * design[j][1]).alias(f"xx_{i}_{j}") for i in range(p) for j in range(i, p)]
+    aggs += [F.sum(design[i][1] * y).alias(f"xy_{i}") for i in range(p)]
+    aggs += [F.sum(y * y).alias("yy"), F.count(F.lit(1)).alias("n")]
+    r = df.filter(y.isNotNull()).agg(*aggs).first()
+    xtx = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            xtx[i, j] = xtx[j, i] = r[f"xx_{i}_{j}"] or 0.0
+    xty = np.array([r[f"xy_{i}"] or 0.0 for i in range(p)])
+    ridge = 1e-5 * max(np.trace(xtx) / p, 1.0)
+    inv = np.linalg.inv(xtx + ridge * np.eye(p))
+    beta = inv @ xty
+    n = int(r["n"])
+    rss = max(float(r["yy"] or 0.0) - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
+    return beta, inv, rss, n
+
+
+def posterior_betas(beta, inv, rss: float, n: int, m: int, seed: int, tag: str):
+    """m parameter draws from the normal-linear posterior (as in Bayesian PMM)."""
+    import zlib
+
+    import numpy as np
+    p = len(beta)
+    df_res = max(n - p, 1)
+    chol = np.linalg.cholesky(inv + 1e-12 * np.eye(p))
+    out = []
+    for i in range(1, m + 1):
+        rng = np.random.default_rng([seed, i, zlib.crc32(tag.encode())])
+        sigma = np.sqrt(rss / rng.chisquare(df_res)) if rss > 0 else 0.0
+        out.append(beta + sigma * chol @ rng.standard_normal(p))
+    return out
+
+
+def _linear_expr(design: list[tuple[str, Column]], beta) -> Column:
+    expr = None
+    for (_, c), b in zip(design, beta):
+        term = c * F.lit(float(b))
+        expr = term if expr is None else expr + term
+    return expr
+
+
+def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
+              row_key: Sequence[str], m: int, seed: int, donors: int = 5, imp_col: str = IMP,
+              draw_round: int = 0, max_groups: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Predictive mean matching for a numeric target, m draws per missing row.
+
+    Observed rows are scored with the fitted coefficients, missing rows with a
+    posterior draw per imputation. Observed rows are compressed to donor groups
+    (predicted value, observed value, count); each recipient value takes its
+    ``donors`` nearest donors by predicted value, found through donor ordinals
+    (a recipient at position g only needs groups g-donors+1 .. g+donors, so
+    no all-pairs comparison), and one donor is drawn with the keyed hash.
+    Donor groups and distinct recipient values are bounded by the predictor
+    patterns; their number is checked against ``max_groups``.
+    """
+    design = design_columns(df, numeric, categorical)
+    beta, inv, rss, n = fit_linear(df, target, design)
+    betas = posterior_betas(beta, inv, rss, n, m, seed, f"{target}|{draw_round}")
+    obs = df.filter(F.col(target).isNotNull())
+    groups = (obs.select(_linear_expr(design, beta).alias("__yh"), F.col(target).alias("__v"))
+                 .groupBy("__yh", "__v").agg(F.count(F.lit(1)).alias("__c")))
+    groups, n_groups = checked_broadcast(groups, max_groups)
+    if n_groups > max_groups:
+        raise ValueError(f"{n_groups} donor groups exceed {max_groups}: bin continuous predictors")
+    imp_beta = {}
+    for j in range(len(design)):
+        e = None
+        for i, b in enumerate(betas, start=1):
+            e = F.when(F.col(imp_col) == i, F.lit(float(b[j]))) if e is None else e.when(F.col(imp_col) == i, F.lit(float(b[j])))
+        imp_beta[j] = e
+    q_expr = None
+    for j, (_, c) in enumerate(design):
+        term = c * imp_beta[j]
+        q_expr = term if q_expr is None else q_expr + term
+    missing = with_imputations(df.filter(F.col(target).isNull()), m, imp_col).withColumn("__q", q_expr)
+    recips = missing.select("__q").distinct()
+    # ordinals over donor groups and recipient values (bounded tables)
+    d = groups.select(F.col("__yh").alias("__x"), "__v", "__c", F.lit(1).alias("__isd"))
+    r = recips.select(F.col("__q").alias("__x"), F.lit(None).cast(d.schema["__v"].dataType).alias("__v"),
+                      F.lit(0).cast("bigint").alias("__c"), F.lit(0).alias("__isd"))
+    w = Window.orderBy(F.col("__x"), F.col("__isd").desc(), F.col("__v")).rowsBetween(Window.unboundedPreceding, 0)
+    both = d.unionByName(r).withColumn("__ord", F.sum("__isd").over(w))
+    dord = both.filter("__isd = 1").select("__ord", F.col("__x").alias("__yh"), "__v", "__c")
+    rord = both.filter("__isd = 0").select(F.col("__x").alias("__q"), F.col("__ord").alias("__g"))
+    k = donors
+    cand = (rord.withColumn("__ord", F.explode(F.sequence(F.col("__g") - (k - 1), F.col("__g") + k)))
+                .join(dord, "__ord"))
+    cand = cand.withColumn("__dist", F.abs(F.col("__yh") - F.col("__q")))
+    wq = Window.partitionBy("__q").orderBy("__dist", "__yh", "__v")
+    cand = cand.withColumn("__cum", F.sum("__c").over(wq.rowsBetween(Window.unboundedPreceding, 0)))
+    cand = cand.filter(F.col("__cum") - F.col("__c") < k)
+    cand = cand.withColumn("__take", F.least(F.col("__c"), F.lit(k) - (F.col("__cum") - F.col("__c"))))
+    cand = cand.withColumn("__hi", F.sum("__take").over(wq.rowsBetween(Window.unboundedPreceding, 0)))
+    pool = cand.groupBy("__q").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__v").alias("v")))).alias("__thr"),
+        F.sum("__take").cast("bigint").alias("__tot"))
+    pool_b, _ = checked_broadcast(pool, max_groups)
+    out = missing.join(pool_b, "__q", "left")
+    u = uniform_u32(F.lit(seed), *[F.col(c) for c in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
+    out = out.withColumn(target, _pick(F.col("__thr"), F.col("__tot"), u).cast(df.schema[target].dataType))
+    return out.select(*df.columns, imp_col)

@@ -481,3 +481,31 @@ def unit_disparity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SV.unit_disparity(_unit_rates(spark, sf_dir), S.REFERENCE_GROUP, S.ORDER_GROUP,
                              labels=("Greater than reference rate",
                                      "Less than or equal to reference rate"))
+
+
+@query
+def impute_pmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric target by predictive mean matching (5 donors), m draws per missing row."""
+    c = S.cases(spark, sf_dir)
+    drawn = IM.pmm_draws(c, "amount", numeric=["chmal1"], categorical=["state", "medical"],
+                         row_key=["row_key"], m=S.M, seed=S.SEED)
+    return drawn.select("row_key", "imp", "amount")
+
+
+CHAINED_TARGETS = {
+    "race_ethn": {"method": "polyreg", "predictors": ["state", "medical", "chmal1", "ipse"],
+                  "cells": S.TARGETS["race_ethn"]},
+    "ipse": {"method": "logreg", "predictors": ["state", "medical", "chmal1", "race_ethn"],
+             "cells": S.TARGETS["ipse"]},
+    "amount": {"method": "pmm", "predictors": ["chmal1", "medical", "race_ethn", "ipse"],
+               "cells": [["state"]]},
+}
+
+
+@query
+def impute_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three targets by chained equations (polytomous, logistic, PMM), m = 10, 5 rounds."""
+    from casetally.operators.chained import chained_impute
+    c = S.cases(spark, sf_dir)
+    long = chained_impute(c, CHAINED_TARGETS, ["row_key"], S.M, S.SEED, maxit=5)
+    return long.select("row_key", "imp", "race_ethn", "ipse", "amount")

@@ -13,6 +13,8 @@ tables the roles are played by:
 * three-valued exposure flag ("ipse") = order status F -> TRUE, O -> FALSE,
   P -> missing;
 * maltreatment-type slots ``chmal1..4`` = codes derived from order fields;
+* numeric target ("amount") = order value in thousands, missing for
+  unfinished orders of unspecified or low priority;
 * population = customers per (nation, segment).
 
 Line-level stand-ins use ``lineitem`` with the supplier nation as unit.
@@ -62,6 +64,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         R.ladder([(status == "O", 2), (status == "F", 6)]).alias("chmal2"),
         F.when(F.col("o_totalprice") >= 400000, F.lit(4)).alias("chmal3"),
         F.when(F.dayofmonth("o_orderdate") == 1, F.lit(3)).alias("chmal4"),
+        F.when((status == "P") & prio.isin("4-NOT SPECIFIED", "5-LOW"), F.lit(None))
+         .otherwise(F.round(F.col("o_totalprice") / 1000).cast("int")).alias("amount"),
     )
 
 

@@ -66,3 +66,50 @@ def test_multi_target_complete(spark):
     assert long.count() == 12
     assert long.filter(F.col("g").isNull() | F.col("f").isNull()).count() == 0
     assert rows(long.filter("row_key = 1").select("g", "f").distinct()) == [("x", True)]
+
+
+def _numeric(spark):
+    data = []
+    for i in range(300):
+        g = "a" if i % 3 else "b"
+        x = i % 5
+        y = None if i % 7 == 0 else 10 * x + (1 if g == "b" else 0)
+        data.append((i, g, x, y))
+    return spark.createDataFrame(data, "row_key long, g string, x int, y int")
+
+
+def test_pmm_draws_observed_donor_values(spark):
+    df = _numeric(spark)
+    d = IM.pmm_draws(df, "y", numeric=["x"], categorical=["g"], row_key=["row_key"], m=3, seed=5)
+    n_missing = df.filter(F.col("y").isNull()).count()
+    assert d.count() == n_missing * 3 and d.filter(F.col("y").isNull()).count() == 0
+    observed = {r.y for r in df.filter(F.col("y").isNotNull()).select("y").distinct().collect()}
+    assert {r.y for r in d.select("y").distinct().collect()} <= observed
+    # the model is exact (y = 10x + [g == b]): donors come from matching predicted values
+    close = d.filter(F.abs(F.col("y") - 10 * F.col("x")) <= 1).count()
+    assert close / d.count() > 0.9
+    again = IM.pmm_draws(df.repartition(5), "y", numeric=["x"], categorical=["g"], row_key=["row_key"], m=3, seed=5)
+    assert rows(d) == rows(again)
+
+
+def test_chained_completes_and_keeps_observed(spark):
+    from casetally.operators.chained import chained_impute
+    data = []
+    for i in range(400):
+        s = "S" + str(i % 4)
+        g = None if i % 11 == 0 else ("u" if i % 4 < 2 else "v")
+        f = None if i % 13 == 0 else (i % 4 == 0)
+        y = None if i % 9 == 0 else (i % 4) * 10
+        data.append((i, s, i % 2 == 0, g, f, y))
+    df = spark.createDataFrame(data, "row_key long, s string, med boolean, g string, f boolean, y int")
+    targets = {"g": {"method": "polyreg", "predictors": ["s", "med", "f"]},
+               "f": {"method": "logreg", "predictors": ["s", "med", "g"]},
+               "y": {"method": "pmm", "predictors": ["s", "med"]}}
+    long = chained_impute(df, targets, ["row_key"], m=2, seed=1, maxit=2)
+    assert long.count() == 800
+    assert long.filter(F.col("g").isNull() | F.col("f").isNull() | F.col("y").isNull()).count() == 0
+    obs = df.select("row_key", F.col("g").alias("g0"), F.col("y").alias("y0"))
+    j = long.join(obs, "row_key")
+    assert j.filter(F.col("g0").isNotNull() & (F.col("g") != F.col("g0"))).count() == 0
+    assert j.filter(F.col("y0").isNotNull() & (F.col("y") != F.col("y0"))).count() == 0
+    assert {r.y for r in long.select("y").distinct().collect()} <= {0, 10, 20, 30}
