@@ -94,6 +94,8 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         imp = int(pdf[imp_col].iloc[0])
+        # rows arrive in no fixed order; sort so a recomputed task fits bit-identically
+        pdf = pdf.sort_values(["__need", *preds, target], kind="mergesort", na_position="first")
         train = pdf[pdf["__need"] == 0]
         need = pdf[pdf["__need"] == 1].drop_duplicates(subset=preds)
         out_rows = []

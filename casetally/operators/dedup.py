@@ -2,9 +2,9 @@
 
 Row order does not exist in Spark, so "keep the first occurrence" always takes
 an explicit total order: the ordering columns plus a unique tiebreak. The
-``row_number() == 1`` form lets Catalyst insert a partial ``WindowGroupLimit``
-before the shuffle, so each map task forwards at most one row per key: a key
-holding a third of all rows is cut down before it reaches one reducer.
+default form is a ``min_by`` aggregate with a map-side partial step, so each
+map task forwards at most one row per key: a key holding a third of all rows
+is cut down before it reaches one reducer.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _order_cols(order: Sequence, descending: bool) -> list[Column]:
@@ -23,6 +24,37 @@ def _order_cols(order: Sequence, descending: bool) -> list[Column]:
     return out
 
 
+def _desc(c: Column, dtype: T.DataType) -> Column | None:
+    """A key that sorts ascending in the descending order of ``c`` (or None)."""
+    if isinstance(dtype, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                          T.DecimalType)):
+        return -c
+    return None
+
+
+def ordering_key(df: DataFrame, order: Sequence, tiebreak: Sequence[str], latest: bool = False,
+                 first: Sequence[Column] = ()) -> Column | None:
+    """Struct whose ascending order is the wanted record order (None if a
+    descending order column cannot be reversed arithmetically). ``first``
+    columns are compared before everything else."""
+    parts = list(first)
+    for o in order:
+        c = F.col(o) if isinstance(o, str) else o
+        if latest:
+            rev = _desc(c, df.select(c).schema.fields[0].dataType)
+            if rev is None:
+                return None
+            parts += [c.isNull(), rev]
+        else:
+            parts += [c.isNull(), c]
+    return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)],
+                    *[F.col(t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
+
+
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, tiebreak: Sequence[str],
              latest: bool = False) -> DataFrame:
     """Keep one row per ``keys``.
@@ -30,9 +62,25 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, tiebreak: Sequ
     ``latest=False`` keeps the smallest ``order`` (first report); ``latest=True``
     the largest (``arrange(desc(date))`` + ``!duplicated``). NULL dates sort
     last either way. ``tiebreak`` columns (ascending) must make the order total.
+
+    Written as ``min_by(row, ordering key)``: an aggregate with a partial
+    (map-side) step, so every map task forwards at most one row per key and a
+    key holding a third of all rows never lands whole in one task. Order
+    columns that cannot be reversed arithmetically (text) use the window form.
     """
     if not tiebreak:
         raise ValueError("a tiebreak column is required for a deterministic result")
+    ordering = ordering_key(df, order, tiebreak, latest)
+    if ordering is None:
+        return keep_one_window(df, keys, order, tiebreak, latest)
+    payload = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*keys).agg(F.min_by(payload, ordering).alias("__row")).select("__row.*")
+
+
+def keep_one_window(df: DataFrame, keys: Sequence[str], order: Sequence, tiebreak: Sequence[str],
+                    latest: bool = False) -> DataFrame:
+    """``row_number() == 1`` form; Catalyst adds a partial ``WindowGroupLimit``
+    before the shuffle when the input is not already partitioned by ``keys``."""
     w = Window.partitionBy(*keys).orderBy(
         *_order_cols(order, latest), *[F.col(t).asc_nulls_last() for t in tiebreak])
     rn = "__rn"

@@ -88,16 +88,27 @@ def latest_report_split(cases: DataFrame, imp: Imputation, roles: Roles,
     ``imp`` column); ``expanded`` holds the kept records, per imputation, of
     the other persons. Their union per imputation equals deduplicating the
     fully completed long table.
+
+    One aggregation per (year, person), partial on the map side, finds both
+    whether any record misses a target and the latest record passing
+    ``where``; stable persons need nothing else. Records of the other persons
+    are fetched by a semi join (which AQE splits if a person is hot), expanded
+    m times, completed, filtered and deduplicated by a partial ``min_by``.
     """
     r = roles
-    flags = (cases.groupBy(r.year, r.person)
-                  .agg(F.max(_any_missing(list(imp.targets)).cast("int")).alias("__unstable")))
-    tagged = cases.join(flags, [r.year, r.person])
-    stable = tagged.filter(F.col("__unstable") == 0).drop("__unstable")
-    unstable = tagged.filter(F.col("__unstable") == 1).drop("__unstable")
-    if where is not None:
-        stable = stable.filter(where)
-    stable = D.keep_latest(stable, [r.year, r.person], [r.date], [r.row_key])
+    miss = _any_missing(list(imp.targets))
+    ok = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    marked = cases.withColumns({"__miss": miss.cast("int"), "__ok": ok})
+    ordering = D.ordering_key(marked, [r.date], [r.row_key], latest=True, first=[~F.col("__ok")])
+    if ordering is None:
+        raise ValueError(f"report date {r.date} must be a date, timestamp or number")
+    per = marked.groupBy(r.year, r.person).agg(
+        F.max("__miss").alias("__unstable"),
+        F.min_by(F.struct(*[F.col(c) for c in cases.columns], F.col("__ok")), ordering).alias("__row"))
+    stable = (per.filter((F.col("__unstable") == 0) & F.col("__row.__ok"))
+                 .select("__row.*").drop("__ok"))
+    unstable_keys = per.filter(F.col("__unstable") == 1).select(r.year, r.person)
+    unstable = cases.join(unstable_keys, [r.year, r.person], "left_semi")
     long_u = IM.hotdeck_complete(unstable, imp.targets, [r.row_key], imp.m, imp.seed,
                                  imp_col=r.imp, donors=cases)
     if where is not None:

@@ -29,10 +29,18 @@ def test_dedup_is_per_imputation_and_idempotent(spark):
     assert rows(D.keep_latest(once, ["imp", "person"], ["d"], ["rk"])) == rows(once)
 
 
-def test_keep_latest_uses_partial_window_limit(spark):
+def test_keep_latest_is_partially_aggregated(spark):
     df = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id"))
     plan = D.keep_latest(df, ["k"], ["id"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert "partial_min_by" in plan
+    wplan = D.keep_one_window(df, ["k"], ["id"], ["id"], True)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in wplan
+    assert rows(D.keep_latest(df, ["k"], ["id"], ["id"])) == rows(D.keep_one_window(df, ["k"], ["id"], ["id"], True))
+
+
+def test_keep_latest_text_order_falls_back(spark):
+    df = spark.createDataFrame([("p", "b", 1), ("p", "c", 2), ("p", None, 3)], "k string, d string, rk int")
+    assert rows(D.keep_latest(df, ["k"], ["d"], ["rk"])) == [("p", "c", 2)]
 
 
 def test_keep_indexed_does_not_fan_out(spark):
