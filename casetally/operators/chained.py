@@ -175,14 +175,15 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
                             imp_col=imp_col, donors=df)
     cur = materialize(init)
     schema = {f.name: f.dataType for f in df.schema.fields}
+    # patterns of fully observed records never change: aggregate them once per target
+    fixed = {t: materialize(full.groupBy(*targets[t]["predictors"], t).agg(F.count(F.lit(1)).alias("__n")))
+             for t in names}
     for it in range(1, maxit + 1):
         for t in names:
             spec = targets[t]
             preds = list(spec["predictors"])
             cat = {p: _is_categorical(schema[p]) for p in preds}
-            tr_full = (full.filter(F.col(t).isNotNull()).groupBy(*preds, t)
-                           .agg(F.count(F.lit(1)).alias("__n")))
-            tr_full = with_imputations(tr_full, m, imp_col)
+            tr_full = with_imputations(fixed[t], m, imp_col)
             tr_part = (cur.filter(~F.col(f"__m_{t}")).groupBy(imp_col, *preds, t)
                           .agg(F.count(F.lit(1)).alias("__n")))
             train = (tr_full.unionByName(tr_part).groupBy(imp_col, *preds, t)

@@ -100,18 +100,56 @@ def backoff_table(cells_needed: DataFrame, donors: DataFrame, targets: dict[str,
 def _pick(thr: Column, tot: Column, u: Column) -> Column:
     """Value whose cumulative range contains ``u / 2**32`` of the cell total.
 
-    Integer-only: the first value with ``hi * 2**32 > u * total``.
+    Integer-only: the first value with ``hi * 2**32 > u * total``. A linear
+    scan of the array; right for short arrays (a few levels).
     """
     scaled = u * tot
     return F.filter(thr, lambda x: x["hi"] * F.lit(U32) > scaled)[0]["v"]
 
 
-def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+SCAN_MAX = 16
+
+
+def with_draw(df: DataFrame, out: str, thr: str, tot: str, u: Column, max_len: int) -> DataFrame:
+    """Add column ``out`` = the value drawn from threshold array ``thr``.
+
+    Same rule as ``_pick`` (first entry with ``hi > (u * total) >> 32``). Long
+    arrays (a numeric target with hundreds of values in a cell) are searched
+    by binary lifting over the bits of the position: ``bit_length(max_len)``
+    steps per row instead of a scan of every entry. It is one expression, so
+    filters on the drawn column can be pushed down without blowing it up.
+    """
+    if max_len <= SCAN_MAX:
+        return df.withColumn(out, _pick(F.col(thr), F.col(tot), u))
+    arr = F.col(thr)
+    n = F.size(arr)
+    r = F.shiftright(u * F.col(tot), 32)
+    top = max(int(max_len), 1).bit_length() - 1
+    bits = F.array(*[F.lit(1 << b) for b in range(top, -1, -1)])
+
+    def step(p, bit):
+        nxt = p + bit
+        ok = (nxt <= n) & (F.element_at(arr, F.least(nxt, F.greatest(n, F.lit(1))))["hi"] <= r)
+        return F.when(ok, nxt).otherwise(p)
+
+    # p = number of entries with hi <= r; the drawn entry is the next one
+    p = F.aggregate(bits, F.lit(0), step)
+    return df.withColumn(out, F.when(arr.isNotNull(), F.element_at(arr, p + 1)["v"]))
+
+
+def _max_len(table: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    row = table.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(c) for c in cols]).first()
+    return {c: int(row[c]) for c in cols}
+
+
+def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, dict]:
+    """Join the materialised small table; also return the longest array per column."""
     small, _ = checked_broadcast(table, max_rows)
+    lengths = _max_len(small, [c for c in small.columns if c.endswith("_thr")])
     if not keys:  # whole-table distribution only: one row, constant key
         return (df.withColumn("__all", F.lit(0))
-                  .join(small.withColumn("__all", F.lit(0)), "__all", "left").drop("__all"))
-    return natural_left_join(df, small, keys=list(keys), null_safe=True, broadcast_max_bytes=None)
+                  .join(small.withColumn("__all", F.lit(0)), "__all", "left").drop("__all")), lengths
+    return natural_left_join(df, small, keys=list(keys), null_safe=True, broadcast_max_bytes=None), lengths
 
 
 def hotdeck_draws(df: DataFrame, target: str, cells: Sequence[Sequence[str]], row_key: Sequence[str],
@@ -130,10 +168,11 @@ def hotdeck_draws(df: DataFrame, target: str, cells: Sequence[Sequence[str]], ro
     finest = _levels(cells)[0]
     missing = df.filter(F.col(target).isNull())
     table = backoff_table(missing.select(*finest).distinct(), donors, {target: cells})
-    out = with_imputations(_attach(missing, table, finest, max_broadcast_rows), m, imp_col)
+    attached, lengths = _attach(missing, table, finest, max_broadcast_rows)
+    out = with_imputations(attached, m, imp_col)
     u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
-    out = out.withColumn(target, _pick(F.col(f"{target}_thr"), F.col(f"{target}_tot"), u)
-                         .cast(df.schema[target].dataType))
+    out = with_draw(out, "__drawn", f"{target}_thr", f"{target}_tot", u, lengths[f"{target}_thr"])
+    out = out.withColumn(target, F.col("__drawn").cast(df.schema[target].dataType))
     return out.select(*df.columns, imp_col)
 
 
@@ -169,14 +208,17 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
     for t, cells in targets.items():
         groups.setdefault(tuple(_levels(cells)[0]), {})[t] = cells
     part = part_rows
+    lengths: dict[str, int] = {}
     for finest, group in groups.items():
         table = backoff_table(part_rows.select(*finest).distinct(), pool, group)
-        part = _attach(part, table, finest, max_broadcast_rows)
+        part, found = _attach(part, table, finest, max_broadcast_rows)
+        lengths.update(found)
     part = with_imputations(part, m, imp_col)
     u_cols = [F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col)]
     for t in targets:
-        drawn = _pick(F.col(f"{t}_thr"), F.col(f"{t}_tot"), uniform_u32(*u_cols, F.lit(t), F.lit(0)))
-        part = part.withColumn(t, F.coalesce(F.col(t), drawn.cast(df.schema[t].dataType)))
+        u = uniform_u32(*u_cols, F.lit(t), F.lit(0))
+        part = with_draw(part, "__drawn", f"{t}_thr", f"{t}_tot", u, lengths[f"{t}_thr"])
+        part = part.withColumn(t, F.coalesce(F.col(t), F.col("__drawn").cast(df.schema[t].dataType))).drop("__drawn")
     return full.unionByName(part.select(*df.columns, imp_col))
 
 

@@ -113,3 +113,16 @@ def test_chained_completes_and_keeps_observed(spark):
     assert j.filter(F.col("g0").isNotNull() & (F.col("g") != F.col("g0"))).count() == 0
     assert j.filter(F.col("y0").isNotNull() & (F.col("y") != F.col("y0"))).count() == 0
     assert {r.y for r in long.select("y").distinct().collect()} <= {0, 10, 20, 30}
+
+
+def test_binary_search_draw_equals_linear_scan(spark):
+    from casetally.functions.draws import uniform_u32
+    data = [(i, "S", 1, (i * 37) % 300) for i in range(3000)] + [(10000 + i, "S", 1, None) for i in range(500)]
+    df = spark.createDataFrame(data, "row_key long, state string, year int, y int")
+    table = IM.backoff_table(df.filter("y IS NULL").select("state", "year").distinct(), df,
+                             {"y": [["state", "year"]]})
+    miss = df.filter("y IS NULL").join(table, ["state", "year"]).withColumn("u", uniform_u32("row_key"))
+    lin = IM.with_draw(miss, "a", "y_thr", "y_tot", F.col("u"), 1)
+    both = IM.with_draw(lin, "b", "y_thr", "y_tot", F.col("u"), 300)
+    assert both.filter(F.col("a") != F.col("b")).count() == 0
+    assert both.filter(F.col("b").isNull()).count() == 0
