@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from casetally.functions.draws import uniform_u32
 from casetally.operators.impute import IMP, _pick, hotdeck_complete, with_imputations
 from casetally.operators.joins import natural_left_join
-from casetally.operators.materialize import checked_broadcast, materialize
+from casetally.operators.materialize import checked_broadcast, materialize, spread_small
 
 SCALE = 1 << 30  # probability thresholds as integers out of 2**30 (x 2**32 stays < 2**63)
 DEFAULT_MAX_PATTERNS = 5_000_000
@@ -173,7 +173,7 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
     part = df.filter(any_missing).withColumns({f"__m_{t}": F.col(t).isNull() for t in names})
     init = hotdeck_complete(part, {t: targets[t].get("cells", [[]]) for t in names}, row_key, m, seed,
                             imp_col=imp_col, donors=df)
-    cur = materialize(init)
+    cur = spread_small(materialize(init))
     schema = {f.name: f.dataType for f in df.schema.fields}
     # patterns of fully observed records never change: aggregate them once per target
     fixed = {t: materialize(full.groupBy(*targets[t]["predictors"], t).agg(F.count(F.lit(1)).alias("__n")))
@@ -210,6 +210,6 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
             drawn = _pick(F.col("__thr"), F.col("__ptot"), u).cast(schema[t])
             cur = joined.withColumn(t, F.when(F.col(f"__m_{t}") & drawn.isNotNull(), drawn)
                                     .otherwise(F.col(t))).drop("__thr", "__ptot")
-        cur = materialize(cur)
+        cur = spread_small(materialize(cur))
     done = cur.drop(*[f"__m_{t}" for t in names])
     return with_imputations(full, m, imp_col).unionByName(done.select(*df.columns, imp_col))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from casetally.functions.draws import U32, uniform_u32
 from casetally.operators.joins import natural_left_join
-from casetally.operators.materialize import DEFAULT_MAX_ROWS, checked_broadcast
+from casetally.operators.materialize import DEFAULT_MAX_ROWS, checked_broadcast, spread_small
 
 IMP = "imp"
 
@@ -166,7 +166,7 @@ def hotdeck_draws(df: DataFrame, target: str, cells: Sequence[Sequence[str]], ro
     """
     donors = observed if observed is not None else df
     finest = _levels(cells)[0]
-    missing = df.filter(F.col(target).isNull())
+    missing = spread_small(df.filter(F.col(target).isNull()))
     table = backoff_table(missing.select(*finest).distinct(), donors, {target: cells})
     attached, lengths = _attach(missing, table, finest, max_broadcast_rows)
     out = with_imputations(attached, m, imp_col)
@@ -202,8 +202,8 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
     any_missing = None
     for t in targets:
         any_missing = F.col(t).isNull() if any_missing is None else (any_missing | F.col(t).isNull())
-    full = with_imputations(df.filter(~any_missing), m, imp_col)
-    part_rows = df.filter(any_missing)
+    full = with_imputations(spread_small(df.filter(~any_missing)), m, imp_col)
+    part_rows = spread_small(df.filter(any_missing))
     groups: dict[tuple, dict] = {}
     for t, cells in targets.items():
         groups.setdefault(tuple(_levels(cells)[0]), {})[t] = cells
@@ -320,7 +320,7 @@ def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: S
     for j, (_, c) in enumerate(design):
         term = c * imp_beta[j]
         q_expr = term if q_expr is None else q_expr + term
-    missing = with_imputations(df.filter(F.col(target).isNull()), m, imp_col).withColumn("__q", q_expr)
+    missing = with_imputations(spread_small(df.filter(F.col(target).isNull())), m, imp_col).withColumn("__q", q_expr)
     recips = missing.select("__q").distinct()
     # ordinals over donor groups and recipient values (bounded tables)
     d = groups.select(F.col("__yh").alias("__x"), "__v", "__c", F.lit(1).alias("__isd"))

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casetally.operators.joins import estimated_bytes
 from casetally.session import checkpoint_dir
 
 DEFAULT_MAX_ROWS = 2_000_000
@@ -38,3 +39,27 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[
     saved = materialize(df)
     n = saved.count()
     return (F.broadcast(saved) if n <= max_rows else saved), n
+
+
+def _max_partition_bytes(spark) -> int:
+    try:
+        return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    except Exception:  # noqa: BLE001
+        return 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over the cluster's default parallelism.
+
+    A table that Catalyst estimates below ``maxPartitionBytes x parallelism``
+    may arrive in a handful of splits (one small file is one task); before
+    expanding it m times and hashing every row, it is round-robined over all
+    cores. The shuffle is cheap because the input is small. Large inputs
+    already have at least that many splits and are returned unchanged.
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is not None and size < _max_partition_bytes(spark) * par:
+        return df.repartition(par)
+    return df
