@@ -89,18 +89,21 @@ def _predict_multinomial(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
 
 
 def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str, seed: int,
-                draw_round: int, donors: int, value_type: T.DataType, imp_col: str):
-    """Per-imputation fit + prediction on compressed patterns (pandas in a task)."""
+                draw_round: int, donors: int, value_type: T.DataType, imp_col: str,
+                keys: list[str] | None = None):
+    """Per-imputation (and per ``by`` group) fit + prediction on compressed
+    patterns (pandas in a task). ``keys`` = grouping columns + predictors."""
+    keys = list(keys or preds)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         imp = int(pdf[imp_col].iloc[0])
         # rows arrive in no fixed order; sort so a recomputed task fits bit-identically
-        pdf = pdf.sort_values(["__need", *preds, target], kind="mergesort", na_position="first")
+        pdf = pdf.sort_values(["__need", *keys, target], kind="mergesort", na_position="first")
         train = pdf[pdf["__need"] == 0]
-        need = pdf[pdf["__need"] == 1].drop_duplicates(subset=preds)
+        need = pdf[pdf["__need"] == 1].drop_duplicates(subset=keys)
         out_rows = []
         if need.empty or train.empty:
-            return pd.DataFrame(columns=[imp_col, *preds, "__hi", "__v", "__tot"])
+            return pd.DataFrame(columns=[imp_col, *keys, "__hi", "__v", "__tot"])
         both = pd.concat([train, need], ignore_index=True)
         x_all = _design(both, preds, cat)
         xt, xn = x_all[:len(train)], x_all[len(train):]
@@ -117,7 +120,7 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
             cum = np.floor(np.cumsum(prob, axis=1) * SCALE).astype(np.int64)
             cum[:, -1] = SCALE
             for r in range(len(need)):
-                key = [need.iloc[r][p] for p in preds]
+                key = [need.iloc[r][p] for p in keys]
                 last = -1
                 for j, c in enumerate(classes):
                     if cum[r, j] > last:  # skip zero-width classes
@@ -140,7 +143,7 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
             for r in range(len(need)):
                 dist = np.abs(yh_obs[order] - yh_mis[r])
                 o2 = np.lexsort((yv[order], yh_obs[order], dist))
-                key = [need.iloc[r][p] for p in preds]
+                key = [need.iloc[r][p] for p in keys]
                 pool, taken = [], 0
                 for g in order[o2]:
                     take = int(min(w[g], donors - taken))
@@ -149,13 +152,23 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
                     taken += take
                     pool.append((taken, train[target].iloc[g]))
                 out_rows.extend([imp, *key, hi, v, taken] for hi, v in pool)
-        return pd.DataFrame(out_rows, columns=[imp_col, *preds, "__hi", "__v", "__tot"])
+        return pd.DataFrame(out_rows, columns=[imp_col, *keys, "__hi", "__v", "__tot"])
 
     return fit
 
 
+def methods_from_schema(df: DataFrame, targets: Sequence[str]) -> dict[str, str]:
+    """Default method per target from its type (the dry run's defaults):
+    boolean -> ``logreg``, text -> ``polyreg``, numeric -> ``pmm``."""
+    out = {}
+    for t in targets:
+        dt = df.schema[t].dataType
+        out[t] = "logreg" if isinstance(dt, T.BooleanType) else ("polyreg" if isinstance(dt, T.StringType) else "pmm")
+    return out
+
+
 def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[str], m: int, seed: int,
-                   maxit: int = 5, imp_col: str = IMP, donors: int = 5,
+                   maxit: int = 5, imp_col: str = IMP, donors: int = 5, by: Sequence[str] = (),
                    max_patterns: int = DEFAULT_MAX_PATTERNS) -> DataFrame:
     """Completed long data (every record once per imputation).
 
@@ -163,8 +176,14 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
     "predictors": [...], "cells": [...]}``; ``predictors`` is the row of the
     predictor matrix (ids and excluded columns are simply not listed),
     ``cells`` the hot-deck cells used for initialisation (default: whole
-    table). Targets without missing values are left as they are.
+    table); a missing ``method`` is taken from the column type. ``by``
+    columns (e.g. the year) split the data into independent imputation
+    runs: every model is fitted per (imputation, by) group. Targets without
+    missing values are left as they are.
     """
+    defaults = methods_from_schema(df, list(targets))
+    targets = {t: {"method": defaults[t], **spec} for t, spec in targets.items()}
+    by = list(by)
     names = list(targets)
     any_missing = None
     for t in names:
@@ -176,35 +195,37 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
     cur = spread_small(materialize(init))
     schema = {f.name: f.dataType for f in df.schema.fields}
     # patterns of fully observed records never change: aggregate them once per target
-    fixed = {t: materialize(full.groupBy(*targets[t]["predictors"], t).agg(F.count(F.lit(1)).alias("__n")))
+    keys_of = {t: list(dict.fromkeys([*by, *targets[t]["predictors"]])) for t in names}
+    fixed = {t: materialize(full.groupBy(*keys_of[t], t).agg(F.count(F.lit(1)).alias("__n")))
              for t in names}
     for it in range(1, maxit + 1):
         for t in names:
             spec = targets[t]
             preds = list(spec["predictors"])
+            keys = keys_of[t]
             cat = {p: _is_categorical(schema[p]) for p in preds}
             tr_full = with_imputations(fixed[t], m, imp_col)
-            tr_part = (cur.filter(~F.col(f"__m_{t}")).groupBy(imp_col, *preds, t)
+            tr_part = (cur.filter(~F.col(f"__m_{t}")).groupBy(imp_col, *keys, t)
                           .agg(F.count(F.lit(1)).alias("__n")))
-            train = (tr_full.unionByName(tr_part).groupBy(imp_col, *preds, t)
+            train = (tr_full.unionByName(tr_part).groupBy(imp_col, *keys, t)
                             .agg(F.sum("__n").cast("bigint").alias("__n")).withColumn("__need", F.lit(0)))
-            need = (cur.filter(F.col(f"__m_{t}")).select(imp_col, *preds).distinct()
+            need = (cur.filter(F.col(f"__m_{t}")).select(imp_col, *keys).distinct()
                        .withColumn(t, F.lit(None).cast(schema[t])).withColumn("__n", F.lit(0).cast("bigint"))
                        .withColumn("__need", F.lit(1)))
             patterns = train.unionByName(need)
             out_schema = T.StructType([T.StructField(imp_col, T.IntegerType())]
-                                      + [T.StructField(p, schema[p]) for p in preds]
+                                      + [T.StructField(p, schema[p]) for p in keys]
                                       + [T.StructField("__hi", T.LongType()), T.StructField("__v", schema[t]),
                                          T.StructField("__tot", T.LongType())])
-            fitted = patterns.groupBy(imp_col).applyInPandas(
-                _model_step(t, preds, cat, spec["method"], seed, it, donors, schema[t], imp_col), out_schema)
-            pools = fitted.groupBy(imp_col, *preds).agg(
+            fitted = patterns.groupBy(imp_col, *by).applyInPandas(
+                _model_step(t, preds, cat, spec["method"], seed, it, donors, schema[t], imp_col, keys), out_schema)
+            pools = fitted.groupBy(imp_col, *keys).agg(
                 F.sort_array(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__v").alias("v")))).alias("__thr"),
                 F.max("__tot").alias("__ptot"))
             pools_b, n_pools = checked_broadcast(pools, max_patterns)
             if n_pools > max_patterns:
                 raise ValueError(f"{n_pools} covariate patterns to predict for {t} exceed {max_patterns}")
-            joined = natural_left_join(cur, pools_b, keys=[imp_col, *preds], null_safe=True,
+            joined = natural_left_join(cur, pools_b, keys=[imp_col, *keys], null_safe=True,
                                        broadcast_max_bytes=None)
             u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(t), F.lit(it))
             drawn = _pick(F.col("__thr"), F.col("__ptot"), u).cast(schema[t])

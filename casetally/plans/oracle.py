@@ -566,3 +566,10 @@ SELECT d.*, CASE WHEN d.d_min > 1 THEN 'Greater than reference rate'
                  WHEN NOT (d.d_min > 1) THEN 'Less than or equal to reference rate' END AS grt1,
        o.state_ord
 FROM dsp d LEFT JOIN dord o ON d.state = o.state"""
+
+SQL["pop_index"] = with_(CASES, POPY, """
+sy AS (SELECT DISTINCT state, year FROM cases)""") + """
+SELECT p.race_ethn,
+       CASE WHEN count(*) FILTER (WHERE p.pop IS NULL) > 0 THEN NULL ELSE CAST(sum(p.pop) AS BIGINT) END AS pop
+FROM sy LEFT JOIN popy p ON sy.state IS NOT DISTINCT FROM p.state AND sy.year IS NOT DISTINCT FROM p.year
+GROUP BY p.race_ethn"""

@@ -504,8 +504,18 @@ CHAINED_TARGETS = {
 
 @query
 def impute_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three targets by chained equations (polytomous, logistic, PMM), m = 10, 5 rounds."""
+    """Three targets by chained equations (polytomous, logistic, PMM), m = 10, 5 rounds,
+    one independent run per year."""
     from casetally.operators.chained import chained_impute
     c = S.cases(spark, sf_dir)
-    long = chained_impute(c, CHAINED_TARGETS, ["row_key"], S.M, S.SEED, maxit=5)
+    long = chained_impute(c, CHAINED_TARGETS, ["row_key"], S.M, S.SEED, maxit=5, by=["year"])
     return long.select("row_key", "imp", "race_ethn", "ipse", "amount")
+
+
+@query
+def pop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons at risk by group over the unit-years that have case records."""
+    unit_years = D.distinct_keys(S.cases(spark, sf_dir), ["state", "year"])
+    j = J.natural_left_join(unit_years, S.population_by_year(spark, sf_dir), keys=["state", "year"],
+                            null_safe=True)
+    return AG.strict_sums(j, ["race_ethn"], ["pop"])

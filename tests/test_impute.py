@@ -126,3 +126,22 @@ def test_binary_search_draw_equals_linear_scan(spark):
     both = IM.with_draw(lin, "b", "y_thr", "y_tot", F.col("u"), 300)
     assert both.filter(F.col("a") != F.col("b")).count() == 0
     assert both.filter(F.col("b").isNull()).count() == 0
+
+
+def test_chained_per_year_runs_and_default_methods(spark):
+    from casetally.operators.chained import chained_impute, methods_from_schema
+    data = []
+    for i in range(300):
+        yr = 2018 + i % 2
+        g = None if i % 7 == 0 else ("u" if (i // 2) % 3 else "v")
+        f = None if i % 5 == 0 else (i % 3 == 0)
+        data.append((i, yr, i % 4 == 0, g, f))
+    df = spark.createDataFrame(data, "row_key long, year int, med boolean, g string, f boolean")
+    assert methods_from_schema(df, ["g", "f", "year"]) == {"g": "polyreg", "f": "logreg", "year": "pmm"}
+    targets = {"g": {"predictors": ["med", "f"], "cells": [["year"]]},
+               "f": {"predictors": ["med", "g"], "cells": [["year"]]}}
+    long = chained_impute(df, targets, ["row_key"], m=2, seed=4, maxit=2, by=["year"])
+    assert long.count() == 600
+    assert long.filter(F.col("g").isNull() | F.col("f").isNull()).count() == 0
+    again = chained_impute(df.repartition(3), targets, ["row_key"], m=2, seed=4, maxit=2, by=["year"])
+    assert rows(long) == rows(again)
