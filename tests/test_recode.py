@@ -86,3 +86,33 @@ def test_level_ordinal(spark):
     df = spark.createDataFrame([("Other",), ("Neglect",), ("zzz",)], "t string")
     out = df.select("t", R.level_ordinal("t", ["Neglect", "Physical abuse", "Sexual abuse", "Other"]).alias("o"))
     assert rows(out) == [("Neglect", 1), ("Other", 4), ("zzz", None)]
+
+
+def test_h5_codes_compare_numerically(spark):
+    df = spark.createDataFrame([(10, None, None, None), (3, None, None, None)], "a int, b int, c int, d int")
+    out = df.select("a", R.any_above(["a", "b", "c", "d"], 4).alias("other"))
+    assert rows(out) == [(3, None), (10, True)]
+
+
+def test_h12_sequential_derivations(spark):
+    df = spark.createDataFrame([(77,), (99,)], "age int")
+    out = df.withColumn("age", R.replace_value("age", 77, 0)).withColumn("age", R.null_if("age", 99)) \
+            .withColumn("infant", F.col("age") == 0)
+    assert rows(out) == [(None, None), (0, True)]
+
+
+def test_h13_pivot_drops_null_level(spark):
+    from casetally.operators import reshape as RS
+    df = spark.createDataFrame([("S", "A", 1.0), ("S", None, 2.0)], "st string, g string, v double")
+    wide = RS.pivot_wide(df, ["st"], "g", "v", ["A"], prefix="pct_")
+    assert wide.columns == ["st", "pct_A"] and rows(wide) == [("S", 1.0)]
+
+
+def test_h15_type_flags_overlap(spark):
+    from casetally.operators import aggregate as AG
+    df = spark.createDataFrame([(1, 2, None, None), (4, 1, None, None)], "a int, b int, c int, d int")
+    slots = ["a", "b", "c", "d"]
+    flags = df.select(R.any_equals(slots, 1).alias("phy"), R.any_in(slots, [2, 3]).alias("neg"),
+                      R.any_equals(slots, 4).alias("sex"))
+    sums = AG.flag_sums(flags.withColumn("k", F.lit(1)), ["k"], ["phy", "neg", "sex"]).first()
+    assert sums.phy + sums.neg + sums.sex == 4 > df.count()
