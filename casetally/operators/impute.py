@@ -144,8 +144,10 @@ def _max_len(table: DataFrame, cols: Sequence[str]) -> dict[str, int]:
 
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, dict]:
     """Join the materialised small table; also return the longest array per column."""
-    small, _ = checked_broadcast(table, max_rows)
-    lengths = _max_len(small, [c for c in small.columns if c.endswith("_thr")])
+    thr_cols = [c for c in table.columns if c.endswith("_thr")]
+    stats = {c: F.coalesce(F.max(F.size(c)), F.lit(0)) for c in thr_cols}
+    small, _ = checked_broadcast(table, max_rows, stats)
+    lengths = {c: int(stats[c]) for c in thr_cols}
     if not keys:  # whole-table distribution only: one row, constant key
         return (df.withColumn("__all", F.lit(0))
                   .join(small.withColumn("__all", F.lit(0)), "__all", "left").drop("__all")), lengths

@@ -34,10 +34,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, int]:
-    """Materialise ``df``; broadcast hint only if it has at most ``max_rows`` rows."""
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      stats: dict | None = None) -> tuple[DataFrame, int]:
+    """Materialise ``df``; broadcast hint only if it has at most ``max_rows`` rows.
+
+    ``stats`` (name -> aggregate Column) are computed in the same pass as the
+    row count; their values are written into the dict in place.
+    """
     saved = materialize(df)
-    n = saved.count()
+    extra = dict(stats or {})
+    row = saved.agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(k) for k, c in extra.items()]).first()
+    n = int(row["__rows"])
+    if stats is not None:
+        for k in extra:
+            stats[k] = row[k]
     return (F.broadcast(saved) if n <= max_rows else saved), n
 
 
