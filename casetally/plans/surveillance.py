@@ -153,6 +153,35 @@ def type_rates(cases: DataFrame, pop: DataFrame, imp: Imputation, roles: Roles =
     pop_y = pop.groupBy(r.year).agg(F.sum("pop").cast("bigint").alias("pop"))
     out = J.natural_left_join(pooled, pop_y, keys=[r.year], null_safe=True)
     out = RT.add_rates(out, {"rate_mean": "n_mean", "rate_min": "n_min", "rate_max": "n_max"})
+    return _label_types(out, r)
+
+
+def group_rates_from_long(latest: DataFrame, pop: DataFrame, m: int, roles: Roles = Roles()) -> DataFrame:
+    """Figure-2 shape from already deduplicated long records (one row per
+    kept record and imputation)."""
+    r = roles
+    keys = [r.year, r.group, r.source]
+    counts = AG.group_count(latest, keys + [r.imp])
+    pooled = PL.pool_counts(counts, keys, m, imp_col=r.imp, names=("n_bar", "n_min", "n_max"))
+    pop_g = pop.groupBy(r.year, r.group).agg(F.sum("pop").cast("bigint").alias("pop"))
+    out = J.natural_left_join(pooled, pop_g, keys=[r.year, r.group], null_safe=True)
+    return RT.add_rates(out, {"rate_max": "n_max", "rate_min": "n_min", "rate_bar": "n_bar"})
+
+
+def type_rates_from_long(latest: DataFrame, pop: DataFrame, m: int, roles: Roles = Roles()) -> DataFrame:
+    """Figure-1 shape from already deduplicated long records."""
+    r = roles
+    keys = [r.year, r.source]
+    sums = AG.flag_sums(latest.withColumns(_type_flags(r.slots)), keys + [r.imp], TYPE_FLAGS)
+    long = RS.unpivot_long(sums, keys + [r.imp], TYPE_FLAGS, "type", "n")
+    pooled = PL.pool_counts(long, keys + ["type"], m, imp_col=r.imp, names=("n_mean", "n_min", "n_max"))
+    pop_y = pop.groupBy(r.year).agg(F.sum("pop").cast("bigint").alias("pop"))
+    out = J.natural_left_join(pooled, pop_y, keys=[r.year], null_safe=True)
+    out = RT.add_rates(out, {"rate_mean": "n_mean", "rate_min": "n_min", "rate_max": "n_max"})
+    return _label_types(out, r)
+
+
+def _label_types(out: DataFrame, r: Roles) -> DataFrame:
     src = F.col(r.source)
     out = out.withColumn(r.source, R.ladder([(src == True, SOURCE_LABELS[True]),  # noqa: E712
                                              (src == False, SOURCE_LABELS[False])]))  # noqa: E712
