@@ -28,8 +28,10 @@ def _desc(c: Column, dtype: T.DataType) -> Column | None:
     """A key that sorts ascending in the descending order of ``c`` (or None)."""
     if isinstance(dtype, T.DateType):
         return -F.unix_date(c)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(dtype, T.TimestampType):
+        return -F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):  # wall-clock time: no zone conversion
+        return -F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), c)
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                           T.DecimalType)):
         return -c
