@@ -101,7 +101,6 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
         pdf = pdf.sort_values(["__need", *keys, target], kind="mergesort", na_position="first")
         train = pdf[pdf["__need"] == 0]
         need = pdf[pdf["__need"] == 1].drop_duplicates(subset=keys)
-        out_rows = []
         if need.empty or train.empty:
             return pd.DataFrame(columns=[imp_col, *keys, "__hi", "__v", "__tot"])
         both = pd.concat([train, need], ignore_index=True)
@@ -119,13 +118,14 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
                 prob = _predict_multinomial(xn, beta)
             cum = np.floor(np.cumsum(prob, axis=1) * SCALE).astype(np.int64)
             cum[:, -1] = SCALE
-            for r in range(len(need)):
-                key = [need.iloc[r][p] for p in keys]
-                last = -1
-                for j, c in enumerate(classes):
-                    if cum[r, j] > last:  # skip zero-width classes
-                        out_rows.append([imp, *key, int(cum[r, j]), c, SCALE])
-                        last = cum[r, j]
+            prev = np.concatenate([np.full((len(need), 1), -1, dtype=np.int64), cum[:, :-1]], axis=1)
+            ri, ci = np.nonzero(cum > prev)  # skip zero-width classes
+            out = need[keys].iloc[ri].reset_index(drop=True)
+            out.insert(0, imp_col, imp)
+            out["__hi"] = cum[ri, ci]
+            out["__v"] = pd.Series(np.array(classes, dtype=object)[ci])
+            out["__tot"] = SCALE
+            return out[[imp_col, *keys, "__hi", "__v", "__tot"]]
         else:  # pmm
             yv = train[target].to_numpy(dtype=float)
             sw = np.sqrt(w)
@@ -139,20 +139,30 @@ def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str
             sigma = np.sqrt(float(resid @ resid) / rng.chisquare(n_eff))
             beta_star = beta + sigma * np.linalg.cholesky(inv + 1e-12 * np.eye(p)) @ rng.standard_normal(p)
             yh_obs, yh_mis = xt @ beta, xn @ beta_star
+            # donor groups sorted by (prediction, value); the k nearest donors of a
+            # recipient lie within k groups on each side of its sorted position
             order = np.lexsort((yv, yh_obs))
-            for r in range(len(need)):
-                dist = np.abs(yh_obs[order] - yh_mis[r])
-                o2 = np.lexsort((yv[order], yh_obs[order], dist))
-                key = [need.iloc[r][p] for p in keys]
-                pool, taken = [], 0
-                for g in order[o2]:
-                    take = int(min(w[g], donors - taken))
-                    if take <= 0:
-                        break
-                    taken += take
-                    pool.append((taken, train[target].iloc[g]))
-                out_rows.extend([imp, *key, hi, v, taken] for hi, v in pool)
-        return pd.DataFrame(out_rows, columns=[imp_col, *keys, "__hi", "__v", "__tot"])
+            ys, ws = yh_obs[order], w[order]
+            vs = train[target].to_numpy(dtype=object)[order]
+            n_t, k = len(ys), donors
+            pos = np.searchsorted(ys, yh_mis, side="left")
+            cand = pos[:, None] + np.arange(-k, k)[None, :]
+            valid = (cand >= 0) & (cand < n_t)
+            cand_c = np.clip(cand, 0, max(n_t - 1, 0))
+            dist = np.where(valid, np.abs(ys[cand_c] - yh_mis[:, None]), np.inf)
+            srt = np.argsort(dist, axis=1, kind="stable")  # ties: lower (prediction, value) first
+            cs = np.take_along_axis(cand_c, srt, axis=1)
+            wv = np.where(np.take_along_axis(valid, srt, axis=1), ws[cs], 0.0)
+            before = np.cumsum(wv, axis=1) - wv
+            take = np.clip(np.minimum(wv, k - before), 0, None).astype(np.int64)
+            hi = np.cumsum(take, axis=1)
+            ri, ji = np.nonzero(take > 0)
+            out = need[keys].iloc[ri].reset_index(drop=True)
+            out.insert(0, imp_col, imp)
+            out["__hi"] = hi[ri, ji]
+            out["__v"] = pd.Series(vs[cs[ri, ji]])
+            out["__tot"] = hi[ri, -1]
+            return out[[imp_col, *keys, "__hi", "__v", "__tot"]]
 
     return fit
 
