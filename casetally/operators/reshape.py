@@ -46,28 +46,32 @@ def share_of_total(df: DataFrame, by: Sequence[str], value_col: str, out_col: st
 
 
 def level_grid(df: DataFrame | None, dims: dict[str, Sequence | None],
-               max_cells: int = 50_000_000) -> DataFrame:
-    """All combinations of the levels of ``dims``.
+               max_cells: int = 50_000_000, by: Sequence[str] = ()) -> DataFrame:
+    """All combinations of the levels of ``dims`` (within each ``by`` group).
 
     A dimension given as a list uses those levels; ``None`` takes the distinct
-    values found in ``df`` (NULL included, as tidyr does). The level sets are
+    values found in ``df`` (NULL included, as tidyr does), per ``by`` group
+    when given (e.g. levels found in each yearly file). The level sets are
     collected into arrays by one small aggregate and exploded, so the grid is
-    generated in parallel and its size is checked before it is built.
+    generated in parallel; its total size is checked before it is built.
     """
+    by = list(by)
     found = [d for d, levels in dims.items() if levels is None]
-    if found:
-        if df is None:
-            raise ValueError(f"levels of {found} must come from a DataFrame")
+    if (found or by) and df is None:
+        raise ValueError("levels must come from a DataFrame")
+    if found or by:
+        grouped = df.groupBy(*by) if by else df.groupBy()
         # collect_set drops NULL; carry NULL as an explicit has-null flag.
-        row = df.agg(*[F.collect_set(d).alias(d) for d in found],
-                     *[F.max(F.col(d).isNull().cast("int")).alias(f"__null_{d}") for d in found])
-        sizes = row.select(*[(F.size(d) + F.col(f"__null_{d}")).alias(d) for d in found]).first()
-        cells = 1
-        for d in dims:
-            cells *= len(dims[d]) if dims[d] is not None else max(int(sizes[d]), 0)
+        row = grouped.agg(*[F.collect_set(d).alias(d) for d in found],
+                          *[F.max(F.col(d).isNull().cast("int")).alias(f"__null_{d}") for d in found])
+        size = F.lit(1).cast("bigint")
+        for d, levels in dims.items():
+            size = size * (F.lit(len(levels)) if levels is not None
+                           else (F.size(d) + F.col(f"__null_{d}")).cast("bigint"))
+        cells = row.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
         if cells > max_cells:
             raise ValueError(f"grid would have {cells} cells (> {max_cells})")
-        base = row.select(*[
+        base = row.select(*by, *[
             F.when(F.col(f"__null_{d}") == 1, F.concat(F.col(d), F.array(F.lit(None).cast(df.schema[d].dataType))))
              .otherwise(F.col(d)).alias(d) for d in found])
     else:
@@ -76,34 +80,32 @@ def level_grid(df: DataFrame | None, dims: dict[str, Sequence | None],
             cells *= len(dims[d])
         if cells > max_cells:
             raise ValueError(f"grid would have {cells} cells (> {max_cells})")
-        base = None
-    spark = (df.sparkSession if df is not None else None)
-    if base is None:
         from pyspark.sql import SparkSession
-        spark = spark or SparkSession.getActiveSession()
-        base = spark.range(1).select()
+        base = SparkSession.getActiveSession().range(1).select()
     grid = base
     for d, levels in dims.items():
         arr = F.col(d) if levels is None else F.array(*[F.lit(v) for v in levels])
         grid = grid.withColumn(d, F.explode(arr))
-    return grid.select(*dims.keys())
+    return grid.select(*by, *dims.keys())
 
 
 def complete_grid(counts: DataFrame, dims: dict[str, Sequence | None], fill: dict[str, object],
-                  max_cells: int = 50_000_000) -> DataFrame:
-    """``tidyr::complete(dims..., fill = list(n = 0))``.
+                  max_cells: int = 50_000_000, by: Sequence[str] = ()) -> DataFrame:
+    """``tidyr::complete(dims..., fill = list(n = 0))``, within each ``by`` group.
 
     The grid of levels is left-joined to the counts with NULL-safe keys, so an
     observed count in a NULL category survives, then the fill value is put in
-    the empty cells.
+    the empty cells. With ``by`` (e.g. the year) each group is completed over
+    the levels found in that group, as when every yearly file is completed
+    on its own.
     """
     # counts are bounded by the grid; materialise them once so discovering the
     # levels and the join below do not both recompute the upstream pipeline
     counts = materialize(counts)
-    grid = level_grid(counts, dims, max_cells)
+    grid = level_grid(counts, dims, max_cells, by=by)
     for d, levels in dims.items():
         if levels is not None:
             grid = grid.withColumn(d, F.col(d).cast(counts.schema[d].dataType))
-    out = natural_left_join(grid, counts, keys=list(dims), null_safe=True,
+    out = natural_left_join(grid, counts, keys=[*by, *dims], null_safe=True,
                             broadcast_max_bytes=None)
     return out.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in fill.items()})

@@ -154,7 +154,7 @@ def state_counts(prepared: DataFrame, shares: DataFrame, m: int = 10, seed: int
                  targets: dict | None = None) -> DataFrame:
     """Chained imputation per year with population shares as predictors, then
     completed counts of infant medical reports by (year, imp, state, group,
-    type, flag), zero-filled over the levels found."""
+    type, flag), zero-filled over the levels found in each year."""
     data = J.natural_left_join(prepared, shares, keys=["state", "year"], null_safe=False)
     share_cols = [c for c in shares.columns if c.startswith("pct_")]
     base = targets or STATE_TARGETS
@@ -166,8 +166,8 @@ def state_counts(prepared: DataFrame, shares: DataFrame, m: int = 10, seed: int
     long = chained_impute(data, specs, ["st_id"], m, seed, maxit=maxit, by=["year"])
     keep = long.filter((F.col("age") == 0) & (F.col("rptsrc") == "medical"))
     counts = AG.group_count(keep, ["year", "imp", "state", "race_ethn", "chmal1", "ipse"])
-    dims = {d: None for d in ["year", "imp", "state", "race_ethn", "chmal1", "ipse"]}
-    return RS.complete_grid(counts, dims, fill={"n": 0})
+    dims = {d: None for d in ["imp", "state", "race_ethn", "chmal1", "ipse"]}
+    return RS.complete_grid(counts, dims, fill={"n": 0}, by=["year"])
 
 
 def state_results(counts: DataFrame, pop_infant: DataFrame, m: int, year: int) -> dict[str, DataFrame]:

@@ -494,9 +494,11 @@ gated AS (SELECT c.* FROM cases c WHERE EXISTS (
   SELECT 1 FROM qual q WHERE q.state = c.state AND q.year = c.year AND q.pm <= 0.36 AND q.st >= 0.30))""",
          long_cte("gated", "glong"), """
 sc AS (SELECT year, imp, state, race_ethn, chmal1, ipse, count(*) AS n FROM glong WHERE medical GROUP BY ALL)""", """
-grid AS (SELECT * FROM (SELECT DISTINCT year FROM sc) CROSS JOIN (SELECT DISTINCT imp FROM sc)
-         CROSS JOIN (SELECT DISTINCT state FROM sc) CROSS JOIN (SELECT DISTINCT race_ethn FROM sc)
-         CROSS JOIN (SELECT DISTINCT chmal1 FROM sc) CROSS JOIN (SELECT DISTINCT ipse FROM sc))""", """
+grid AS (SELECT * FROM (SELECT DISTINCT year, imp FROM sc)
+         JOIN (SELECT DISTINCT year, state FROM sc) USING (year)
+         JOIN (SELECT DISTINCT year, race_ethn FROM sc) USING (year)
+         JOIN (SELECT DISTINCT year, chmal1 FROM sc) USING (year)
+         JOIN (SELECT DISTINCT year, ipse FROM sc) USING (year))""", """
 state_counts AS (
   SELECT g.*, coalesce(s.n, 0) AS n FROM grid g LEFT JOIN sc s
   ON g.year IS NOT DISTINCT FROM s.year AND g.imp IS NOT DISTINCT FROM s.imp

@@ -210,7 +210,7 @@ def state_counts(cases: DataFrame, imp: Imputation, roles: Roles = Roles(),
     ``quality`` gives thresholds). Records without missing targets are counted
     once and added to every imputation; only records with a missing target are
     expanded m times. The key grid (levels found in the counts) is completed
-    with zeros, as ``tidyr::complete`` does.
+    with zeros within each year, as ``tidyr::complete`` does per yearly file.
     """
     r = roles
     if quality is not None:
@@ -233,8 +233,9 @@ def state_counts(cases: DataFrame, imp: Imputation, roles: Roles = Roles(),
                                how="full", broadcast_max_bytes=None)
     counts = both.select(*keys, r.imp, (F.coalesce(F.col("n"), F.lit(0))
                                         + F.coalesce(F.col("__d"), F.lit(0))).cast("bigint").alias("n"))
-    dims = {d: None for d in [r.year, r.imp, r.unit, r.group, r.slots[0], r.flag]}
-    return RS.complete_grid(counts, dims, fill={"n": 0})
+    # completed within each year over the levels found in that year
+    dims = {d: None for d in [r.imp, r.unit, r.group, r.slots[0], r.flag]}
+    return RS.complete_grid(counts, dims, fill={"n": 0}, by=[r.year]).select(*keys, r.imp, "n")
 
 
 def _pool_units(counts: DataFrame, pop: DataFrame, keys: Sequence[str], m: int,

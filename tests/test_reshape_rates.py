@@ -99,3 +99,11 @@ def test_golden_rate_ratio(spark):
         "year int, state string, race_ethn string, r_mn double, r_min double, r_max double")
     r = RT.rate_ratios(df, ["year", "state"], "race_ethn", "White").first()
     assert (r.d, r.d_min, r.d_max, r.grt1) == (want["d"], want["d_min"], want["d_max"], want["grt1"])
+
+
+def test_complete_grid_per_group_uses_group_levels(spark):
+    counts = spark.createDataFrame([(2018, "A", 1), (2018, "B", 2), (2019, "A", 3)], "year int, g string, n long")
+    out = RS.complete_grid(counts, {"g": None}, fill={"n": 0}, by=["year"])
+    assert rows(out) == [(2018, "A", 1), (2018, "B", 2), (2019, "A", 3)]
+    full = RS.complete_grid(counts, {"year": None, "g": None}, fill={"n": 0})
+    assert rows(full, "year", "g", "n") == [(2018, "A", 1), (2018, "B", 2), (2019, "A", 3), (2019, "B", 0)]
