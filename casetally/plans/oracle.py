@@ -332,7 +332,7 @@ FROM grid g LEFT JOIN cnt c ON g.state IS NOT DISTINCT FROM c.state AND g.race_e
 
 SQL["rank_order"] = with_(*TOTALS, """
 t AS (SELECT * FROM with_totals WHERE year = 2000)""", """
-ord AS (SELECT state, row_number() OVER (ORDER BY r_mn ASC NULLS LAST, state ASC NULLS LAST) AS ord
+ord AS (SELECT state, CAST(row_number() OVER (ORDER BY r_mn ASC NULLS LAST, state ASC NULLS LAST) AS INTEGER) AS ord
         FROM t WHERE race_ethn = 'Total')""") + """
 SELECT t.state, t.race_ethn, t.r_mn, o.ord FROM t JOIN ord o ON t.state = o.state"""
 
@@ -542,7 +542,7 @@ SELECT year, state, ipse, race_ethn, round(n_mn, 6) AS n_mn, n_min, n_max, pop,
 
 UNIT_RATES = (*STATE, pool_units_sql("WHERE ipse AND year = 2000", "race_ethn, year, state"),
               totals_sql("year, state", "units"), """
-ord AS (SELECT state, row_number() OVER (ORDER BY round(r_mn, 9) ASC NULLS LAST, state ASC NULLS LAST) AS state_ord
+ord AS (SELECT state, CAST(row_number() OVER (ORDER BY round(r_mn, 9) ASC NULLS LAST, state ASC NULLS LAST) AS INTEGER) AS state_ord
         FROM tot WHERE race_ethn = 'Total')""", """
 unit_rates AS (
   SELECT t.*, o.state_ord,
@@ -562,7 +562,7 @@ dsp AS (
          {ratio('t.r_min', 'r.wht_max')} AS d_min, {ratio('t.r_max', 'r.wht_min')} AS d_max
   FROM tot t LEFT JOIN ref r ON t.year = r.year AND t.state = r.state
   WHERE t.race_ethn NOT IN ('BUILDING', 'Total') AND t.race_ethn IS NOT NULL)""", """
-dord AS (SELECT state, row_number() OVER (ORDER BY d ASC NULLS LAST, state ASC NULLS LAST) AS state_ord
+dord AS (SELECT state, CAST(row_number() OVER (ORDER BY d ASC NULLS LAST, state ASC NULLS LAST) AS INTEGER) AS state_ord
          FROM dsp WHERE race_ethn = 'AUTOMOBILE')""") + """
 SELECT d.*, CASE WHEN d.d_min > 1 THEN 'Greater than reference rate'
                  WHEN NOT (d.d_min > 1) THEN 'Less than or equal to reference rate' END AS grt1,
