@@ -215,13 +215,16 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
             keys = keys_of[t]
             cat = {p: _is_categorical(schema[p]) for p in preds}
             tr_full = with_imputations(fixed[t], m, imp_col)
-            tr_part = (cur.filter(~F.col(f"__m_{t}")).groupBy(imp_col, *keys, t)
-                          .agg(F.count(F.lit(1)).alias("__n")))
+            # one pass over the expanded rows gives both the training patterns
+            # (target observed) and the patterns to predict (target missing)
+            seen = (cur.groupBy(imp_col, *keys, t, f"__m_{t}").agg(F.count(F.lit(1)).alias("__n"))
+                       .withColumn("__need", F.col(f"__m_{t}").cast("int")).drop(f"__m_{t}"))
+            tr_part = seen.filter(F.col("__need") == 0).drop("__need")
             train = (tr_full.unionByName(tr_part).groupBy(imp_col, *keys, t)
                             .agg(F.sum("__n").cast("bigint").alias("__n")).withColumn("__need", F.lit(0)))
-            need = (cur.filter(F.col(f"__m_{t}")).select(imp_col, *keys).distinct()
-                       .withColumn(t, F.lit(None).cast(schema[t])).withColumn("__n", F.lit(0).cast("bigint"))
-                       .withColumn("__need", F.lit(1)))
+            need = (seen.filter(F.col("__need") == 1).select(imp_col, *keys).distinct()
+                        .withColumn(t, F.lit(None).cast(schema[t])).withColumn("__n", F.lit(0).cast("bigint"))
+                        .withColumn("__need", F.lit(1)))
             patterns = train.unionByName(need)
             out_schema = T.StructType([T.StructField(imp_col, T.IntegerType())]
                                       + [T.StructField(p, schema[p]) for p in keys]

@@ -58,18 +58,32 @@ def _max_partition_bytes(spark) -> int:
         return 128 * 1024 * 1024
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Total size of the relations a plan reads (file sizes for file scans).
+
+    Unlike the estimate of the plan's output (which multiplies the sides of
+    a join without statistics), this is the real input volume, which decides
+    how many splits the scans produce.
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001
+        return estimated_bytes(df)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over the cluster's default parallelism.
 
-    A table that Catalyst estimates below ``maxPartitionBytes x parallelism``
-    may arrive in a handful of splits (one small file is one task); before
-    expanding it m times and hashing every row, it is round-robined over all
+    A plan whose inputs total less than ``maxPartitionBytes x parallelism``
+    arrives in a handful of splits (one small file is one task); before it is
+    expanded m times and every row is hashed, it is round-robined over all
     cores. The shuffle is cheap because the input is small. Large inputs
     already have at least that many splits and are returned unchanged.
     """
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     if size is not None and size < _max_partition_bytes(spark) * par:
         return df.repartition(par)
     return df
