@@ -44,3 +44,5 @@ def test_split_pool_equals_long_pool(spark, observed, drawn, complete):
     assert got == want
     for _, mean, lo, hi in got:
         assert lo <= mean <= hi
+        if complete:  # golden invariant: the pooled mean times m is a whole count
+            assert abs(mean * m - round(mean * m)) < 1e-9
