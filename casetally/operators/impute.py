@@ -137,11 +137,6 @@ def with_draw(df: DataFrame, out: str, thr: str, tot: str, u: Column, max_len: i
     return df.withColumn(out, F.when(arr.isNotNull(), F.element_at(arr, p + 1)["v"]))
 
 
-def _max_len(table: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    row = table.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
-
-
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, dict]:
     """Join the materialised small table; also return the longest array per column."""
     thr_cols = [c for c in table.columns if c.endswith("_thr")]

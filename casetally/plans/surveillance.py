@@ -256,8 +256,8 @@ def state_panel(counts: DataFrame, pop: DataFrame, m: int, roles: Roles = Roles(
         counts = counts.filter(R.not_in_keep_null(r.unit, list(exclude)))
     units = _pool_units(counts, pop, [r.flag, r.group, r.year, r.unit], m, r)
     panel = PN.keep_full_panel(units, r.unit, drop_units)
-    sums = ["n_mn", "n_min", "n_max", "pop"]
-    base = panel.select(r.year, r.unit, r.flag, r.group, *sums)
+    base = panel.select(r.year, r.unit, r.flag, r.group, "n_mn", "n_min", "n_max", "pop")
+    sums = AG.column_range(base, "n_mn", "pop")  # across(n_mn:pop, sum)
     total = RT.with_total_rows(base, [r.year, r.unit, r.flag], r.group, sums)
     return RT.add_rates(total, RATE_NAMES)
 
@@ -275,8 +275,8 @@ def unit_rates(counts: DataFrame, pop: DataFrame, m: int, year: int, roles: Role
         counts = counts.filter(R.not_in_keep_null(r.unit, list(exclude)))
     c = counts.filter((F.col(r.flag) == True) & (F.col(r.year) == year))  # noqa: E712
     units = _pool_units(c, pop, [r.group, r.year, r.unit], m, r)
-    sums = ["n_mn", "n_min", "n_max", "pop"]
-    base = units.select(r.year, r.unit, r.group, *sums)
+    base = units.select(r.year, r.unit, r.group, "n_mn", "n_min", "n_max", "pop")
+    sums = AG.column_range(base, "n_mn", "pop")  # across(n_mn:pop, sum)
     total = RT.add_rates(RT.with_total_rows(base, [r.year, r.unit], r.group, sums), RATE_NAMES)
     # rounded so that float noise in summed Total means cannot flip the order
     order = PN.level_order(total, r.unit, [F.round("r_mn", 9)], ord_col="state_ord",
