@@ -79,11 +79,24 @@ def spread_small(df: DataFrame) -> DataFrame:
     arrives in a handful of splits (one small file is one task); before it is
     expanded m times and every row is hashed, it is round-robined over all
     cores. The shuffle is cheap because the input is small. Large inputs
-    already have at least that many splits and are returned unchanged.
+    already have at least that many splits, and data coming out of a shuffle
+    is already spread; both are returned unchanged.
     """
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
+    if _after_shuffle(df):
+        return df  # already spread over the shuffle partitions
     size = input_bytes(df)
     if size is not None and size < _max_partition_bytes(spark) * par:
         return df.repartition(par)
     return df
+
+
+def _after_shuffle(df: DataFrame) -> bool:
+    """Does the plan already pass through a (non single-partition) shuffle?"""
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001
+        return False
+    return any(k in plan for k in ("Exchange hashpartitioning", "Exchange rangepartitioning",
+                                   "Exchange RoundRobinPartitioning"))
