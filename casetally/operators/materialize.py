@@ -29,11 +29,28 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint). Eager.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/casetally-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _app_folder(spark) -> str:
+    """All tables materialised by one application live under one folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/casetally-{spark.sparkContext.applicationId}"
+
+
+def release_materialized(spark) -> bool:
+    """Delete the tables this application materialised (call when the job is done).
+
+    Uses the Hadoop FileSystem API, so it works on any cluster file system.
+    DataFrames built on those tables must not be used afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path) and fs.delete(path, True))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
                       stats: dict | None = None) -> tuple[DataFrame, int]:
     """Materialise ``df``; broadcast hint only if it has at most ``max_rows`` rows.

@@ -75,3 +75,14 @@ def test_uniqueness(spark):
     with pytest.raises(AssertionError):
         D.assert_unique(df, ["k"])
     D.assert_unique(df.distinct(), ["k"])
+
+
+def test_materialize_and_release(spark):
+    from casetally.operators import materialize as MZ
+    df = spark.range(10).withColumnRenamed("id", "k")
+    saved = MZ.materialize(df)
+    assert saved.count() == 10
+    small, n = MZ.checked_broadcast(df, max_rows=5)
+    assert n == 10 and "broadcast" not in small._jdf.queryExecution().analyzed().toString().lower()
+    assert MZ.release_materialized(spark)
+    assert not MZ.release_materialized(spark)
