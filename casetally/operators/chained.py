@@ -179,7 +179,7 @@ def methods_from_schema(df: DataFrame, targets: Sequence[str]) -> dict[str, str]
 
 def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[str], m: int, seed: int,
                    maxit: int = 5, imp_col: str = IMP, donors: int = 5, by: Sequence[str] = (),
-                   max_patterns: int = DEFAULT_MAX_PATTERNS) -> DataFrame:
+                   max_patterns: int = DEFAULT_MAX_PATTERNS, split: bool = False):
     """Completed long data (every record once per imputation).
 
     ``targets`` maps each target to ``{"method": "logreg"|"polyreg"|"pmm",
@@ -190,6 +190,11 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
     columns (e.g. the year) split the data into independent imputation
     runs: every model is fitted per (imputation, by) group. Targets without
     missing values are left as they are.
+
+    With ``split=True`` the result is ``(observed, completed)``: the records
+    without any missing target once (the same in every imputation), and the
+    completed long rows of the other records, so callers can avoid
+    replicating the observed majority m times.
     """
     defaults = methods_from_schema(df, list(targets))
     targets = {t: {"method": defaults[t], **spec} for t, spec in targets.items()}
@@ -245,5 +250,7 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
             cur = joined.withColumn(t, F.when(F.col(f"__m_{t}") & drawn.isNotNull(), drawn)
                                     .otherwise(F.col(t))).drop("__thr", "__ptot")
         cur = spread_small(materialize(cur))
-    done = cur.drop(*[f"__m_{t}" for t in names])
-    return with_imputations(full, m, imp_col).unionByName(done.select(*df.columns, imp_col))
+    done = cur.drop(*[f"__m_{t}" for t in names]).select(*df.columns, imp_col)
+    if split:
+        return full, done
+    return with_imputations(full, m, imp_col).unionByName(done)

@@ -23,6 +23,7 @@ from casetally.operators import joins as J
 from casetally.operators import quality as Q
 from casetally.operators import reshape as RS
 from casetally.operators.chained import chained_impute
+from casetally.operators.impute import with_imputations
 from casetally.plans import surveillance as SV
 from casetally.sources import readers as SRC
 from casetally.sources import schemas as SC
@@ -209,11 +210,20 @@ def national_results(prepared: DataFrame, shares: DataFrame, pop_infant: DataFra
     specs = {t: {"predictors": [p for p in predictors if p != t], "cells": [["staterr"]], **spec}
              for t, spec in base.items()}
     data = data.withColumn("st_id", R.paste_key("staterr", "chid"))
-    long = chained_impute(data, specs, list(row_key), m, seed, maxit=maxit, by=["year"])
-    long = long.withColumn("medical", R.equals_flag("rptsrc", 2))
+    observed, completed = chained_impute(data, specs, list(row_key), m, seed, maxit=maxit, by=["year"],
+                                         split=True)
     roles = SV.Roles(row_key="chid", person="st_id", unit="staterr", date="rptdt")
-    infants = long.filter(F.col("age") == 0)
-    latest = D.keep_latest(infants, ["imp", "year", "st_id"], ["rptdt"], ["chid"])
-    groups = SV.group_rates_from_long(latest, pop_infant, m, roles)
-    types = SV.type_rates_from_long(latest, pop_infant, m, roles)
+    # persons with no imputed record are the same in every imputation: deduplicate
+    # them once; only the others are expanded and deduplicated per imputation
+    unstable = completed.select("year", "st_id").distinct()
+    stable_rows = observed.join(unstable, ["year", "st_id"], "left_anti")
+    expanded_rows = with_imputations(observed.join(unstable, ["year", "st_id"], "left_semi"), m) \
+        .unionByName(completed)
+    medical = {"medical": R.equals_flag("rptsrc", 2)}
+    stable = D.keep_latest(stable_rows.filter(F.col("age") == 0).withColumns(medical),
+                           ["year", "st_id"], ["rptdt"], ["chid"])
+    expanded = D.keep_latest(expanded_rows.filter(F.col("age") == 0).withColumns(medical),
+                             ["imp", "year", "st_id"], ["rptdt"], ["chid"])
+    groups = SV.group_rates_split(stable, expanded, pop_infant, m, roles)
+    types = SV.type_rates_split(stable, expanded, pop_infant, m, roles)
     return {"group_rates": groups, "type_rates": types}

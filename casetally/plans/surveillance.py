@@ -120,12 +120,19 @@ def latest_report_split(cases: DataFrame, imp: Imputation, roles: Roles,
 def group_rates(cases: DataFrame, pop: DataFrame, imp: Imputation, roles: Roles = Roles(),
                 where: Column | None = None, min_year: int | None = None) -> DataFrame:
     """Pooled counts and rates per 1,000 by (year, group, source) (figure 2 shape)."""
+    stable, expanded = latest_report_split(cases, imp, roles, where)
+    return group_rates_split(stable, expanded, pop, imp.m, roles, min_year)
+
+
+def group_rates_split(stable: DataFrame, expanded: DataFrame, pop: DataFrame, m: int,
+                      roles: Roles = Roles(), min_year: int | None = None) -> DataFrame:
+    """Figure-2 tail: kept records shared by all imputations (``stable``) plus
+    kept records per imputation (``expanded``) -> pooled counts -> rates."""
     r = roles
-    stable, expanded = latest_report_split(cases, imp, r, where)
     keys = [r.year, r.group, r.source]
     s_counts = AG.group_count(stable, keys)
     e_counts = AG.group_count(expanded, keys + [r.imp])
-    pooled = PL.pool_split(s_counts, e_counts, keys, imp.m, imp_col=r.imp,
+    pooled = PL.pool_split(s_counts, e_counts, keys, m, imp_col=r.imp,
                            names=("n_bar", "n_min", "n_max"))
     if min_year is not None:
         pooled = pooled.filter(F.col(r.year) > min_year)
@@ -140,15 +147,21 @@ def type_rates(cases: DataFrame, pop: DataFrame, imp: Imputation, roles: Roles =
 
     Type flags are non-exclusive, so type counts do not add up to records.
     """
+    stable, expanded = latest_report_split(cases, imp, roles, where)
+    return type_rates_split(stable, expanded, pop, imp.m, roles)
+
+
+def type_rates_split(stable: DataFrame, expanded: DataFrame, pop: DataFrame, m: int,
+                     roles: Roles = Roles()) -> DataFrame:
+    """Figure-1 tail on the stable/expanded split of kept records."""
     r = roles
-    stable, expanded = latest_report_split(cases, imp, r, where)
-    flags = {k: e for k, e in _type_flags(r.slots).items()}
+    flags = _type_flags(r.slots)
     keys = [r.year, r.source]
     s_sums = AG.flag_sums(stable.withColumns(flags), keys, TYPE_FLAGS)
     e_sums = AG.flag_sums(expanded.withColumns(flags), keys + [r.imp], TYPE_FLAGS)
     s_long = RS.unpivot_long(s_sums, keys, TYPE_FLAGS, "type", "n")
     e_long = RS.unpivot_long(e_sums, keys + [r.imp], TYPE_FLAGS, "type", "n")
-    pooled = PL.pool_split(s_long, e_long, keys + ["type"], imp.m, imp_col=r.imp,
+    pooled = PL.pool_split(s_long, e_long, keys + ["type"], m, imp_col=r.imp,
                            names=("n_mean", "n_min", "n_max"))
     pop_y = pop.groupBy(r.year).agg(F.sum("pop").cast("bigint").alias("pop"))
     out = J.natural_left_join(pooled, pop_y, keys=[r.year], null_safe=True)

@@ -10,6 +10,8 @@ from collections import defaultdict
 import pandas as pd
 import pytest
 
+from conftest import rows
+
 from casetally.plans import casefiles as CF
 
 COLS = ["staterr", "chid", "subyr", "rptdt", "rptfips", "rptsrc", "chage", "chracbl", "chracai", "chracas",
@@ -141,3 +143,43 @@ def test_national_path_matches_brute_force(spark, files):
     types = res["type_rates"].toPandas()
     assert set(types["type"]) == {"Neglect", "Physical abuse", "Sexual abuse", "Other"}
     assert (types["n_min"] <= types["n_mean"]).all() and (types["n_mean"] <= types["n_max"]).all()
+
+
+def test_national_split_equals_long_form_with_missing_values(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from casetally.operators import dedup as D
+    from casetally.operators.chained import chained_impute
+    from casetally.plans import surveillance as SV
+
+    recs = _rows()
+    for i, r in enumerate(recs):
+        if i % 6 == 0:
+            r["chage"] = 99  # age missing
+        if i % 9 == 0:
+            for c in ("chracbl", "chracai", "chracas", "chracnh", "chracwh", "cethn"):
+                r[c] = 0  # race missing
+    body = ["\t".join(COLS)] + ["\t".join(str(r[c]) for c in COLS) for r in recs if r["subyr"] == 2019]
+    (tmp_path / "CF2019v1.tab").write_text("\n".join(body) + "\n")
+    lines, _ = _pop_lines()
+    (tmp_path / "pop.txt").write_text("\n".join(lines) + "\n")
+    cases = CF.read_child_files(spark, str(tmp_path / "CF*.tab"), CF.NATIONAL_COLUMNS)
+    pop = CF.read_population(spark, str(tmp_path / "pop.txt"))
+    prepared = CF.prepare_national_cases(cases)
+    shares, infants = CF.population_shares(pop), CF.infant_population(pop)
+    res = CF.national_results(prepared, shares, infants, m=3, seed=2, maxit=1)
+
+    # the same imputations, expanded in full, deduplicated per imputation
+    sh = shares.withColumnRenamed("state", "staterr")
+    data = prepared.join(sh, ["staterr", "year"], "left").withColumn("st_id", F.concat("staterr", "chid"))
+    share_cols = [c for c in shares.columns if c.startswith("pct_")]
+    preds = ["rptsrc", "chprior", "age", "race_ethn", *share_cols]
+    specs = {t: {"predictors": [p for p in preds if p != t], "cells": [["staterr"]], **spec}
+             for t, spec in CF.NATIONAL_TARGETS.items()}
+    long = chained_impute(data, specs, ["st_id", "rptdt", "rptsrc"], 3, 2, maxit=1, by=["year"])
+    long = long.withColumn("medical", F.col("rptsrc") == 2)
+    latest = D.keep_latest(long.filter(F.col("age") == 0), ["imp", "year", "st_id"], ["rptdt"], ["chid"])
+    roles = SV.Roles(row_key="chid", person="st_id", unit="staterr", date="rptdt")
+    want = SV.group_rates_from_long(latest, infants, 3, roles)
+    assert rows(res["group_rates"]) == rows(want)
+    assert long.filter(F.col("age").isNull() | F.col("race_ethn").isNull()).count() == 0
