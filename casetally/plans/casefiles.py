@@ -164,9 +164,11 @@ def state_counts(prepared: DataFrame, shares: DataFrame, m: int = 10, seed: int
     for t, spec in base.items():
         preds = [c for c in ["state", *names, *share_cols] if c != t]
         specs[t] = {"predictors": preds, "cells": [["state"]], **spec}
-    long = chained_impute(data, specs, ["st_id"], m, seed, maxit=maxit, by=["year"])
-    keep = long.filter((F.col("age") == 0) & (F.col("rptsrc") == "medical"))
-    counts = AG.group_count(keep, ["year", "imp", "state", "race_ethn", "chmal1", "ipse"])
+    observed, completed = chained_impute(data, specs, ["st_id"], m, seed, maxit=maxit, by=["year"], split=True)
+    keep = (F.col("age") == 0) & (F.col("rptsrc") == "medical")
+    keys = ["year", "state", "race_ethn", "chmal1", "ipse"]
+    # records without imputed values are counted once, not m times
+    counts = SV.counts_from_split(observed.filter(keep), completed.filter(keep), keys, m)
     dims = {d: None for d in ["imp", "state", "race_ethn", "chmal1", "ipse"]}
     return RS.complete_grid(counts, dims, fill={"n": 0}, by=["year"])
 

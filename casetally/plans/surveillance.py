@@ -234,23 +234,33 @@ def state_counts(cases: DataFrame, imp: Imputation, roles: Roles = Roles(),
     observed = cases.filter(~miss)
     if where is not None:
         observed = observed.filter(where)
-    obs_counts = AG.group_count(observed, keys)
     long_m = IM.hotdeck_complete(cases.filter(miss), imp.targets, [r.row_key], imp.m, imp.seed,
                                  imp_col=r.imp, donors=cases)
     if where is not None:
         long_m = long_m.filter(where)
-    drawn_counts = AG.group_count(long_m, keys + [r.imp], name="__d")
-    # per imputation: observed part (same in all) + drawn part; bounded by the grid
-    obs_per_imp = IM.with_imputations(obs_counts, imp.m, r.imp)
-    both = J.natural_left_join(obs_per_imp, drawn_counts, keys=keys + [r.imp], null_safe=True,
-                               how="full", broadcast_max_bytes=None)
-    counts = both.select(*keys, r.imp, (F.coalesce(F.col("n"), F.lit(0))
-                                        + F.coalesce(F.col("__d"), F.lit(0))).cast("bigint").alias("n"))
+    counts = counts_from_split(observed, long_m, keys, imp.m, r.imp)
     # completed within each year over the levels found in that year
     dims = {d: None for d in [r.imp, r.unit, r.group, r.slots[0], r.flag]}
     return RS.complete_grid(counts, dims, fill={"n": 0}, by=[r.year]).select(*keys, r.imp, "n")
 
 
+def counts_from_split(observed: DataFrame, completed: DataFrame, keys: Sequence[str], m: int,
+                      imp_col: str = "imp") -> DataFrame:
+    """Record counts per (keys, imputation) from records without imputed values
+    (counted once, added to every imputation) and completed long records.
+
+    The observed counts are replicated over imputations only after
+    aggregation, so the replication is bounded by the key grid.
+    """
+    obs_counts = AG.group_count(observed, keys)
+    drawn_counts = AG.group_count(completed, list(keys) + [imp_col], name="__d")
+    obs_per_imp = IM.with_imputations(obs_counts, m, imp_col)
+    both = J.natural_left_join(obs_per_imp, drawn_counts, keys=list(keys) + [imp_col], null_safe=True,
+                               how="full", broadcast_max_bytes=None)
+    return both.select(*keys, imp_col, (F.coalesce(F.col("n"), F.lit(0))
+                                        + F.coalesce(F.col("__d"), F.lit(0))).cast("bigint").alias("n"))
+
+
 def _pool_units(counts: DataFrame, pop: DataFrame, keys: Sequence[str], m: int,
                 roles: Roles) -> DataFrame:
     r = roles
