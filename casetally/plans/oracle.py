@@ -283,7 +283,7 @@ GROUP BY l.unit, l.year"""
 TOTALS = (CASES, POP, POOLED_UNITS, WITH_TOTALS)
 
 SQL["total_rows"] = with_(*TOTALS) + """
-SELECT year, state, race_ethn, round(n_mn, 6) AS n_mn, n_min, n_max, pop, r_mn, r_min, r_max
+SELECT year, state, race_ethn, round(n_mn, 6) AS n_mn, n_min, n_max, pop, round(r_mn, 6) AS r_mn, r_min, r_max
 FROM with_totals"""
 
 SQL["ratio_of_sums"] = with_(*TOTALS) + f"""
@@ -332,9 +332,9 @@ FROM grid g LEFT JOIN cnt c ON g.state IS NOT DISTINCT FROM c.state AND g.race_e
 
 SQL["rank_order"] = with_(*TOTALS, """
 t AS (SELECT * FROM with_totals WHERE year = 2000)""", """
-ord AS (SELECT state, CAST(row_number() OVER (ORDER BY r_mn ASC NULLS LAST, state ASC NULLS LAST) AS INTEGER) AS ord
+ord AS (SELECT state, CAST(row_number() OVER (ORDER BY round(r_mn, 9) ASC NULLS LAST, state ASC NULLS LAST) AS INTEGER) AS ord
         FROM t WHERE race_ethn = 'Total')""") + """
-SELECT t.state, t.race_ethn, t.r_mn, o.ord FROM t JOIN ord o ON t.state = o.state"""
+SELECT t.state, t.race_ethn, round(t.r_mn, 6) AS r_mn, o.ord FROM t JOIN ord o ON t.state = o.state"""
 
 SQL["ordered_levels"] = with_(*TOTALS) + """
 SELECT state, race_ethn,

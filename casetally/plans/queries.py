@@ -307,7 +307,8 @@ def _with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_totals(spark, sf_dir).withColumn("n_mn", F.round("n_mn", 6))
+    # Total rows sum floating means: rounded so summation order cannot show
+    return _with_totals(spark, sf_dir).withColumns({"n_mn": F.round("n_mn", 6), "r_mn": F.round("r_mn", 6)})
 
 
 @query
@@ -362,8 +363,8 @@ def complete_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _with_totals(spark, sf_dir).filter(F.col("year") == 2000)
-    order = PN.level_order(t, "state", ["r_mn"], where=F.col("race_ethn") == "Total")
-    return t.join(order, "state").select("state", "race_ethn", "r_mn", "ord")
+    order = PN.level_order(t, "state", [F.round("r_mn", 9)], where=F.col("race_ethn") == "Total")
+    return t.join(order, "state").select("state", "race_ethn", F.round("r_mn", 6).alias("r_mn"), "ord")
 
 
 @query
