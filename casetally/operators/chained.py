@@ -240,9 +240,7 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
             pools = fitted.groupBy(imp_col, *keys).agg(
                 F.sort_array(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__v").alias("v")))).alias("__thr"),
                 F.max("__tot").alias("__ptot"))
-            pools_b, n_pools = checked_broadcast(pools, max_patterns)
-            if n_pools > max_patterns:
-                raise ValueError(f"{n_pools} covariate patterns to predict for {t} exceed {max_patterns}")
+            pools_b, _ = checked_broadcast(pools, max_patterns)  # shuffle join above the bound
             joined = natural_left_join(cur, pools_b, keys=[imp_col, *keys], null_safe=True,
                                        broadcast_max_bytes=None)
             u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(t), F.lit(it))

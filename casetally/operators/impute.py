@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from casetally.functions.draws import U32, uniform_u32
 from casetally.operators.joins import natural_left_join
-from casetally.operators.materialize import DEFAULT_MAX_ROWS, checked_broadcast, spread_small
+from casetally.operators.materialize import DEFAULT_MAX_ROWS, checked_broadcast, materialize, spread_small
 
 IMP = "imp"
 
@@ -284,6 +284,31 @@ def _linear_expr(design: list[tuple[str, Column]], beta) -> Column:
     return expr
 
 
+def _donor_ordinals(u: DataFrame, small: bool) -> DataFrame:
+    """``__ord`` = number of donor groups at or before each row in
+    (value, donors first, donor value) order.
+
+    Small tables: one window over the whole (bounded) table. Large tables:
+    range-partitioned once and materialised (so every use sees the same
+    partitions), running counts within partitions, plus per-partition
+    offsets from a table with one row per partition. Exact either way.
+    """
+    order = [F.col("__x"), F.col("__isd").desc(), F.col("__v")]
+    if small:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return u.withColumn("__ord", F.sum("__isd").over(w))
+    parts = u.sparkSession.sparkContext.defaultParallelism * 4
+    ranged = materialize(u.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                          .withColumn("__pid", F.spark_partition_id()))
+    local = ranged.withColumn("__local", F.sum("__isd").over(
+        Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    per = ranged.groupBy("__pid").agg(F.sum("__isd").alias("__cnt"))
+    offsets = per.withColumn("__off", F.coalesce(F.sum("__cnt").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
+                 .withColumn("__ord", F.col("__off") + F.col("__local")).drop("__pid", "__off", "__local"))
+
+
 def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
               row_key: Sequence[str], m: int, seed: int, donors: int = 5, imp_col: str = IMP,
               draw_round: int = 0, max_groups: int = DEFAULT_MAX_ROWS) -> DataFrame:
@@ -295,8 +320,9 @@ def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: S
     ``donors`` nearest donors by predicted value, found through donor ordinals
     (a recipient at position g only needs groups g-donors+1 .. g+donors, so
     no all-pairs comparison), and one donor is drawn with the keyed hash.
-    Donor groups and distinct recipient values are bounded by the predictor
-    patterns; their number is checked against ``max_groups``.
+    Donor ordinals come from one window when the donor groups number at most
+    ``max_groups`` (then the groups are also broadcast), else from a
+    distributed range-partitioned prefix count; both are exact.
     """
     design = design_columns(df, numeric, categorical)
     beta, inv, rss, n = fit_linear(df, target, design)
@@ -305,8 +331,6 @@ def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: S
     groups = (obs.select(_linear_expr(design, beta).alias("__yh"), F.col(target).alias("__v"))
                  .groupBy("__yh", "__v").agg(F.count(F.lit(1)).alias("__c")))
     groups, n_groups = checked_broadcast(groups, max_groups)
-    if n_groups > max_groups:
-        raise ValueError(f"{n_groups} donor groups exceed {max_groups}: bin continuous predictors")
     imp_beta = {}
     for j in range(len(design)):
         e = None
@@ -323,8 +347,7 @@ def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: S
     d = groups.select(F.col("__yh").alias("__x"), "__v", "__c", F.lit(1).alias("__isd"))
     r = recips.select(F.col("__q").alias("__x"), F.lit(None).cast(d.schema["__v"].dataType).alias("__v"),
                       F.lit(0).cast("bigint").alias("__c"), F.lit(0).alias("__isd"))
-    w = Window.orderBy(F.col("__x"), F.col("__isd").desc(), F.col("__v")).rowsBetween(Window.unboundedPreceding, 0)
-    both = d.unionByName(r).withColumn("__ord", F.sum("__isd").over(w))
+    both = _donor_ordinals(d.unionByName(r), small=n_groups <= max_groups)
     dord = both.filter("__isd = 1").select("__ord", F.col("__x").alias("__yh"), "__v", "__c")
     rord = both.filter("__isd = 0").select(F.col("__x").alias("__q"), F.col("__ord").alias("__g"))
     k = donors

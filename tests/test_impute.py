@@ -145,3 +145,11 @@ def test_chained_per_year_runs_and_default_methods(spark):
     assert long.filter(F.col("g").isNull() | F.col("f").isNull()).count() == 0
     again = chained_impute(df.repartition(3), targets, ["row_key"], m=2, seed=4, maxit=2, by=["year"])
     assert rows(long) == rows(again)
+
+
+def test_pmm_distributed_ordinals_equal_window(spark):
+    df = _numeric(spark)
+    small = IM.pmm_draws(df, "y", numeric=["x"], categorical=["g"], row_key=["row_key"], m=2, seed=8)
+    large = IM.pmm_draws(df, "y", numeric=["x"], categorical=["g"], row_key=["row_key"], m=2, seed=8,
+                         max_groups=3)
+    assert rows(small) == rows(large)
