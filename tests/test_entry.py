@@ -12,3 +12,17 @@ def test_entry_and_registry(spark):
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert set(qs) - set(sqls) <= ROWS_ONLY
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from conftest import rows
+    sf = "/root/testdata/sf0.001"
+    qs = E.queries()
+    names = ["filter_mix", "dedup_latest", "group_count"]
+    base = {n: rows(qs[n](spark, sf)) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+        assert {n: rows(qs[n](spark, sf)) for n in names} == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
