@@ -100,7 +100,7 @@ def complete_grid(counts: DataFrame, dims: dict[str, Sequence | None], fill: dic
     on its own.
     """
     # counts are bounded by the grid; materialise them once so discovering the
-    # levels and the join below do not both recompute the upstream pipeline
+    # levels and the join below do not both recompute the upstream plan
     counts = materialize(counts)
     grid = level_grid(counts, dims, max_cells, by=by)
     for d, levels in dims.items():

@@ -1,6 +1,6 @@
 """Streaming: intentionally empty.
 
-The analysis this package re-expresses is a batch pipeline over yearly files.
+The analysis this package re-expresses is a batch computation over yearly files.
 It has no continuous source, watermark, window or stateful operator, so there
 is nothing to run as Structured Streaming. Yearly files are handled by the
 batch readers in ``casetally.sources`` (year from the file name, partitioned
