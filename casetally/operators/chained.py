@@ -209,12 +209,15 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
                             imp_col=imp_col, donors=df)
     cur = spread_small(materialize(init))
     schema = {f.name: f.dataType for f in df.schema.fields}
+    # targets with no missing value need no model at all (one small aggregate)
+    n_missing = part.agg(*[F.count_if(F.col(f"__m_{t}")).alias(t) for t in names]).first()
+    active = [t for t in names if n_missing[t]]
     # patterns of fully observed records never change: aggregate them once per target
-    keys_of = {t: list(dict.fromkeys([*by, *targets[t]["predictors"]])) for t in names}
+    keys_of = {t: list(dict.fromkeys([*by, *targets[t]["predictors"]])) for t in active}
     fixed = {t: materialize(full.groupBy(*keys_of[t], t).agg(F.count(F.lit(1)).alias("__n")))
-             for t in names}
-    for it in range(1, maxit + 1):
-        for t in names:
+             for t in active}
+    for it in range(1, maxit + 1 if active else 1):
+        for t in active:
             spec = targets[t]
             preds = list(spec["predictors"])
             keys = keys_of[t]
