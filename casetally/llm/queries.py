@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetally.llm import language, linededup, simhash
+from casetally.llm import decontaminate, language, linededup, mixing, simhash
 from casetally.llm.common import held_out, table
 
 
@@ -22,6 +22,64 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.leaks(docs, items, shingle=5, threshold=0.8)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id AS i, text AS t FROM documents), b AS (SELECT DISTINCT item_id AS i, text AS t FROM benchmark),
+dw AS (SELECT i, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM d),
+bw AS (SELECT i, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM b),
+bs AS (SELECT DISTINCT i, least(len(w), 5) AS size, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
+       FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bs),
+ds AS (SELECT DISTINCT i, size, array_to_string(w[p:p + size - 1], ' ') AS s
+       FROM (SELECT i, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM dw, sizes WHERE len(w) >= size)),
+n AS (SELECT i, count(*) AS n_item FROM bs GROUP BY i)
+SELECT ds.i AS doc_id, bs.i AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_shared,
+  count(*)::DOUBLE / any_value(n_item) AS containment
+FROM ds JOIN bs ON ds.s = bs.s AND ds.size = bs.size JOIN n ON n.i = bs.i
+GROUP BY ds.i, bs.i HAVING count(*)::DOUBLE / any_value(n_item) >= 0.8
+"""
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One weight for each labelled document: 2 if its quality is 1, a half if it is 0."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("q"))
+    return labels.select("label_id", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).alias("quality_weight"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    quality = quality_weights(spark, sf_dir)
+    rated = docs.join(quality, docs.doc_id == quality.label_id, "left").drop("label_id")
+    mixed = mixing.mix(rated, F.col("quality_weight"), ratio=1.5, weights=(5, 2, 1), max_epochs=2.0, seed=1)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH q AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  CASE q.q WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS quality
+  FROM documents LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+  CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, coalesce(w * max(CASE WHEN level * w <= cap THEN level END) OVER (), cap)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+k AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
+  -ln((('0x' || substr(md5('1:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / quality AS key
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN source_size > 0 AND
+  sum(size) OVER (PARTITION BY source ORDER BY key, doc_id) - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = linededup.keep_bitmaps(docs, min_docs=10, min_chars=1)
@@ -51,9 +109,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op6_mixing": op6_mixing,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op6_mixing": OP6_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
