@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetally.llm import decontaminate, language, linededup, mixing, simhash
+from casetally.llm import decontaminate, language, linededup, mixing, secretscan, simhash, sketch, urlfilter
 from casetally.llm.common import held_out, table
 
 
@@ -45,6 +45,41 @@ GROUP BY ds.i, bs.i HAVING count(*)::DOUBLE / any_value(n_item) >= 0.8
 """
 
 
+#: The contract's rules (fixed values).
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return urlfilter.filter_urls(pages, listed, default="allow").select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id,
+  translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+r (h, q, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT p.*, h || q AS rule, r.verdict FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
+FROM m GROUP BY page_id, host, path
+"""
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secretscan.scan(docs)
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secretscan.joined(base).cast("binary"), 256).alias("base_sha256"), secretscan.joined(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One weight for each labelled document: 2 if its quality is 1, a half if it is 0."""
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("q"))
@@ -110,7 +145,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_url_filter": op4_url_filter,
+    "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
@@ -118,6 +156,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op4_url_filter": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
 }
