@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetally.llm import decontaminate, language, linededup, mixing, secretscan, simhash, sketch, urlfilter
+from casetally.llm import decontaminate, language, linededup, mixing, secretscan, simhash, sketch, toxicity, urlfilter
 from casetally.llm.common import held_out, table
 
 
@@ -45,6 +45,13 @@ GROUP BY ds.i, bs.i HAVING count(*)::DOUBLE / any_value(n_item) >= 0.8
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"))
+    model = toxicity.fit(docs.filter(~out), table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 #: The contract's rules (fixed values).
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -145,6 +152,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
