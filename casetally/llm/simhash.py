@@ -153,7 +153,7 @@ def _compare(radius: int):
     def out(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
         forest = _Forest()
         kept = [x for x in found if forest.add(*x)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array([x[i] for x in kept], np.uint64).view(np.int64)) for i in (0, 1)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes, of = [], None  # the homes of the tile that goes on in the next batch
@@ -161,6 +161,7 @@ def _compare(radius: int):
             if not b.num_rows:
                 continue
             tile, guest, fp = (b.column(i).to_numpy() for i in range(3))
+            fp = fp.view(np.uint64)  # bit counts of signed integers are those of their absolute values
             on = int(np.searchsorted(tile, of, "right")) if of is not None and tile[0] == of else 0
             if on:  # rows of that tile against the homes of earlier batches
                 for block in homes:
@@ -182,24 +183,25 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                     id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, d, k, fp, component_id) for every row: the smallest id reachable over links of at most ``radius`` bits."""
+    """(doc_id, d, k, fp, root, component_id) for every row: a fingerprint that names its component, and the smallest id
+    reachable over links of at most ``radius`` bits."""
     rows = store(fingerprints(docs, shingle, id_col, text))
     nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     star = store(components(links(nodes, radius)))
     linked = star.select(F.col("node").alias("fp"), "root").unionByName(star.select(F.col("root").alias("fp"), "root").distinct())
     of = linked.join(nodes, "fp")
-    whole = of.join(of.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
-    found = store(nodes.join(whole, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
-    return rows.join(found, "fp").select("doc_id", "d", "k", "fp", "component_id")
+    whole = of.join(of.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "root", "least")
+    found = store(nodes.join(whole, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")))
+    return rows.join(found, "fp").select("doc_id", "d", "k", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that with the smallest id (null last), of equal ids that with the smallest text hash."""
-    rows = store(near_duplicates(docs, shingle, radius, id_col, text).select("d", "k", "component_id"))
-    each = rows.groupBy("component_id", "d", "k").agg(F.count("*").alias("n"))
-    best = rows.groupBy("component_id").agg(F.min(F.struct("d", "k")).alias("b"))
+    rows = store(near_duplicates(docs, shingle, radius, id_col, text).select("d", "k", "root"))
+    each = rows.groupBy("root", "d", "k").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct("d", "k")).alias("b"))
     is_best = (F.col("b.d") == F.col("d")) & (F.col("b.k") == F.col("k"))
-    judged = store(each.join(best, each.component_id.eqNullSafe(best.component_id)).select("d", "k", "n", is_best.alias("best")))
+    judged = store(each.join(best, "root").select("d", "k", "n", is_best.alias("best")))
     twice = judged.filter(F.col("best") & (F.col("n") > 1)).select(F.col("d").alias("__d"), F.col("k").alias("__k"))
     gone = judged.filter(~F.col("best") | (F.col("n") > 1)).select(F.col("d").alias("__d"), F.col("k").alias("__k"))
     d, k = row_key(F.col(id_col), F.col(text))
