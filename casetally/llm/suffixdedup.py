@@ -163,7 +163,9 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _split(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, from, to) of the runs of a sorted array."""
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    if not len(part):
+        return []
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     return list(zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
 
 
