@@ -64,11 +64,18 @@ def targets(sources: DataFrame, ratio: float, weights: tuple, max_epochs: float)
         "s", "none", "source_size", "target")
 
 
-def _measured(docs: DataFrame, id_col: str, text: str, source: str, quality: Column, seed: int) -> list[Column]:
+def _measured(docs: DataFrame, quality: DataFrame | None, id_col: str, text: str, source: str, seed: int) -> DataFrame:
+    """(id, d, k, s, none, size, key) for every row: all that the sampling needs, without the text."""
     d, k = row_key(F.col(id_col), F.col(text))
     name = F.col(source).cast("string")
-    return [d, k, F.coalesce(name, F.lit("")).alias("s"), name.isNull().alias("none"), word_count(F.col(text)).alias("size"),
-            exponential_key(F.col(id_col), quality, seed).alias("key")]
+    rows = docs.select(F.col(id_col).alias("id"), d, k, F.coalesce(name, F.lit("")).alias("s"), name.isNull().alias("none"),
+                       word_count(F.col(text)).alias("size"))
+    weight = F.lit(1.0)
+    if quality is not None:
+        rated, of = quality.columns
+        best = quality.groupBy(F.col(rated).alias("rated")).agg(F.max(F.col(of).cast("double")).alias("weight"))
+        rows, weight = rows.join(best, rows.id == best.rated, "left"), F.col("weight")
+    return rows.select("id", "d", "k", "s", "none", "size", exponential_key(F.col("id"), weight, seed).alias("key"))
 
 
 def cuts(rows: DataFrame, ratio: float, weights: tuple, max_epochs: float) -> DataFrame:
@@ -93,19 +100,29 @@ def cuts(rows: DataFrame, ratio: float, weights: tuple, max_epochs: float) -> Da
     return store(sources.join(below, ["s", "none"], "left").join(last, ["s", "none"], "left"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, ratio: float = 1.5, weights: tuple = SOURCE_WEIGHTS, max_epochs: float = 2.0,
-        seed: int = 1, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` (times a document is taken) and ``taken`` (copies x size)."""
-    quality = F.lit(1.0) if quality is None else quality.cast("double")
-    measured = _measured(docs, id_col, text, source, quality, seed)
-    found = cuts(store(docs.select(*measured)), ratio, weights, max_epochs)
-    kept = keep_columns(docs, RESULTS)
-    full = docs.withColumns({f"__{n}": c for n, c in zip(("d", "k", "s", "none", "size", "key"), measured, strict=True)})
-    per = found.select(F.col("s").alias("__s"), F.col("none").alias("__none"), F.struct("source_size", "target", "epochs", "edge", "last").alias("__m"))
-    full = full.join(per, ["__s", "__none"])
-    bucket = F.floor((1.0 - F.exp(-F.col("__key"))) * BUCKETS)
-    in_part = (bucket < F.col("__m.edge")) | ((bucket == F.col("__m.edge")) & (
-        F.struct(F.col("__key").alias("key"), F.col("__d").alias("d"), F.col("__k").alias("k")) <= F.col("__m.last")))
-    copies = F.col("__m.epochs") + F.coalesce(in_part, F.lit(False)).cast("long")
-    return full.select(*kept, F.col("__size").alias("size"), F.col("__m.source_size").alias("source_size"),
-                       F.col("__m.target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+def plan(docs: DataFrame, quality: DataFrame | None = None, ratio: float = 1.5, weights: tuple = SOURCE_WEIGHTS, max_epochs: float = 2.0,
+         seed: int = 1, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(id, d, k, s, none, size, source_size, target, copies, taken) for every row of ``docs``.
+
+    ``quality`` has two columns, an id and its weight (of several, the largest); ids it lacks weigh 1. ``copies``: how
+    often the mix takes the document; ``taken``: copies x size; d and k are ``row_key``."""
+    rows = store(_measured(docs, quality, id_col, text, source, seed))
+    found = cuts(rows, ratio, weights, max_epochs)
+    bucket = F.floor((1.0 - F.exp(-F.col("key"))) * BUCKETS)
+    in_part = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & (F.struct("key", "d", "k") <= F.col("last")))
+    copies = F.col("epochs") + F.coalesce(in_part, F.lit(False)).cast("long")
+    return rows.join(found, ["s", "none"]).select("id", "d", "k", "s", "none", "size", "source_size", "target", copies.alias("copies"),
+                                                  (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source",
+        **options) -> DataFrame:
+    """The mix: rows of ``docs`` that are taken, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
+    planned = plan(docs, quality, id_col=id_col, text=text, source=source, **options).filter(F.col("taken") > 0)
+    marks = [F.col(c).alias(f"__{c}") for c in ("d", "k", "s", "none", *RESULTS)]
+    planned = planned.dropDuplicates(["d", "k", "s", "none"]).select(*marks)
+    d, k = row_key(F.col(id_col), F.col(text))
+    name = F.col(source).cast("string")
+    keyed = docs.withColumns({"__d": d, "__k": k, "__s": F.coalesce(name, F.lit("")), "__none": name.isNull()})
+    return keyed.join(planned, ["__d", "__k", "__s", "__none"]).select(
+        *keep_columns(docs, RESULTS), *[F.col(f"__{c}").alias(c) for c in RESULTS])

@@ -94,21 +94,19 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One weight for each labelled document: 2 if its quality is 1, a half if it is 0."""
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("q"))
-    return labels.select("label_id", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).alias("quality_weight"))
+    """The weight of labelled documents: 2 if the quality is 1, a half if it is 0."""
+    q = F.col("quality")
+    return table(spark, sf_dir, "labels").select("doc_id", F.when(q == 1, 2.0).when(q == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    quality = quality_weights(spark, sf_dir)
-    rated = docs.join(quality, docs.doc_id == quality.label_id, "left").drop("label_id")
-    mixed = mixing.mix(rated, F.col("quality_weight"), ratio=1.5, weights=(5, 2, 1), max_epochs=2.0, seed=1)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    planned = mixing.plan(docs, quality_weights(spark, sf_dir), ratio=1.5, weights=(5, 2, 1), max_epochs=2.0, seed=1)
+    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""
-WITH q AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
+WITH q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   CASE q.q WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS quality
   FROM documents LEFT JOIN q USING (doc_id)),

@@ -47,10 +47,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    quality = quality_weights(spark, sf_dir)
-    rated = docs.join(quality, docs.doc_id == quality.label_id, "left").drop("label_id")
-    mixed = mixing.mix(rated, F.col("quality_weight"), ratio=1.5, weights=(5, 2, 1), max_epochs=2.0, seed=1)
-    return mixed.filter(F.col("taken") > 0).drop("quality_weight")
+    return mixing.mix(docs, quality_weights(spark, sf_dir), ratio=1.5, weights=(5, 2, 1), max_epochs=2.0, seed=1)
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("simhash_near_dedup", simhash_stage),
