@@ -12,21 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-U32 = 1 << 32
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def uniform_u32(*parts) -> Column:
-    """Integer in [0, 2**32) derived from the key parts (bigint)."""
+    """Integer in [0, 2**32) derived from the key parts (bigint). A missing part counts as a part (``\\N``)."""
     cols = [_c(p) if not isinstance(p, (int, float)) else F.lit(p) for p in parts]
-    text = F.concat_ws("|", *[c.cast("string") for c in cols])
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def sql_uniform_u32(*parts: str) -> str:
-    """The same draw as ANSI SQL text (DuckDB dialect) for oracles."""
-    text = "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
-    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+def scaled(u: Column, total: Column) -> Column:
+    """floor(u * total / 2**32) for u below 2**32, without overflow for totals below 2**47: by halves of u."""
+    high, low = F.shiftright(u, 16), u.bitwiseAND(0xFFFF)
+    return F.shiftright(high * total + F.shiftright(low * total, 16), 16)

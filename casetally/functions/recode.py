@@ -169,11 +169,6 @@ def not_in_keep_null(col, values: Sequence) -> Column:
     return ~F.coalesce(_c(col).isin(list(values)), F.lit(False))
 
 
-def in_set(col, values: Sequence) -> Column:
-    """``x %in% values``: FALSE (not NULL) for a NULL x."""
-    return F.coalesce(_c(col).isin(list(values)), F.lit(False))
-
-
 def level_ordinal(col, levels: Sequence) -> Column:
     """Position (1-based) of a label in an explicit level order; NULL if absent."""
     c = _c(col)

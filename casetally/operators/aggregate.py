@@ -32,8 +32,3 @@ def column_range(df: DataFrame, first: str, last: str) -> list[str]:
     if i > j:
         raise ValueError(f"{first} comes after {last}")
     return cols[i:j + 1]
-
-
-def across(cols: Sequence[str], fn: Callable[[Column], Column]) -> list[Column]:
-    """Apply one aggregate to each column, keeping the column names."""
-    return [fn(F.col(c)).alias(c) for c in cols]

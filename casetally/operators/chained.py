@@ -1,257 +1,139 @@
 """Multiple imputation by chained equations on Spark.
 
 Rows with no missing target are the same in every imputation; they are never
-replicated, only their covariate-pattern counts are (``groupBy().count()``
-then ``explode`` over imputations on the aggregated table). Rows with a
-missing target are expanded m times, initialised by hot-deck, then for
-``maxit`` rounds each target is re-drawn from a model fitted, per
-imputation, on the currently completed data:
-
-* categorical targets (``logreg`` / ``polyreg``): multinomial logit fitted by
-  Newton's method on weighted covariate patterns;
+replicated: models see them once, weighted by pattern, under every
+imputation's coefficients. Rows with a missing target are expanded m times,
+initialised by hot-deck, then for ``maxit`` rounds each target is re-drawn
+from a model fitted, per imputation (and ``by`` group), on the currently
+completed data:
+
+* categorical targets: ridge multinomial logit by Newton's method
+  (``logreg``, two classes, draws its coefficients from their posterior
+  before predicting; ``polyreg`` predicts with the estimates);
 * numeric targets (``pmm``): Bayesian linear regression and predictive mean
-  matching with 5 donors on weighted patterns.
-
-Model fitting runs in ``applyInPandas`` grouped by imputation; each group
-holds covariate patterns (bounded by the predictor domain, checked against
-``max_patterns``), never raw records. Draws use the keyed hash with the
-round number, so the whole procedure is reproducible. Each round is
-checkpointed to the shared checkpoint folder to cut the lineage.
+  matching with the nearest donors.
+
+Fits and donor search are distributed (``operators.models``): no group of
+rows is gathered, all imputations and groups are fitted in the same passes.
+Draws use the keyed hash with the round number. Each drawn target is written
+to the shared checkpoint folder to cut the lineage. Coefficients are rounded
+to ten digits before use, so the order in which Spark adds up partial sums
+does not show in the draws.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casetally.functions.draws import uniform_u32
-from casetally.operators.impute import IMP, _pick, hotdeck_complete, with_imputations
-from casetally.operators.joins import natural_left_join
-from casetally.operators.materialize import checked_broadcast, materialize, spread_small
-
-SCALE = 1 << 30  # probability thresholds as integers out of 2**30 (x 2**32 stays < 2**63)
-DEFAULT_MAX_PATTERNS = 5_000_000
-
-
-def _is_categorical(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.StringType, T.BooleanType))
-
-
-def _design(pdf: pd.DataFrame, preds: Sequence[str], cat: dict[str, bool]) -> np.ndarray:
-    cols = [np.ones(len(pdf))]
-    for p in preds:
-        if cat[p]:
-            v = pdf[p].astype(object).where(pdf[p].notna(), "__NA__").astype(str)
-            for lv in sorted(v.unique())[1:]:
-                cols.append((v == lv).to_numpy(dtype=float))
-        else:
-            cols.append(pd.to_numeric(pdf[p], errors="coerce").fillna(0.0).to_numpy(dtype=float))
-    return np.column_stack(cols)
-
-
-def _fit_multinomial(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, iters: int = 25,
-                     ridge: float = 1e-4) -> np.ndarray:
-    """Weighted softmax regression (class 0 is the baseline) by Newton steps."""
-    n, p = x.shape
-    beta = np.zeros((p, k - 1))
-    onehot = np.zeros((n, k))
-    onehot[np.arange(n), y] = 1.0
-    for _ in range(iters):
-        eta = np.column_stack([np.zeros(n), x @ beta])
-        eta -= eta.max(axis=1, keepdims=True)
-        prob = np.exp(eta)
-        prob /= prob.sum(axis=1, keepdims=True)
-        grad = (x.T @ (w[:, None] * (onehot[:, 1:] - prob[:, 1:]))).T.reshape(-1) - ridge * beta.T.reshape(-1)
-        hess = np.zeros((p * (k - 1), p * (k - 1)))
-        for a in range(k - 1):
-            for b in range(k - 1):
-                d = prob[:, a + 1] * ((a == b) - prob[:, b + 1]) * w
-                hess[a * p:(a + 1) * p, b * p:(b + 1) * p] = (x * d[:, None]).T @ x
-        hess += ridge * np.eye(p * (k - 1))
-        step = np.linalg.solve(hess, grad)
-        beta += step.reshape(k - 1, p).T
-        if np.max(np.abs(step)) < 1e-8:
-            break
-    return beta
-
+from casetally.operators import models as MO
+from casetally.operators.impute import IMP, hotdeck_complete, with_imputations
+from casetally.operators.materialize import materialize
 
-def _predict_multinomial(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    eta = np.column_stack([np.zeros(len(x)), x @ beta])
-    eta -= eta.max(axis=1, keepdims=True)
-    prob = np.exp(eta)
-    return prob / prob.sum(axis=1, keepdims=True)
+KINDS = ("factor", "number")
 
 
-def _model_step(target: str, preds: list[str], cat: dict[str, bool], method: str, seed: int,
-                draw_round: int, donors: int, value_type: T.DataType, imp_col: str,
-                keys: list[str] | None = None):
-    """Per-imputation (and per ``by`` group) fit + prediction on compressed
-    patterns (pandas in a task). ``keys`` = grouping columns + predictors."""
-    keys = list(keys or preds)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        imp = int(pdf[imp_col].iloc[0])
-        # rows arrive in no fixed order; sort so a recomputed task fits bit-identically
-        pdf = pdf.sort_values(["__need", *keys, target], kind="mergesort", na_position="first")
-        train = pdf[pdf["__need"] == 0]
-        need = pdf[pdf["__need"] == 1].drop_duplicates(subset=keys)
-        if need.empty or train.empty:
-            return pd.DataFrame(columns=[imp_col, *keys, "__hi", "__v", "__tot"])
-        both = pd.concat([train, need], ignore_index=True)
-        x_all = _design(both, preds, cat)
-        xt, xn = x_all[:len(train)], x_all[len(train):]
-        w = train["__n"].to_numpy(dtype=float)
-        if method in ("logreg", "polyreg"):
-            classes = sorted(train[target].unique().tolist())
-            idx = {c: i for i, c in enumerate(classes)}
-            y = train[target].map(idx).to_numpy(dtype=int)
-            if len(classes) == 1:
-                prob = np.ones((len(need), 1))
-            else:
-                beta = _fit_multinomial(xt, y, w, len(classes))
-                prob = _predict_multinomial(xn, beta)
-            cum = np.floor(np.cumsum(prob, axis=1) * SCALE).astype(np.int64)
-            cum[:, -1] = SCALE
-            prev = np.concatenate([np.full((len(need), 1), -1, dtype=np.int64), cum[:, :-1]], axis=1)
-            ri, ci = np.nonzero(cum > prev)  # skip zero-width classes
-            out = need[keys].iloc[ri].reset_index(drop=True)
-            out.insert(0, imp_col, imp)
-            out["__hi"] = cum[ri, ci]
-            out["__v"] = pd.Series(np.array(classes, dtype=object)[ci])
-            out["__tot"] = SCALE
-            return out[[imp_col, *keys, "__hi", "__v", "__tot"]]
-        else:  # pmm
-            yv = train[target].to_numpy(dtype=float)
-            sw = np.sqrt(w)
-            p = xt.shape[1]
-            xtx = (xt * w[:, None]).T @ xt + 1e-5 * np.eye(p)
-            inv = np.linalg.inv(xtx)
-            beta = inv @ ((xt * w[:, None]).T @ yv)
-            resid = (yv - xt @ beta) * sw
-            n_eff = max(int(w.sum()) - p, 1)
-            rng = np.random.default_rng([seed, imp, draw_round, zlib.crc32(target.encode())])
-            sigma = np.sqrt(float(resid @ resid) / rng.chisquare(n_eff))
-            beta_star = beta + sigma * np.linalg.cholesky(inv + 1e-12 * np.eye(p)) @ rng.standard_normal(p)
-            yh_obs, yh_mis = xt @ beta, xn @ beta_star
-            # donor groups sorted by (prediction, value); the k nearest donors of a
-            # recipient lie within k groups on each side of its sorted position
-            order = np.lexsort((yv, yh_obs))
-            ys, ws = yh_obs[order], w[order]
-            vs = train[target].to_numpy(dtype=object)[order]
-            n_t, k = len(ys), donors
-            pos = np.searchsorted(ys, yh_mis, side="left")
-            cand = pos[:, None] + np.arange(-k, k)[None, :]
-            valid = (cand >= 0) & (cand < n_t)
-            cand_c = np.clip(cand, 0, max(n_t - 1, 0))
-            dist = np.where(valid, np.abs(ys[cand_c] - yh_mis[:, None]), np.inf)
-            srt = np.argsort(dist, axis=1, kind="stable")  # ties: lower (prediction, value) first
-            cs = np.take_along_axis(cand_c, srt, axis=1)
-            wv = np.where(np.take_along_axis(valid, srt, axis=1), ws[cs], 0.0)
-            before = np.cumsum(wv, axis=1) - wv
-            take = np.clip(np.minimum(wv, k - before), 0, None).astype(np.int64)
-            hi = np.cumsum(take, axis=1)
-            ri, ji = np.nonzero(take > 0)
-            out = need[keys].iloc[ri].reset_index(drop=True)
-            out.insert(0, imp_col, imp)
-            out["__hi"] = hi[ri, ji]
-            out["__v"] = pd.Series(vs[cs[ri, ji]])
-            out["__tot"] = hi[ri, -1]
-            return out[[imp_col, *keys, "__hi", "__v", "__tot"]]
-
-    return fit
-
-
-def methods_from_schema(df: DataFrame, targets: Sequence[str]) -> dict[str, str]:
-    """Default method per target from its type (the dry run's defaults):
-    boolean -> ``logreg``, text -> ``polyreg``, numeric -> ``pmm``."""
+def methods_from_schema(df: DataFrame, targets: Sequence[str], kinds: dict[str, str] | None = None) -> dict[str, str]:
+    """Default method per target: boolean -> ``logreg``, text or a declared factor -> ``polyreg``, numeric -> ``pmm``."""
     out = {}
     for t in targets:
         dt = df.schema[t].dataType
-        out[t] = "logreg" if isinstance(dt, T.BooleanType) else ("polyreg" if isinstance(dt, T.StringType) else "pmm")
+        factor = (kinds or {}).get(t, "factor" if MO.is_factor(dt) else "number") == "factor"
+        out[t] = "logreg" if isinstance(dt, T.BooleanType) else ("polyreg" if factor else "pmm")
     return out
 
 
+def _key(seed: int, imp: int, by: str, target: str, draw_round: int) -> list[int]:
+    return [seed, imp, draw_round, zlib.crc32(target.encode()), zlib.crc32(by.encode())]
+
+
 def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[str], m: int, seed: int,
                    maxit: int = 5, imp_col: str = IMP, donors: int = 5, by: Sequence[str] = (),
-                   max_patterns: int = DEFAULT_MAX_PATTERNS, split: bool = False):
+                   kinds: dict[str, str] | None = None, split: bool = False):
     """Completed long data (every record once per imputation).
 
     ``targets`` maps each target to ``{"method": "logreg"|"polyreg"|"pmm",
     "predictors": [...], "cells": [...]}``; ``predictors`` is the row of the
     predictor matrix (ids and excluded columns are simply not listed),
     ``cells`` the hot-deck cells used for initialisation (default: whole
-    table); a missing ``method`` is taken from the column type. ``by``
-    columns (e.g. the year) split the data into independent imputation
+    table); a missing ``method`` is taken from the column's kind. ``kinds``
+    declares columns as ``"factor"`` or ``"number"`` where the type does not
+    tell (a factor held as codes). A predictor that is not a target may have
+    missing values: a level of their own (factor) or an indicator (number).
+    ``by`` columns (e.g. the year) split the data into independent imputation
     runs: every model is fitted per (imputation, by) group. Targets without
-    missing values are left as they are.
+    missing values are left as they are. ``row_key`` must be unique.
 
     With ``split=True`` the result is ``(observed, completed)``: the records
     without any missing target once (the same in every imputation), and the
     completed long rows of the other records, so callers can avoid
     replicating the observed majority m times.
     """
-    defaults = methods_from_schema(df, list(targets))
+    if bad := set((kinds or {}).values()) - set(KINDS):
+        raise ValueError(f"unknown kinds {sorted(bad)}")
+    defaults = methods_from_schema(df, list(targets), kinds)
     targets = {t: {"method": defaults[t], **spec} for t, spec in targets.items()}
-    by = list(by)
     names = list(targets)
-    any_missing = None
-    for t in names:
-        any_missing = F.col(t).isNull() if any_missing is None else (any_missing | F.col(t).isNull())
+    any_missing = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in names])
     full = df.filter(~any_missing)
     part = df.filter(any_missing).withColumns({f"__m_{t}": F.col(t).isNull() for t in names})
     init = hotdeck_complete(part, {t: targets[t].get("cells", [[]]) for t in names}, row_key, m, seed,
                             imp_col=imp_col, donors=df)
-    cur = spread_small(materialize(init))
+    by_key = F.to_json(F.struct(*by)) if by else F.lit("")
+    cur = materialize(init.withColumns({MO.ALL: F.col(imp_col).cast("int"), MO.BY: by_key}))
+    missing = part.agg(*[F.count_if(F.col(f"__m_{t}")).alias(t) for t in names]).first()
+    active = [t for t in names if missing[t]]
     schema = {f.name: f.dataType for f in df.schema.fields}
-    # targets with no missing value need no model at all (one small aggregate)
-    n_missing = part.agg(*[F.count_if(F.col(f"__m_{t}")).alias(t) for t in names]).first()
-    active = [t for t in names if n_missing[t]]
-    # patterns of fully observed records never change: aggregate them once per target
-    keys_of = {t: list(dict.fromkeys([*by, *targets[t]["predictors"]])) for t in active}
-    fixed = {t: materialize(full.groupBy(*keys_of[t], t).agg(F.count(F.lit(1)).alias("__n")))
-             for t in active}
+    kind = {c: (kinds or {}).get(c, "factor" if MO.is_factor(schema[c]) else "number") for c in schema}
+    design = {t: MO.Design.of(df, targets[t]["predictors"], kind) for t in active}
+    value = {t: (MO.text(t) if targets[t]["method"] != "pmm" else F.col(t).cast("double")).alias("__y") for t in active}
+    classes = {t: sorted(r[0] for r in df.filter(F.col(t).isNotNull()).select(MO.text(t)).distinct().collect())
+               for t in active if targets[t]["method"] != "pmm"}  # bounded by the target's domain
+    # the patterns of complete records never change
+    fixed = {}
+    for t in active:
+        seen = full.select(F.lit(0).alias(MO.ALL), by_key.alias(MO.BY), *design[t].columns(), value[t])
+        fixed[t] = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
+    fits: dict[str, dict] = {}
     for it in range(1, maxit + 1 if active else 1):
         for t in active:
-            spec = targets[t]
-            preds = list(spec["predictors"])
-            keys = keys_of[t]
-            cat = {p: _is_categorical(schema[p]) for p in preds}
-            tr_full = with_imputations(fixed[t], m, imp_col)
-            # one pass over the expanded rows gives both the training patterns
-            # (target observed) and the patterns to predict (target missing)
-            seen = (cur.groupBy(imp_col, *keys, t, f"__m_{t}").agg(F.count(F.lit(1)).alias("__n"))
-                       .withColumn("__need", F.col(f"__m_{t}").cast("int")).drop(f"__m_{t}"))
-            tr_part = seen.filter(F.col("__need") == 0).drop("__need")
-            train = (tr_full.unionByName(tr_part).groupBy(imp_col, *keys, t)
-                            .agg(F.sum("__n").cast("bigint").alias("__n")).withColumn("__need", F.lit(0)))
-            need = (seen.filter(F.col("__need") == 1).select(imp_col, *keys).distinct()
-                        .withColumn(t, F.lit(None).cast(schema[t])).withColumn("__n", F.lit(0).cast("bigint"))
-                        .withColumn("__need", F.lit(1)))
-            patterns = train.unionByName(need)
-            out_schema = T.StructType([T.StructField(imp_col, T.IntegerType())]
-                                      + [T.StructField(p, schema[p]) for p in keys]
-                                      + [T.StructField("__hi", T.LongType()), T.StructField("__v", schema[t]),
-                                         T.StructField("__tot", T.LongType())])
-            fitted = patterns.groupBy(imp_col, *by).applyInPandas(
-                _model_step(t, preds, cat, spec["method"], seed, it, donors, schema[t], imp_col, keys), out_schema)
-            pools = fitted.groupBy(imp_col, *keys).agg(
-                F.sort_array(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__v").alias("v")))).alias("__thr"),
-                F.max("__tot").alias("__ptot"))
-            pools_b, _ = checked_broadcast(pools, max_patterns)  # shuffle join above the bound
-            joined = natural_left_join(cur, pools_b, keys=[imp_col, *keys], null_safe=True,
-                                       broadcast_max_bytes=None)
+            spec, d = targets[t], design[t]
+            known = cur.filter(~F.col(f"__m_{t}")).select(MO.ALL, MO.BY, *d.columns(), value[t])
+            rows = fixed[t].unionByName(known.withColumn(MO.WEIGHT, F.lit(1).cast("bigint")))
             u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(t), F.lit(it))
-            drawn = _pick(F.col("__thr"), F.col("__ptot"), u).cast(schema[t])
-            cur = joined.withColumn(t, F.when(F.col(f"__m_{t}") & drawn.isNotNull(), drawn)
-                                    .otherwise(F.col(t))).drop("__thr", "__ptot")
-        cur = spread_small(materialize(cur))
-    done = cur.drop(*[f"__m_{t}" for t in names]).select(*df.columns, imp_col)
+            need = cur.filter(f"__m_{t}").withColumn("__u", u).select("*", *d.columns("__x_"))
+            if spec["method"] == "pmm":
+                drawn = _matched(rows, need, d, t, m, seed, it, donors)
+            elif len(classes[t]) == 1:
+                drawn = need.withColumn("__drawn", F.lit(classes[t][0]))
+            else:
+                fits[t] = MO.fit_logit(rows, d, "__y", classes[t], m, fits.get(t))
+                draw = spec["method"] == "logreg"
+                betas = {k: f.drawn(_key(seed, *k, t, it)) if draw else f.beta for k, f in fits[t].items()}
+                drawn = MO.draw_classes(need, d, classes[t], betas, "__u", "__drawn")
+            # a group without any observed value keeps its hot-deck draw
+            drawn = drawn.withColumn(t, F.coalesce(F.col("__drawn").cast(schema[t]), F.col(t)))
+            cur = materialize(cur.filter(~F.col(f"__m_{t}")).unionByName(drawn.select(*cur.columns)))
+    done = cur.select(*df.columns, imp_col)
     if split:
         return full, done
     return with_imputations(full, m, imp_col).unionByName(done)
+
+
+def _matched(rows: DataFrame, need: DataFrame, design: MO.Design, target: str, m: int, seed: int, draw_round: int,
+             donors: int) -> DataFrame:
+    """``need`` with the value of a donor with a near prediction in ``__drawn``."""
+    fits = MO.fit_linear(rows, design, "__y", m)
+    estimate = {k: f.beta for k, f in fits.items()}
+    drawn = {k: f.drawn(_key(seed, *k, target, draw_round)) for k, f in fits.items()}
+    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, estimate, m, ["__v", MO.WEIGHT])
+    pool = pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
+    kept = [c for c in need.columns if not c.startswith("__x_") and c not in (MO.ALL, MO.BY)]
+    asked = MO.predicted(need, design, drawn, m, kept, "__x_")
+    return MO.match_donors(pool, asked, donors, "__drawn")

@@ -54,24 +54,31 @@ def ordering_key(df: DataFrame, order: Sequence, tiebreak: Sequence[str], latest
         else:
             parts += [c.isNull(), c]
     return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)],
-                    *[F.col(t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
+                    *[(F.col(t) if isinstance(t, str) else t).alias(f"t{i}") for i, t in enumerate(tiebreak)])
 
 
-def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, tiebreak: Sequence[str],
+def row_digest(columns: Sequence[str]) -> Column:
+    """A 128-bit digest of all ``columns`` (missing values marked): tells any two different rows apart."""
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.md5(text.cast("binary"))
+
+
+def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence, tiebreak: Sequence,
              latest: bool = False) -> DataFrame:
     """Keep one row per ``keys``.
 
     ``latest=False`` keeps the smallest ``order`` (first report); ``latest=True``
     the largest (``arrange(desc(date))`` + ``!duplicated``). NULL dates sort
-    last either way. ``tiebreak`` columns (ascending) must make the order total.
+    last either way. ``tiebreak`` (ascending; names or expressions) must make the
+    order total; one that is among ``keys`` breaks no tie and is refused.
 
     Written as ``min_by(row, ordering key)``: an aggregate with a partial
     (map-side) step, so every map task forwards at most one row per key and a
     key holding a third of all rows never lands whole in one task. Order
     columns that cannot be reversed arithmetically (text) use the window form.
     """
-    if not tiebreak:
-        raise ValueError("a tiebreak column is required for a deterministic result")
+    if not tiebreak or all(isinstance(t, str) and t in keys for t in tiebreak):
+        raise ValueError("a tiebreak column outside the key is required for a deterministic result")
     ordering = ordering_key(df, order, tiebreak, latest)
     if ordering is None:
         return keep_one_window(df, keys, order, tiebreak, latest)
@@ -84,7 +91,7 @@ def keep_one_window(df: DataFrame, keys: Sequence[str], order: Sequence, tiebrea
     """``row_number() == 1`` form; Catalyst adds a partial ``WindowGroupLimit``
     before the shuffle when the input is not already partitioned by ``keys``."""
     w = Window.partitionBy(*keys).orderBy(
-        *_order_cols(order, latest), *[F.col(t).asc_nulls_last() for t in tiebreak])
+        *_order_cols(order, latest), *[(F.col(t) if isinstance(t, str) else t).asc_nulls_last() for t in tiebreak])
     rn = "__rn"
     return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) == 1).drop(rn)
 

@@ -15,14 +15,16 @@ broadcast when its materialised row count is within bounds.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetally.functions.draws import U32, uniform_u32
+from casetally.functions.draws import scaled, uniform_u32
+from casetally.operators import models as MO
 from casetally.operators.joins import natural_left_join
-from casetally.operators.materialize import DEFAULT_MAX_ROWS, checked_broadcast, materialize, spread_small
+from casetally.operators.materialize import materialize, saved_with_stats, spread_small
 
 IMP = "imp"
 
@@ -97,33 +99,16 @@ def backoff_table(cells_needed: DataFrame, donors: DataFrame, targets: dict[str,
     return table
 
 
-def _pick(thr: Column, tot: Column, u: Column) -> Column:
-    """Value whose cumulative range contains ``u / 2**32`` of the cell total.
-
-    Integer-only: the first value with ``hi * 2**32 > u * total``. A linear
-    scan of the array; right for short arrays (a few levels).
-    """
-    scaled = u * tot
-    return F.filter(thr, lambda x: x["hi"] * F.lit(U32) > scaled)[0]["v"]
-
-
-SCAN_MAX = 16
-
-
 def with_draw(df: DataFrame, out: str, thr: str, tot: str, u: Column, max_len: int) -> DataFrame:
     """Add column ``out`` = the value drawn from threshold array ``thr``.
 
-    Same rule as ``_pick`` (first entry with ``hi > (u * total) >> 32``). Long
-    arrays (a numeric target with hundreds of values in a cell) are searched
+    The drawn entry is the first with ``hi > floor(u * total / 2**32)``, found
     by binary lifting over the bits of the position: ``bit_length(max_len)``
-    steps per row instead of a scan of every entry. It is one expression, so
-    filters on the drawn column can be pushed down without blowing it up.
+    steps per row. Integers only; totals may reach 2**47.
     """
-    if max_len <= SCAN_MAX:
-        return df.withColumn(out, _pick(F.col(thr), F.col(tot), u))
     arr = F.col(thr)
     n = F.size(arr)
-    r = F.shiftright(u * F.col(tot), 32)
+    r = scaled(u, F.col(tot))
     top = max(int(max_len), 1).bit_length() - 1
     bits = F.array(*[F.lit(1 << b) for b in range(top, -1, -1)])
 
@@ -137,11 +122,11 @@ def with_draw(df: DataFrame, out: str, thr: str, tot: str, u: Column, max_len: i
     return df.withColumn(out, F.when(arr.isNotNull(), F.element_at(arr, p + 1)["v"]))
 
 
-def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[DataFrame, dict]:
-    """Join the materialised small table; also return the longest array per column."""
+def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Join the materialised table (Spark broadcasts it if its files are small); also return the longest array per column."""
     thr_cols = [c for c in table.columns if c.endswith("_thr")]
     stats = {c: F.coalesce(F.max(F.size(c)), F.lit(0)) for c in thr_cols}
-    small, _ = checked_broadcast(table, max_rows, stats)
+    small = saved_with_stats(table, stats)
     lengths = {c: int(stats[c]) for c in thr_cols}
     if not keys:  # whole-table distribution only: one row, constant key
         return (df.withColumn("__all", F.lit(0))
@@ -151,21 +136,20 @@ def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int)
 
 def hotdeck_draws(df: DataFrame, target: str, cells: Sequence[Sequence[str]], row_key: Sequence[str],
                   m: int, seed: int, imp_col: str = IMP, draw_round: int = 0,
-                  observed: DataFrame | None = None,
-                  max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                  observed: DataFrame | None = None) -> DataFrame:
     """Rows with a missing ``target``, one per imputation, with the value drawn.
 
     ``cells`` lists conditioning key sets from finest to coarsest (each nested
     in the finest); the whole table is always the last fallback. Donor
     distributions come from ``observed`` (default: ``df``). The missing rows
-    are joined to the small backoff table once (broadcast when its row count
-    is within bounds), then expanded to m imputations.
+    are joined to the small backoff table once (broadcast when its files are
+    small), then expanded to m imputations.
     """
     donors = observed if observed is not None else df
     finest = _levels(cells)[0]
     missing = spread_small(df.filter(F.col(target).isNull()))
     table = backoff_table(missing.select(*finest).distinct(), donors, {target: cells})
-    attached, lengths = _attach(missing, table, finest, max_broadcast_rows)
+    attached, lengths = _attach(missing, table, finest)
     out = with_imputations(attached, m, imp_col)
     u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
     out = with_draw(out, "__drawn", f"{target}_thr", f"{target}_tot", u, lengths[f"{target}_thr"])
@@ -184,8 +168,7 @@ def complete_long(df: DataFrame, drawn: DataFrame, target: str, m: int, imp_col:
 
 
 def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]], row_key: Sequence[str],
-                     m: int, seed: int, imp_col: str = IMP, donors: DataFrame | None = None,
-                     max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                     m: int, seed: int, imp_col: str = IMP, donors: DataFrame | None = None) -> DataFrame:
     """Completed long data for several targets, each drawn from its own cells.
 
     Rows with no missing target are repeated m times without any join; rows
@@ -208,7 +191,7 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
     lengths: dict[str, int] = {}
     for finest, group in groups.items():
         table = backoff_table(part_rows.select(*finest).distinct(), pool, group)
-        part, found = _attach(part, table, finest, max_broadcast_rows)
+        part, found = _attach(part, table, finest)
         lengths.update(found)
     part = with_imputations(part, m, imp_col)
     u_cols = [F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col)]
@@ -222,148 +205,32 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
 # -------------------------------------------------- predictive mean matching
 
 
-def design_columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[tuple[str, Column]]:
-    """Regression design: intercept, numeric columns, one-hot categorical levels.
-
-    Levels of categorical predictors are found with one small aggregate; the
-    first level of each is the baseline.
-    """
-    cols: list[tuple[str, Column]] = [("__1", F.lit(1.0))]
-    cols += [(c, F.col(c).cast("double")) for c in numeric]
-    if categorical:
-        levels = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in categorical]).first()
-        for c in categorical:
-            for lv in list(levels[c])[1:]:
-                cols.append((f"{c}={lv}", F.when(F.col(c) == F.lit(lv), F.lit(1.0)).otherwise(F.lit(0.0))))
-    return cols
-
-
-def fit_linear(df: DataFrame, target: str, design: list[tuple[str, Column]]):
-    """OLS from distributed sufficient statistics (one pass: X'X, X'y, y'y, n)."""
-    import numpy as np
-    p = len(design)
-    y = F.col(target).cast("double")
-    aggs = [F.sum(design[i][1] * design[j][1]).alias(f"xx_{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(design[i][1] * y).alias(f"xy_{i}") for i in range(p)]
-    aggs += [F.sum(y * y).alias("yy"), F.count(F.lit(1)).alias("n")]
-    r = df.filter(y.isNotNull()).agg(*aggs).first()
-    xtx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            xtx[i, j] = xtx[j, i] = r[f"xx_{i}_{j}"] or 0.0
-    xty = np.array([r[f"xy_{i}"] or 0.0 for i in range(p)])
-    ridge = 1e-5 * max(np.trace(xtx) / p, 1.0)
-    inv = np.linalg.inv(xtx + ridge * np.eye(p))
-    beta = inv @ xty
-    n = int(r["n"])
-    rss = max(float(r["yy"] or 0.0) - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
-    return beta, inv, rss, n
-
-
-def posterior_betas(beta, inv, rss: float, n: int, m: int, seed: int, tag: str):
-    """m parameter draws from the normal-linear posterior (as in Bayesian PMM)."""
-    import zlib
-
-    import numpy as np
-    p = len(beta)
-    df_res = max(n - p, 1)
-    chol = np.linalg.cholesky(inv + 1e-12 * np.eye(p))
-    out = []
-    for i in range(1, m + 1):
-        rng = np.random.default_rng([seed, i, zlib.crc32(tag.encode())])
-        sigma = np.sqrt(rss / rng.chisquare(df_res)) if rss > 0 else 0.0
-        out.append(beta + sigma * chol @ rng.standard_normal(p))
-    return out
-
-
-def _linear_expr(design: list[tuple[str, Column]], beta) -> Column:
-    expr = None
-    for (_, c), b in zip(design, beta):
-        term = c * F.lit(float(b))
-        expr = term if expr is None else expr + term
-    return expr
-
-
-def _donor_ordinals(u: DataFrame, small: bool) -> DataFrame:
-    """``__ord`` = number of donor groups at or before each row in
-    (value, donors first, donor value) order.
-
-    Small tables: one window over the whole (bounded) table. Large tables:
-    range-partitioned once and materialised (so every use sees the same
-    partitions), running counts within partitions, plus per-partition
-    offsets from a table with one row per partition. Exact either way.
-    """
-    order = [F.col("__x"), F.col("__isd").desc(), F.col("__v")]
-    if small:
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return u.withColumn("__ord", F.sum("__isd").over(w))
-    parts = u.sparkSession.sparkContext.defaultParallelism * 4
-    ranged = materialize(u.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                          .withColumn("__pid", F.spark_partition_id()))
-    local = ranged.withColumn("__local", F.sum("__isd").over(
-        Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    per = ranged.groupBy("__pid").agg(F.sum("__isd").alias("__cnt"))
-    offsets = per.withColumn("__off", F.coalesce(F.sum("__cnt").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
-                 .withColumn("__ord", F.col("__off") + F.col("__local")).drop("__pid", "__off", "__local"))
-
-
 def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
               row_key: Sequence[str], m: int, seed: int, donors: int = 5, imp_col: str = IMP,
-              draw_round: int = 0, max_groups: int = DEFAULT_MAX_ROWS) -> DataFrame:
+              draw_round: int = 0) -> DataFrame:
     """Predictive mean matching for a numeric target, m draws per missing row.
 
     Observed rows are scored with the fitted coefficients, missing rows with a
     posterior draw per imputation. Observed rows are compressed to donor groups
-    (predicted value, observed value, count); each recipient value takes its
-    ``donors`` nearest donors by predicted value, found through donor ordinals
-    (a recipient at position g only needs groups g-donors+1 .. g+donors, so
-    no all-pairs comparison), and one donor is drawn with the keyed hash.
-    Donor ordinals come from one window when the donor groups number at most
-    ``max_groups`` (then the groups are also broadcast), else from a
-    distributed range-partitioned prefix count; both are exact.
+    (predicted value, observed value, count); each recipient takes its
+    ``donors`` nearest donors by predicted value, found in a distributed sort
+    of donors and recipients (``models.match_donors``), and the keyed hash
+    picks one of them.
     """
-    design = design_columns(df, numeric, categorical)
-    beta, inv, rss, n = fit_linear(df, target, design)
-    betas = posterior_betas(beta, inv, rss, n, m, seed, f"{target}|{draw_round}")
-    obs = df.filter(F.col(target).isNotNull())
-    groups = (obs.select(_linear_expr(design, beta).alias("__yh"), F.col(target).alias("__v"))
-                 .groupBy("__yh", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    groups, n_groups = checked_broadcast(groups, max_groups)
-    imp_beta = {}
-    for j in range(len(design)):
-        e = None
-        for i, b in enumerate(betas, start=1):
-            e = F.when(F.col(imp_col) == i, F.lit(float(b[j]))) if e is None else e.when(F.col(imp_col) == i, F.lit(float(b[j])))
-        imp_beta[j] = e
-    q_expr = None
-    for j, (_, c) in enumerate(design):
-        term = c * imp_beta[j]
-        q_expr = term if q_expr is None else q_expr + term
-    missing = with_imputations(spread_small(df.filter(F.col(target).isNull())), m, imp_col).withColumn("__q", q_expr)
-    recips = missing.select("__q").distinct()
-    # ordinals over donor groups and recipient values (bounded tables)
-    d = groups.select(F.col("__yh").alias("__x"), "__v", "__c", F.lit(1).alias("__isd"))
-    r = recips.select(F.col("__q").alias("__x"), F.lit(None).cast(d.schema["__v"].dataType).alias("__v"),
-                      F.lit(0).cast("bigint").alias("__c"), F.lit(0).alias("__isd"))
-    both = _donor_ordinals(d.unionByName(r), small=n_groups <= max_groups)
-    dord = both.filter("__isd = 1").select("__ord", F.col("__x").alias("__yh"), "__v", "__c")
-    rord = both.filter("__isd = 0").select(F.col("__x").alias("__q"), F.col("__ord").alias("__g"))
-    k = donors
-    cand = (rord.withColumn("__ord", F.explode(F.sequence(F.col("__g") - (k - 1), F.col("__g") + k)))
-                .join(dord, "__ord"))
-    cand = cand.withColumn("__dist", F.abs(F.col("__yh") - F.col("__q")))
-    wq = Window.partitionBy("__q").orderBy("__dist", "__yh", "__v")
-    cand = cand.withColumn("__cum", F.sum("__c").over(wq.rowsBetween(Window.unboundedPreceding, 0)))
-    cand = cand.filter(F.col("__cum") - F.col("__c") < k)
-    cand = cand.withColumn("__take", F.least(F.col("__c"), F.lit(k) - (F.col("__cum") - F.col("__c"))))
-    cand = cand.withColumn("__hi", F.sum("__take").over(wq.rowsBetween(Window.unboundedPreceding, 0)))
-    pool = cand.groupBy("__q").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__v").alias("v")))).alias("__thr"),
-        F.sum("__take").cast("bigint").alias("__tot"))
-    pool_b, _ = checked_broadcast(pool, max_groups)
-    out = missing.join(pool_b, "__q", "left")
+    kinds = {**{c: "number" for c in numeric}, **{c: "factor" for c in categorical}}
+    design = MO.Design.of(df, list(kinds), kinds)
+    value = F.col(target).cast("double")
+    tags = [F.lit(0).alias(MO.ALL), F.lit("").alias(MO.BY)]
+    seen = df.filter(value.isNotNull()).select(*tags, *design.columns(), value.alias("__y"))
+    rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
+    fit = MO.fit_linear(rows, design, "__y", 1)[1, ""]
+    estimate = {(i, ""): fit.beta for i in range(1, m + 1)}
+    drawn = {(i, ""): fit.drawn([seed, i, draw_round, zlib.crc32(target.encode())]) for i in range(1, m + 1)}
+    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, estimate, m, ["__v", MO.WEIGHT])
+    pool = pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
+    missing = with_imputations(spread_small(df.filter(value.isNull())), m, imp_col)
     u = uniform_u32(F.lit(seed), *[F.col(c) for c in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
-    out = out.withColumn(target, _pick(F.col("__thr"), F.col("__tot"), u).cast(df.schema[target].dataType))
-    return out.select(*df.columns, imp_col)
+    need = missing.withColumns({MO.ALL: F.col(imp_col), MO.BY: F.lit(""), "__u": u}).select("*", *design.columns("__x_"))
+    asked = MO.predicted(need, design, drawn, m, [*df.columns, imp_col, "__u"], "__x_")
+    found = MO.match_donors(pool, asked, donors, "__drawn")
+    return found.withColumn(target, F.col("__drawn").cast(df.schema[target].dataType)).select(*df.columns, imp_col)

@@ -1,11 +1,11 @@
-"""Materialising small derived tables and broadcasting them behind a checked size.
+"""Materialising derived tables in the shared checkpoint folder.
 
 Catalyst's size estimate of an aggregate is bounded by its input scan, so a
 distribution table of a few thousand cells built from terabytes of records
-looks terabyte-sized and is never broadcast. ``checked_broadcast`` writes
-such a table as Parquet into the shared checkpoint folder (reliable: survives
-executor loss and cuts the lineage), counts its rows, and broadcasts it only when the
-count is within the bound; above it, the table is joined by shuffle.
+looks terabyte-sized and is never broadcast. Written as Parquet into the
+shared checkpoint folder (reliable: survives executor loss and cuts the
+lineage) its real size is known, and Spark broadcasts it or not by its own
+threshold.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from casetally.operators.joins import estimated_bytes
 from casetally.session import checkpoint_dir
 
-DEFAULT_MAX_ROWS = 2_000_000
-
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
@@ -51,21 +49,17 @@ def release_materialized(spark) -> bool:
     return bool(fs.exists(path) and fs.delete(path, True))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                      stats: dict | None = None) -> tuple[DataFrame, int]:
-    """Materialise ``df``; broadcast hint only if it has at most ``max_rows`` rows.
+def saved_with_stats(df: DataFrame, stats: dict) -> DataFrame:
+    """Materialise ``df`` and compute ``stats`` (name -> aggregate Column) over it; their values replace the Columns.
 
-    ``stats`` (name -> aggregate Column) are computed in the same pass as the
-    row count; their values are written into the dict in place.
+    The table carries no broadcast hint: Spark knows its written size and
+    broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``, else joins
+    by shuffle with skew splitting.
     """
     saved = materialize(df)
-    extra = dict(stats or {})
-    row = saved.agg(F.count(F.lit(1)).alias("__rows"), *[c.alias(k) for k, c in extra.items()]).first()
-    n = int(row["__rows"])
-    if stats is not None:
-        for k in extra:
-            stats[k] = row[k]
-    return (F.broadcast(saved) if n <= max_rows else saved), n
+    row = saved.agg(*[c.alias(k) for k, c in stats.items()]).first()
+    stats.update({k: row[k] for k in stats})
+    return saved
 
 
 def _max_partition_bytes(spark) -> int:

@@ -46,14 +46,14 @@ def share_of_total(df: DataFrame, by: Sequence[str], value_col: str, out_col: st
 
 
 def level_grid(df: DataFrame | None, dims: dict[str, Sequence | None],
-               max_cells: int = 50_000_000, by: Sequence[str] = ()) -> DataFrame:
+               by: Sequence[str] = ()) -> DataFrame:
     """All combinations of the levels of ``dims`` (within each ``by`` group).
 
     A dimension given as a list uses those levels; ``None`` takes the distinct
     values found in ``df`` (NULL included, as tidyr does), per ``by`` group
     when given (e.g. levels found in each yearly file). The level sets are
-    collected into arrays by one small aggregate and exploded, so the grid is
-    generated in parallel; its total size is checked before it is built.
+    collected into arrays by one small aggregate (bounded by the dimensions'
+    domains) and exploded, so the grid is generated in parallel.
     """
     by = list(by)
     found = [d for d, levels in dims.items() if levels is None]
@@ -64,22 +64,10 @@ def level_grid(df: DataFrame | None, dims: dict[str, Sequence | None],
         # collect_set drops NULL; carry NULL as an explicit has-null flag.
         row = grouped.agg(*[F.collect_set(d).alias(d) for d in found],
                           *[F.max(F.col(d).isNull().cast("int")).alias(f"__null_{d}") for d in found])
-        size = F.lit(1).cast("bigint")
-        for d, levels in dims.items():
-            size = size * (F.lit(len(levels)) if levels is not None
-                           else (F.size(d) + F.col(f"__null_{d}")).cast("bigint"))
-        cells = row.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-        if cells > max_cells:
-            raise ValueError(f"grid would have {cells} cells (> {max_cells})")
         base = row.select(*by, *[
             F.when(F.col(f"__null_{d}") == 1, F.concat(F.col(d), F.array(F.lit(None).cast(df.schema[d].dataType))))
              .otherwise(F.col(d)).alias(d) for d in found])
     else:
-        cells = 1
-        for d in dims:
-            cells *= len(dims[d])
-        if cells > max_cells:
-            raise ValueError(f"grid would have {cells} cells (> {max_cells})")
         from pyspark.sql import SparkSession
         base = SparkSession.getActiveSession().range(1).select()
     grid = base
@@ -90,7 +78,7 @@ def level_grid(df: DataFrame | None, dims: dict[str, Sequence | None],
 
 
 def complete_grid(counts: DataFrame, dims: dict[str, Sequence | None], fill: dict[str, object],
-                  max_cells: int = 50_000_000, by: Sequence[str] = ()) -> DataFrame:
+                  by: Sequence[str] = ()) -> DataFrame:
     """``tidyr::complete(dims..., fill = list(n = 0))``, within each ``by`` group.
 
     The grid of levels is left-joined to the counts with NULL-safe keys, so an
@@ -102,7 +90,7 @@ def complete_grid(counts: DataFrame, dims: dict[str, Sequence | None], fill: dic
     # counts are bounded by the grid; materialise them once so discovering the
     # levels and the join below do not both recompute the upstream plan
     counts = materialize(counts)
-    grid = level_grid(counts, dims, max_cells, by=by)
+    grid = level_grid(counts, dims, by=by)
     for d, levels in dims.items():
         if levels is not None:
             grid = grid.withColumn(d, F.col(d).cast(counts.schema[d].dataType))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casetally.functions import recode as R
@@ -93,7 +93,7 @@ def infant_population(pop: DataFrame, min_year: int | None = None) -> DataFrame:
 
 def population_shares(pop: DataFrame, max_age: int = 18, scale: float = 100.0,
                       drop_group: str = "White") -> DataFrame:
-    """Child-population shares by group per (state, year), wide: imputation predictors."""
+    """Child-population shares (ages up to ``max_age``) by group per (state, year), wide: predictors of the national path."""
     p = pop.filter(F.col("age") <= max_age).withColumn("race_ethn", population_group())
     p = AG.strict_sums(p, ["state", "year", "race_ethn"], ["pop"])
     shares = RS.share_of_total(p, ["state", "year"], "pop", "pct_pop", scale).drop("pop")
@@ -103,6 +103,11 @@ def population_shares(pop: DataFrame, max_age: int = 18, scale: float = 100.0,
     return wide.withColumnsRenamed({"pct_AIAN": "pct_aian", "pct_Asian/PI": "pct_api"})
 
 
+def infant_population_shares(pop: DataFrame, scale: float = 100.0, drop_group: str = "White") -> DataFrame:
+    """The same shares of the age-0 population: predictors of the state path."""
+    return population_shares(pop, 0, scale, drop_group)
+
+
 # --------------------------------------------------------------- state path
 
 
@@ -128,7 +133,8 @@ def prepare_state_cases(cases: DataFrame, quality: DataFrame, first_index: DataF
     c = cases.withColumn("st_id", R.paste_key("staterr", "chid"))
     if first_index is not None:
         c = D.keep_indexed(c, first_index, [k for k in first_index.columns if k in c.columns])
-    c = D.keep_first(c, ["st_id", "subyr"], ["rptdt"], ["chid"])  # within each yearly file
+    # within each yearly file; reports of one day are told apart by all their columns
+    c = D.keep_first(c, ["st_id", "subyr"], ["rptdt"], [D.row_digest(cases.columns)])
     c = c.withColumn("chage", R.replace_value("chage", 77, 0))
     c = c.withColumns({
         "rptsrc": R.code_labels("rptsrc", REPORTER_LABELS, rest_label=REPORTER_OTHER,
@@ -142,6 +148,7 @@ def prepare_state_cases(cases: DataFrame, quality: DataFrame, first_index: DataF
     return c.withColumnsRenamed({"subyr": "year", "chage": "age", "staterr": "state"})
 
 
+# The targets of the state path and their models; both code columns are factors.
 STATE_TARGETS = {
     "rptsrc": {"method": "polyreg"},
     "ipse": {"method": "logreg"},
@@ -164,7 +171,8 @@ def state_counts(prepared: DataFrame, shares: DataFrame, m: int = 10, seed: int
     for t, spec in base.items():
         preds = [c for c in ["state", *names, *share_cols] if c != t]
         specs[t] = {"predictors": preds, "cells": [["state"]], **spec}
-    observed, completed = chained_impute(data, specs, ["st_id"], m, seed, maxit=maxit, by=["year"], split=True)
+    observed, completed = chained_impute(data, specs, ["st_id", "year"], m, seed, maxit=maxit, by=["year"],
+                                         kinds=FACTORS, split=True)
     keep = (F.col("age") == 0) & (F.col("rptsrc") == "medical")
     keys = ["year", "state", "race_ethn", "chmal1", "ipse"]
     # records without imputed values are counted once, not m times
@@ -195,25 +203,35 @@ def prepare_national_cases(cases: DataFrame) -> DataFrame:
     return c.drop("chage").withColumnsRenamed({"subyr": "year"})
 
 
-NATIONAL_TARGETS = {"age": {"method": "pmm"}, "race_ethn": {"method": "polyreg"}}
+def with_report_key(prepared: DataFrame) -> DataFrame:
+    """Person id, and a unique key of each report: a digest of all its columns, numbered within equal reports."""
+    keyed = prepared.withColumns({"st_id": R.paste_key("staterr", "chid"), "report": D.row_digest(prepared.columns)})
+    return keyed.withColumn("twin", F.row_number().over(Window.partitionBy("report").orderBy("report")))
+
+
+# The targets and predictors of the national path (ids and type slots are neither).
+NATIONAL_TARGETS = {"age": {"method": "pmm"}, "race_ethn": {"method": "polyreg"},
+                    "chprior": {"method": "logreg"}, "rptvictim": {"method": "pmm"}}
+NATIONAL_PREDICTORS = ["age", "rptsrc", "race_ethn", "chprior", "rptvictim"]
+FACTORS = {"rptsrc": "factor", "chmal1": "factor"}
 
 
 def national_results(prepared: DataFrame, shares: DataFrame, pop_infant: DataFrame, m: int = 10,
                      seed: int = 57, maxit: int = 5, targets: dict | None = None,
-                     row_key: Sequence[str] = ("st_id", "rptdt", "rptsrc")) -> dict[str, DataFrame]:
+                     row_key: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Group rates and type rates of infants (latest report per person and
     imputation within each year); ids and type slots neither predict nor are
-    predicted. ``row_key`` identifies a report for the keyed draws."""
+    predicted. ``row_key`` identifies a report for the keyed draws (default:
+    a digest of all its columns)."""
     sh = shares.withColumnRenamed("state", "staterr")
-    data = J.natural_left_join(prepared, sh, keys=["staterr", "year"], null_safe=False)
+    data = J.natural_left_join(with_report_key(prepared), sh, keys=["staterr", "year"], null_safe=False)
     share_cols = [c for c in shares.columns if c.startswith("pct_")]
     base = targets or NATIONAL_TARGETS
-    predictors = ["rptsrc", "chprior", "age", "race_ethn", *share_cols]
+    predictors = [*NATIONAL_PREDICTORS, *share_cols]
     specs = {t: {"predictors": [p for p in predictors if p != t], "cells": [["staterr"]], **spec}
              for t, spec in base.items()}
-    data = data.withColumn("st_id", R.paste_key("staterr", "chid"))
-    observed, completed = chained_impute(data, specs, list(row_key), m, seed, maxit=maxit, by=["year"],
-                                         split=True)
+    observed, completed = chained_impute(data, specs, list(row_key or ["report", "twin"]), m, seed, maxit=maxit, by=["year"],
+                                         kinds={k: v for k, v in FACTORS.items() if k in data.columns}, split=True)
     roles = SV.Roles(row_key="chid", person="st_id", unit="staterr", date="rptdt")
     # persons with no imputed record are the same in every imputation: deduplicate
     # them once; only the others are expanded and deduplicated per imputation
@@ -223,9 +241,9 @@ def national_results(prepared: DataFrame, shares: DataFrame, pop_infant: DataFra
         .unionByName(completed)
     medical = {"medical": R.equals_flag("rptsrc", 2)}
     stable = D.keep_latest(stable_rows.filter(F.col("age") == 0).withColumns(medical),
-                           ["year", "st_id"], ["rptdt"], ["chid"])
+                           ["year", "st_id"], ["rptdt"], ["report", "twin"])
     expanded = D.keep_latest(expanded_rows.filter(F.col("age") == 0).withColumns(medical),
-                             ["imp", "year", "st_id"], ["rptdt"], ["chid"])
+                             ["imp", "year", "st_id"], ["rptdt"], ["report", "twin"])
     groups = SV.group_rates_split(stable, expanded, pop_infant, m, roles)
     types = SV.type_rates_split(stable, expanded, pop_infant, m, roles)
     return {"group_rates": groups, "type_rates": types}

@@ -575,3 +575,41 @@ SELECT p.race_ethn,
        CASE WHEN count(*) FILTER (WHERE p.pop IS NULL) > 0 THEN NULL ELSE CAST(sum(p.pop) AS BIGINT) END AS pop
 FROM sy LEFT JOIN popy p ON sy.state IS NOT DISTINCT FROM p.state AND sy.year IS NOT DISTINCT FROM p.year
 GROUP BY p.race_ethn"""
+
+
+SQL["delimited_roundtrip"] = """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS o_custkey, o_orderstatus,
+       CAST(o_orderdate AS DATE) AS o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS year
+FROM orders"""
+
+SQL["na_csv_roundtrip"] = """
+SELECT c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey,
+       CASE WHEN c_acctbal > 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) END AS cents,
+       CASE WHEN c_nationkey <> 3 THEN c_acctbal > 500 END AS rich
+FROM customer"""
+
+# the five donor groups below a prediction and the five at or above it, ranked, cut at five donors
+SQL["pmm_donors"] = with_(CASES, f"""
+c AS (SELECT k.row_key, k.year, k.chmal1 * 8 + length(k.state) AS p,
+             CASE WHEN o.o_orderstatus = 'P' AND o.o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN NULL
+                  ELSE CAST(round(o.o_totalprice / 1000) AS INTEGER) END AS amount
+      FROM cases k JOIN orders o ON o.o_orderkey = k.row_key),
+d AS (SELECT year, p, amount, n, row_number() OVER (PARTITION BY year ORDER BY p, amount) AS pos
+      FROM (SELECT year, p, amount, count(*) AS n FROM c WHERE amount IS NOT NULL GROUP BY ALL)),
+q AS (SELECT DISTINCT year, p + 3.25::DOUBLE AS x FROM c WHERE amount IS NULL),
+g AS (SELECT q.year, q.x, count(d.pos) AS below FROM q LEFT JOIN d ON d.year = q.year AND d.p < q.x GROUP BY ALL),
+near AS (SELECT g.year, g.x, d.p, d.amount, d.n,
+                sum(d.n) OVER (PARTITION BY g.year, g.x ORDER BY abs(d.p - g.x), d.p, d.amount) AS upto
+         FROM g JOIN d ON d.year = g.year AND d.pos BETWEEN g.below - 4 AND g.below + 5),
+cut AS (SELECT year, x, amount, least(upto, 5) AS hi, upto - n AS lo, max(least(upto, 5)) OVER (PARTITION BY year, x) AS tot
+        FROM near WHERE upto - n < 5),
+need AS (SELECT row_key, year, p + 3.25::DOUBLE AS x, {u_sql('row_key', '1', 'amount')} AS u FROM c WHERE amount IS NULL)
+""") + f"""
+SELECT need.row_key, CAST(cut.amount AS INTEGER) AS amount
+FROM need LEFT JOIN cut ON cut.year = need.year AND cut.x = need.x
+  AND (need.u * cut.tot) // {U32} >= cut.lo AND (need.u * cut.tot) // {U32} < cut.hi"""
+
+SQL["logistic_draw"] = with_(CASES) + f"""
+SELECT row_key, {u_sql('row_key', '1', 'ipse')} / {U32}.0::DOUBLE
+       >= 1 - 1 / (1 + exp(-(0.25::DOUBLE - 1.5::DOUBLE * ((chmal1 - 1) / 4.0::DOUBLE) + CASE WHEN medical THEN 0.75::DOUBLE ELSE 0 END))) AS ipse
+FROM cases WHERE ipse IS NULL"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -404,8 +405,40 @@ def fwf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("bal_sign") == "-", -F.col("bal_cents")).otherwise(F.col("bal_cents")).alias("bal_cents"))
 
 
+def _lines(df: DataFrame, header: list[str], sep: str, missing: str) -> DataFrame:
+    return df.select(F.array_join(F.array(*[F.coalesce(F.col(h.lower()).cast("string"), F.lit(missing)) for h in header]), sep).alias("value"))
+
+
+@query
+def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tab-separated lines of two layouts (columns in another order and case), dates as MM/dd/yyyy, parsed and stacked."""
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                                F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"))
+    o = o.withColumn("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")))
+    columns = {"o_orderkey": T.LongType(), "o_custkey": T.LongType(), "o_orderstatus": T.StringType(), "o_orderdate": T.DateType()}
+    layouts = [["O_ORDERKEY", "O_CUSTKEY", "O_ORDERSTATUS", "O_ORDERDATE"], ["o_orderdate", "o_orderstatus", "o_orderkey", "o_custkey"]]
+    parts = []
+    for i, header in enumerate(layouts):
+        lines = _lines(o.filter(F.col("o_orderkey") % 2 == i), header, "\t", "")
+        parts.append(lines.select(*SRC.delimited_columns("value", header, columns, date_format="MM/dd/yyyy")))
+    return RS.stack_by_name(parts).withColumn("year", F.year("o_orderdate"))
+
+
+@query
+def na_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as comma-separated lines with NA for missing values, parsed."""
+    c = S.table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("cents"),
+        F.when(F.col("c_nationkey") != 3, F.col("c_acctbal") > 500).alias("rich"))
+    header = ["c_custkey", "rich", "cents", "c_nationkey"]
+    columns = {"c_custkey": T.LongType(), "c_nationkey": T.IntegerType(), "cents": T.LongType(), "rich": T.BooleanType()}
+    return _lines(c, header, ",", "NA").select(*SRC.delimited_columns("value", header, columns, ",", "NA"))
+
+
 # ----------------------------------------------------------------- imputation
 
+from casetally.functions.draws import uniform_u32  # noqa: E402
+from casetally.operators import models as MO  # noqa: E402
 from casetally.operators import impute as IM  # noqa: E402
 from casetally.plans import surveillance as SV  # noqa: E402
 
@@ -516,6 +549,29 @@ def impute_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("row_key", "imp", "race_ethn", "ipse", "amount")
 
 
+@query
+def pmm_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donor search and draw of predictive mean matching with given predictions (one run per year)."""
+    c = S.cases(spark, sf_dir).withColumn("__p", (F.col("chmal1") * 8 + F.length("state")).cast("double"))
+    tags = [F.lit(1).alias(MO.ALL), F.col("year").cast("string").alias(MO.BY)]
+    seen = c.filter(F.col("amount").isNotNull()).select(*tags, "__p", F.col("amount").cast("double").alias("__v"))
+    donors = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT))
+    u = uniform_u32(F.lit(S.SEED), "row_key", F.lit(1), F.lit("amount"), F.lit(0))
+    need = c.filter(F.col("amount").isNull()).select(*tags, "row_key", (F.col("__p") + 3.25).alias("__p"), u.alias("__u"))
+    return MO.match_donors(donors, need, 5, "amount").select("row_key", F.col("amount").cast("int").alias("amount"))
+
+
+@query
+def logistic_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw of a two-class target from a logit with given coefficients."""
+    c = S.cases(spark, sf_dir).filter(F.col("ipse").isNull())
+    design = MO.Design(numbers={"chmal1": (1.0, 4.0, False)}, factors={"medical": ["false", "true"]})
+    u = uniform_u32(F.lit(S.SEED), "row_key", F.lit(1), F.lit("ipse"), F.lit(0))
+    rows = c.select("row_key", F.lit(1).alias(MO.ALL), F.lit("").alias(MO.BY), u.alias("__u"), *design.columns("__x_"))
+    drawn = MO.draw_classes(rows, design, ["false", "true"], {(1, ""): np.array([[0.25, -1.5, 0.75]])}, "__u", "drawn")
+    return drawn.select("row_key", F.col("drawn").cast("boolean").alias("ipse"))
+
+
 @query
 def pop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons at risk by group over the unit-years that have case records."""

@@ -2,8 +2,8 @@
 
 from casetally.sources.readers import (fixed_width_columns, pack_fixed_width, read_checkpoint,
                                        read_csv_na, read_delimited, read_fixed_width,
-                                       read_tables, write_checkpoint, write_result_csv)
+                                       write_checkpoint, write_result_csv)
 
 __all__ = ["fixed_width_columns", "pack_fixed_width", "read_checkpoint", "read_csv_na",
-           "read_delimited", "read_fixed_width", "read_tables", "write_checkpoint",
+           "read_delimited", "read_fixed_width", "write_checkpoint",
            "write_result_csv"]

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from casetally.operators.names import lower_names
 
 
-def _cast(col, dtype: T.DataType, strict: bool):
+def _cast(col, dtype: T.DataType, strict: bool, date_format: str | None = None):
     c = F.col(col) if isinstance(col, str) else col
+    if date_format and isinstance(dtype, T.DateType):
+        return F.to_date(c, date_format) if strict else F.try_to_timestamp(c, F.lit(date_format)).cast("date")
     return c.cast(dtype) if strict else c.try_cast(dtype)
 
 
@@ -46,14 +48,15 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: dict[str, T.DataType],
-                   sep: str = "\t", null_values: str | None = None, strict: bool = False,
+                   sep: str = "\t", null_values: str | None = None, strict: bool = True, date_format: str | None = None,
                    year_pattern: str | None = None, year_col: str = "file_year") -> DataFrame:
     """Delimited files with a header line, one per year, stacked by column name.
 
     Each file is its own relation, so each file's header decides its column
     order (yearly files may order or case their columns differently). Header
-    names are lower-cased, only ``columns`` are kept and cast (``try_cast``
-    unless ``strict``); the CSV reader prunes the other columns. With
+    names are lower-cased, only ``columns`` are kept and cast. Text that does
+    not fit its type raises; with ``strict=False`` it becomes NULL (which later
+    steps would impute). ``date_format`` is the pattern of date columns. The CSV reader prunes the other columns. With
     ``year_pattern`` (a regex with one group) the year is taken from the file
     name rather than from the position of the file in a listing.
     """
@@ -67,7 +70,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: dic
         if missing:
             raise KeyError(f"columns {missing} not in the header of {f}")
         extra = [F.col("_metadata.file_name").alias("__file")] if year_pattern else []
-        frames.append(raw.select(*[_cast(c, t, strict).alias(c) for c, t in columns.items()], *extra))
+        frames.append(raw.select(*[_cast(c, t, strict, date_format).alias(c) for c, t in columns.items()], *extra))
     out = frames[0]
     for fr in frames[1:]:
         out = out.unionByName(fr)
@@ -77,13 +80,24 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: dic
     return out
 
 
-def read_csv_na(spark: SparkSession, paths, columns: dict[str, T.DataType], strict: bool = False) -> DataFrame:
+def delimited_columns(value_col, header: Sequence[str], columns: dict[str, T.DataType], sep: str = "\t",
+                      null_values: str | None = None, strict: bool = True, date_format: str | None = None) -> list:
+    """Column expressions that parse lines of text, with the CSV parser and the casts of ``read_delimited``."""
+    names = [h.lower() for h in header]
+    if missing := [c for c in columns if c not in names]:
+        raise KeyError(f"columns {missing} not in the header {list(header)}")
+    options = {"sep": sep, **({} if null_values is None else {"nullValue": null_values})}
+    row = F.from_csv(F.col(value_col), ", ".join(f"`{n}` string" for n in names), options)
+    return [_cast(row[c], t, strict, date_format).alias(c) for c, t in columns.items()]
+
+
+def read_csv_na(spark: SparkSession, paths, columns: dict[str, T.DataType], strict: bool = True) -> DataFrame:
     """Comma-separated result/index files where the text ``NA`` means missing."""
     return read_delimited(spark, paths, columns, sep=",", null_values="NA", strict=strict)
 
 
 def fixed_width_columns(value_col, fields: Sequence[tuple[str, int, T.DataType]],
-                        strict: bool = False) -> list:
+                        strict: bool = True) -> list:
     """Column expressions that cut one text column by declared widths."""
     v = F.col(value_col) if isinstance(value_col, str) else value_col
     out, start = [], 1
@@ -96,7 +110,7 @@ def fixed_width_columns(value_col, fields: Sequence[tuple[str, int, T.DataType]]
 
 
 def read_fixed_width(spark: SparkSession, paths, fields: Sequence[tuple[str, int, T.DataType]],
-                     strict: bool = False) -> DataFrame:
+                     strict: bool = True) -> DataFrame:
     """Fixed-width text (no header): one record per line, fields by width."""
     lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
     return lines.select(*fixed_width_columns("value", fields, strict))
@@ -126,10 +140,7 @@ def read_checkpoint(spark: SparkSession, path: str, where=None) -> DataFrame:
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
-    """Small result table as CSV with a header (``write_csv``)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
-
+    """Small result table as one CSV file with a header (``write_csv``). The rows are computed in parallel and meet in
+    one task only to be written."""
+    df.repartition(1).write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
 
-def read_tables(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Driver parquet tables by name."""
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}

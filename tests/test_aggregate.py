@@ -82,7 +82,8 @@ def test_materialize_and_release(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     saved = MZ.materialize(df)
     assert saved.count() == 10
-    small, n = MZ.checked_broadcast(df, max_rows=5)
-    assert n == 10 and "broadcast" not in small._jdf.queryExecution().analyzed().toString().lower()
+    from pyspark.sql import functions as F
+    stats = {"n": F.count("*"), "top": F.max("k")}
+    assert MZ.saved_with_stats(df, stats).count() == 10 and stats == {"n": 10, "top": 9}
     assert MZ.release_materialized(spark)
     assert not MZ.release_materialized(spark)

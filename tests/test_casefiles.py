@@ -82,7 +82,7 @@ def test_state_path_matches_brute_force(spark, files):
     pop = CF.read_population(spark, str(d / "pop.txt"))
     quality = CF.quality_screen(cases)
     prepared = CF.prepare_state_cases(cases, quality)
-    counts = CF.state_counts(prepared, CF.population_shares(pop), m=2, seed=1, maxit=1)
+    counts = CF.state_counts(prepared, CF.infant_population_shares(pop), m=2, seed=1, maxit=1)
     res = CF.state_results(counts, CF.infant_population(pop), 2, 2019)
     got = {(r.state, r.race_ethn): r for r in res["rates"].collect()}
 
@@ -156,6 +156,10 @@ def test_national_split_equals_long_form_with_missing_values(spark, tmp_path):
     for i, r in enumerate(recs):
         if i % 6 == 0:
             r["chage"] = 99  # age missing
+        if i % 8 == 0:
+            r["chprior"] = ""
+        if i % 7 == 0:
+            r["rptvictim"] = ""
         if i % 9 == 0:
             for c in ("chracbl", "chracai", "chracas", "chracnh", "chracwh", "cethn"):
                 r[c] = 0  # race missing
@@ -171,15 +175,33 @@ def test_national_split_equals_long_form_with_missing_values(spark, tmp_path):
 
     # the same imputations, expanded in full, deduplicated per imputation
     sh = shares.withColumnRenamed("state", "staterr")
-    data = prepared.join(sh, ["staterr", "year"], "left").withColumn("st_id", F.concat("staterr", "chid"))
+    data = CF.with_report_key(prepared).join(sh, ["staterr", "year"], "left")
     share_cols = [c for c in shares.columns if c.startswith("pct_")]
-    preds = ["rptsrc", "chprior", "age", "race_ethn", *share_cols]
+    preds = [*CF.NATIONAL_PREDICTORS, *share_cols]
     specs = {t: {"predictors": [p for p in preds if p != t], "cells": [["staterr"]], **spec}
              for t, spec in CF.NATIONAL_TARGETS.items()}
-    long = chained_impute(data, specs, ["st_id", "rptdt", "rptsrc"], 3, 2, maxit=1, by=["year"])
+    kinds = {"rptsrc": "factor", "chmal1": "factor"}
+    long = chained_impute(data, specs, ["report", "twin"], 3, 2, maxit=1, by=["year"], kinds=kinds)
     long = long.withColumn("medical", F.col("rptsrc") == 2)
-    latest = D.keep_latest(long.filter(F.col("age") == 0), ["imp", "year", "st_id"], ["rptdt"], ["chid"])
+    latest = D.keep_latest(long.filter(F.col("age") == 0), ["imp", "year", "st_id"], ["rptdt"], ["report", "twin"])
     roles = SV.Roles(row_key="chid", person="st_id", unit="staterr", date="rptdt")
     want = SV.group_rates_from_long(latest, infants, 3, roles)
     assert rows(res["group_rates"]) == rows(want)
-    assert long.filter(F.col("age").isNull() | F.col("race_ethn").isNull()).count() == 0
+    open_ = [F.col(c).isNull() for c in ("age", "race_ethn", "chprior", "rptvictim")]
+    assert prepared.filter(open_[2] | open_[3]).count() and not long.filter(open_[0] | open_[1] | open_[2] | open_[3]).count()
+
+
+def test_reports_of_one_day_give_the_same_counts_in_any_partitioning(spark, files):
+    """Several reports of a child on one date that differ in nothing but other columns."""
+    from casetally.operators import dedup as D
+    from pyspark.sql import functions as F
+    d, _, pops = files
+    cases = CF.read_child_files(spark, str(d / "CF*.tab")).withColumn("rptdt", F.lit("2019-05-05").cast("date"))
+    flipped = cases.withColumns({"rptsrc": F.when(F.col("rptsrc") == 2, 4).otherwise(2), "cddrug": 3 - F.col("cddrug")})
+    cases = cases.unionByName(flipped)
+    quality = CF.quality_screen(cases)
+    seen = {str(rows(CF.prepare_state_cases(cases.repartition(n, *keys), quality)))
+            for n, keys in ((1, ["rptsrc"]), (5, ["chid"]), (3, ["cddrug"]))}
+    assert len(seen) == 1
+    with pytest.raises(ValueError):
+        D.keep_first(cases, ["staterr", "chid"], ["rptdt"], ["chid"])

@@ -122,7 +122,7 @@ def test_binary_search_draw_equals_linear_scan(spark):
     table = IM.backoff_table(df.filter("y IS NULL").select("state", "year").distinct(), df,
                              {"y": [["state", "year"]]})
     miss = df.filter("y IS NULL").join(table, ["state", "year"]).withColumn("u", uniform_u32("row_key"))
-    lin = IM.with_draw(miss, "a", "y_thr", "y_tot", F.col("u"), 1)
+    lin = miss.withColumn("a", F.filter("y_thr", lambda x: x["hi"] * F.lit(1 << 32) > F.col("u") * F.col("y_tot"))[0]["v"])
     both = IM.with_draw(lin, "b", "y_thr", "y_tot", F.col("u"), 300)
     assert both.filter(F.col("a") != F.col("b")).count() == 0
     assert both.filter(F.col("b").isNull()).count() == 0
@@ -147,9 +147,71 @@ def test_chained_per_year_runs_and_default_methods(spark):
     assert rows(long) == rows(again)
 
 
-def test_pmm_distributed_ordinals_equal_window(spark):
-    df = _numeric(spark)
-    small = IM.pmm_draws(df, "y", numeric=["x"], categorical=["g"], row_key=["row_key"], m=2, seed=8)
-    large = IM.pmm_draws(df, "y", numeric=["x"], categorical=["g"], row_key=["row_key"], m=2, seed=8,
-                         max_groups=3)
-    assert rows(small) == rows(large)
+def test_donor_search_matches_brute_force(spark):
+    """Equal predictions, few donors, several groups; however the rows fall into partitions."""
+    import numpy as np
+    from casetally.operators import models as MO
+    rng = np.random.default_rng(1)
+    pool = {(int(i), b, float(p), float(v)): int(n) for i, b, p, v, n in zip(
+        rng.integers(1, 3, 300), rng.choice(["a", "b"], 300), rng.integers(0, 40, 300) / 4, rng.integers(0, 9, 300), rng.integers(1, 4, 300))}
+    pool[3, "a", 1.0, 5.0] = 2
+    asked = [(j, int(i), b, float(p), int(u)) for j, (i, b, p, u) in enumerate(zip(
+        rng.integers(1, 4, 400), rng.choice(["a", "b"], 400), rng.integers(-8, 90, 400) / 8, rng.integers(0, 1 << 32, 400)))]
+    donors = spark.createDataFrame([(*k, n) for k, n in pool.items()], "__imp int, __by string, __p double, __v double, __n long")
+    need = spark.createDataFrame(asked, "row int, __imp int, __by string, __p double, __u long")
+    got = {r.row: r.out for r in MO.match_donors(donors, need, 5, "out").collect()}
+    for j, i, b, p, u in asked:
+        near, left = [], 5
+        own = sorted((q, v, n) for (x, y, q, v), n in pool.items() if (x, y) == (i, b))
+        before = sum(q < p for q, _, _ in own)
+        for _, q, v, n in sorted((abs(q - p), q, v, n) for q, v, n in own[max(0, before - 5):before + 5]):
+            near += [v] * min(n, left)
+            left -= min(n, left)
+        want = near[u * len(near) >> 32] if near else None
+        assert got[j] == want or (want is None and np.isnan(got[j])), (j, p, near)
+
+
+def test_logit_fit_matches_closed_form(spark):
+    """One binary factor: the fitted log odds are the observed ones (up to the weak prior); posterior draws vary."""
+    import math
+
+    import numpy as np
+    from casetally.operators import models as MO
+    data = [(0, "", 1.0 * (i % 2), str(bool(i % 10 < (3 if i % 2 else 7))).lower(), 1) for i in range(20000)]
+    rows_ = spark.createDataFrame(data, "__imp int, __by string, x double, __y string, __n long")
+    fits = MO.fit_logit(rows_, MO.Design(numbers={"x": (0.0, 1.0, False)}), "__y", ["false", "true"], 2)
+    odds = lambda x: math.log(sum(1 for r in data if r[2] == x and r[3] == "true") / sum(1 for r in data if r[2] == x and r[3] == "false"))
+    for imp in (1, 2):
+        beta = fits[imp, ""].beta[0]
+        assert abs(beta[0] - odds(0)) < 0.01 and abs(beta[0] + beta[1] - odds(1)) < 0.01
+    drawn = np.array([fits[1, ""].drawn([i])[0] for i in range(400)])
+    spread = np.sqrt(np.diag(np.linalg.inv(fits[1, ""].information)))
+    assert np.allclose(drawn.std(axis=0), spread, rtol=0.2)
+
+
+def test_draws_beyond_two_to_the_31_donors(spark):
+    from casetally.functions.draws import scaled
+    tot = 3_000_000_000
+    data = [(u, tot * k) for u in (0, 1, 65535, 65536, 2**31, 2**32 - 1) for k in (1, 7, 10000)]
+    df = spark.createDataFrame(data, "u long, tot long").withColumn("r", scaled(F.col("u"), F.col("tot")))
+    assert all(r.r == r.u * r.tot >> 32 for r in df.collect())
+    thr = spark.createDataFrame([([(tot // 3, "a"), (tot, "b")], tot, u) for u in (0, 2**30, 2**31, 2**32 - 1)],
+                                "t array<struct<hi:long,v:string>>, n long, u long")
+    out = IM.with_draw(thr, "v", "t", "n", F.col("u"), 2)
+    assert [r.v for r in out.orderBy("u").collect()] == ["a", "a", "b", "b"]
+
+
+def test_missing_key_parts_are_told_apart(spark):
+    from casetally.functions.draws import uniform_u32
+    df = spark.createDataFrame([("A", None, "C"), ("A", "C", None)], "a string, b string, c string")
+    assert len({r[0] for r in df.select(uniform_u32("a", "b", "c")).collect()}) == 2
+
+
+def test_factor_codes_and_missing_predictors(spark):
+    from casetally.operators.chained import chained_impute, methods_from_schema
+    data = [(i, None if i % 9 == 0 else (99 if i % 4 == 0 else i % 4), None if i % 11 == 0 else i % 5, None if i % 7 == 0 else float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(data, "row_key long, code int, x int, y double")
+    assert methods_from_schema(df, ["code"], {"code": "factor"}) == {"code": "polyreg"}
+    long = chained_impute(df, {"code": {"predictors": ["y", "x"]}, "y": {"predictors": ["code", "x"]}}, ["row_key"], 2, 3, maxit=1, kinds={"code": "factor"})
+    assert long.count() == 600 and long.filter(F.col("code").isNull() | F.col("y").isNull()).count() == 0
+    assert {r.code for r in long.select("code").distinct().collect()} == {1, 2, 3, 99}

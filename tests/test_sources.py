@@ -1,5 +1,6 @@
 """Readers with explicit types, fixed width, year from file name, checkpoints."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +13,23 @@ def test_delimited_header_case_and_year_from_name(spark, tmp_path):
     for yr, body in [(2016, "STATERR\tCHID\tCHAGE\tEXTRA\nAK\t001\t77\tz\nAL\t002\t\tz\n"),
                      (2017, "chage\tStaterr\tChid\nxx\tAZ\t003\n")]:
         (tmp_path / f"CF{yr}v3.tab").write_text(body)
-    df = SRC.read_delimited(spark, str(tmp_path), {"staterr": T.StringType(), "chid": T.StringType(),
-                                                   "chage": T.IntegerType()},
-                            year_pattern=SC.CASE_FILE_YEAR)
+    columns = {"staterr": T.StringType(), "chid": T.StringType(), "chage": T.IntegerType()}
+    df = SRC.read_delimited(spark, str(tmp_path), columns, strict=False, year_pattern=SC.CASE_FILE_YEAR)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        SRC.read_delimited(spark, str(tmp_path), columns).collect()
     assert rows(df, "staterr", "chid", "chage", "file_year") == [
         ("AK", "001", 77, 2016), ("AL", "002", None, 2016), ("AZ", "003", None, 2017)]
 
 
+def test_dates_in_another_format(spark, tmp_path):
+    (tmp_path / "CF2012v1.tab").write_text("id\trptdt\n1\t03/15/2012\n2\t\n")
+    columns = {"id": T.IntegerType(), "rptdt": T.DateType()}
+    df = SRC.read_delimited(spark, str(tmp_path), columns, date_format="MM/dd/yyyy")
+    assert [str(r.rptdt) for r in df.orderBy("id").collect()] == ["2012-03-15", "None"]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        SRC.read_delimited(spark, str(tmp_path), columns).collect()
+
+
 def test_fixed_width_population_line(spark, tmp_path):
     (tmp_path / "pop.txt").write_text("2019AK02001991010000000123\n2019AL01003991211000001000\n")
     df = SRC.read_fixed_width(spark, str(tmp_path / "pop.txt"), SC.POPULATION_FIELDS)
