@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from casetally.llm.common import partitions, row_key, store
 
-PIECE = 128
+PIECE = 160
 TABLES, WIDTH = 3, 10
 CELLS = TABLES * WIDTH
 #: Digests that a part is planned for, parts made of one at once, and levels of parts before the first try.
@@ -37,6 +37,11 @@ ROUNDS = 10
 DIGESTS = "array<bigint>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once (an expression used inside a lambda is computed anew at every call)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^\n]{1,%d}" % PIECE), F.lit(0))
@@ -53,7 +58,7 @@ def _cell(x: Column, table: int) -> Column:
 
 def _entry(x: Column, sign: Column) -> Column:
     """A digest with its sign, check sum and cells."""
-    return F.struct(sign.alias("n"), x.alias("x"), _check(x).alias("c"), *[_cell(x, t).alias(f"t{t}") for t in range(TABLES)])
+    return F.struct(sign.alias("n"), x.alias("x"), _check(x).alias("c"), F.array(*[_cell(x, t) for t in range(TABLES)]).alias("at"))
 
 
 def _put(cell: Column, e: Column, times: int) -> Column:
@@ -62,11 +67,10 @@ def _put(cell: Column, e: Column, times: int) -> Column:
 
 def _fill(cells: Column, entries: Column, times: int) -> Column:
     """``cells`` with the entries added (or taken out)."""
-    def one(cell: Column, i: Column) -> Column:
-        table = F.floor(i / WIDTH).cast("int")
-        at = lambda e: F.when(table == 0, e["t0"]).when(table == 1, e["t1"]).otherwise(e["t2"])
-        return F.aggregate(entries, cell, lambda acc, e: F.when(at(e) == i, _put(acc, e, times)).otherwise(acc))
-    return F.transform(cells, one)
+    def one(some: Column, cell: Column, i: Column) -> Column:
+        return _let(F.floor(i / WIDTH).cast("int"), lambda table: F.aggregate(
+            some, cell, lambda acc, e: F.when(F.get(e["at"], table) == i, _put(acc, e, times)).otherwise(acc)))
+    return _let(entries, lambda some: F.transform(cells, lambda cell, i: one(some, cell, i)))
 
 
 def _zero() -> Column:
@@ -91,11 +95,12 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells: Column) -> Column:
     """struct(cells, found): what cannot be peeled, and the recovered (n, x): n is 1 for the first version's, -1 for the second's."""
     def step(state: Column, _: Column) -> Column:
-        sure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
-        pure = F.array_distinct(F.transform(sure, lambda c: _entry(c["x"], c["n"])))
-        found = F.transform(pure, lambda e: F.struct(e["n"].alias("n"), e["x"].alias("x")))
-        return F.when(F.size(sure) == 0, state).otherwise(F.struct(
-            _fill(state["cells"], pure, -1).alias("cells"), F.concat(state["found"], found).alias("found")))
+        sure = F.filter(state["cells"], lambda c: F.when(F.abs(c["n"]) == 1, c["c"] == _check(c["x"])).otherwise(False))
+        pure = lambda own: F.array_distinct(F.transform(own, lambda c: _entry(c["x"], c["n"])))
+        found = lambda e: F.struct(e["n"].alias("n"), e["x"].alias("x"))
+        after = lambda some: F.struct(_fill(state["cells"], some, -1).alias("cells"),
+                                      F.concat(state["found"], F.transform(some, found)).alias("found"))
+        return _let(sure, lambda own: F.when(F.size(own) == 0, state).otherwise(_let(pure(own), after)))
     start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,x:bigint>>").alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
