@@ -129,16 +129,17 @@ def _tried(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ok": is_empty(F.col("state.cells")), "found": F.col("state.found")}).drop("state")
 
 
-def differences(pairs: DataFrame, key: list[str]) -> DataFrame:
+def differences(pairs: DataFrame, key: list[str], counts: bool = False) -> DataFrame:
     """(key, found): the digests of a not in b (n = 1) and of b not in a (n = -1), for rows (key, a, b) whose
-    first sketch did not peel; one row for every part."""
+    first sketch did not peel; one row for every part. With ``counts``, only how many were found."""
     size = F.size("a") + F.size("b")
     rows = pairs.select(*key, "a", "b")
     for level in range(LEVELS):
         rows = _parts(rows, F.least(F.greatest(F.ceil(size / LOAD), F.lit(1)), F.lit(FAN)).cast("int"), F.lit(level))
     done, salt = None, LEVELS
     while True:  # larger, until all is recovered; the parts halve each time, so the rounds are few
-        tried = store(_tried(rows).withColumns({x: F.when(F.col("ok"), None).otherwise(F.col(x)) for x in ("a", "b")}))
+        tried = _tried(rows).withColumn("found", F.size("found")) if counts else _tried(rows)
+        tried = store(tried.withColumns({x: F.when(F.col("ok"), None).otherwise(F.col(x)) for x in ("a", "b")}))
         good = tried.filter("ok").select(*key, "found")
         done = good if done is None else done.unionByName(good)
         rows = tried.filter(~F.col("ok")).select(*key, "a", "b")
@@ -201,8 +202,8 @@ def compare(versions: DataFrame) -> DataFrame:
                                 F.when(~(is_empty(F.col("pe.cells")) & is_empty(F.col("px.cells"))), F.col("a")).alias("a")))
     open_pairs = first.select("d", "k", "a", F.explode(F.array(*[F.struct(F.lit(c).alias("pair"), F.col(c).alias("b")) for c in "ex"])).alias("p"))
     open_pairs = open_pairs.select("d", "k", "p.pair", "a", "p.b").filter(F.col("b").isNotNull())
-    found = differences(open_pairs, ["d", "k", "pair"]).groupBy("d", "k").agg(
-        *[F.sum(F.when(F.col("pair") == c, F.size("found"))).alias(f"l{c}") for c in "ex"])
+    found = differences(open_pairs, ["d", "k", "pair"], counts=True).groupBy("d", "k").agg(
+        *[F.sum(F.when(F.col("pair") == c, F.col("found"))).alias(f"l{c}") for c in "ex"])
     full = first.join(found, ["d", "k"], "left")
     near = [likeness(F.col("na"), F.col(f"n{c}"), F.coalesce(f"d{c}", f"l{c}")).alias(name) for c, name in (("e", "near_edited"), ("x", "near_next"))]
     return full.select("d", "k", "n", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
