@@ -9,10 +9,8 @@ sorts:
    the same place. Anchor hashes are counted over the corpus (packed,
    by bucket of the hash); only those seen in two documents go on.
 2. *Contexts.* Around each such anchor lie all windows that hold it. They are
-   sent to a bucket by the hash of the anchor extended to the right (for
-   windows that begin near it) or to the left (for the others), so a common
-   phrase with many continuations spreads out; equal contexts of a block of
-   documents travel once.
+   sent to a bucket by the hash of the anchor; equal contexts of a block of
+   documents travel once, with the smallest and largest id that has them.
 3. *Suffix sort.* A bucket's suffixes (from the anchor on) are merge-sorted
    per anchor. Two suffixes are compared by prefix polynomial hashes: a binary
    search finds the length of their common extension, the byte after it
@@ -22,6 +20,8 @@ sorts:
    grouped by its bytes where hashes collided. A group's smallest id answers.
 4. The answers go back to the blocks, which mark the bytes.
 
+Texts travel packed, by block and compressed.
+
 Defined cases: a null text is empty; a null id is larger than any other; ids
 that are equal are not smaller than each other, so repeated rows do not remove
 one another; texts shorter than ``LENGTH`` keep every byte; an empty table
@@ -37,7 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +52,9 @@ SORTED = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
-HALF = WIDE // 2
-#: For windows that begin at most HALF bytes before their anchor, and for the others: bytes kept left and right of the
-#: anchor's start, first and last number of bytes before the anchor, and the extended anchor (from, to).
-SIDES = [(HALF, LENGTH, 0, HALF, (0, LENGTH - HALF)), (WIDE - 1, LENGTH - HALF - 1, HALF + 1, WIDE - 1, (-HALF - 1, GRAM))]
+#: Bytes of a context left and right of the anchor's start; a window begins at most LEFT bytes before it.
+LEFT, RIGHT = WIDE - 1, LENGTH
+WIDTH = LEFT + RIGHT + 2  # and how many of them lie in the document, on either side
 
 
 @lru_cache(maxsize=2)
@@ -221,62 +220,90 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Contexts:
-    """The contexts of a block's repeated anchors on one side: distinct ones, and where each occurs."""
+    """The contexts of a block's repeated anchors: distinct ones, and where each occurs. ``parts``: the buckets they are
+    sent to, as (bucket, from, to) of ``order``."""
 
-    def __init__(self, x: np.ndarray, ends: np.ndarray, ids: np.ndarray, at: np.ndarray, side: int):
-        left, right, least, _, (lo, hi) = SIDES[side]
+    def __init__(self, x: np.ndarray, ends: np.ndarray, ids: np.ndarray, at: np.ndarray, h: np.ndarray, buckets: int):
         owner = np.searchsorted(ends, at, "right")
         begin = np.r_[0, ends[:-1]][owner]
-        before, after = np.minimum(at - begin, left), np.minimum(ends[owner] - at, right)
-        fits = (before >= max(least, -lo)) & (after >= hi)
-        self.at, self.ids, before, after = at[fits], ids[owner[fits]], before[fits], after[fits]
-        width = left + right
-        rows = np.zeros((len(self.at), width + 2), np.uint8)
-        for lo_row in range(0, len(self.at), SORTED):
-            part = slice(lo_row, lo_row + SORTED)
-            place = self.at[part, None] + np.arange(-left, right)
-            inside = (np.arange(-left, right) >= -before[part, None]) & (np.arange(-left, right) < after[part, None])
-            rows[part, :width] = np.where(inside, x[np.clip(place, 0, max(len(x) - 1, 0))], 0)
-        rows[:, width], rows[:, width + 1] = before, after
-        whole = rows.view(f"V{width + 2}").ravel() if len(rows) else np.empty(0, f"V{width + 2}")
+        before, after = np.minimum(at - begin, LEFT), np.minimum(ends[owner] - at, RIGHT)
+        self.at, self.ids = at, ids[owner]
+        rows = np.zeros((len(at), WIDTH), np.uint8)
+        near = np.arange(-LEFT, RIGHT)
+        for lo in range(0, len(at), SORTED):
+            part = slice(lo, lo + SORTED)
+            inside = (near >= -before[part, None]) & (near < after[part, None])
+            rows[part, :-2] = np.where(inside, x[np.clip(at[part, None] + near, 0, max(len(x) - 1, 0))], 0)
+        rows[:, -2], rows[:, -1] = before, after
+        whole = rows.view(f"V{WIDTH}").ravel() if len(rows) else np.empty(0, f"V{WIDTH}")
         _, first, self.which = np.unique(whole, return_index=True, return_inverse=True)
         self.rows = rows[first]
-        key = [xxhash.xxh3_64_intdigest(r[left + lo:left + hi].tobytes()) for r in self.rows]
-        self.key = np.array(key, np.uint64)
+        bucket = (h[first] % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.parts = _split(bucket[self.order])
         self.least, self.most = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
         np.minimum.at(self.least, self.which, self.ids)
         np.maximum.at(self.most, self.which, self.ids)
 
 
-def _opened(docs: pd.DataFrame, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[_Contexts]]:
-    """A block's bytes and the contexts of its repeated anchors, in the same order whenever it is opened."""
-    x, ends = _laid_out(docs["t"].tolist())
-    ids = docs["d"].to_numpy(np.int64)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, n, size, data): the documents of a batch by block, compressed."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b.take(pa.compute.sort_indices(b.column(0)))
+        missing = np.array([v is None for v in b.column(1).to_pylist()], np.uint8)
+        numbers = [b.column(1).fill_null(0).to_numpy(), missing, *(b.column(i).to_numpy() for i in (2, 3))]
+        raw = [(t or "").encode("utf-8", "replace") for t in b.column(4).to_pylist()]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        rows = [(v, hi - lo, int(sizes[lo:hi].sum()), _squeeze(*(c[lo:hi] for c in (*numbers, sizes)), np.frombuffer(b"".join(raw[lo:hi]), np.uint8)))
+                for v, lo, hi in _split(b.column(0).to_numpy())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                          pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
+                                         names=["block", "n", "size", "data"])
+
+
+class _Block:
+    """A block's documents, in order of id and text hash: their bytes laid end to end, where each ends, and their keys."""
+
+    def __init__(self, packs: pd.DataFrame):
+        parts, texts = [], []
+        for n, size, data in zip(packs["n"], packs["size"], packs["data"], strict=True):
+            raw = pa.decompress(data, n * 33 + size, codec="zstd", asbytes=True)
+            part = [np.frombuffer(raw, k, n, at * n) for k, at in (("i8", 0), ("u1", 8), ("i8", 9), ("i8", 17), ("i8", 25))]
+            ends = np.cumsum(part[-1]) + n * 33
+            texts += [raw[e - s:e] for e, s in zip(ends.tolist(), part[-1].tolist(), strict=True)]
+            parts.append(part)
+        self.doc_id, missing, self.d, self.k, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        order = np.lexsort((self.k, self.d))
+        self.doc_id, self.d, self.k, self.missing = self.doc_id[order], self.d[order], self.k[order], missing[order] == 1
+        self.x = np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)
+        self.ends = np.cumsum(size[order])
+
+
+def _opened(block: _Block, answers: pd.DataFrame, buckets: int) -> _Contexts:
+    """The contexts of a block's repeated anchors, in the same order whenever it is opened."""
+    x, ends, ids = block.x, block.ends, block.d
     mine = answers[answers["kind"] == 0]
     known = np.unique(np.concatenate([np.empty(0, np.uint64), *(
         _from_planes(*_unsqueeze(data, n, "u2", "u2", "u2")) for n, data in zip(mine["n"], mine["data"], strict=True))]))
     at, h = anchors(x, ends)
     if len(known):
         place = np.minimum(np.searchsorted(known, h & UPPER48), len(known) - 1)
-        at = at[known[place] == h & UPPER48]
+        again = known[place] == h & UPPER48
     else:
-        at = at[:0]
-    return x, ends, ids, [_Contexts(x, ends, ids, at, side) for side in range(len(SIDES))]
+        again = np.zeros(len(at), bool)
+    return _Contexts(x, ends, ids, at[again], h[again], buckets)
 
 
 def _send_contexts(buckets: int):
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return _frame([], ["bucket", "side", "block", "n", "data"])
-        block, rows = int(docs["block"].iloc[0]), []
-        docs = docs.sort_values(["d", "k"], kind="stable")
-        for side, c in enumerate(_opened(docs, answers)[3]):
-            bucket = (c.key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            for v, lo, hi in _split(bucket[order]):
-                own = order[lo:hi]
-                rows.append((v, side, block, hi - lo, _squeeze(c.rows[own], c.key[own], c.least[own], c.most[own], own.astype(np.uint32))))
-        return _frame(rows, ["bucket", "side", "block", "n", "data"])
+    def run(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        names = ["bucket", "block", "n", "data"]
+        if not len(packs):
+            return _frame([], names)
+        c = _opened(_Block(packs), answers, buckets)
+        return _frame([(v, int(packs["block"].iloc[0]), hi - lo, _squeeze(c.rows[own], c.least[own], c.most[own] - c.least[own]))
+                       for v, lo, hi in c.parts for own in [c.order[lo:hi]]], names)
     return run
 
 
@@ -329,12 +356,12 @@ def _horner(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_owners(rows: np.ndarray, key: np.ndarray, least: np.ndarray, side: int) -> np.ndarray:
+def _first_owners(rows: np.ndarray, key: np.ndarray, least: np.ndarray) -> np.ndarray:
     """(contexts, offsets): the smallest id that has the window beginning that many bytes before the anchor; the
     largest integer where a context has no such window. ``key`` is sorted."""
-    left, right, first, last, _ = SIDES[side]
-    body, before, after = rows[:, :left + right].astype(np.uint16) + 1, rows[:, -2], rows[:, -1]
-    place = np.arange(-left, right)
+    left, first, last = LEFT, 0, LEFT
+    body, before, after = rows[:, :-2].astype(np.uint16) + 1, rows[:, -2], rows[:, -1]
+    place = np.arange(-LEFT, RIGHT)
     body[(place < -before[:, None].astype(np.int64)) | (place >= after[:, None])] = 0  # beyond the document
     suffixes = body[:, left:]
     prefix, back = _horner(suffixes), _horner(body[:, :left][:, ::-1])
@@ -369,55 +396,56 @@ def _first_owners(rows: np.ndarray, key: np.ndarray, least: np.ndarray, side: in
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's contexts on one side: which windows of each occur in a smaller document, for the blocks that sent them."""
-    side = int(rows["side"].iloc[0])
-    left, right, first, last, _ = SIDES[side]
-    width = left + right + 2
-    parts = [_unsqueeze(data, n, f"V{width}", "u8", "i8", "i8", "u4") for n, data in zip(rows["n"], rows["data"], strict=True)]
-    key = np.concatenate([p[1] for p in parts])
+    """A bucket's contexts: which windows of each occur in a smaller document, for the blocks that sent them."""
+    parts = [_unsqueeze(data, n, f"V{WIDTH}", "i8", "i8") for n, data in zip(rows["n"], rows["data"], strict=True)]
+    raw = np.concatenate([p[0] for p in parts])
+    key = _mixed(_horner(np.frombuffer(raw.tobytes(), np.uint8).reshape(-1, WIDTH)[:, LEFT:LEFT + GRAM])[:, -1])  # of the anchor
     block = np.repeat(rows["block"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
     order = np.argsort(key, kind="stable")
-    key, block = key[order], block[order]
-    raw = np.concatenate([p[0] for p in parts])[order]
-    least, most, number = (np.concatenate([p[i] for p in parts])[order] for i in (2, 3, 4))
+    key, block, raw = key[order], block[order], raw[order]
+    least, more = (np.concatenate([p[i] for p in parts])[order] for i in (1, 2))
+    most, number = least + more, np.concatenate([np.arange(n) for n in rows["n"]])[order]
     start = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
     found, lo = [], 0
     while lo < len(start) - 1:
         hi = max(lo + 1, int(np.searchsorted(start, start[lo] + SORTED, "right")) - 1)
         part = slice(start[lo], start[hi])
         lo = hi
-        smallest = _first_owners(np.frombuffer(raw[part].tobytes(), np.uint8).reshape(-1, width), key[part], least[part], side)
+        smallest = _first_owners(np.frombuffer(raw[part].tobytes(), np.uint8).reshape(-1, WIDTH), key[part], least[part])
         useful = smallest < most[part][:, None]
         fresh = useful & np.c_[np.ones(len(useful), bool), (smallest[:, 1:] != smallest[:, :-1]) | ~useful[:, :-1]]
         row, col = np.nonzero(fresh)  # runs of offsets with the same answer
         flat_run = np.cumsum(fresh.ravel())[np.flatnonzero(useful.ravel())]
         length = np.bincount(flat_run, minlength=len(row) + 1)[1:] if len(row) else np.empty(0, np.int64)
-        found.append((block[part][row], number[part][row], col + first, col + first + length - 1, smallest[row, col]))
+        found.append((block[part][row], number[part][row], col, col + length - 1, smallest[row, col]))
     block, number, o_lo, o_hi, smallest = (np.concatenate([f[i] for f in found]) for i in range(5))
     order = np.argsort(block, kind="stable")
     out, bucket = [], int(rows["bucket"].iloc[0])
     for v, lo, hi in _split(block[order]):
         own = order[lo:hi]
-        out.append((v, 1 + side, bucket, hi - lo, _squeeze(smallest[own], number[own].astype(np.uint32), o_lo[own].astype(np.uint8), o_hi[own].astype(np.uint8))))
+        out.append((v, 1, bucket, hi - lo, _squeeze(smallest[own], number[own].astype(np.uint32), o_lo[own].astype(np.uint8), o_hi[own].astype(np.uint8))))
     return _frame(out, ["block", "kind", "bucket", "n", "data"])
 
 
 RESULT = "doc_id long, d long, k long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string"
 
 
-def _mark(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _mark(buckets: int):
     names = ["doc_id", "d", "k", "n_bytes", "removed", "kept_sha256"]
-    if not len(docs):
-        return _frame([], names)
-    docs = docs.sort_values(["d", "k"], kind="stable")
-    x, ends, _, contexts = _opened(docs, answers)
-    edge = np.zeros(len(x) + 1, np.int32)
-    for side, c in enumerate(contexts):
+
+    def run(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(packs):
+            return _frame([], names)
+        block = _Block(packs)
+        c = _opened(block, answers, buckets)
+        edge = np.zeros(len(block.x) + 1, np.int32)
         by = np.argsort(c.which, kind="stable")
         bounds = np.searchsorted(c.which[by], np.arange(len(c.rows) + 1))
-        mine = answers[answers["kind"] == 1 + side]
-        for n, data in zip(mine["n"], mine["data"], strict=True):
+        sent = {v: c.order[lo:hi] for v, lo, hi in c.parts}
+        mine = answers[answers["kind"] == 1]
+        for bucket, n, data in zip(mine["bucket"], mine["n"], mine["data"], strict=True):
             smallest, number, o_lo, o_hi = _unsqueeze(data, n, "i8", "u4", "u1", "u1")
+            number = sent[bucket][number]
             many = bounds[number + 1] - bounds[number]
             row = np.repeat(np.arange(len(number)), many)
             own = by[np.repeat(bounds[number], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
@@ -425,18 +453,19 @@ def _mark(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
             at, row = c.at[own[hit]], row[hit]
             np.add.at(edge, at - o_hi[row], 1)
             np.add.at(edge, at - o_lo[row] + LENGTH, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    rows, begin = [], 0
-    for doc_id, d, k, end in zip(docs["doc_id"].tolist(), docs["d"].tolist(), docs["k"].tolist(), ends.tolist(), strict=True):
-        mask, own = covered[begin:end], x[begin:end]
-        turn = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
-        spans = [{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
-        kept = own[~mask].tobytes() if len(turn) else own.tobytes()
-        rows.append((None if pd.isna(doc_id) else int(doc_id), d, k, end - begin, spans, hashlib.sha256(kept).hexdigest()))
-        begin = end
-    out = _frame(rows, names)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+        covered = np.cumsum(edge[:-1]) > 0
+        rows, begin = [], 0
+        for doc_id, missing, d, k, end in zip(*(v.tolist() for v in (block.doc_id, block.missing, block.d, block.k, block.ends)), strict=True):
+            mask, own = covered[begin:end], block.x[begin:end]
+            turn = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
+            spans = [{"start": a, "end": b} for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
+            kept = own[~mask].tobytes() if len(turn) else own.tobytes()
+            rows.append((None if missing else doc_id, d, k, end - begin, spans, hashlib.sha256(kept).hexdigest()))
+            begin = end
+        out = _frame(rows, names)
+        out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
+        return out
+    return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -450,8 +479,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "k"), F.lit(blocks)))
     counted = rows.select("block", "d", "t").mapInArrow(_count_anchors(buckets), "bucket long, n long, data binary")
     repeated = store(counted.groupBy("bucket").applyInPandas(_repeated, ANSWER))
-    texts = rows.groupBy("block")
-    sent = texts.cogroup(repeated.groupBy("block")).applyInPandas(
-        _send_contexts(buckets), "bucket long, side int, block long, n long, data binary")
-    answers = sent.groupBy("bucket", "side").applyInPandas(_answer, ANSWER)
-    return texts.cogroup(repeated.unionByName(answers).groupBy("block")).applyInPandas(_mark, RESULT)
+    packs = rows.select("block", "doc_id", "d", "k", "t").mapInArrow(_packed, "block long, n long, size long, data binary")
+    texts = packs.groupBy("block")
+    sent = texts.cogroup(repeated.groupBy("block")).applyInPandas(_send_contexts(buckets), "bucket long, block long, n long, data binary")
+    answers = sent.groupBy("bucket").applyInPandas(_answer, ANSWER)
+    return texts.cogroup(repeated.unionByName(answers).groupBy("block")).applyInPandas(_mark(buckets), RESULT)

@@ -97,14 +97,13 @@ def test_hash_collisions_are_caught(hard_docs, hard_rows, monkeypatch):
     """With a hash that says little, groups are told apart by their bytes."""
     monkeypatch.setattr(S, "_mixed", lambda h: h & np.uint64(7))
     rng = np.random.default_rng(3)
-    side = 0
-    left, right, first, last, _ = S.SIDES[side]
+    left, right, first, last = S.LEFT, S.RIGHT, 0, S.LEFT
     rows = np.zeros((200, left + right + 2), np.uint8)
     rows[:, :left + right] = rng.integers(97, 99, (200, left + right))
     rows[:, left + 5:left + right] = 97
     rows[:, -2], rows[:, -1] = left, right
     ids = rng.integers(0, 50, 200)
-    got = S._first_owners(rows, np.zeros(200, np.uint64), ids, side)
+    got = S._first_owners(rows, np.zeros(200, np.uint64), ids)
     for o in range(first, last + 1):
         window = [rows[i, left - o:left - o + 50].tobytes() for i in range(200)]
         assert got[:, o - first].tolist() == [min(ids[j] for j in range(200) if window[j] == window[i]) for i in range(200)]
