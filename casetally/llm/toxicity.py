@@ -195,14 +195,18 @@ def _mapped(rows: DataFrame, model: Model, kept: list[str], text: str, name: str
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
-    """(t, y): a bounded sample of labelled texts of either kind, chosen by a hash of the id."""
+    """(t, y, weight): a bounded sample of distinct labelled texts of either kind, chosen by the text's hash. The kinds
+    have rates of their own; ``weight`` undoes them (a text's inverse rate, in units of a toxic text's)."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.max(label) > 0).cast("int").alias("y"))
-    share = known.groupBy("y").agg(F.least(F.lit(1.0), F.when(F.col("y") == 1, float(MAX_TOXIC)).otherwise(float(MAX_CLEAN)) / F.count("*")).alias("p"))
-    draw = F.xxhash64(F.lit("toxic"), "i") / F.lit(2.0**64) + 0.5
-    chosen = known.join(F.broadcast(share), "y").filter(draw <= F.col("p")).select("i", "y")  # two rows
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    found = rows.join(F.broadcast(chosen), "i")  # as many rows as the bounds say
-    return store(found.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y")).select("t", "y"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).filter(F.col("t").isNotNull())
+    texts = store(rows.select("i", "h").join(known, "i").groupBy("h").agg(F.max("y").alias("y"), F.min("i").alias("i")))  # no texts move
+    share = texts.groupBy("y").agg(F.least(F.lit(1.0), F.when(F.col("y") == 1, float(MAX_TOXIC)).otherwise(float(MAX_CLEAN)) / F.count("*")).alias("p"))
+    rate = {r.y: r.p for r in share.collect()}  # two rows
+    p = F.when(F.col("y") == 1, rate.get(1, 1.0)).otherwise(rate.get(0, 1.0))
+    draw = F.xxhash64(F.lit("toxic"), "h") / F.lit(2.0**64) + 0.5
+    chosen = texts.filter(draw <= p).select("i", "h", "y", (F.lit(rate.get(1, 1.0)) / p).alias("weight"))
+    found = rows.join(F.broadcast(chosen), ["i", "h"])  # as many rows as the bounds say
+    return store(found.groupBy("h").agg(*[F.first(c).alias(c) for c in ("t", "y", "weight")]).select("t", "y", "weight"))
 
 
 def _word_counts(sample: DataFrame, only: set[str] | None = None) -> DataFrame:
@@ -257,15 +261,15 @@ def _support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty:
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Coefficients and intercept of a ridge logistic regression (Newton steps)."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Coefficients and intercept of a weighted ridge logistic regression (Newton steps)."""
     x = np.column_stack([x, np.ones(len(x))])
     ridge = penalty * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     b = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ b)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (y - p)) - ridge @ b)
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
@@ -287,13 +291,15 @@ def _spread(ordered: list[str], some: int, alike: float = 0.8) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the labelled ones of ``docs``; the driver sees a bounded number of words and of scores."""
     sample = _sample(docs, labels, id_col, text, label)
-    n1, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
-    base = (n1 + 1) / (n + 2)
+    n1, n, clean = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*"), F.max(F.when(F.col("y") == 0, F.col("weight")))).first()
+    drawn = (n1 + 1) / (n + 2)  # the share of toxic texts in the sample, which chance is measured against
+    clean = 1.0 if clean is None else clean
+    base = (n1 + 1) / (n1 + 1 + (n - n1 + 1) * clean)  # and in all labelled texts
     nothing = Model(None, FLOOR, np.r_[np.zeros(POOLED), np.log(base / (1 - base))])
     if not 0 < n1 < n:
         return nothing
     def tested(counts: DataFrame) -> DataFrame:
-        return counts.withColumn("g", _beyond_chance(base)).withColumn("share", F.col("n1") / (F.col("n1") + F.col("n0")))
+        return counts.withColumn("g", _beyond_chance(drawn)).withColumn("share", F.col("n1") / (F.col("n1") + F.col("n0") * clean))
 
     def most(counts: DataFrame, limit: int) -> list[str]:
         beyond = counts.filter((F.col("g") >= BEYOND_CHANCE) & (F.col("share") >= LEAST_SHARE))
@@ -312,9 +318,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 near = kernel_with(table, b.column(0).to_pylist()).max(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["w", "n", "near"])
 
-    clean = counts.filter((F.col("share") < base) | (F.col("n1") == 0)).select("w", F.col("n0").alias("n"))
-    alike = [r.w for r in clean.mapInArrow(likest, "w string, n long, near double").orderBy(F.desc("near"), "w").limit(MAX_NEGATIVE // 2).collect()]
-    common = [r.w for r in clean.orderBy(F.desc("n"), "w").limit(MAX_NEGATIVE // 2).collect()]
+    usual = counts.filter((F.col("share") < base) | (F.col("n1") == 0)).select("w", F.col("n0").alias("n"))
+    alike = [r.w for r in usual.mapInArrow(likest, "w string, n long, near double").orderBy(F.desc("near"), "w").limit(MAX_NEGATIVE // 2).collect()]
+    common = [r.w for r in usual.orderBy(F.desc("n"), "w").limit(MAX_NEGATIVE // 2).collect()]
     negative = sorted(set(alike) | set(common))
     extra = [v for w in positive for v in _variants(w)]
 
@@ -331,8 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     w = _support_vectors(x, y, weight * len(y), 1.0)
     model = Model(table @ (root @ w[:-1]), float(w[-1]), nothing.link)
     numbers = lambda pooled: pa.array(pooled.tolist(), pa.list_(pa.float64()))
-    scored = _mapped(sample, model, ["y"], "t", "pooled", "array<double>", numbers).collect()  # a few numbers for each row of the sample
-    model.link = _logistic(np.array([r.pooled for r in scored]), np.array([r.y for r in scored]))
+    scored = _mapped(sample, model, ["y", "weight"], "t", "pooled", "array<double>", numbers).collect()  # a few numbers for each row of the sample
+    model.link = _logistic(*[np.array([r[c] for r in scored]) for c in ("pooled", "y", "weight")])
     return model
 
 

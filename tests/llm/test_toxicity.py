@@ -70,3 +70,15 @@ def test_defined_cases(spark, fitted, hard_docs, hard_rows, no_docs):
         flat = T.fit(hard_docs, labels)
         assert len({r.score for r in T.score(hard_docs, flat).collect()}) == 1
     assert T.score(hard_docs, T.fit(no_docs, none)).count() == len(hard_rows)
+
+
+def test_bounds_of_the_sample_do_not_move_the_scores(spark, monkeypatch):
+    """A tenth of the texts is toxic, by chance: every score is about a tenth, also where a bound cuts one kind only."""
+    rows = [(i, f"{'abcdefghij'[i % 7]}lpha beta{'klmnopqrst'[i % 10]} gamma number{i}", int(i % 10 == 3)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    def mean_score():
+        return T.score(docs, T.fit(docs, docs)).agg(F.avg("score")).first()[0]
+    whole = mean_score()
+    monkeypatch.setattr(T, "MAX_TOXIC", 150)
+    monkeypatch.setattr(T, "MAX_CLEAN", 300)  # both bounds bite: half of the drawn texts would have counted as toxic ones
+    assert whole == pytest.approx(0.1, abs=0.02) and mean_score() == pytest.approx(whole, abs=0.03)
