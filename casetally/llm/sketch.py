@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from casetally.llm.common import partitions, row_key, store
 
-PIECE = 160
+#: What two versions share is told apart in pieces of this size.
+PIECE = 32
 TABLES, WIDTH = 3, 10
 CELLS = TABLES * WIDTH
 #: Digests that a part is planned for, parts made of one at once, and levels of parts before the first try.

@@ -49,3 +49,10 @@ def test_peeling_recovers_the_difference(spark, n):
     a, b = (set(sets.select(F.explode(c)).toPandas().iloc[:, 0].tolist()) for c in "ab")
     got = [(r.n, r.x) for r in found.collect()]
     assert sorted(got) == sorted([(1, x) for x in a - b] + [(-1, x) for x in b - a])
+
+
+def test_short_texts_keep_likeness(spark):
+    """One line of 48 to 200 code points is like a version that keeps its first three quarters."""
+    text = lambda i, n: "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(n))
+    docs = spark.createDataFrame([(i, text(i, n)) for i, n in enumerate((48, 60, 90, 128, 170, 200))], "doc_id long, text string")
+    assert all(r.near_edited > 0 for r in K.fingerprints(docs).collect())
