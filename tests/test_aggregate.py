@@ -7,7 +7,7 @@ from casetally.operators import aggregate as AG
 from casetally.operators import joins as J
 from casetally.operators import panel as PN
 from casetally.operators import quality as Q
-from conftest import rows
+from helpers import rows
 
 
 def test_strict_vs_na_rm_sum(spark):

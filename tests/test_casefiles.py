@@ -10,7 +10,7 @@ from collections import defaultdict
 import pandas as pd
 import pytest
 
-from conftest import rows
+from helpers import rows
 
 from casetally.plans import casefiles as CF
 

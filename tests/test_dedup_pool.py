@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casetally.operators import dedup as D
 from casetally.operators import pool as PL
-from conftest import rows
+from helpers import rows
 
 d1, d2 = dt.date(2019, 1, 1), dt.date(2019, 6, 1)
 

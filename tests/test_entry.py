@@ -18,7 +18,7 @@ def test_entry_and_registry(spark):
 
 
 def test_results_do_not_depend_on_session_time_zone(spark):
-    from conftest import rows
+    from helpers import rows
     sf = "/root/testdata/sf0.001"
     qs = E.queries()
     names = ["filter_mix", "dedup_latest", "group_count"]
@@ -34,7 +34,7 @@ def test_results_do_not_depend_on_session_time_zone(spark):
 def test_results_generic_over_column_roles(spark):
     from pyspark.sql import functions as F
 
-    from conftest import rows
+    from helpers import rows
     from casetally.plans import standins as S
     from casetally.plans import surveillance as SV
     sf = "/root/testdata/sf0.001"

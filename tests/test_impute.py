@@ -4,7 +4,7 @@ backoff, reproducible across partitionings."""
 from pyspark.sql import functions as F
 
 from casetally.operators import impute as IM
-from conftest import rows
+from helpers import rows
 
 CELLS = [["state", "year"], ["state"]]
 

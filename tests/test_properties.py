@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casetally.operators import dedup as D
 from casetally.operators import pool as PL
-from conftest import rows
+from helpers import rows
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 

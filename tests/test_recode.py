@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from casetally.functions import recode as R
-from conftest import rows
+from helpers import rows
 
 
 def test_tri_flag_three_values(spark):

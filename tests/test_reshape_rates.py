@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casetally.operators import rates as RT
 from casetally.operators import reshape as RS
-from conftest import rows
+from helpers import rows
 
 
 def test_complete_grid_keeps_null_key_and_fills_zero(spark):

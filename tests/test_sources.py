@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from casetally.sources import readers as SRC
 from casetally.sources import schemas as SC
-from conftest import rows
+from helpers import rows
 
 
 def test_delimited_header_case_and_year_from_name(spark, tmp_path):
