@@ -11,7 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetally.llm import decontaminate, language, linededup, mixing, secretscan, simhash, sketch, suffixdedup, toxicity, urlfilter
+from casetally.llm import (
+    decontaminate,
+    language,
+    linededup,
+    mixing,
+    quality,
+    runs,
+    secretscan,
+    simhash,
+    sketch,
+    suffixdedup,
+    toxicity,
+    urlfilter,
+    variants,
+)
 from casetally.llm.common import held_out, table
 
 
@@ -154,6 +168,155 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = quality.judge(docs, quality.fit_references(docs))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reference",
+                        "char_distance", "word_distance")
+
+
+def _term(p: str, q: str) -> str:
+    """What a class with shares p and q adds to the Jensen-Shannon divergence, in SQL."""
+    m = f"((({p}) + ({q})) / 2)"
+    return " + ".join(f"(CASE WHEN ({x}) > 0 THEN ({x}) * log2(({x}) / {m}) / 2 ELSE 0.0 END)" for x in (p, q))
+
+
+def _noise(k: str, n: str) -> str:
+    return f"({k} - 1) / (8 * ln(2.0::DOUBLE) * {n})"
+
+
+OP11_SQL = rf"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t, text IS NOT NULL AS has, lang FROM documents),
+d AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS v,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
+win AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win),
+  (VALUES (0), (1), (2)) x (k) WHERE c > 1 GROUP BY doc_id),
+s1 AS (SELECT doc_id, t, regexp_replace(t, '\p{{Ll}}+', '', 'g') AS t1 FROM d),
+s2 AS (SELECT *, regexp_replace(t1, '[\x20\x09-\x0D]+', '', 'g') AS t2 FROM s1),
+s3 AS (SELECT *, regexp_replace(t2, '\p{{Lu}}+', '', 'g') AS t3 FROM s2),
+s4 AS (SELECT *, regexp_replace(t3, '[\p{{L}}\p{{M}}]+', '', 'g') AS t4 FROM s3),
+s5 AS (SELECT *, regexp_replace(t4, '\p{{N}}+', '', 'g') AS t5 FROM s4),
+s6 AS (SELECT *, regexp_replace(t5, '\p{{P}}+', '', 'g') AS t6 FROM s5),
+cl AS (SELECT doc_id, length(t) AS size, [length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4),
+  length(t4) - length(t5), length(t5) - length(t6), length(t6)] AS c FROM s6),
+b AS (SELECT d.doc_id, lang, has, v, size, c, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d JOIN cl USING (doc_id) LEFT JOIN rep USING (doc_id)),
+tot AS (SELECT lang, sum(len(v)) AS n, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6]), sum(c[7])] AS c
+  FROM b WHERE lang IS NOT NULL AND has GROUP BY lang),
+known AS (SELECT lang AS ref, n, list_transform(c, lambda x: x / list_sum(c)) AS q FROM (SELECT *, sum(n) OVER () AS total FROM tot)
+  WHERE n >= total / {quality.LANGUAGES} AND n >= {quality.MIN_REFERENCE}),
+words AS (SELECT doc_id, lang, word, count(*) AS m FROM (SELECT doc_id, lang, unnest(v) AS word FROM b) GROUP BY ALL),
+common AS (SELECT ref, word, sum(m) / any_value(n) AS q FROM words JOIN known ON lang = ref GROUP BY ref, word
+  HAVING sum(m) >= any_value(n) / {quality.COMMON}),
+other AS (SELECT ref, count(word) AS k, greatest(0.0, 1 - coalesce(sum(common.q), 0)) AS rest FROM known LEFT JOIN common USING (ref) GROUP BY ref),
+cand AS (SELECT b.doc_id, b.size, b.c, len(b.v) AS nv, known.ref, known.q, k, rest FROM b JOIN known ON b.lang = known.ref OR b.lang IS NULL JOIN other USING (ref)),
+seen AS (SELECT cand.doc_id, cand.ref, sum({_term("m / nv", "common.q")} - common.q / 2) AS part, sum(m) AS n
+  FROM cand JOIN words USING (doc_id) JOIN common ON common.ref = cand.ref AND common.word = words.word GROUP BY ALL),
+div AS (SELECT doc_id, ref, size, nv, k,
+  CASE WHEN size >= {quality.MIN_CHARS_JUDGED} THEN list_sum(list_transform(range(1, 8), lambda i: {_term("c[i] / size", "q[i]")})) END AS cd,
+  CASE WHEN nv >= {quality.MIN_WORDS_JUDGED} THEN coalesce(part, 0) + {_term("1 - coalesce(seen.n, 0) / nv", "rest")} - rest / 2 + 0.5 END AS wd
+  FROM cand LEFT JOIN seen USING (doc_id, ref)),
+ex AS (SELECT *, coalesce(cd / ({quality.MAX_CHAR_DIVERGENCE} + {_noise("7", "size")}), 0)
+  + coalesce(wd / ({quality.MAX_WORD_DIVERGENCE} + {_noise("(k + 1)", "nv")}), 0) AS excess FROM div),
+best AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY excess, ref) = 1),
+j AS (SELECT b.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(excess <= 1, true) AS kept,
+  ref AS reference, round(sqrt(greatest(cd, 0)), 6) AS char_distance, round(sqrt(greatest(wd, 0)), 6) AS word_distance
+FROM j LEFT JOIN best USING (doc_id)
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    # one document in ten gets a periodic end (the contract's edit); the others keep their text
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    cut = docs.withColumns({"g": g, "w": words}).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail, times = F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    edited = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(tail, times)), F.lit(1), F.col("n") - F.col("a")))
+    docs = cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(edited, " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.periodic_runs(docs, keep=["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    ranked = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), F.lit(0))
+    return (found.withColumn("top", ranked).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.p").alias("period"),
+        F.floor(F.lit(1000) * -F.col("top.l") / F.col("top.p")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text in SQL: bit by bit over its UTF-8 bytes."""
+    octets = f"list_transform(range(strlen({text})), lambda p: ('0x' || substr(hex({text}), 2 * p + 1, 2))::BIGINT)"
+    octet = "list_reduce(list_prepend(xor(c, b), range(8)), lambda z, s: xor(z >> 1, 3988292384 * (z & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {octet}))"
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+x AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM d),
+y AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM x),
+z AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM y),
+e AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END])
+  ELSE w END AS w FROM z),
+six AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 5)) AS i FROM e)),
+apart AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM six l JOIN six r ON l.doc_id = r.doc_id AND l.s = r.s AND r.i > l.i),
+isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM apart),
+many AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM isle GROUP BY doc_id, q, k HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+r AS (SELECT * FROM many m WHERE NOT EXISTS (SELECT 1 FROM many o WHERE o.doc_id = m.doc_id AND o.q < m.q AND o.start <= m.start
+  AND o.start + o.length >= m.start + m.length)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM e),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t FROM r GROUP BY doc_id),
+top AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.q::BIGINT AS period,
+  (1000 * top.length // top.q)::BIGINT AS exponent_milli, sha256(coalesce(sums.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM e LEFT JOIN sums USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The contract's edit: a run loses a letter if this number divides its hash.
+LETTER_LOSS = 199
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", UPPER, LOWER).alias("t"))
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit("[a-z\u00C0-\u00FF]+"), F.lit(0))).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))  # null for a null id: no edit
+    at = (h % F.length("run")).cast("int")
+    shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    words = runs.filter(F.length("run") >= 6).select(F.when(h % LETTER_LOSS == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return variants.group(variants.count_words(words, min_chars=6, min_count=5), ratio=5)
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE r AS (
+  SELECT i, run, count(*) AS k FROM (SELECT doc_id AS i, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY i, run),
+h AS (SELECT run, k, {_crc32("(i || ':' || run)")} AS h FROM r),
+e AS (SELECT CASE WHEN h % {LETTER_LOSS} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+m AS (SELECT word, n, p, word[:p - 1] || '?' || word[p + 1:] AS mask, word[:p - 1] || word[p + 1:] AS gone
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+g AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM m a JOIN m b ON a.mask = b.mask AND a.word <> b.word
+  UNION SELECT m.word, w.word, w.n FROM m JOIN w ON m.gone = w.word UNION SELECT w.word, m.word, m.n FROM m JOIN w ON m.gone = w.word),
+f AS (SELECT word, w.n, count(b)::BIGINT AS n_near, arg_max(b, (g.n, -o)) AS best, max(g.n) AS top
+  FROM w LEFT JOIN (SELECT *, row_number() OVER (ORDER BY b) AS o FROM g) g ON a = word GROUP BY word, w.n),
+s AS (SELECT word, n, n_near, CASE WHEN top >= 5 * n THEN best END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n FROM f),
+u AS (SELECT word, word AS root, form AS up FROM s
+  UNION ALL SELECT u.word, s.word, s.form FROM u JOIN s ON u.up = s.word)
+SELECT s.word, s.form, u.root, s.n, s.n_near, s.form_n FROM s JOIN u ON u.word = s.word AND u.up IS NULL
+"""
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -165,6 +328,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -172,4 +338,7 @@ SQL: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_quality_rules": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
