@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetally.llm.common import keep_columns
+from casetally.llm.common import keep_columns, store
 
 #: Base rules: least words; highest share of repeated words.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -49,6 +49,10 @@ MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.05, 0.2
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 100, 30
 #: What is taken away, one class after the other, leaves the next classes.
 CLASSES = [r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"[\p{L}\p{M}]+", r"\p{N}+", r"\p{P}+"]
+#: The bits of a position among the words of a text.
+POSITION = (1 << 31) - 1
+BLANK = r"[\x20\x09-\x0D]+"
+SYMBOLS = r"[#*$%&|<>]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 RESULT = [*BASE, "kept", "reference", "char_distance", "word_distance"]
 
@@ -62,28 +66,43 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def class_counts(text: Column) -> Column:
-    """Number of characters of each class."""
-    def rest(left: Column, classes: list[str]) -> list[Column]:
-        if not classes:
-            return [F.length(left)]
-        after = F.regexp_replace(left, classes[0], "")
-        return [F.length(left) - F.length(after), *rest(after, classes[1:])]
-    return F.array(*[c.cast("long") for c in rest(F.coalesce(text, F.lit("")), CLASSES)])
+def with_classes(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the number of characters of each class in ``__c`` and, in ``__left``, what is left before punctuation goes."""
+    kept, left = docs.columns, [f"__left{i}" for i in range(len(CLASSES) + 1)]
+    out = docs.withColumn(left[0], F.coalesce(F.col(text), F.lit("")))
+    for before, after, pattern in zip(left, left[1:], CLASSES, strict=False):
+        out = out.withColumn(after, F.regexp_replace(before, pattern, ""))
+    sizes = [F.length(c) for c in left]
+    counts = F.array(*[(a - b).cast("long") for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1].cast("long"))
+    return out.select(*kept, counts.alias("__c"), F.col(left[-2]).alias("__left"))
+
+
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def letter_words(text: Column) -> Column:
     """Runs of letters, lower-cased."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    return F.array_remove(F.split(lowered(text), r"[^\p{L}]+"), "")
 
 
 def repeated_words(words: Column, size: int = 3) -> Column:
     """Number of words that stand in a window of ``size`` words found twice or more.
 
-    Windows meet by two hashes (96 bits) in sorted order, so the work is that of a sort, whatever repeats."""
-    def window(i: Column) -> Column:
-        some = [F.get(words, i + k) for k in range(size)]
-        return F.struct(F.xxhash64(*some).alias("h"), F.hash(*some).alias("g"), i.alias("p"))
+    33 bits of a window's hash and its position make one number; sorted, possible repeats are neighbours. Only these are
+    compared by 96 bits, again in sorted order, so the work is that of a sort, whatever repeats."""
+    def hashed(i: Column) -> list[Column]:
+        return [F.get(words, (i + k).cast("int")) for k in range(size)]
+
+    def low(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(POSITION))
+
+    def high(x: Column) -> Column:
+        return F.shiftright(x, 31)
+
+    def likely(numbers: Column) -> Column:
+        near = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
+        return F.filter(numbers, lambda x, i: near(x, F.get(numbers, i + 1)) | near(x, F.get(numbers, i - 1)))
 
     def twins(found: Column) -> Column:
         def same(x: Column, i: Column) -> Column:
@@ -95,23 +114,26 @@ def repeated_words(words: Column, size: int = 3) -> Column:
         steps = F.transform(at, lambda p, i: F.least(F.lit(size), F.coalesce(F.get(at, i + 1) - p, F.lit(size))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
+    def verified(some: Column) -> Column:
+        return F.sort_array(F.transform(some, lambda x: F.struct(F.xxhash64(*hashed(low(x))).alias("h"), F.hash(*hashed(low(x))).alias("g"), low(x).alias("p"))))
+
     n = F.size(words) - size + 1
-    found = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), window))
-    return F.when(n > 1, _let(_let(found, twins), covered)).otherwise(F.lit(0).cast("long"))
+    numbers = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*hashed(i)).bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("long")))
+    counted = _let(_let(_let(F.sort_array(numbers), likely), lambda some: _let(verified(some), twins)), covered)
+    return F.when(n > 1, counted).otherwise(F.lit(0).cast("long"))
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of the base rules and ``base_failed``."""
+    """``docs`` with the counts of the base rules, ``base_failed`` and the class counts ``__c``."""
     kept = keep_columns(docs, BASE)
     body = F.coalesce(F.col("__t"), F.lit(""))
-    gone = lambda pattern: (F.length(body) - F.length(F.regexp_replace(body, pattern, ""))).cast("long")
-    blank = r"[\x20\x09-\x0D]+"
-    full = docs.select(*kept, F.col(text).alias("__t")).withColumns({
-        "__w": F.filter(F.split(body, blank), lambda w: w != ""),
+    full = with_classes(docs.select(*kept, F.col(text).alias("__t")), "__t").withColumns({
+        "__w": F.array_remove(F.split(body, BLANK), ""),
         "__l": F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))})
-    counted = full.select(*kept, F.size("__w").cast("long").alias("n_words"), (F.length(body) - gone(blank)).cast("long").alias("word_chars"),
-                          gone(r"[#*$%&|<>]+").alias("n_symbols"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-                          repeated_words(F.col("__w")).alias("n_repeat_words"))
+    counted = full.select(
+        *kept, "__c", F.size("__w").cast("long").alias("n_words"), (F.length(body) - F.get("__c", F.lit(1))).cast("long").alias("word_chars"),
+        (F.length("__left") - F.length(F.regexp_replace("__left", SYMBOLS, ""))).cast("long").alias("n_symbols"),  # no letter, digit or blank is one
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("__w")).alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -127,63 +149,64 @@ class Reference:
 def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_REFERENCE) -> list[Reference]:
     """References of the labelled languages, over all documents. At most ``LANGUAGES`` rows of ``COMMON`` words come back."""
     rows = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).filter(F.col("l").isNotNull() & F.col("t").isNotNull())
-    sums = [F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    words = letter_words(F.col("t"))
-    totals = rows.select("l", class_counts(F.col("t")).alias("c"), F.size(words).alias("n")).groupBy("l").agg(F.sum("n").alias("n"), *sums)
+    counts = store(rows.select("l", F.explode(letter_words(F.col("t"))).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("m")))
+    totals = counts.groupBy("l").agg(F.sum("m").alias("n"))
     share = F.sum("n").over(Window.partitionBy(F.lit(0))) / LANGUAGES  # one row per language
-    known = totals.withColumn("least", share).filter((F.col("n") >= F.col("least")) & (F.col("n") >= min_words)).drop("least")
-    found = {r["l"]: r for r in known.collect()}  # at most LANGUAGES rows
+    known = totals.withColumn("least", share).filter((F.col("n") >= F.col("least")) & (F.col("n") >= min_words)).select("l", "n")
+    found = {r["l"]: r["n"] for r in known.collect()}  # at most LANGUAGES rows
     if not found:
         return []
-    least = F.element_at(F.create_map(*[x for k, r in found.items() for x in (F.lit(k), F.lit(r["n"] / COMMON))]), F.col("l"))
-    counts = rows.filter(F.col("l").isin(*found)).select("l", F.explode(words).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("m"))
+    least = F.element_at(F.create_map(*[x for k, n in found.items() for x in (F.lit(k), F.lit(n / COMMON))]), F.col("l"))
     common: dict[str, list] = {k: [] for k in found}
-    for r in counts.filter(F.col("m") >= least).collect():  # at most COMMON words a language
-        common[r["l"]].append((r["w"], r["m"] / found[r["l"]]["n"]))
+    for r in counts.filter(F.col("l").isin(*found)).filter(F.col("m") >= least).collect():  # at most COMMON words a language
+        common[r["l"]].append((r["w"], r["m"] / found[r["l"]]))
+    sums = [F.sum(F.get("__c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    chars = {r["l"]: list(r[1:]) for r in with_classes(rows.filter(F.col("l").isin(*found)), "t").groupBy("l").agg(*sums).collect()}
     out = []
     for k in sorted(found):
-        chars = [found[k][f"c{i}"] for i in range(len(CLASSES) + 1)]
         top = sorted(common[k])
-        out.append(Reference(k, tuple(c / sum(chars) for c in chars), tuple(w for w, _ in top), tuple(s for _, s in top)))
+        out.append(Reference(k, tuple(c / sum(chars[k]) for c in chars[k]), tuple(w for w, _ in top), tuple(s for _, s in top)))
     return out
 
 
 def _term(p: Column, q: Column) -> Column:
     """What a class with shares p and q adds to the divergence."""
     half = lambda x, m: F.when(x > 0, x * F.log2(x / m) / 2).otherwise(0.0)
-    return _let((p + q) / 2, lambda m: half(p, m) + half(q, m))
+    return _let(F.struct(p.alias("p"), q.alias("q"), ((p + q) / 2).alias("m")), lambda s: half(s["p"], s["m"]) + half(s["q"], s["m"]))
 
 
-def char_divergence(counts: Column, reference: Column) -> Column:
+def char_divergence(counts: Column, reference: tuple[float, ...]) -> Column:
     """Jensen-Shannon divergence in bits of class counts from reference shares; null without characters."""
+    shares = F.array(*[F.lit(q) for q in reference])
     return _let(_total(F.transform(counts, lambda c: c.cast("double"))), lambda n: F.when(
-        n > 0, _total(F.zip_with(counts, reference, lambda c, q: _term(c / n, q)))))
-
+        n > 0, _total(F.zip_with(counts, shares, lambda c, q: _term(c / n, q)))))
 
-def word_divergence(words: Column, common: Column, shares: Column) -> Column:
-    """The same of a document's words, from the shares of common words and of all others; null without words.
 
-    Only the classes that the document has are visited: one that it lacks adds half its share."""
-    n = F.size(words)
+def word_divergence(text: Column, common: tuple[str, ...], reference: tuple[float, ...], least: int = 1) -> Column:
+    """The same of a lower-cased text's words, from the shares of common words and of all others, with their number;
+    null below ``least`` words.
 
-    def of(at: Column) -> Column:
-        def one(kinds: Column) -> Column:
-            def added(kind: Column, i: Column) -> Column:
-                upto = F.coalesce(F.array_position(at, F.get(kinds, i + 1)), F.size(at) + 1)
-                p, q = (upto - F.array_position(at, kind)) / n, F.get(shares, (kind - 1).cast("int"))
-                return _term(p, q) - q / 2
-            return _total(F.transform(kinds, added))
-        rest = F.greatest(F.lit(0.0), 1 - _total(shares))
-        return _let(F.array_distinct(at), one) + _term(1 - F.size(at) / n, rest) - rest / 2 + 0.5
-    found = F.filter(F.transform(words, lambda w: F.array_position(common, w)), lambda i: i > 0)
-    return F.when(n > 0, _let(F.sort_array(found), of))
+    One pattern finds all words and names the common ones. Only the classes that the document has are visited: one that
+    it lacks adds half its share."""
+    rest = max(0.0, 1 - sum(reference))
+    names, shares = (F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>") for xs, kind in ((common, "string"), (reference, "double")))
+    either = "|".join(sorted(common, key=lambda w: (-len(w), w)))
+    words = F.regexp_extract_all(text, F.lit((r"(?:(%s)(?!\p{L})|\p{L}++)" % either) if common else r"\p{L}++()"), F.lit(1))
 
+    def of(some: Column) -> Column:
+        n = F.size(some)
 
-def _literal(references: list[Reference]) -> Column:
-    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs]) if xs else F.array().cast("array<double>")
-    names = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-    return F.array(*[F.struct(F.lit(r.lang).alias("lang"), numbers(r.classes).alias("classes"), names(r.words).alias("words"),
-                              numbers(r.shares).alias("shares")) for r in references])
+        def counted(at: Column) -> Column:
+            def one(kinds: Column) -> Column:
+                def added(kind: Column, i: Column) -> Column:
+                    upto = F.coalesce(F.array_position(at, F.get(kinds, i + 1)), F.size(at) + 1)
+                    share = F.get(shares, (F.array_position(names, kind) - 1).cast("int"))
+                    return _let(F.struct(((upto - F.array_position(at, kind)) / n).alias("p"), share.alias("q")),
+                                lambda s: _term(s["p"], s["q"]) - s["q"] / 2)
+                return _total(F.transform(kinds, added))
+            return _let(F.array_distinct(at), one) + _term(1 - F.size(at) / n, F.lit(rest)) - rest / 2 + 0.5
+        return F.when(n >= least, F.struct(_let(F.sort_array(F.array_remove(some, "")), counted).alias("d"), n.alias("n")))
+    return _let(words, of)
 
 
 def judge(docs: DataFrame, references: list[Reference], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -194,22 +217,21 @@ def judge(docs: DataFrame, references: list[Reference], text: str = "text", lang
         none = [F.lit(None).cast(t).alias(c) for c, t in (("reference", "string"), ("char_distance", "double"), ("word_distance", "double"))]
         return rows.select(*kept, *BASE, (~F.col("base_failed")).alias("kept"), *none)
     noise = lambda k, n: (k - 1) / (8 * math.log(2) * n)
-    chars, words = F.col("__c"), F.col("__v")
-    n_chars = F.length(F.coalesce(F.col("__text"), F.lit("")))
-
-    def compared(r: Column) -> Column:
-        char = F.when(n_chars >= MIN_CHARS_JUDGED, char_divergence(chars, r["classes"]))
-        word = F.when(F.size(words) >= MIN_WORDS_JUDGED, word_divergence(words, r["words"], r["shares"]))
-        def excess(c: Column, w: Column) -> Column:
-            """The two divergences in units of their cuts; their sum may be 1."""
-            return (F.coalesce(c / (MAX_CHAR_DIVERGENCE + noise(len(CLASSES) + 1, n_chars)), F.lit(0.0))
-                    + F.coalesce(w / (MAX_WORD_DIVERGENCE + noise(F.size(r["words"]) + 1, F.size(words))), F.lit(0.0)))
-        return _let(F.struct(char.alias("c"), word.alias("w")), lambda d: F.struct(
-            excess(d["c"], d["w"]).alias("excess"), r["lang"].alias("lang"), d["c"].alias("c"), d["w"].alias("w")))
-
-    candidates = F.filter(_literal(references), lambda r: F.col("__lang").isNull() | (r["lang"] == F.col("__lang")))
-    judged = rows.withColumns({"__c": class_counts(F.col("__text")), "__v": letter_words(F.col("__text"))}).select(
-        *kept, *BASE, F.array_min(F.transform(candidates, compared)).alias("__best"))
+    chars = F.col("__chars")
+
+    def compared(r: Reference) -> Column:
+        """Null if the document is of another language. The two divergences in units of their cuts may add up to 1."""
+        char = F.when(chars >= MIN_CHARS_JUDGED, char_divergence(F.col("__c"), r.classes))
+        word = word_divergence(F.col("__low"), r.words, r.shares, MIN_WORDS_JUDGED)
+        both = lambda d: F.struct(
+            (F.coalesce(d["c"] / (MAX_CHAR_DIVERGENCE + noise(len(CLASSES) + 1, chars)), F.lit(0.0))
+             + F.coalesce(d["w"]["d"] / (MAX_WORD_DIVERGENCE + noise(len(r.words) + 1, d["w"]["n"])), F.lit(0.0))).alias("excess"),
+            F.lit(r.lang).alias("lang"), d["c"].alias("c"), d["w"]["d"].alias("w"))
+        asked = F.col("__lang").isNull() | (F.col("__lang") == r.lang)
+        return F.when(asked, _let(F.struct(char.alias("c"), word.alias("w")), both))
+
+    judged = rows.withColumns({"__low": lowered(F.col("__text")), "__chars": F.length(F.coalesce(F.col("__text"), F.lit("")))}).select(
+        *kept, *BASE, F.array_min(F.array(*[compared(r) for r in references])).alias("__best"))
     distance = lambda c: F.round(F.sqrt(F.greatest(F.col(f"__best.{c}"), F.lit(0.0))), 6)
     passes = ~F.col("base_failed") & F.coalesce(F.col("__best.excess") <= 1, F.lit(True))
     return judged.select(*kept, *BASE, passes.alias("kept"), F.col("__best.lang").alias("reference"),
