@@ -232,7 +232,7 @@ def judge(docs: DataFrame, references: list[Reference], text: str = "text", lang
 
     judged = rows.withColumns({"__low": lowered(F.col("__text")), "__chars": F.length(F.coalesce(F.col("__text"), F.lit("")))}).select(
         *kept, *BASE, F.array_min(F.array(*[compared(r) for r in references])).alias("__best"))
-    distance = lambda c: F.round(F.sqrt(F.greatest(F.col(f"__best.{c}"), F.lit(0.0))), 6)
+    distance = lambda c: F.round(F.sqrt(F.when(F.col(f"__best.{c}") < 0, 0.0).otherwise(F.col(f"__best.{c}"))), 6)
     passes = ~F.col("base_failed") & F.coalesce(F.col("__best.excess") <= 1, F.lit(True))
     return judged.select(*kept, *BASE, passes.alias("kept"), F.col("__best.lang").alias("reference"),
                          distance("c").alias("char_distance"), distance("w").alias("word_distance"))

@@ -224,7 +224,7 @@ ex AS (SELECT *, coalesce(cd / ({quality.MAX_CHAR_DIVERGENCE} + {_noise("7", "si
 best AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY excess, ref) = 1),
 j AS (SELECT b.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(excess <= 1, true) AS kept,
-  ref AS reference, round(sqrt(greatest(cd, 0)), 6) AS char_distance, round(sqrt(greatest(wd, 0)), 6) AS word_distance
+  ref AS reference, round(sqrt(CASE WHEN cd < 0 THEN 0 ELSE cd END), 6) AS char_distance, round(sqrt(CASE WHEN wd < 0 THEN 0 ELSE wd END), 6) AS word_distance
 FROM j LEFT JOIN best USING (doc_id)
 """
 
