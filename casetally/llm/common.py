@@ -43,6 +43,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` with a filter that always holds but that the optimiser cannot move.
+
+    A caller's filter on a computed column is otherwise pushed below the projections, and every use of a column in it
+    becomes a copy of that column's whole expression."""
+    return df.withColumn("__row", F.monotonically_increasing_id()).filter(F.col("__row") >= 0).drop("__row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

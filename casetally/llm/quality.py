@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetally.llm.common import keep_columns, store
+from casetally.llm.common import computed_once, keep_columns, store
 
 #: Base rules: least words; highest share of repeated words.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -135,7 +135,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length("__left") - F.length(F.regexp_replace("__left", SYMBOLS, ""))).cast("long").alias("n_symbols"),  # no letter, digit or blank is one
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("__w")).alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    return computed_once(counted.withColumn("base_failed", failed))
 
 
 @dataclass(frozen=True)
@@ -175,38 +175,54 @@ def _term(p: Column, q: Column) -> Column:
     return _let(F.struct(p.alias("p"), q.alias("q"), ((p + q) / 2).alias("m")), lambda s: half(s["p"], s["m"]) + half(s["q"], s["m"]))
 
 
-def char_divergence(counts: Column, reference: tuple[float, ...]) -> Column:
-    """Jensen-Shannon divergence in bits of class counts from reference shares; null without characters."""
-    shares = F.array(*[F.lit(q) for q in reference])
-    return _let(_total(F.transform(counts, lambda c: c.cast("double"))), lambda n: F.when(
-        n > 0, _total(F.zip_with(counts, shares, lambda c, q: _term(c / n, q)))))
+def word_pattern(words: list[str]) -> str:
+    """A pattern of the given words as a tree of letters, so a long list costs no more than a short one."""
+    branches: dict[str, list[str]] = {}
+    for w in words:
+        branches.setdefault(w[:1], []).append(w[1:])
+    ends = branches.pop("", None) is not None
+    inner = "|".join(first + word_pattern(rest) for first, rest in sorted(branches.items()))
+    return "" if not inner else f"(?:{inner}){'?' if ends else ''}"
 
 
-def word_divergence(text: Column, common: tuple[str, ...], reference: tuple[float, ...], least: int = 1) -> Column:
-    """The same of a lower-cased text's words, from the shares of common words and of all others, with their number;
-    null below ``least`` words.
+def with_words(docs: DataFrame, text: str, common: list[str]) -> DataFrame:
+    """``docs`` with the number of words ``__n``, and those of ``common`` that occur in ``__kinds`` with their counts.
 
-    One pattern finds all words and names the common ones. Only the classes that the document has are visited: one that
-    it lacks adds half its share."""
-    rest = max(0.0, 1 - sum(reference))
-    names, shares = (F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>") for xs, kind in ((common, "string"), (reference, "double")))
-    either = "|".join(sorted(common, key=lambda w: (-len(w), w)))
-    words = F.regexp_extract_all(text, F.lit((r"(?:(%s)(?!\p{L})|\p{L}++)" % either) if common else r"\p{L}++()"), F.lit(1))
+    One pattern finds all words (runs of letters) and names the common ones."""
+    kept = docs.columns
+    pattern = rf"(?:({word_pattern(common)})(?!\p{{L}})|\p{{L}}++)" if common else r"\p{L}++()"
+    upto = lambda i: F.coalesce(F.array_position("__at", F.get("__kinds", i + 1)), F.size("__at") + 1)
+    return (docs.withColumn("__words", F.regexp_extract_all(lowered(F.col(text)), F.lit(pattern), F.lit(1)))
+            .withColumn("__at", F.sort_array(F.array_remove("__words", ""))).withColumn("__kinds", F.array_distinct("__at"))
+            .select(*kept, F.size("__words").alias("__n"), "__kinds",
+                    F.transform("__kinds", lambda k, i: upto(i) - F.array_position("__at", k)).alias("__counts")))
 
-    def of(some: Column) -> Column:
-        n = F.size(some)
 
-        def counted(at: Column) -> Column:
-            def one(kinds: Column) -> Column:
-                def added(kind: Column, i: Column) -> Column:
-                    upto = F.coalesce(F.array_position(at, F.get(kinds, i + 1)), F.size(at) + 1)
-                    share = F.get(shares, (F.array_position(names, kind) - 1).cast("int"))
-                    return _let(F.struct(((upto - F.array_position(at, kind)) / n).alias("p"), share.alias("q")),
-                                lambda s: _term(s["p"], s["q"]) - s["q"] / 2)
-                return _total(F.transform(kinds, added))
-            return _let(F.array_distinct(at), one) + _term(1 - F.size(at) / n, F.lit(rest)) - rest / 2 + 0.5
-        return F.when(n >= least, F.struct(_let(F.sort_array(F.array_remove(some, "")), counted).alias("d"), n.alias("n")))
-    return _let(words, of)
+def char_divergence(reference: Column) -> Column:
+    """Jensen-Shannon divergence in bits of the class counts ``__c`` from reference shares."""
+    return _total(F.zip_with("__c", reference, lambda c, q: _term(c / F.col("__chars"), q)))
+
+
+def word_divergence(words: Column, shares: Column) -> Column:
+    """The same of the document's words, from the shares of a language's common words and of all others.
+
+    Only the classes that the document has are visited: one that it lacks adds half its share."""
+    def added(kind: Column, i: Column) -> Column:
+        at = F.array_position(words, kind)
+        share = F.when(at > 0, F.get(shares, (at - 1).cast("int")))
+        p = F.get("__counts", i) / F.col("__n")
+        return F.struct(F.when(share.isNotNull(), _term(p, share) - share / 2).otherwise(0.0).alias("d"), F.when(share.isNotNull(), p).otherwise(0.0).alias("p"))
+
+    def with_rest(parts: Column) -> Column:
+        rest, own = F.greatest(F.lit(0.0), 1 - _total(shares)), F.greatest(F.lit(0.0), 1 - _total(F.transform(parts, lambda x: x["p"])))
+        return _total(F.transform(parts, lambda x: x["d"])) + _term(own, rest) - rest / 2 + 0.5
+    return _let(F.transform("__kinds", added), with_rest)
+
+
+def _literal(references: list[Reference]) -> Column:
+    row = lambda r: F.struct(F.lit(r.lang).alias("lang"), *[F.lit(list(x)).cast(f"array<{k}>").alias(n) for n, x, k in (
+        ("classes", r.classes, "double"), ("words", r.words, "string"), ("shares", r.shares, "double"))])
+    return F.array(*[row(r) for r in references])
 
 
 def judge(docs: DataFrame, references: list[Reference], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -216,22 +232,22 @@ def judge(docs: DataFrame, references: list[Reference], text: str = "text", lang
     if not references:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("reference", "string"), ("char_distance", "double"), ("word_distance", "double"))]
         return rows.select(*kept, *BASE, (~F.col("base_failed")).alias("kept"), *none)
-    noise = lambda k, n: (k - 1) / (8 * math.log(2) * n)
-    chars = F.col("__chars")
-
-    def compared(r: Reference) -> Column:
-        """Null if the document is of another language. The two divergences in units of their cuts may add up to 1."""
-        char = F.when(chars >= MIN_CHARS_JUDGED, char_divergence(F.col("__c"), r.classes))
-        word = word_divergence(F.col("__low"), r.words, r.shares, MIN_WORDS_JUDGED)
-        both = lambda d: F.struct(
-            (F.coalesce(d["c"] / (MAX_CHAR_DIVERGENCE + noise(len(CLASSES) + 1, chars)), F.lit(0.0))
-             + F.coalesce(d["w"]["d"] / (MAX_WORD_DIVERGENCE + noise(len(r.words) + 1, d["w"]["n"])), F.lit(0.0))).alias("excess"),
-            F.lit(r.lang).alias("lang"), d["c"].alias("c"), d["w"]["d"].alias("w"))
-        asked = F.col("__lang").isNull() | (F.col("__lang") == r.lang)
-        return F.when(asked, _let(F.struct(char.alias("c"), word.alias("w")), both))
-
-    judged = rows.withColumns({"__low": lowered(F.col("__text")), "__chars": F.length(F.coalesce(F.col("__text"), F.lit("")))}).select(
-        *kept, *BASE, F.array_min(F.array(*[compared(r) for r in references])).alias("__best"))
+    noise = lambda k, n: (k - 1) / (8 * math.log(2) * F.greatest(n, F.lit(1)))
+    rows = with_words(rows.withColumn("__chars", F.length(F.coalesce(F.col("__text"), F.lit("")))), "__text", sorted({w for r in references for w in r.words}))
+
+    def compared(r: Column) -> Column:
+        """The two divergences in units of their cuts may add up to 1."""
+        char = F.when(F.col("__chars") >= MIN_CHARS_JUDGED, char_divergence(r["classes"]))
+        word = F.when(F.col("__n") >= MIN_WORDS_JUDGED, word_divergence(r["words"], r["shares"]))
+        return F.struct(char.alias("c"), word.alias("w"), r["lang"].alias("lang"), F.size(r["words"]).alias("k"))
+
+    def ranked(d: Column) -> Column:
+        excess = (F.coalesce(d["c"] / (MAX_CHAR_DIVERGENCE + noise(len(CLASSES) + 1, F.col("__chars"))), F.lit(0.0))
+                  + F.coalesce(d["w"] / (MAX_WORD_DIVERGENCE + noise(d["k"] + 1, F.col("__n"))), F.lit(0.0)))
+        return F.struct(excess.alias("excess"), d["lang"].alias("lang"), d["c"].alias("c"), d["w"].alias("w"))
+
+    asked = F.filter(_literal(references), lambda r: F.col("__lang").isNull() | (r["lang"] == F.col("__lang")))
+    judged = computed_once(rows.select(*kept, *BASE, F.array_min(F.transform(F.transform(asked, compared), ranked)).alias("__best")))
     distance = lambda c: F.round(F.sqrt(F.when(F.col(f"__best.{c}") < 0, 0.0).otherwise(F.col(f"__best.{c}"))), 6)
     passes = ~F.col("base_failed") & F.coalesce(F.col("__best.excess") <= 1, F.lit(True))
     return judged.select(*kept, *BASE, passes.alias("kept"), F.col("__best.lang").alias("reference"),
