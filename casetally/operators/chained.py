@@ -7,8 +7,8 @@ initialised by hot-deck, then for ``maxit`` rounds each target is re-drawn
 from a model fitted, per imputation (and ``by`` group), on the currently
 completed data:
 
-* categorical targets: ridge multinomial logit by Newton's method
-  (``logreg``, two classes, draws its coefficients from their posterior
+* categorical targets: multinomial logit by Newton's method, with
+  pseudo-observations against separated classes (``logreg``, two classes, draws its coefficients from their posterior
   before predicting; ``polyreg`` predicts with the estimates);
 * numeric targets (``pmm``): Bayesian linear regression and predictive mean
   matching with the nearest donors.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +49,7 @@ def methods_from_schema(df: DataFrame, targets: Sequence[str], kinds: dict[str,
     return out
 
 
-def _key(seed: int, imp: int, by: str, target: str, draw_round: int) -> list[int]:
+def _key(seed: int, target: str, draw_round: int, imp: int, by: str) -> list[int]:
     return [seed, imp, draw_round, zlib.crc32(target.encode()), zlib.crc32(by.encode())]
 
 
@@ -100,7 +100,7 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
     for t in active:
         seen = full.select(F.lit(0).alias(MO.ALL), by_key.alias(MO.BY), *design[t].columns(), value[t])
         fixed[t] = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
-    fits: dict[str, dict] = {}
+    fits: dict[str, DataFrame] = {}
     for it in range(1, maxit + 1 if active else 1):
         for t in active:
             spec, d = targets[t], design[t]
@@ -113,10 +113,9 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
             elif len(classes[t]) == 1:
                 drawn = need.withColumn("__drawn", F.lit(classes[t][0]))
             else:
-                fits[t] = MO.fit_logit(rows, d, "__y", classes[t], m, fits.get(t))
-                draw = spec["method"] == "logreg"
-                betas = {k: f.drawn(_key(seed, *k, t, it)) if draw else f.beta for k, f in fits[t].items()}
-                drawn = MO.draw_classes(need, d, classes[t], betas, "__u", "__drawn")
+                key = partial(_key, seed, t, it) if spec["method"] == "logreg" else None
+                fits[t] = MO.fit_logit(rows, d, "__y", classes[t], m, fits.get(t), key)
+                drawn = MO.draw_classes(need, d, classes[t], fits[t], "__u", "__drawn")
             # a group without any observed value keeps its hot-deck draw
             drawn = drawn.withColumn(t, F.coalesce(F.col("__drawn").cast(schema[t]), F.col(t)))
             cur = materialize(cur.filter(~F.col(f"__m_{t}")).unionByName(drawn.select(*cur.columns)))
@@ -129,11 +128,9 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
 def _matched(rows: DataFrame, need: DataFrame, design: MO.Design, target: str, m: int, seed: int, draw_round: int,
              donors: int) -> DataFrame:
     """``need`` with the value of a donor with a near prediction in ``__drawn``."""
-    fits = MO.fit_linear(rows, design, "__y", m)
-    estimate = {k: f.beta for k, f in fits.items()}
-    drawn = {k: f.drawn(_key(seed, *k, target, draw_round)) for k, f in fits.items()}
-    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, estimate, m, ["__v", MO.WEIGHT])
+    fits = MO.fit_linear(rows, design, "__y", m, partial(_key, seed, target, draw_round))
+    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, fits, "beta", m, ["__v", MO.WEIGHT])
     pool = pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
     kept = [c for c in need.columns if not c.startswith("__x_") and c not in (MO.ALL, MO.BY)]
-    asked = MO.predicted(need, design, drawn, m, kept, "__x_")
+    asked = MO.predicted(need, design, fits, "drawn", m, kept, "__x_")
     return MO.match_donors(pool, asked, donors, "__drawn")

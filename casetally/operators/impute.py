@@ -223,14 +223,13 @@ def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: S
     tags = [F.lit(0).alias(MO.ALL), F.lit("").alias(MO.BY)]
     seen = df.filter(value.isNotNull()).select(*tags, *design.columns(), value.alias("__y"))
     rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
-    fit = MO.fit_linear(rows, design, "__y", 1)[1, ""]
-    estimate = {(i, ""): fit.beta for i in range(1, m + 1)}
-    drawn = {(i, ""): fit.drawn([seed, i, draw_round, zlib.crc32(target.encode())]) for i in range(1, m + 1)}
-    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, estimate, m, ["__v", MO.WEIGHT])
+    target_code = zlib.crc32(target.encode())
+    fits = MO.fit_linear(rows, design, "__y", m, lambda imp, _: [seed, imp, draw_round, target_code])
+    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, fits, "beta", m, ["__v", MO.WEIGHT])
     pool = pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
     missing = with_imputations(spread_small(df.filter(value.isNull())), m, imp_col)
     u = uniform_u32(F.lit(seed), *[F.col(c) for c in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
     need = missing.withColumns({MO.ALL: F.col(imp_col), MO.BY: F.lit(""), "__u": u}).select("*", *design.columns("__x_"))
-    asked = MO.predicted(need, design, drawn, m, [*df.columns, imp_col, "__u"], "__x_")
+    asked = MO.predicted(need, design, fits, "drawn", m, [*df.columns, imp_col, "__u"], "__x_")
     found = MO.match_donors(pool, asked, donors, "__drawn")
     return found.withColumn(target, F.col("__drawn").cast(df.schema[target].dataType)).select(*df.columns, imp_col)

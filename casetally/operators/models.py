@@ -1,12 +1,25 @@
 """Model fits for imputation, distributed by sufficient statistics.
 
-No data-sized group is ever gathered. A fit is a few passes over the rows:
-every task sums its rows' contribution to the normal equations (linear) or to
-gradient and information (multinomial logit, one pass per Newton step), and
-only these sums, whose size depends on the number of coefficients, meet. All
-imputations and all ``by`` groups are fitted in the same passes. Rows without
-a missing value are the same in every imputation; they come once (imputation
-0) and are evaluated under every imputation's coefficients.
+No data-sized group is ever gathered, and nothing of a fit passes through the
+driver. A fit is a few passes over the rows: every task sums its rows'
+contribution to the normal equations (linear) or to gradient and information
+(multinomial logit, one pass per Newton step); the sums meet in a tree by key
+(imputation and ``by`` group), and the task that adds the last of them solves
+the system. Coefficients are a table of one row per key, written to the shared
+folder and joined back to the rows. Rows travel in blocks of one key, so a
+block carries its coefficients once and they reach Python without a closure or
+a forced broadcast, whatever their number. The driver reads one number per
+pass: how far the furthest key still has to go.
+
+All imputations and all ``by`` groups are fitted in the same passes. Rows
+without a missing value are the same in every imputation; they come once
+(imputation 0) and are evaluated under every imputation's coefficients.
+
+Separated classes: every logit fit has weighted pseudo-observations, for each
+class and predictor one below and one above the predictor's mean by its
+standard deviation, the others at their means, all of them together weighing
+as much as ``width`` observations. They keep the coefficients finite; a weak
+ridge decides between collinear columns.
 
 Predictive mean matching sorts donors and recipients together by predicted
 value with a range partitioning; a recipient's nearest donors then lie in its
@@ -15,26 +28,32 @@ partition or among the few donors at the edges of its neighbours.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casetally.operators.materialize import materialize
 
 U32 = float(1 << 32)
-#: Prior precision of a logit coefficient (columns are scaled to 0..1): keeps separated classes finite.
-RIDGE = 0.1
+#: Prior precision of a logit coefficient (columns are scaled to 0..1): decides between collinear columns.
+RIDGE = 1e-3
 #: Newton stops after a step whose squared length, in posterior standard deviations, was below this (what is left to go
 #: is then of the order of its square).
 TOLERANCE = 1e-2
 MAX_STEPS = 50
 ALL, BY, WEIGHT = "__imp", "__by", "__n"
+#: Coefficients of one key: estimates, the ones to predict with (drawn from their posterior where asked) and the last Newton decrement.
+COEFFICIENTS = f"{ALL} int, {BY} string, beta array<double>, drawn array<double>, far double"
+#: First level of the tree that adds up the sums: so many tasks per key.
+FAN = 16
+#: Numbers of a block's model matrix and bytes of a block's rows at most (at least one row).
+BLOCK = 1 << 19
 
 
 def is_factor(dtype: T.DataType) -> bool:
@@ -98,79 +117,149 @@ class Design:
         return np.column_stack(cols)
 
 
-PACKED = f"{ALL} int, {BY} string, stats array<double>"
+Key = tuple[int, str]
+Draw = Callable[[int, str], Sequence[int]]
 
 
-def _yielded(sums: dict[tuple[int, str], np.ndarray]) -> Iterator[pd.DataFrame]:
-    if sums:
-        yield pd.DataFrame({ALL: np.array([k[0] for k in sums], np.int32), BY: [k[1] for k in sums], "stats": [v.tolist() for v in sums.values()]})
+def steady(x: np.ndarray) -> np.ndarray:
+    """Ten significant digits: what summation order changes in the last ones does not reach the draws."""
+    return np.array([float(f"{v:.10g}") for v in np.ravel(x)]).reshape(np.shape(x))
 
 
-def _statistics(rows: DataFrame, m: int, one: Callable[[np.ndarray, pd.DataFrame, int, str], np.ndarray],
-                design: Design) -> dict[tuple[int, str], np.ndarray]:
-    """Sum over all rows of ``one(model matrix, rows, imputation, by)``, by imputation and by group.
+# ------------------------------------------------------------------ blocks
 
-    What is shuffled is one array per task, imputation and group, the size of the coefficients squared."""
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, str], np.ndarray] = {}
-        for pdf in batches:
-            whole = design.matrix(pdf)
-            for (imp, by), at in pdf.groupby([ALL, BY], sort=True).indices.items():
-                x, part = whole[at], pdf.iloc[at]
-                for i in range(1, m + 1) if imp == 0 else [imp]:
-                    s = one(x, part, i, by)
-                    sums[i, by] = sums[i, by] + s if (i, by) in sums else s
-        yield from _yielded(sums)
 
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, str], np.ndarray] = {}
+def model_blocks(rows: DataFrame, design: Design, target: str, classes: Sequence[str] | None = None) -> DataFrame:
+    """The rows' model matrix, target (class number or value) and weight as blocks of one key.
+
+    ``rows``: imputation (0: all), by, weight, the design's columns and ``target``."""
+    number = {c: i for i, c in enumerate(classes or ())}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for imp, by, s in zip(pdf[ALL], pdf[BY], pdf["stats"], strict=True):
-                s = np.asarray(s)
-                sums[imp, by] = sums[imp, by] + s if (imp, by) in sums else s
-        yield from _yielded(sums)
+            x, w = design.matrix(pdf), pdf[WEIGHT].to_numpy(float)
+            y = pdf[target].map(number).to_numpy(float) if classes is not None else pdf[target].to_numpy(float)
+            step = max(BLOCK // x.shape[1], 1)
+            made = [(imp, by, x[part].tobytes(), y[part].tobytes(), w[part].tobytes())
+                    for (imp, by), at in pdf.groupby([ALL, BY], sort=True).indices.items() for part in np.split(at, range(step, len(at), step))]
+            if made:
+                yield pd.DataFrame(made, columns=[ALL, BY, "x", "y", "w"]).astype({ALL: np.int32})
+    return rows.mapInPandas(run, f"{ALL} int, {BY} string, x binary, y binary, w binary")
+
+
+def _row_blocks(rows: DataFrame) -> DataFrame:
+    """Whole rows as Arrow blocks of one key, to be joined with that key's coefficients."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            made, step = [], max(b.num_rows * BLOCK * 4 // max(b.nbytes, 1), 1)
+            for (imp, by), at in b.select([ALL, BY]).to_pandas().groupby([ALL, BY], sort=True).indices.items():
+                for part in np.split(at, range(step, len(at), step)):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema) as out:
+                        out.write_batch(b.take(pa.array(part)))
+                    made.append((imp, by, sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.string()),
+                                              pa.array([m[2] for m in made], pa.binary())], names=[ALL, BY, "rows"])
+    return rows.mapInArrow(run, f"{ALL} int, {BY} string, rows binary")
+
+
+def _with_coefficients(blocks: DataFrame, fits: DataFrame | None, column: str) -> DataFrame:
+    """Blocks with the coefficients ``column`` of all imputations of their group, as a list of (imputation, values)."""
+    one = F.struct(F.col(ALL).alias("i"), F.col(column).alias("c"))
+    if fits is None:
+        return blocks.withColumn("fits", F.array().cast("array<struct<i:int,c:array<double>>>"))
+    lists = fits.groupBy(BY).agg(F.sort_array(F.collect_list(one)).alias("fits"))  # one entry per imputation
+    joined = blocks.join(lists, BY, "left")
+    mine = F.filter("fits", lambda f: (F.col(ALL) == 0) | (f["i"] == F.col(ALL)))
+    return joined.withColumn("fits", F.coalesce(mine, F.array().cast("array<struct<i:int,c:array<double>>>")))
+
+
+def _each_block(blocks: DataFrame, fits: DataFrame, column: str, schema: T.StructType,
+                make: Callable[[pd.DataFrame, Key, dict[int, np.ndarray]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """``make(rows, key, coefficients by imputation)`` of every block of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for imp, by, body, found in zip(pdf[ALL], pdf[BY], pdf["rows"], pdf["fits"], strict=True):
+                rows = pa.ipc.open_stream(body).read_all().to_pandas(date_as_object=True)
+                yield from make(rows, (int(imp), by), {f["i"]: np.asarray(f["c"], float) for f in found})
+    return _with_coefficients(blocks, fits, column).mapInPandas(run, schema)
 
-    parts = rows.mapInPandas(partial, PACKED)
-    found = parts.repartition(ALL, BY).mapInPandas(total, PACKED).collect()  # one row per (imputation, by)
-    return {(r[ALL], r[BY]): np.array(r.stats) for r in found}
 
+# ------------------------------------------------------------- statistics
 
-def steady(x: np.ndarray) -> np.ndarray:
-    """Ten significant digits: what summation order changes in the last ones does not reach the draws."""
-    return np.array([float(f"{v:.10g}") for v in np.ravel(x)]).reshape(np.shape(x))
+
+def _added(salted: bool, finish: Callable[[Key, np.ndarray], list] | None = None) -> Callable:
+    """Sums of statistics by key within a task; the last level turns a sum into a row of coefficients."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[Key, np.ndarray] = {}
+        for pdf in batches:
+            for imp, by, stats in zip(pdf[ALL], pdf[BY], pdf["stats"], strict=True):
+                sums[imp, by] = sums[imp, by] + stats if (imp, by) in sums else np.asarray(stats, float)
+        keys = sorted(sums)
+        if not keys:
+            return
+        if finish is None:
+            yield pd.DataFrame({ALL: np.array([k[0] for k in keys], np.int32), BY: [k[1] for k in keys], "salt": np.int32(0), "stats": [sums[k] for k in keys]})
+        else:
+            made = [(*k, *finish((int(k[0]), k[1]), sums[k])) for k in keys]
+            yield pd.DataFrame(made, columns=[ALL, BY, "beta", "drawn", "far"]).astype({ALL: np.int32})
+    return run
 
 
-@dataclass
-class LinearFit:
-    beta: np.ndarray
-    spread: np.ndarray  # Cholesky factor of the inverse normal matrix
-    rss: float
-    n: int
+def _solved(blocks: DataFrame, fits: DataFrame | None, m: int, one: Callable[..., np.ndarray], width: int,
+            finish: Callable[[Key, np.ndarray], list]) -> tuple[DataFrame, float]:
+    """One pass: the sum over all blocks of ``one(x, y, w, coefficients)`` by key, and ``finish(key, sum)`` of each.
+
+    Returns the coefficient table and the largest ``far``. Sums meet by (key, salt), then by key; only arrays of the size
+    of the statistics travel."""
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+        sums: dict[Key, np.ndarray] = {}
+        for pdf in batches:
+            for imp, by, x, y, w, found in zip(pdf[ALL], pdf[BY], pdf["x"], pdf["y"], pdf["w"], pdf["fits"], strict=True):
+                x, y, w = np.frombuffer(x).reshape(-1, width), np.frombuffer(y), np.frombuffer(w)
+                known = {f["i"]: np.asarray(f["c"], float) for f in found}
+                same = one(x, y, w, None) if not known else None
+                for i in range(1, m + 1) if imp == 0 else [imp]:
+                    s = one(x, y, w, known.get(i)) if same is None else same
+                    sums[i, by] = sums[i, by] + s if (i, by) in sums else s
+        if sums:
+            salt = TaskContext.get().partitionId() % FAN
+            yield pd.DataFrame({ALL: np.array([k[0] for k in sums], np.int32), BY: [k[1] for k in sums], "salt": np.int32(salt), "stats": list(sums.values())})
+
+    schema = f"{ALL} int, {BY} string, salt int, stats array<double>"
+    parts = _with_coefficients(blocks, fits, "beta").mapInPandas(partial, schema)
+    first = parts.repartition(ALL, BY, "salt").mapInPandas(_added(True), schema)
+    solved = first.repartition(ALL, BY).mapInPandas(_added(False, finish), COEFFICIENTS)
+    seen = Observation()
+    table = materialize(solved.observe(seen, F.max("far").alias("far")))
+    return table, seen.get["far"] or 0.0
 
-    def drawn(self, key: list[int]) -> np.ndarray:
-        """Coefficients drawn from the normal-linear posterior."""
-        rng = np.random.default_rng(key)
-        sigma = np.sqrt(self.rss / rng.chisquare(max(self.n - len(self.beta), 1)))
-        return steady(self.beta + sigma * self.spread @ rng.standard_normal(len(self.beta)))
 
+def fit_linear(rows: DataFrame, design: Design, target: str, m: int, draw: Draw) -> DataFrame:
+    """Coefficient table of the normal linear model; ``drawn`` comes from its posterior, by the generator key ``draw(imp, by)``.
 
-def fit_linear(rows: DataFrame, design: Design, target: str, m: int) -> dict[tuple[int, str], LinearFit]:
-    """``rows``: imputation (0: all), by, weight, the design's columns and the target ``__y`` as double."""
+    ``rows``: imputation (0: all), by, weight, the design's columns and the target as double."""
     p = design.width
 
-    def one(x: np.ndarray, part: pd.DataFrame, _: int, __: str) -> np.ndarray:
-        y, w = part[target].to_numpy(float), part[WEIGHT].to_numpy(float)
+    def one(x: np.ndarray, y: np.ndarray, w: np.ndarray, _: np.ndarray | None) -> np.ndarray:
         xw = x * w[:, None]
         return np.concatenate([(xw.T @ x).ravel(), xw.T @ y, [(w * y * y).sum(), w.sum()]])
 
-    out = {}
-    for key, s in _statistics(rows, m, one, design).items():
+    def finish(key: Key, s: np.ndarray) -> list:
         xtx, xty, yy, n = s[:p * p].reshape(p, p), s[p * p:p * p + p], s[-2], int(s[-1])
         inverse = np.linalg.inv(xtx + 1e-5 * max(np.trace(xtx) / p, 1.0) * np.eye(p))
         beta = inverse @ xty
         rss = max(float(yy - 2 * beta @ xty + beta @ xtx @ beta), 0.0)
-        out[key] = LinearFit(steady(beta), np.linalg.cholesky((inverse + inverse.T) / 2 + 1e-12 * np.eye(p)), rss, n)
-    return out
+        spread = np.linalg.cholesky((inverse + inverse.T) / 2 + 1e-12 * np.eye(p))
+        rng = np.random.default_rng(draw(*key))
+        sigma = np.sqrt(rss / rng.chisquare(max(n - p, 1)))
+        beta = steady(beta)
+        return [beta, steady(beta + sigma * spread @ rng.standard_normal(p)), 0.0]
+
+    return _solved(model_blocks(rows, design, target), None, m, one, p, finish)[0]
 
 
 def class_probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -181,94 +270,102 @@ def class_probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return prob / prob.sum(axis=1, keepdims=True)
 
 
-@dataclass
-class LogitFit:
-    beta: np.ndarray  # (classes - 1, width)
-    information: np.ndarray
-
-    def drawn(self, key: list[int]) -> np.ndarray:
-        """Coefficients drawn from the normal approximation of their posterior."""
-        covariance = np.linalg.inv(self.information)
-        chol = np.linalg.cholesky((covariance + covariance.T) / 2 + 1e-12 * np.eye(len(covariance)))
-        return steady(self.beta + (chol @ np.random.default_rng(key).standard_normal(self.beta.size)).reshape(self.beta.shape))
-
-
-def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[str], m: int,
-              start: dict[tuple[int, str], LogitFit] | None = None, tolerance: float = TOLERANCE,
-              max_steps: int = MAX_STEPS) -> dict[tuple[int, str], LogitFit]:
-    """Ridge multinomial logit by Newton's method, all imputations and by groups at once, one pass per step.
-
-    Stops when every group's next step is below the tolerance; raises if that is not reached in ``max_steps``.
+def _gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and information of the multinomial log likelihood at ``beta`` (classes - 1, width)."""
+    k, p = beta.shape
+    prob = class_probabilities(x, beta)[:, 1:]
+    hit = (y[:, None] == np.arange(1, k + 1)[None, :]).astype(float)
+    info = np.zeros((k, p, k, p))
+    for a in range(k):
+        for b in range(a, k):
+            block = (x * (w * prob[:, a] * ((a == b) - prob[:, b]))[:, None]).T @ x
+            info[a, :, b], info[b, :, a] = block, block.T
+    return (((hit - prob) * w[:, None]).T @ x).ravel(), info.reshape(k * p, k * p)
+
+
+def pseudo_observations(mean: np.ndarray, sd: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Model matrix, class numbers and weights of the pseudo-observations (the first column is the intercept)."""
+    p = len(mean)
+    at = np.tile(mean, (2 * (p - 1), 1))
+    for j in range(1, p):
+        at[2 * j - 2, j] -= sd[j]
+        at[2 * j - 1, j] += sd[j]
+    x = np.repeat(at, classes, axis=0)
+    return x, np.tile(np.arange(classes, dtype=float), len(at)), np.full(len(x), p / max(len(x), 1))
+
+
+def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[str], m: int, start: DataFrame | None = None,
+              draw: Draw | None = None, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Coefficient table of the multinomial logit by Newton's method, all imputations and by groups at once, one pass per step.
+
+    ``start``: a table of earlier coefficients of the same design and classes. With ``draw`` the coefficients ``drawn`` come
+    from the normal approximation of their posterior, else they are the estimates. Stops when every key's next step is below
+    the tolerance; raises if that is not reached in ``max_steps``.
     """
     p, k = design.width, len(classes)
-    number = {c: i for i, c in enumerate(classes)}
     size = p * (k - 1)
-    fits = {key: LogitFit(f.beta.copy(), f.information) for key, f in (start or {}).items() if f.beta.shape == (k - 1, p)}
+
+    def one(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray | None) -> np.ndarray:
+        beta = np.zeros(size) if beta is None else beta
+        grad, info = _gradient(x, y, w, beta.reshape(k - 1, p))
+        xw = x * w[:, None]
+        # the coefficients come along, weighted like the rows, so the solving task knows where the step starts
+        return np.concatenate([grad, info.ravel(), xw.sum(axis=0), (xw * x).sum(axis=0), beta * w.sum()])
+
+    def finish(key: Key, s: np.ndarray) -> list:
+        grad, info, rest = s[:size], s[size:size + size * size].reshape(size, size), s[size + size * size:]
+        n = rest[0]  # the intercept's sum
+        mean, beta = rest[:p] / n, rest[2 * p:] / n
+        sd = np.sqrt(np.maximum(rest[p:2 * p] / n - mean * mean, 0.0))
+        if p > 1:
+            more, extra = _gradient(*pseudo_observations(mean, sd, k), beta.reshape(k - 1, p))
+            grad, info = grad + more, info + extra
+        grad, info = grad - RIDGE * beta, info + RIDGE * np.eye(size)
+        step = np.linalg.solve(info, grad)
+        far = float(grad @ step)
+        beta = steady(beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300)))
+        if draw is None:
+            return [beta, beta, far]
+        covariance = np.linalg.inv(info)
+        chol = np.linalg.cholesky((covariance + covariance.T) / 2 + 1e-12 * np.eye(size))
+        return [beta, steady(beta + chol @ np.random.default_rng(draw(*key)).standard_normal(size)), far]
+
+    blocks, fits = materialize(model_blocks(rows, design, target, classes)), start
     for _ in range(max_steps):
-        now = {key: f.beta for key, f in fits.items()}
-
-        def one(x: np.ndarray, part: pd.DataFrame, imp: int, by: str) -> np.ndarray:
-            w = part[WEIGHT].to_numpy(float)
-            prob = class_probabilities(x, now.get((imp, by), np.zeros((k - 1, p))))[:, 1:]
-            y = part[target].map(number).to_numpy(int)
-            hit = (y[:, None] == np.arange(1, k)[None, :]).astype(float)
-            grad = ((hit - prob) * w[:, None]).T @ x
-            info = np.zeros((k - 1, k - 1, p, p))
-            for a in range(k - 1):
-                for b in range(a, k - 1):
-                    block = (x * (w * prob[:, a] * ((a == b) - prob[:, b]))[:, None]).T @ x
-                    info[a, b], info[b, a] = block, block.T
-            return np.concatenate([grad.ravel(), info.transpose(0, 2, 1, 3).ravel()])
-
-        furthest = 0.0
-        for key, s in _statistics(rows, m, one, design).items():
-            beta = now.get(key, np.zeros((k - 1, p)))
-            grad = s[:size] - RIDGE * beta.ravel()
-            info = s[size:].reshape(size, size) + RIDGE * np.eye(size)
-            step = np.linalg.solve(info, grad)
-            furthest = max(furthest, float(grad @ step))
-            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
-            fits[key] = LogitFit(steady(beta + step.reshape(beta.shape)), info)
-        if furthest < tolerance:
+        fits, far = _solved(blocks, fits, m, one, p, finish)
+        if far < tolerance:
             return fits
     raise RuntimeError(f"the logit model of {target} did not converge in {max_steps} steps")
 
 
-def draw_classes(rows: DataFrame, design: Design, classes: Sequence[str], betas: dict[tuple[int, str], np.ndarray],
-                 u: str, out: str) -> DataFrame:
-    """``rows`` with the class drawn by the uniform integer in column ``u``; the design's columns are prefixed ``__x_``."""
+def draw_classes(rows: DataFrame, design: Design, classes: Sequence[str], fits: DataFrame, u: str, out: str) -> DataFrame:
+    """``rows`` with the class drawn by the uniform integer in column ``u``; the design's columns are prefixed ``__x_``.
+
+    A key without coefficients draws nothing (null)."""
     kept = [c for c in rows.columns if not c.startswith("__x_") and c != u]
     schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField(out, T.StringType())])
+    names = np.array(classes, object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            drawn = np.full(len(pdf), None, object)
-            for (imp, by), at in pdf.groupby([ALL, BY], sort=False).indices.items():
-                if (imp, by) not in betas:
-                    continue
-                cum = np.cumsum(class_probabilities(design.matrix(pdf.iloc[at], "__x_"), betas[imp, by]), axis=1)
-                pick = (cum <= pdf[u].to_numpy()[at][:, None] / U32).sum(axis=1)
-                drawn[at] = np.array(classes, object)[np.minimum(pick, len(classes) - 1)]
-            pdf = pdf[kept].copy()
-            pdf[out] = drawn
-            yield pdf
-    return rows.mapInPandas(run, schema)
-
-
-def predicted(rows: DataFrame, design: Design, betas: dict[tuple[int, str], np.ndarray], m: int, keep: Sequence[str],
-              prefix: str = "") -> DataFrame:
-    """Imputation, by, columns ``keep`` and the linear predictor ``__p``; rows of imputation 0 once for every imputation."""
+    def make(pdf: pd.DataFrame, key: Key, found: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        drawn = np.full(len(pdf), None, object)
+        if key[0] in found:
+            cum = np.cumsum(class_probabilities(design.matrix(pdf, "__x_"), found[key[0]].reshape(len(classes) - 1, -1)), axis=1)
+            pick = (cum <= pdf[u].to_numpy()[:, None] / U32).sum(axis=1)
+            drawn = names[np.minimum(pick, len(classes) - 1)]
+        yield pdf[kept].assign(**{out: drawn})
+    return _each_block(_row_blocks(rows), fits, "drawn", schema, make)
+
+
+def predicted(rows: DataFrame, design: Design, fits: DataFrame, column: str, m: int, keep: Sequence[str], prefix: str = "") -> DataFrame:
+    """Imputation, by, columns ``keep`` and the linear predictor ``__p`` by the coefficients ``column``; rows of imputation
+    0 once for every imputation. Other rows of a key without coefficients have ``__p`` 0."""
     schema = T.StructType([*rows.select(ALL, BY, *keep).schema.fields, T.StructField("__p", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for (imp, by), at in pdf.groupby([ALL, BY], sort=False).indices.items():
-                part = pdf.iloc[at]
-                x = design.matrix(part, prefix)
-                for i in range(1, m + 1) if imp == 0 else [imp]:
-                    if (i, by) in betas or imp:
-                        yield part[[ALL, BY, *keep]].assign(**{ALL: np.int32(i), "__p": x @ betas[i, by] if (i, by) in betas else 0.0})
-    return rows.mapInPandas(run, schema)
+    def make(pdf: pd.DataFrame, key: Key, found: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        x = design.matrix(pdf, prefix)
+        for i in sorted(found) if key[0] == 0 else [key[0]]:
+            yield pdf[[ALL, BY, *keep]].assign(**{ALL: np.int32(i), "__p": x @ found[i] if i in found else 0.0})
+    return _each_block(_row_blocks(rows), fits, column, schema, make)
 
 
 def nearest_donors(x: float | np.ndarray, ys: np.ndarray, vs: np.ndarray, ns: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:

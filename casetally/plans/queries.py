@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -568,7 +567,9 @@ def logistic_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     design = MO.Design(numbers={"chmal1": (1.0, 4.0, False)}, factors={"medical": ["false", "true"]})
     u = uniform_u32(F.lit(S.SEED), "row_key", F.lit(1), F.lit("ipse"), F.lit(0))
     rows = c.select("row_key", F.lit(1).alias(MO.ALL), F.lit("").alias(MO.BY), u.alias("__u"), *design.columns("__x_"))
-    drawn = MO.draw_classes(rows, design, ["false", "true"], {(1, ""): np.array([[0.25, -1.5, 0.75]])}, "__u", "drawn")
+    given = [0.25, -1.5, 0.75]
+    fits = spark.createDataFrame([(1, "", given, given, 0.0)], MO.COEFFICIENTS)
+    drawn = MO.draw_classes(rows, design, ["false", "true"], fits, "__u", "drawn")
     return drawn.select("row_key", F.col("drawn").cast("boolean").alias("ipse"))
 
 

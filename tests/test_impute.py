@@ -179,14 +179,56 @@ def test_logit_fit_matches_closed_form(spark):
     from casetally.operators import models as MO
     data = [(0, "", 1.0 * (i % 2), str(bool(i % 10 < (3 if i % 2 else 7))).lower(), 1) for i in range(20000)]
     rows_ = spark.createDataFrame(data, "__imp int, __by string, x double, __y string, __n long")
-    fits = MO.fit_logit(rows_, MO.Design(numbers={"x": (0.0, 1.0, False)}), "__y", ["false", "true"], 2)
+    design = MO.Design(numbers={"x": (0.0, 1.0, False)})
+    found = {r[0]: r for r in MO.fit_logit(rows_, design, "__y", ["false", "true"], 200, draw=lambda imp, by: [imp]).collect()}
     odds = lambda x: math.log(sum(1 for r in data if r[2] == x and r[3] == "true") / sum(1 for r in data if r[2] == x and r[3] == "false"))
     for imp in (1, 2):
-        beta = fits[imp, ""].beta[0]
+        beta = found[imp].beta
         assert abs(beta[0] - odds(0)) < 0.01 and abs(beta[0] + beta[1] - odds(1)) < 0.01
-    drawn = np.array([fits[1, ""].drawn([i])[0] for i in range(400)])
-    spread = np.sqrt(np.diag(np.linalg.inv(fits[1, ""].information)))
-    assert np.allclose(drawn.std(axis=0), spread, rtol=0.2)
+    drawn = np.array([found[i].drawn for i in found])
+    q = [0.3 * 0.7 * 10000] * 2  # information of the two cells; the slope's variance is the sum of theirs
+    assert np.allclose(drawn.std(axis=0), [math.sqrt(1 / q[0]), math.sqrt(1 / q[0] + 1 / q[1])], rtol=0.25)
+
+
+def test_separated_classes_have_finite_coefficients(spark):
+    """The class follows from x; pseudo-observations hold the slope back, and the fit equals one over rows and pseudo-rows."""
+    import numpy as np
+    from casetally.operators import models as MO
+    data = [(0, "", float(i % 2), ["no", "yes", "yes"][i % 2], 50) for i in range(40)]
+    rows_ = spark.createDataFrame(data, "__imp int, __by string, x double, __y string, __n long")
+    fit = MO.fit_logit(rows_, MO.Design(numbers={"x": (0.0, 1.0, False)}), "__y", ["no", "yes"], 1, tolerance=1e-12).first().beta
+    x = np.array([[1.0, r[2]] for r in data])
+    more = MO.pseudo_observations(x.mean(axis=0), x.std(axis=0), 2)
+    assert abs(more[2].sum() - 2) < 1e-12
+    full = [np.concatenate(z) for z in zip((x, np.array([float(r[3] == "yes") for r in data]), np.full(40, 50.0)), more, strict=True)]
+    grad, _ = MO._gradient(*full, np.array([fit]))
+    assert np.abs(grad - MO.RIDGE * np.array(fit)).max() < 1e-4
+    assert 5 < fit[1] < 30
+
+
+def test_many_groups_and_nothing_collected(spark, monkeypatch):
+    """500 groups: every group's fit is that of its own rows, and no statistics pass through the driver."""
+    import numpy as np
+    from casetally.operators import models as MO
+    rng = np.random.default_rng(3)
+    n = 500 * 40
+    by, x = np.arange(n) % 500, rng.integers(0, 5, n)
+    y = 3 * x + by % 7 + rng.integers(0, 3, n)
+    import pandas as pd
+    pdf = pd.DataFrame({"__imp": np.zeros(n, np.int32), "__by": by.astype(str), "x": x.astype(float), "__y": y.astype(float), "__n": np.ones(n, np.int64)})
+    rows_ = spark.createDataFrame(pdf)
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    with monkeypatch.context() as patch:
+        for name in ("collect", "toPandas", "first", "head", "take"):
+            patch.setattr(Classic, name, lambda self, *a, **k: (_ for _ in ()).throw(AssertionError("collected")))
+        lin = MO.fit_linear(rows_, MO.Design(numbers={"x": (0.0, 1.0, False)}), "__y", 2, lambda imp, b: [imp, int(b)])
+        logit = MO.fit_logit(rows_.withColumn("__y", (F.col("__y") % 2).cast("int").cast("string")), MO.Design(numbers={"x": (0.0, 4.0, False)}), "__y", ["0", "1"], 2)
+    got = {(r["__imp"], r["__by"]): r.beta for r in lin.collect()}
+    assert len(got) == 1000 and logit.count() == 1000
+    for g in (0, 17, 499):
+        at = by == g
+        want = np.linalg.lstsq(np.column_stack([np.ones(at.sum()), x[at]]), y[at], rcond=None)[0]
+        assert np.allclose(got[1, str(g)], want, atol=1e-3) and got[1, str(g)] == got[2, str(g)]
 
 
 def test_draws_beyond_two_to_the_31_donors(spark):
