@@ -134,3 +134,33 @@ def _matched(rows: DataFrame, need: DataFrame, design: MO.Design, target: str, m
     kept = [c for c in need.columns if not c.startswith("__x_") and c not in (MO.ALL, MO.BY)]
     asked = MO.predicted(need, design, fits, "drawn", m, kept, "__x_")
     return MO.match_donors(pool, asked, donors, "__drawn")
+
+
+def exact_round(df: DataFrame, targets: dict[str, Sequence[str]], row_key: Sequence[str], m: int, seed: int, imp_col: str = IMP,
+                donors: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """One round of predictive mean matching in visiting order, with fits that any exact engine can replay.
+
+    ``targets`` maps integer targets, in visiting order, to integer predictors: complete columns or targets visited before.
+    Least squares are exact (``models.fit_exact``), donors and recipients are predicted with the estimates (no posterior
+    draw), a fit sees observed records once and completed ones by imputation. Returns the records with a missing target,
+    once per imputation, completed. A group without an observed value leaves its target missing."""
+    any_missing = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in targets])
+    by_key = F.to_json(F.struct(*by)) if by else F.lit("")
+    tagged = df.withColumn(MO.BY, by_key)
+    full = tagged.filter(~any_missing).withColumn(MO.ALL, F.lit(0))
+    part = with_imputations(tagged.filter(any_missing), m, imp_col).withColumn(MO.ALL, F.col(imp_col).cast("int"))
+    cur = materialize(part.withColumns({f"__m_{t}": F.col(t).isNull() for t in targets}))
+    for t, predictors in targets.items():
+        cols = [MO.ALL, MO.BY, *predictors, F.col(t).cast("long").alias("__v")]
+        seen = full.select(*cols).unionByName(cur.filter(F.col(t).isNotNull()).select(*cols))
+        rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
+        fits = MO.fit_exact(rows, predictors, "__v", m)
+        pool = MO.predicted_exact(rows, predictors, fits, ["__v", MO.WEIGHT])
+        pool = pool.groupBy(MO.ALL, MO.BY, "__p", F.col("__v").cast("double").alias("__v")).agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
+        u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(t), F.lit(0))
+        need = cur.filter(f"__m_{t}").withColumn("__u", u)
+        asked = MO.predicted_exact(need, predictors, fits, [c for c in need.columns if c not in (MO.ALL, MO.BY)])
+        drawn = MO.match_donors(pool, asked, donors, "__drawn")
+        drawn = drawn.withColumn(t, F.col("__drawn").cast(df.schema[t].dataType))
+        cur = materialize(cur.filter(~F.col(f"__m_{t}")).unionByName(drawn.select(*cur.columns)))
+    return cur.select(*df.columns, imp_col)

@@ -28,13 +28,15 @@ partition or among the few donors at the edges of its neighbours.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,20 +172,21 @@ def _with_coefficients(blocks: DataFrame, fits: DataFrame | None, column: str) -
     one = F.struct(F.col(ALL).alias("i"), F.col(column).alias("c"))
     if fits is None:
         return blocks.withColumn("fits", F.array().cast("array<struct<i:int,c:array<double>>>"))
+    none = F.array().cast(f"array<struct<i:int,c:{fits.schema[column].dataType.simpleString()}>>")
     lists = fits.groupBy(BY).agg(F.sort_array(F.collect_list(one)).alias("fits"))  # one entry per imputation
     joined = blocks.join(lists, BY, "left")
     mine = F.filter("fits", lambda f: (F.col(ALL) == 0) | (f["i"] == F.col(ALL)))
-    return joined.withColumn("fits", F.coalesce(mine, F.array().cast("array<struct<i:int,c:array<double>>>")))
+    return joined.withColumn("fits", F.coalesce(mine, none))
 
 
 def _each_block(blocks: DataFrame, fits: DataFrame, column: str, schema: T.StructType,
-                make: Callable[[pd.DataFrame, Key, dict[int, np.ndarray]], Iterator[pd.DataFrame]]) -> DataFrame:
+                make: Callable[[pd.DataFrame, Key, dict], Iterator[pd.DataFrame]], read: Callable = lambda c: np.asarray(c, float)) -> DataFrame:
     """``make(rows, key, coefficients by imputation)`` of every block of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for imp, by, body, found in zip(pdf[ALL], pdf[BY], pdf["rows"], pdf["fits"], strict=True):
                 rows = pa.ipc.open_stream(body).read_all().to_pandas(date_as_object=True)
-                yield from make(rows, (int(imp), by), {f["i"]: np.asarray(f["c"], float) for f in found})
+                yield from make(rows, (int(imp), by), {f["i"]: read(f["c"]) for f in found})
     return _with_coefficients(blocks, fits, column).mapInPandas(run, schema)
 
 
@@ -368,6 +371,72 @@ def predicted(rows: DataFrame, design: Design, fits: DataFrame, column: str, m:
     return _each_block(_row_blocks(rows), fits, column, schema, make)
 
 
+# ------------------------------------------------- exact least squares
+
+
+def rational_solution(matrix: list[list[int]], right: list[int]) -> list[int]:
+    """Integers (numerators, then their common positive denominator) that solve the normal equations ``matrix`` x = ``right``.
+
+    Elimination in fractions; a column that depends on earlier ones gets coefficient 0."""
+    size, found = len(right), {}
+    rows = [[Fraction(v) for v in r] + [Fraction(y)] for r, y in zip(matrix, right, strict=True)]
+    for j in range(size):
+        pivot = next((r for r in rows if r[j]), None)
+        if pivot is None or any(pivot[:j]):
+            continue
+        rows.remove(pivot)
+        pivot = [v / pivot[j] for v in pivot]
+        rows = [[a - r[j] * b for a, b in zip(r, pivot, strict=True)] for r in rows]
+        found[j] = pivot
+    x = [Fraction(0)] * size
+    for j in sorted(found, reverse=True):
+        x[j] = found[j][-1] - sum(found[j][i] * x[i] for i in range(j + 1, size))
+    whole = math.lcm(*[v.denominator for v in x])
+    return [*[int(v * whole) for v in x], whole]
+
+
+def fit_exact(rows: DataFrame, predictors: Sequence[str], target: str, m: int) -> DataFrame:
+    """Least squares of an integer target on integer predictors without rounding, by imputation and by group.
+
+    Sums are decimals of 38 digits in built-in aggregates (an overflow raises); the small systems are solved in fractions,
+    one key at a time, where the sums lie. ``beta`` holds the numerators and their common denominator as text."""
+    names = ["__one", *predictors]
+    full = rows.withColumns({c: F.col(c).cast("decimal(18,0)") for c in (*predictors, target)}).withColumn("__one", F.lit(1).cast("decimal(18,0)"))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    weight = F.col(WEIGHT).cast("decimal(18,0)")
+    total = lambda a, b: F.sum((F.col(a) * F.col(b) * weight).cast("decimal(38,0)")).cast("decimal(38,0)")
+    sums = {f"s{i}_{j}": total(names[i], names[j]) for i, j in pairs} | {f"y{i}": total(names[i], target) for i in range(len(names))}
+    by_key = full.groupBy(ALL, BY).agg(*[c.alias(n) for n, c in sums.items()])
+    # what all imputations share is counted once and added to each of them
+    each = by_key.withColumn(ALL, F.explode(F.when(F.col(ALL) == 0, F.sequence(F.lit(1), F.lit(m))).otherwise(F.array(F.col(ALL)))))
+    whole = each.groupBy(ALL, BY).agg(*[F.sum(n).cast("decimal(38,0)").cast("string").alias(n) for n in sums])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for r in pdf.to_dict("records"):
+                matrix = [[int(r[f"s{min(i, j)}_{max(i, j)}"]) for j in range(len(names))] for i in range(len(names))]
+                found.append([str(v) for v in rational_solution(matrix, [int(r[f"y{i}"]) for i in range(len(names))])])
+            yield pd.DataFrame({ALL: pdf[ALL], BY: pdf[BY], "beta": found})
+    return materialize(whole.mapInPandas(solve, f"{ALL} int, {BY} string, beta array<string>"))
+
+
+def predicted_exact(rows: DataFrame, predictors: Sequence[str], fits: DataFrame, keep: Sequence[str], resolution: int = 1000) -> DataFrame:
+    """Like ``predicted`` with the coefficients of ``fit_exact``: ``__p`` is the floor of ``resolution`` times the prediction."""
+    schema = T.StructType([*rows.select(ALL, BY, *keep).schema.fields, T.StructField("__p", T.DoubleType())])
+
+    def make(pdf: pd.DataFrame, key: Key, found: dict[int, list[int]]) -> Iterator[pd.DataFrame]:
+        points, at = np.unique(pdf[list(predictors)].to_numpy(np.int64), axis=0, return_inverse=True)
+        for i in sorted(found) if key[0] == 0 else [key[0]]:
+            p = np.zeros(len(pdf))
+            if i in found:
+                *b, whole = found[i]
+                value = [resolution * (b[0] + sum(n * int(x) for n, x in zip(b[1:], point, strict=True))) // whole for point in points]
+                p = np.array(value, float)[at.ravel()]
+            yield pdf[[ALL, BY, *keep]].assign(**{ALL: np.int32(i), "__p": p})
+    return _each_block(_row_blocks(rows), fits, "beta", schema, make, read=lambda c: [int(v) for v in c])
+
+
 def nearest_donors(x: float | np.ndarray, ys: np.ndarray, vs: np.ndarray, ns: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
     """For every recipient at ``x``: one of the ``k`` nearest donors; the uniform integer ``u`` picks among them.
 
@@ -393,11 +462,16 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
 
     ``donors``: imputation, by, ``__p`` (prediction), ``__v`` (value), weight, one row per distinct combination.
     ``recipients``: any columns, among them imputation, by, ``__p`` and the uniform integer ``u``.
-    Rows are range-partitioned by (imputation, by, prediction, donors first, value, u), so equal predictions spread too,
-    and stored; the first and last ``k`` donors of every task's piece (a table bounded by the number of tasks) give
-    each piece its neighbours'.
+    Of the donors with one prediction only the ``k`` smallest and the ``k`` largest values can be drawn; the others go first
+    (every task keeps its own candidates before the shuffle). Rows are range-partitioned by (imputation, by, prediction,
+    donors first, value, u), so equal predictions spread too, and stored; the first and last ``2 k`` donors of every task's
+    piece (a table bounded by the number of tasks) give each piece its neighbours', so a prediction cut by a partition's
+    edge is whole on both sides.
     """
     spark = donors.sparkSession
+    same = Window.partitionBy(ALL, BY, "__p")
+    ends_of = [donors.withColumn("__r", F.row_number().over(same.orderBy(o))).filter(F.col("__r") <= k).drop("__r") for o in (F.asc("__v"), F.desc("__v"))]
+    donors = ends_of[0].unionByName(ends_of[1]).distinct()
     order = [ALL, BY, "__p", "__kind", "__v", u]
     both = donors.withColumns({"__kind": F.lit(0), u: F.lit(0).cast("bigint")}).unionByName(
         recipients.withColumns({"__kind": F.lit(1), "__v": F.lit(None).cast("double"), WEIGHT: F.lit(0).cast("bigint")}), allowMissingColumns=True)
@@ -410,8 +484,8 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
         last: dict[tuple, pd.DataFrame] = {}
         for pdf in batches:
             for key, g in pdf.groupby([ALL, BY], sort=False):
-                first[key] = pd.concat([first[key], g.head(k)]).head(k) if key in first else g.head(k)
-                last[key] = pd.concat([last[key], g.tail(k)]).tail(k) if key in last else g.tail(k)
+                first[key] = pd.concat([first[key], g.head(2 * k)]).head(2 * k) if key in first else g.head(2 * k)
+                last[key] = pd.concat([last[key], g.tail(2 * k)]).tail(2 * k) if key in last else g.tail(2 * k)
         if first:
             yield pd.concat([*first.values(), *last.values()])
 

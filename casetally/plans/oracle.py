@@ -609,6 +609,46 @@ SELECT need.row_key, CAST(cut.amount AS INTEGER) AS amount
 FROM need LEFT JOIN cut ON cut.year = need.year AND cut.x = need.x
   AND (need.u * cut.tot) // {U32} >= cut.lo AND (need.u * cut.tot) // {U32} < cut.hi"""
 
+
+
+def exact_fit_ctes(t: str, src: str, a: str, b: str) -> str:
+    """Target ``t`` of the long table ``src`` (row_key, year, imp, columns) by matching on its least squares on ``a`` and ``b``.
+
+    The normal equations are solved by determinants of whole numbers; donors as in ``pmm_donors``, by imputation and year.
+    Makes ``{src}_{t}``: the same table with ``t`` completed."""
+    det = "n * (aa * bb - ab * ab) - a * (a * bb - ab * b) + b * (a * ab - aa * b)"
+    zero = "y * (aa * bb - ab * ab) - a * (ay * bb - ab * yb) + b * (ay * ab - aa * yb)"
+    one = "n * (ay * bb - ab * yb) - y * (a * bb - ab * b) + b * (a * yb - ay * b)"
+    two = "n * (aa * yb - ay * ab) - a * (a * yb - ay * b) + y * (a * ab - aa * b)"
+    return f"""
+{t}_s AS (SELECT imp, year, count(*)::HUGEINT AS n, sum({a}) AS a, sum({b}) AS b, sum({a} * {a}) AS aa, sum({a} * {b}) AS ab, sum({b} * {b}) AS bb,
+  sum({t}) AS y, sum({a} * {t}) AS ay, sum({b} * {t}) AS yb FROM {src} WHERE {t} IS NOT NULL GROUP BY imp, year),
+{t}_f AS (SELECT imp, year, {det} AS d, {zero} AS z, {one} AS o, {two} AS w FROM {t}_s),
+{t}_x AS (SELECT r.*, 1000 * (z + o * {a} + w * {b}) AS v, d FROM {src} r JOIN {t}_f USING (imp, year)),
+{t}_p AS (SELECT row_key, imp, year, {t}, (v - ((v % d) + d) % d) // d AS p FROM {t}_x),
+{t}_d AS (SELECT imp, year, p, {t}, n, row_number() OVER (PARTITION BY imp, year ORDER BY p, {t}) AS pos
+  FROM (SELECT imp, year, p, {t}, count(*) AS n FROM {t}_p WHERE {t} IS NOT NULL GROUP BY ALL)),
+{t}_q AS (SELECT DISTINCT imp, year, p AS x FROM {t}_p WHERE {t} IS NULL),
+{t}_g AS (SELECT q.imp, q.year, q.x, count(d.pos) AS below FROM {t}_q q LEFT JOIN {t}_d d ON d.imp = q.imp AND d.year = q.year AND d.p < q.x GROUP BY ALL),
+{t}_n AS (SELECT g.imp, g.year, g.x, d.p, d.{t}, d.n, sum(d.n) OVER (PARTITION BY g.imp, g.year, g.x ORDER BY abs(d.p - g.x), d.p, d.{t}) AS upto
+  FROM {t}_g g JOIN {t}_d d ON d.imp = g.imp AND d.year = g.year AND d.pos BETWEEN g.below - 4 AND g.below + 5),
+{t}_c AS (SELECT imp, year, x, {t}, least(upto, 5) AS hi, upto - n AS lo, max(least(upto, 5)) OVER (PARTITION BY imp, year, x) AS tot
+  FROM {t}_n WHERE upto - n < 5),
+{t}_u AS (SELECT row_key, imp, year, p AS x, {u_sql('row_key', 'imp', t)} AS u FROM {t}_p WHERE {t} IS NULL),
+{t}_r AS (SELECT u.row_key, u.imp, c.{t} FROM {t}_u u JOIN {t}_c c ON c.imp = u.imp AND c.year = u.year AND c.x = u.x
+  AND (u.u * c.tot) // {U32} >= c.lo AND (u.u * c.tot) // {U32} < c.hi),
+{src}_{t} AS (SELECT l.* REPLACE (coalesce(l.{t}, r.{t}) AS {t}) FROM {src} l LEFT JOIN {t}_r r USING (row_key, imp))"""
+
+
+SQL["impute_exact_round"] = with_(CASES, """
+c AS (SELECT k.row_key, k.year, k.chmal1::BIGINT AS chmal1, k.medical::BIGINT AS urgent,
+             CASE WHEN o.o_orderstatus = 'P' AND o.o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN NULL
+                  ELSE CAST(round(o.o_totalprice / 1000) AS BIGINT) END AS amount, k.ipse::INTEGER::BIGINT AS flag
+      FROM cases k JOIN orders o ON o.o_orderkey = k.row_key)""", """
+l AS (SELECT c.*, amount IS NULL OR flag IS NULL AS open, imp FROM c, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS imp))""",
+    exact_fit_ctes("amount", "l", "chmal1", "urgent"), exact_fit_ctes("flag", "l_amount", "chmal1", "amount")) + """
+SELECT row_key, imp, amount, flag FROM l_amount_flag WHERE open"""
+
 SQL["logistic_draw"] = with_(CASES) + f"""
 SELECT row_key, {u_sql('row_key', '1', 'ipse')} / {U32}.0::DOUBLE
        >= 1 - 1 / (1 + exp(-(0.25::DOUBLE - 1.5::DOUBLE * ((chmal1 - 1) / 4.0::DOUBLE) + CASE WHEN medical THEN 0.75::DOUBLE ELSE 0 END))) AS ipse

@@ -560,6 +560,20 @@ def pmm_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MO.match_donors(donors, need, 5, "amount").select("row_key", F.col("amount").cast("int").alias("amount"))
 
 
+EXACT_M = 2
+EXACT_TARGETS = {"amount": ["chmal1", "urgent"], "flag": ["chmal1", "amount"]}
+
+
+@query
+def impute_exact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round over two targets with exact fits, one run per year: the second fit sees the first target's draws."""
+    from casetally.operators.chained import exact_round
+    c = S.cases(spark, sf_dir).select("row_key", "year", F.col("chmal1").cast("long").alias("chmal1"), F.col("medical").cast("long").alias("urgent"),
+                                      F.col("amount").cast("long").alias("amount"), F.col("ipse").cast("int").cast("long").alias("flag"))
+    done = exact_round(c, EXACT_TARGETS, ["row_key"], EXACT_M, S.SEED, by=["year"])
+    return done.select("row_key", "imp", "amount", "flag")
+
+
 @query
 def logistic_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draw of a two-class target from a logit with given coefficients."""

@@ -257,3 +257,41 @@ def test_factor_codes_and_missing_predictors(spark):
     long = chained_impute(df, {"code": {"predictors": ["y", "x"]}, "y": {"predictors": ["code", "x"]}}, ["row_key"], 2, 3, maxit=1, kinds={"code": "factor"})
     assert long.count() == 600 and long.filter(F.col("code").isNull() | F.col("y").isNull()).count() == 0
     assert {r.code for r in long.select("code").distinct().collect()} == {1, 2, 3, 99}
+
+
+def test_equal_predictions_cut_by_a_partition_edge(spark):
+    """Many donors share a few predictions; ranges cut them, the draw is that of the whole list all the same."""
+    import numpy as np
+    from casetally.operators import models as MO
+    rng = np.random.default_rng(2)
+    donors = [(1, "", float(p), float(v), 1) for p in (1, 2, 3) for v in rng.permutation(400)[:300]]
+    need = [(1, "", i, float(p), int(rng.integers(0, 2**32))) for i, p in enumerate([1, 2, 3] * 60)]
+    d = spark.createDataFrame(donors, "__imp int, __by string, __p double, __v double, __n long")
+    r = spark.createDataFrame(need, "__imp int, __by string, row int, __p double, __u long")
+    got = {x.row: x.out for x in MO.match_donors(d, r, 5, "out").collect()}
+    ordered = sorted((p, v) for _, _, p, v, _ in donors)
+    for _, _, i, p, u in need:
+        below, above = [x for x in ordered if x[0] < p][-5:], [x for x in ordered if x[0] >= p][:5]
+        five = sorted(below + above, key=lambda x: (abs(x[0] - p), x))[:5]
+        assert got[i] == five[u * 5 >> 32][1]
+
+
+def test_rational_solution():
+    from casetally.operators.models import rational_solution
+    assert rational_solution([[2, 1], [1, 3]], [5, 10]) == [1, 3, 1]
+    assert rational_solution([[3, 0], [0, 7]], [1, 2]) == [7, 6, 21]
+    # the second column depends on the first
+    assert rational_solution([[2, 4, 1], [4, 8, 2], [1, 2, 5]], [3, 6, 6]) == [1, 0, 1, 1]
+
+
+def test_exact_round_is_least_squares(spark):
+    import numpy as np
+    from casetally.operators import models as MO
+    rng = np.random.default_rng(1)
+    x, z = rng.integers(0, 9, 300), rng.integers(0, 3, 300)
+    y = 4 * x - z + rng.integers(0, 5, 300)
+    rows_ = spark.createDataFrame([(0, "", int(a), int(b), int(c), 2) for a, b, c in zip(x, z, y)], "__imp int, __by string, x long, z long, y long, __n long")
+    *b, whole = (int(v) for v in MO.fit_exact(rows_, ["x", "z"], "y", 3).filter("__imp = 2").first().beta)
+    want = np.linalg.lstsq(np.column_stack([np.ones(300), x, z]), y, rcond=None)[0]
+    assert np.allclose([v / whole for v in b], want)
+    assert MO.fit_exact(rows_.limit(0), ["x"], "y", 2).count() == 0
