@@ -193,7 +193,7 @@ def _each_block(blocks: DataFrame, fits: DataFrame, column: str, schema: T.Struc
 # ------------------------------------------------------------- statistics
 
 
-def _added(salted: bool, finish: Callable[[Key, np.ndarray], list] | None = None) -> Callable:
+def _added(finish: Callable[[Key, np.ndarray], list] | None = None) -> Callable:
     """Sums of statistics by key within a task; the last level turns a sum into a row of coefficients."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[Key, np.ndarray] = {}
@@ -212,11 +212,11 @@ def _added(salted: bool, finish: Callable[[Key, np.ndarray], list] | None = None
 
 
 def _solved(blocks: DataFrame, fits: DataFrame | None, m: int, one: Callable[..., np.ndarray], width: int,
-            finish: Callable[[Key, np.ndarray], list]) -> tuple[DataFrame, float]:
+            finish: Callable[[Key, np.ndarray], list], tasks: int) -> tuple[DataFrame, float]:
     """One pass: the sum over all blocks of ``one(x, y, w, coefficients)`` by key, and ``finish(key, sum)`` of each.
 
-    Returns the coefficient table and the largest ``far``. Sums meet by (key, salt), then by key; only arrays of the size
-    of the statistics travel."""
+    Returns the coefficient table and the largest ``far``. The sums of more than ``FAN`` ``tasks`` meet by (key, salt) first,
+    then by key; only arrays of the size of the statistics travel."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         sums: dict[Key, np.ndarray] = {}
@@ -234,8 +234,9 @@ def _solved(blocks: DataFrame, fits: DataFrame | None, m: int, one: Callable[...
 
     schema = f"{ALL} int, {BY} string, salt int, stats array<double>"
     parts = _with_coefficients(blocks, fits, "beta").mapInPandas(partial, schema)
-    first = parts.repartition(ALL, BY, "salt").mapInPandas(_added(True), schema)
-    solved = first.repartition(ALL, BY).mapInPandas(_added(False, finish), COEFFICIENTS)
+    if tasks > FAN:  # else a key has no more sums than one task of a level adds up anyway
+        parts = parts.repartition(ALL, BY, "salt").mapInPandas(_added(), schema)
+    solved = parts.repartition(ALL, BY).mapInPandas(_added(finish), COEFFICIENTS)
     seen = Observation()
     table = materialize(solved.observe(seen, F.max("far").alias("far")))
     return table, seen.get["far"] or 0.0
@@ -262,7 +263,8 @@ def fit_linear(rows: DataFrame, design: Design, target: str, m: int, draw: Draw)
         beta = steady(beta)
         return [beta, steady(beta + sigma * spread @ rng.standard_normal(p)), 0.0]
 
-    return _solved(model_blocks(rows, design, target), None, m, one, p, finish)[0]
+    blocks = materialize(model_blocks(rows, design, target))
+    return _solved(blocks, None, m, one, p, finish, blocks.rdd.getNumPartitions())[0]
 
 
 def class_probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -334,8 +336,9 @@ def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[st
         return [beta, steady(beta + chol @ np.random.default_rng(draw(*key)).standard_normal(size)), far]
 
     blocks, fits = materialize(model_blocks(rows, design, target, classes)), start
+    tasks = blocks.rdd.getNumPartitions()
     for _ in range(max_steps):
-        fits, far = _solved(blocks, fits, m, one, p, finish)
+        fits, far = _solved(blocks, fits, m, one, p, finish, tasks)
         if far < tolerance:
             return fits
     raise RuntimeError(f"the logit model of {target} did not converge in {max_steps} steps")
