@@ -211,9 +211,9 @@ def with_report_key(prepared: DataFrame) -> DataFrame:
 
 # The targets and predictors of the national path (ids and type slots are neither).
 NATIONAL_TARGETS = {"age": {"method": "pmm"}, "race_ethn": {"method": "polyreg"},
-                    "chprior": {"method": "logreg"}, "rptvictim": {"method": "pmm"}}
+                    "chprior": {"method": "logreg"}, "rptvictim": {"method": "polyreg"}}
 NATIONAL_PREDICTORS = ["age", "rptsrc", "race_ethn", "chprior", "rptvictim"]
-FACTORS = {"rptsrc": "factor", "chmal1": "factor"}
+FACTORS = {"rptsrc": "factor", "chmal1": "factor", "rptvictim": "factor"}
 
 
 def national_results(prepared: DataFrame, shares: DataFrame, pop_infant: DataFrame, m: int = 10,

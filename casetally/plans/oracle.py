@@ -351,12 +351,12 @@ WHERE state IN (SELECT state FROM per_unit WHERE n = (SELECT max(n) FROM per_uni
 
 SQL["fwf_roundtrip"] = """
 WITH c AS (SELECT c_custkey, c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer),
-p AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')
+p AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 18, '0') || lpad(CAST(c_nationkey AS VARCHAR), 2, '0')
              || CASE WHEN cents < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(cents) AS VARCHAR), 9, '0') AS value
       FROM c)
-SELECT CAST(substr(value, 1, 8) AS BIGINT) AS c_custkey, CAST(substr(value, 9, 2) AS INTEGER) AS c_nationkey,
-       CASE WHEN substr(value, 11, 1) = '-' THEN -CAST(substr(value, 12, 9) AS BIGINT)
-            ELSE CAST(substr(value, 12, 9) AS BIGINT) END AS bal_cents
+SELECT CAST(substr(value, 1, 18) AS BIGINT) AS c_custkey, CAST(substr(value, 19, 2) AS INTEGER) AS c_nationkey,
+       CASE WHEN substr(value, 21, 1) = '-' THEN -CAST(substr(value, 22, 9) AS BIGINT)
+            ELSE CAST(substr(value, 22, 9) AS BIGINT) END AS bal_cents
 FROM p"""
 
 

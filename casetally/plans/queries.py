@@ -385,7 +385,7 @@ def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Field layout of the packed customer record (name, width, type).
-CUSTOMER_FWF = [("c_custkey", 8, T.LongType()), ("c_nationkey", 2, T.IntegerType()),
+CUSTOMER_FWF = [("c_custkey", 18, T.LongType()), ("c_nationkey", 2, T.IntegerType()),
                 ("bal_sign", 1, T.StringType()), ("bal_cents", 9, T.LongType())]
 
 

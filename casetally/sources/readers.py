@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,10 +116,13 @@ def read_fixed_width(spark: SparkSession, paths, fields: Sequence[tuple[str, int
     return lines.select(*fixed_width_columns("value", fields, strict))
 
 
-def pack_fixed_width(fields: Sequence[tuple[str, int, T.DataType]], pad: str = "0") -> object:
-    """Inverse of ``fixed_width_columns``: left-padded fields concatenated."""
-    parts = [F.lpad(F.coalesce(F.col(n).cast("string"), F.lit("")), w, pad) for n, w, _ in fields]
-    return F.concat(*parts)
+def pack_fixed_width(fields: Sequence[tuple[str, int, T.DataType]], pad: str = "0") -> Column:
+    """Inverse of ``fixed_width_columns``: left-padded fields concatenated. A value wider than its field raises."""
+    def field(name: str, width: int) -> Column:
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        wide = F.raise_error(F.concat(F.lit(f"{name} is wider than {width} characters: "), value)).cast("string")
+        return F.when(F.length(value) > width, wide).otherwise(F.lpad(value, width, pad))
+    return F.concat(*[field(n, w) for n, w, _ in fields])
 
 
 def write_checkpoint(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)) -> None:

@@ -180,7 +180,7 @@ def test_national_split_equals_long_form_with_missing_values(spark, tmp_path):
     preds = [*CF.NATIONAL_PREDICTORS, *share_cols]
     specs = {t: {"predictors": [p for p in preds if p != t], "cells": [["staterr"]], **spec}
              for t, spec in CF.NATIONAL_TARGETS.items()}
-    kinds = {"rptsrc": "factor", "chmal1": "factor"}
+    kinds = CF.FACTORS
     long = chained_impute(data, specs, ["report", "twin"], 3, 2, maxit=1, by=["year"], kinds=kinds)
     long = long.withColumn("medical", F.col("rptsrc") == 2)
     latest = D.keep_latest(long.filter(F.col("age") == 0), ["imp", "year", "st_id"], ["rptdt"], ["report", "twin"])

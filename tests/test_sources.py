@@ -45,6 +45,8 @@ def test_fixed_width_roundtrip(spark):
     packed = df.select(SRC.pack_fixed_width(fields).alias("value"))
     assert rows(packed) == [("0007123",), ("0012005",)]
     assert rows(packed.select(*SRC.fixed_width_columns("value", fields))) == [(7, 123), (12, 5)]
+    with pytest.raises(Exception, match="wider than"):
+        df.select((F.col("a") * 100_000).alias("a"), "b").select(SRC.pack_fixed_width(fields).alias("value")).collect()
 
 
 def test_csv_na_values(spark, tmp_path):
