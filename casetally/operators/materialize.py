@@ -27,11 +27,16 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint). Eager.
     """
     spark = df.sparkSession
-    path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def new_folder(spark) -> str:
+    """A path for files of this application in the shared checkpoint folder; nothing is there yet."""
+    return f"{_app_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _app_folder(spark) -> str:
     """All tables materialised by one application live under one folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/casetally-{spark.sparkContext.applicationId}"

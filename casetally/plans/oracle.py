@@ -588,6 +588,18 @@ SELECT c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey,
        CASE WHEN c_nationkey <> 3 THEN c_acctbal > 500 END AS rich
 FROM customer"""
 
+SQL["delimited_files"] = SQL["delimited_roundtrip"].replace("AS year\n", "AS file_year\n")
+SQL["fixed_width_files"] = """
+SELECT c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey,
+       CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END AS bal_sign, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS bal_cents
+FROM customer"""
+SQL["result_files"] = SQL["quality_flags"]
+
+# a year that is written over holds the medical reports only
+SQL["checkpoint_years"] = with_(CASES) + """
+SELECT CAST(year AS INTEGER) AS year, state, medical, count(*) AS n FROM cases
+WHERE year >= 1994 AND (year <> 1996 OR medical) GROUP BY ALL"""
+
 # the five donor groups below a prediction and the five at or above it, ranked, cut at five donors
 SQL["pmm_donors"] = with_(CASES, f"""
 c AS (SELECT k.row_key, k.year, k.chmal1 * 8 + length(k.state) AS p,

@@ -17,6 +17,7 @@ from casetally.functions import recode as R
 from casetally.operators import aggregate as AG
 from casetally.operators import dedup as D
 from casetally.operators import joins as J
+from casetally.operators import materialize as MT
 from casetally.operators import names as NM
 from casetally.operators import panel as PN
 from casetally.operators import pool as PL
@@ -25,6 +26,7 @@ from casetally.operators import rates as RT
 from casetally.operators import reshape as RS
 from casetally.plans import standins as S
 from casetally.sources import readers as SRC
+from casetally.sources.schemas import CASE_FILE_YEAR
 from pyspark.sql import types as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -434,6 +436,51 @@ def na_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(c, header, ",", "NA").select(*SRC.delimited_columns("value", header, columns, ",", "NA"))
 
 
+@query
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as yearly tab files of two layouts into the shared folder, found by a glob, grouped by header and read back;
+    the year comes from the file names."""
+    o = S.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("o_custkey"), "o_orderstatus",
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"), F.year("o_orderdate").alias("year"))
+    folder = MT.new_folder(spark)
+    SRC.write_delimited_years(o.filter(F.col("year") < 1995), folder, "year", header=["O_ORDERKEY", "O_CUSTKEY", "O_ORDERSTATUS", "O_ORDERDATE"])
+    SRC.write_delimited_years(o.filter(F.col("year") >= 1995), folder, "year", header=["o_orderdate", "o_orderstatus", "o_orderkey", "o_custkey"])
+    columns = {"o_orderkey": T.LongType(), "o_custkey": T.LongType(), "o_orderstatus": T.StringType(), "o_orderdate": T.DateType()}
+    return SRC.read_delimited(spark, f"{folder}/CF*.tab", columns, date_format="MM/dd/yyyy", year_pattern=CASE_FILE_YEAR)
+
+
+@query
+def fixed_width_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as lines of fixed-width fields and read back from the files."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
+    packed = S.table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.when(cents < 0, F.lit("-")).otherwise(F.lit("+")).alias("bal_sign"), F.abs(cents).alias("bal_cents"))
+    folder = MT.new_folder(spark)
+    packed.select(SRC.pack_fixed_width(CUSTOMER_FWF).alias("value")).write.text(folder)
+    return SRC.read_fixed_width(spark, folder, CUSTOMER_FWF)
+
+
+@query
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit-year quality shares and flags written as a result CSV with ``NA`` and read back with declared types."""
+    flags = REGISTRY["quality_flags"](spark, sf_dir)
+    folder = MT.new_folder(spark)
+    SRC.write_result_csv(flags, folder)
+    return SRC.read_csv_na(spark, folder, {f.name: f.dataType for f in flags.schema.fields})
+
+
+@query
+def checkpoint_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case counts handed over as Parquet by year; 1996 is counted anew for medical reports and written over, the other years stay.
+    What is read back is pruned to the years from 1994 on."""
+    c = S.cases(spark, sf_dir)
+    folder = MT.new_folder(spark)
+    SRC.write_checkpoint(AG.group_count(c, ["year", "state", "medical"]), folder)
+    SRC.write_checkpoint(AG.group_count(c.filter((F.col("year") == 1996) & F.col("medical")), ["year", "state", "medical"]), folder)
+    return SRC.read_checkpoint(spark, folder, F.col("year") >= 1994)
+
+
 # ----------------------------------------------------------------- imputation
 
 from casetally.functions.draws import uniform_u32  # noqa: E402

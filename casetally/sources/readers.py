@@ -7,13 +7,18 @@ order between yearly files), fixed-width files are cut by declared widths.
 
 from __future__ import annotations
 
+import csv
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casetally.operators.names import lower_names
+from casetally.operators.materialize import materialize
 
 
 def _cast(col, dtype: T.DataType, strict: bool, date_format: str | None = None):
@@ -24,62 +29,123 @@ def _cast(col, dtype: T.DataType, strict: bool, date_format: str | None = None):
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    """Expand files, directories and globs with the Hadoop FileSystem API.
+    """Expand files, directories and globs to a sorted list of files.
 
-    Works on any cluster file system; hidden and marker files (``_``, ``.``)
-    are skipped. The result is sorted so the stacking order is stable.
+    Spark's file index lists them (in a job once there are many folders), on any
+    cluster file system; hidden and marker files (``_``, ``.``) are skipped.
+    """
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    try:
+        found = spark.read.format("text").load(wanted).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
+    if not found:
+        raise FileNotFoundError(f"no input files in {paths}")
+    return sorted({unquote(f) for f in found})
+
+
+def first_lines(spark: SparkSession, files: Sequence[str], threads: int = 16) -> list[str]:
+    """The first line of each file, by the Hadoop FileSystem API (compressed files by their extension).
+
+    A few kilobytes are read of a file, whatever its size, so the headers of ten thousand files take seconds.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out: list[str] = []
-    for p in ([paths] if isinstance(paths, str) else list(paths)):
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        statuses = fs.globStatus(path) or []
-        for st in statuses:
-            children = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
-            for ch in children:
-                name = ch.getPath().getName()
-                if ch.isFile() and not name.startswith(("_", ".")):
-                    out.append(ch.getPath().toString())
-    if not out:
-        raise FileNotFoundError(f"no input files in {paths}")
-    return sorted(set(out))
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(name: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            data = codec.createInputStream(stream) if codec is not None else stream
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(data, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        return (line or "").removeprefix("\ufeff")
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(first, files))
+
+
+def header_layouts(spark: SparkSession, paths: str | Sequence[str], sep: str = "\t") -> dict[tuple[str, ...], list[str]]:
+    """The files of each header (lower-cased names in file order), in the order of the files; files without a line are left out."""
+    files = list_files(spark, paths)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for name, line in zip(files, first_lines(spark, files), strict=True):
+        if line:
+            header = next(csv.reader([line], delimiter=sep))
+            layouts.setdefault(tuple(h.strip().lower() for h in header), []).append(name)
+    return layouts
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: dict[str, T.DataType],
                    sep: str = "\t", null_values: str | None = None, strict: bool = True, date_format: str | None = None,
                    year_pattern: str | None = None, year_col: str = "file_year") -> DataFrame:
-    """Delimited files with a header line, one per year, stacked by column name.
-
-    Each file is its own relation, so each file's header decides its column
-    order (yearly files may order or case their columns differently). Header
-    names are lower-cased, only ``columns`` are kept and cast. Text that does
-    not fit its type raises; with ``strict=False`` it becomes NULL (which later
-    steps would impute). ``date_format`` is the pattern of date columns. The CSV reader prunes the other columns. With
-    ``year_pattern`` (a regex with one group) the year is taken from the file
-    name rather than from the position of the file in a listing.
+    """Delimited files with a header line, one or more per year, stacked by column name.
+
+    Files are grouped by their header: one relation per layout, so the plan
+    grows with the number of layouts and not with the number of files (yearly
+    files may order or case their columns differently). Header names are
+    lower-cased, only ``columns`` are kept and cast. Text that does not fit its
+    type raises; with ``strict=False`` it becomes NULL (which later steps would
+    impute). ``date_format`` is the pattern of date columns. The CSV reader
+    prunes the other columns. With ``year_pattern`` (a regex with one group)
+    the year is taken from each file's name rather than from its position in a
+    listing. Files without a line add no rows; if no file has one, the result is
+    empty. A wanted name that stands twice in a header raises.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+    reader = spark.read.option("header", True).option("enforceSchema", True).option("sep", sep)
     if null_values is not None:
         reader = reader.option("nullValue", null_values)
     frames = []
-    for f in list_files(spark, paths):
-        raw = lower_names(reader.csv(f))
-        missing = [c for c in columns if c not in raw.columns]
-        if missing:
-            raise KeyError(f"columns {missing} not in the header of {f}")
-        extra = [F.col("_metadata.file_name").alias("__file")] if year_pattern else []
-        frames.append(raw.select(*[_cast(c, t, strict, date_format).alias(c) for c, t in columns.items()], *extra))
+    for header, files in header_layouts(spark, paths, sep).items():
+        if missing := [c for c in columns if c not in header]:
+            raise KeyError(f"columns {missing} not in the header of {files[0]}")
+        if twice := [c for c in columns if header.count(c) > 1]:
+            raise KeyError(f"columns {twice} stand twice in the header of {files[0]}")
+        names = [h if h in columns else f"__{i}" for i, h in enumerate(header)]
+        raw = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files)
+        year = [F.regexp_extract(F.col("_metadata.file_name"), year_pattern, 1).cast("int").alias(year_col)] if year_pattern else []
+        frames.append(raw.select(*[_cast(c, t, strict, date_format).alias(c) for c, t in columns.items()], *year))
+    if not frames:
+        empty = [T.StructField(c, t) for c, t in columns.items()]
+        return spark.createDataFrame([], T.StructType(empty + ([T.StructField(year_col, T.IntegerType())] if year_pattern else [])))
     out = frames[0]
     for fr in frames[1:]:
         out = out.unionByName(fr)
-    if year_pattern:
-        out = (out.withColumn(year_col, F.regexp_extract("__file", year_pattern, 1).cast("int"))
-                  .drop("__file"))
     return out
 
 
+def write_delimited_years(df: DataFrame, folder: str, year: str, name: str = "CF{year}v1", header: Sequence[str] | None = None,
+                          sep: str = "\t", null_value: str = "") -> None:
+    """One or more files with a header line for each year, named ``name`` and a part number; the inverse of ``read_delimited``.
+
+    The files of a year are written in parallel by the tasks that hold its rows, then given their names; files of other
+    names in ``folder`` stay. ``header`` gives the columns written, in order and case (all but the year by default).
+    """
+    spark = df.sparkSession
+    header = list(header or [c for c in df.columns if c != year])
+    scratch = f"{folder.rstrip('/')}/_{uuid.uuid4().hex}"
+    (df.select(F.col(year).alias("__year"), *[F.col(c.lower()).alias(c) for c in header])
+       .write.partitionBy("__year").option("header", True).option("sep", sep).option("nullValue", null_value)
+       .option("emptyValue", "").csv(scratch))
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for of_year in fs.listStatus(root):
+        if not of_year.isDirectory():
+            continue
+        value = of_year.getPath().getName().removeprefix("__year=")
+        for i, part in enumerate(fs.listStatus(of_year.getPath())):
+            target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name.format(year=value)}-{i:05d}.tab")
+            if not fs.rename(part.getPath(), target):
+                raise FileExistsError(f"{target} is there already")
+    fs.delete(root, True)
+
+
 def delimited_columns(value_col, header: Sequence[str], columns: dict[str, T.DataType], sep: str = "\t",
                       null_values: str | None = None, strict: bool = True, date_format: str | None = None) -> list:
     """Column expressions that parse lines of text, with the CSV parser and the casts of ``read_delimited``."""
@@ -142,8 +208,9 @@ def read_checkpoint(spark: SparkSession, path: str, where=None) -> DataFrame:
     return df.filter(where) if where is not None else df
 
 
-def write_result_csv(df: DataFrame, path: str) -> None:
-    """Small result table as one CSV file with a header (``write_csv``). The rows are computed in parallel and meet in
-    one task only to be written."""
-    df.repartition(1).write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
-
+def write_result_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Result table as CSV with a header, ``NA`` for missing values: one file for every ``rows_per_file`` rows, so a small
+    result is one file and no task takes more than about that many. The rows are computed once, in parallel."""
+    saved = materialize(df)
+    files = max(1, -(-saved.count() // rows_per_file))
+    saved.repartition(files).write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)

@@ -71,3 +71,55 @@ def test_result_csv(spark, tmp_path):
     SRC.write_result_csv(df, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
     assert text.splitlines() == ["k,v", "a,NA"]
+
+
+def test_files_are_grouped_by_header(spark, tmp_path):
+    """One relation per layout, whatever the number of files; compressed, empty and marker files."""
+    import gzip
+    for i in range(60):
+        header, body = ("A\tb\n", f"{i}\tx{i}\n") if i % 2 else ("B\textra\ta\n", f"x{i}\t\t{i}\n")
+        (tmp_path / f"CF20{i:02d}v1 part.tab").write_text(header + body)
+    with gzip.open(tmp_path / "CF2060v1.tab.gz", "wt") as f:
+        f.write("\ufeffa\tb\n60\tx60\n")
+    (tmp_path / "CF2061v1.tab").write_text("")
+    (tmp_path / "_marker").write_text("no header")
+    layouts = SRC.header_layouts(spark, str(tmp_path))
+    assert {k: len(v) for k, v in layouts.items()} == {("a", "b"): 31, ("b", "extra", "a"): 30}
+    df = SRC.read_delimited(spark, str(tmp_path), {"a": T.IntegerType(), "b": T.StringType()}, year_pattern=SC.CASE_FILE_YEAR)
+    assert df._jdf.queryExecution().analyzed().toString().count("Relation") == 2
+    assert rows(df, "a", "b", "file_year") == [(i, f"x{i}", 2000 + i) for i in range(61)]
+
+
+def test_missing_and_repeated_columns(spark, tmp_path):
+    columns = {"a": T.IntegerType()}
+    (tmp_path / "one.tab").write_text("a\tA\n1\t2\n")
+    with pytest.raises(KeyError, match="twice"):
+        SRC.read_delimited(spark, str(tmp_path), columns)
+    with pytest.raises(KeyError, match="not in the header"):
+        SRC.read_delimited(spark, str(tmp_path), {"c": T.IntegerType()})
+    with pytest.raises(FileNotFoundError):
+        SRC.read_delimited(spark, str(tmp_path / "none*.tab"), columns)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.tab").write_text("")
+    assert SRC.read_delimited(spark, str(tmp_path / "empty"), columns, year_pattern="(1)").columns == ["a", "file_year"]
+
+
+def test_yearly_files_roundtrip(spark, tmp_path):
+    df = spark.createDataFrame([(2016, 1, "x\ty"), (2016, 2, None), (2017, 3, "q\"uote")], "year int, id int, v string")
+    SRC.write_delimited_years(df.repartition(3), str(tmp_path), "year", header=["V", "ID"])
+    SRC.write_delimited_years(df.withColumn("year", F.col("year") + 2), str(tmp_path), "year")
+    with pytest.raises(FileExistsError):
+        SRC.write_delimited_years(df, str(tmp_path), "year")
+    names = {p.name[:8] for p in tmp_path.iterdir() if not p.name.startswith((".", "_"))}
+    assert names == {f"CF{y}v1" for y in (2016, 2017, 2018, 2019)}
+    back = SRC.read_delimited(spark, str(tmp_path), {"id": T.IntegerType(), "v": T.StringType()}, year_pattern=SC.CASE_FILE_YEAR)
+    first = [(2016, 1, "x\ty"), (2016, 2, None), (2017, 3, "q\"uote")]
+    assert rows(back, "file_year", "id", "v") == sorted(first + [(y + 2, i, v) for y, i, v in first])
+
+
+def test_result_csv_in_bounded_files(spark, tmp_path):
+    SRC.write_result_csv(spark.range(25), str(tmp_path / "out"), rows_per_file=10)
+    files = list((tmp_path / "out").glob("part-*.csv"))
+    assert len(files) == 3
+    back = SRC.read_csv_na(spark, str(tmp_path / "out"), {"id": T.LongType()})
+    assert rows(back) == [(i,) for i in range(25)]
