@@ -1,24 +1,27 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs are its lines, long ones cut every ``PIECE`` code points;
-the distinct 64-bit digests go into a sketch of ``CELLS`` cells, three hash
-functions on a third of the cells each. A cell holds a count, the exclusive-or
-of its digests and that of their check sums. The sketches of two versions are
-subtracted cell by cell, what they share cancels, and peeling recovers the
-digests that differ: a cell with one digest left gives it away, which frees
-other cells. Where peeling stops short, the digests are dealt over several
-sketches (a larger one, in parts) by further hash bits, again and again until
-every part peels. The likeness of two versions is their Jaccard index, from
-the two counts and the recovered difference.
-
-All of it is array functions within a row: no cell is ever shuffled, and the
-work of a document grows with its length.
-
-Defined cases: a null or empty text has no paragraph, an all-zero sketch, and
-likeness 1 to another such; equal texts have equal fingerprints; rows with the
-same id and text are one document and each get its result; a null id comes
-last in the order of ids; a single document is its own next; an empty table
-gives an empty result.
+the distinct 64-bit digests go into the cells of a sketch, one in each of its
+tables. A cell holds a count, the exclusive-or of its digests and that of
+their check sums. The fingerprint is a sketch of ``TABLES`` x ``WIDTH`` cells.
+Two versions are compared by the difference of larger sketches, as wide as
+their numbers of digests ask for: what they share cancels, and peeling
+recovers the digests that differ, since a cell with one digest left gives it
+away, which frees other cells. What does not peel is tried again with other
+hash functions and twice the width until all is recovered. The likeness of two
+versions is their Jaccard index, from the two counts and the difference.
+
+Cells are rows, so building, subtracting and peeling are grouped sums and
+exclusive-ors. They are partitioned as the join of the versions left them, by
+document: no cell is ever shuffled. Peeling takes one table at a time, in which
+a digest has one cell, so no digest is recovered twice.
+
+Defined cases: a null or empty text has no paragraph, an empty sketch (text
+``0``), and likeness 1 to another such; equal texts have equal fingerprints;
+rows with the same id and text are one document and each get its result; a
+null id comes last in the order of ids; a single document is its own next; an
+empty table gives an empty result. The digests of one text are one row's array
+(a sixteenth of a long text's size or less), its cells are rows.
 """
 
 from __future__ import annotations
@@ -30,17 +33,15 @@ from casetally.llm.common import partitions, row_key, store
 
 #: What two versions share is told apart in pieces of this size.
 PIECE = 32
+#: The fingerprint's tables and their cells.
 TABLES, WIDTH = 3, 10
-CELLS = TABLES * WIDTH
-#: Digests that a part is planned for, parts made of one at once, and levels of parts before the first try.
-LOAD, FAN, LEVELS = 10, 64, 3
-ROUNDS = 10
-DIGESTS = "array<bigint>"
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once (an expression used inside a lambda is computed anew at every call)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Tables of the sketches that are compared, and their cells: a share of the digests of both versions and some more.
+PAIR_TABLES, SHARE, MORE = 4, 0.5, 8
+#: Tables peeled before what is left counts as failed; a retry goes through as many.
+STEPS = 12
+CELL = ["pair", "w", "cell"]
+#: The numbers of ``pair``: fingerprints of the text and the edited text, their difference, that from the next text, other facts.
+OWN, EDITED, TO_EDITED, TO_NEXT, FACTS = range(5)
 
 
 def digests(text: Column) -> Column:
@@ -53,105 +54,78 @@ def _check(x: Column) -> Column:
     return F.xxhash64(x, F.lit("check")).bitwiseAND(0xFFFFFFFF)
 
 
-def _cell(x: Column, table: int) -> Column:
-    return (F.pmod(F.xxhash64(x, F.lit(table)), F.lit(WIDTH)) + table * WIDTH).cast("int")
-
-
-def _entry(x: Column, sign: Column) -> Column:
-    """A digest with its sign, check sum and cells."""
-    return F.struct(sign.alias("n"), x.alias("x"), _check(x).alias("c"), F.array(*[_cell(x, t) for t in range(TABLES)]).alias("at"))
-
-
-def _put(cell: Column, e: Column, times: int) -> Column:
-    return F.struct((cell["n"] + e["n"] * times).alias("n"), cell["x"].bitwiseXOR(e["x"]).alias("x"), cell["c"].bitwiseXOR(e["c"]).alias("c"))
-
-
-def _fill(cells: Column, entries: Column, times: int) -> Column:
-    """``cells`` with the entries added (or taken out)."""
-    def one(some: Column, cell: Column, i: Column) -> Column:
-        return _let(F.floor(i / WIDTH).cast("int"), lambda table: F.aggregate(
-            some, cell, lambda acc, e: F.when(F.get(e["at"], table) == i, _put(acc, e, times)).otherwise(acc)))
-    return _let(entries, lambda some: F.transform(cells, lambda cell, i: one(some, cell, i)))
-
-
-def _zero() -> Column:
-    cell = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
-    return F.array_repeat(cell, CELLS)
-
-
-def _signed(x: Column, sign: int) -> Column:
-    return F.transform(x, lambda e: _entry(e, F.lit(sign)))
-
-
-def sketch(x: Column) -> Column:
-    """The cells of a set of digests."""
-    return _fill(_zero(), _signed(x, 1), 1)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.struct(
-        (z["a"]["n"] - z["b"]["n"]).alias("n"), z["a"]["x"].bitwiseXOR(z["b"]["x"]).alias("x"), z["a"]["c"].bitwiseXOR(z["b"]["c"]).alias("c")))
-
-
-def peel(cells: Column) -> Column:
-    """struct(cells, found): what cannot be peeled, and the recovered (n, x): n is 1 for the first version's, -1 for the second's."""
-    def step(state: Column, _: Column) -> Column:
-        sure = F.filter(state["cells"], lambda c: F.when(F.abs(c["n"]) == 1, c["c"] == _check(c["x"])).otherwise(False))
-        pure = lambda own: F.array_distinct(F.transform(own, lambda c: _entry(c["x"], c["n"])))
-        found = lambda e: F.struct(e["n"].alias("n"), e["x"].alias("x"))
-        after = lambda some: F.struct(_fill(state["cells"], some, -1).alias("cells"),
-                                      F.concat(state["found"], F.transform(some, found)).alias("found"))
-        return _let(sure, lambda own: F.when(F.size(own) == 0, state).otherwise(_let(pure(own), after)))
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,x:bigint>>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-
-
-def is_empty(cells: Column) -> Column:
-    return ~F.exists(cells, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))
-
-
-def fingerprint(cells: Column) -> Column:
-    """The cells as text: count, digest and check sum in hexadecimal, 28 digits a cell."""
-    return F.array_join(F.transform(cells, lambda c: F.lower(F.concat(
-        F.right(F.hex(c["n"].cast("long") + (1 << 32)), F.lit(4)), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["c"]), 8, "0")))), "")
-
-
-def _parts(rows: DataFrame, fan: Column, salt: Column) -> DataFrame:
-    """Each row's digest sets a and b dealt over ``fan`` parts by a hash with ``salt``."""
-    part = lambda s, j: F.filter(s, lambda x: F.pmod(F.xxhash64(x, F.lit("part"), salt), F.col("fan")) == j)
-    dealt = F.transform(F.sequence(F.lit(0), F.col("fan") - 1), lambda j: F.struct(part(F.col("a"), j).alias("a"), part(F.col("b"), j).alias("b")))
-    same = F.array(F.struct("a", "b"))
-    split = rows.withColumn("fan", fan).withColumn("p", F.explode(F.when(F.col("fan") == 1, same).otherwise(dealt)))
-    return split.withColumns({"a": F.col("p.a"), "b": F.col("p.b")}).drop("p", "fan")
-
-
-def _tried(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("state", peel(_fill(_fill(_zero(), _signed(F.col("a"), 1), 1), _signed(F.col("b"), 1), -1)))
-    return rows.withColumns({"ok": is_empty(F.col("state.cells")), "found": F.col("state.found")}).drop("state")
-
-
-def differences(pairs: DataFrame, key: list[str], counts: bool = False) -> DataFrame:
-    """(key, found): the digests of a not in b (n = 1) and of b not in a (n = -1), for rows (key, a, b) whose
-    first sketch did not peel; one row for every part. With ``counts``, only how many were found."""
-    size = F.size("a") + F.size("b")
-    rows = pairs.select(*key, "a", "b")
-    for level in range(LEVELS):
-        rows = _parts(rows, F.least(F.greatest(F.ceil(size / LOAD), F.lit(1)), F.lit(FAN)).cast("int"), F.lit(level))
-    done, salt = None, LEVELS
-    while True:  # larger, until all is recovered; the parts halve each time, so the rounds are few
-        tried = _tried(rows).withColumn("found", F.size("found")) if counts else _tried(rows)
-        tried = store(tried.withColumns({x: F.when(F.col("ok"), None).otherwise(F.col(x)) for x in ("a", "b")}))
-        good = tried.filter("ok").select(*key, "found")
+def _hash(x: Column, table: int, salt: int) -> Column:
+    return F.xxhash64(x, F.lit(table), F.lit(salt))
+
+
+def _row(pair: Column, w: Column, cell: Column, n: Column, x: Column, c: Column) -> Column:
+    return F.struct(pair.cast("int").alias("pair"), w.cast("int").alias("w"), cell.cast("int").alias("cell"),
+                    n.cast("long").alias("n"), x.cast("long").alias("x"), c.cast("long").alias("c"))
+
+
+def _at(h: Column, w: Column, table: int, tables: int) -> Column:
+    """The cell of a digest in a table: its place times the number of tables, plus the table."""
+    return F.pmod(h, w) * tables + table
+
+
+def _width(size: Column, times: int = 1) -> Column:
+    return (F.ceil(size * SHARE) + MORE) * times
+
+
+def _cells(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, e), e as by ``_row``, added up by cell. Cells that hold nothing go."""
+    rows = rows.select(*key, "e.*").groupBy(*key, *CELL).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+    return rows.filter((F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0) | (F.col("pair") == FACTS))
+
+
+def peel(cells: DataFrame, key: list[str], salt: int, counts: bool) -> DataFrame:
+    """The cells that cannot be peeled, and the recovered digests in rows whose cell is -1: x and the sign n, or with
+    ``counts`` one row with their number. Only the differences are peeled."""
+    pair, w, cell, n, x, c = (F.col(name) for name in (*CELL, "n", "x", "c"))
+    if not counts:
+        cells, key = cells.withColumn("f", F.lit(0).cast("long")), [*key, "f"]
+    for step in range(STEPS):
+        own = step % PAIR_TABLES
+        pure = (pair.isin(TO_EDITED, TO_NEXT) & (cell >= 0) & (cell % PAIR_TABLES == own) & (F.abs(n) == 1)
+                & F.when(F.abs(n) == 1, c == _check(x)).otherwise(False))
+        gone = [_row(pair, w, _at(_hash(x, t, salt), w, t, PAIR_TABLES), -n, x, c) for t in range(PAIR_TABLES) if t != own]
+        found = _row(pair, w, F.lit(-1), F.lit(1) if counts else n, F.lit(0), F.lit(0))
+        as_is = _row(pair, w, cell, n, x, c)
+        if not counts:  # a recovered digest is part of its row's key
+            mark = lambda e, f: F.struct(F.lit(f).cast("long").alias("f") if isinstance(f, int) else f.alias("f"), e.alias("e"))
+            made = F.when(pure, F.array(*[mark(g, 0) for g in gone], mark(found, x))).otherwise(F.array(mark(as_is, F.col("f"))))
+            rows = cells.select(*key[:-1], F.explode_outer(made).alias("m")).select(*key[:-1], "m.f", "m.e")
+        else:
+            rows = cells.select(*key, F.explode_outer(F.when(pure, F.array(*gone, found)).otherwise(F.array(as_is))).alias("e"))
+        cells = _cells(rows, key)
+    return cells if counts else cells.withColumn("x", F.when(cell < 0, F.col("f")).otherwise(x)).drop("f")
+
+
+def differences(pairs: DataFrame, key: list[str], counts: bool = False, times: int = 1) -> DataFrame:
+    """(key, found): the digests of a not in b (n = 1) and of b not in a (n = -1) as an array of (n, x), for rows
+    (key, a, b); with ``counts``, only how many. Keys without a difference have no row. ``times`` widens the sketches;
+    each retry doubles it."""
+    done, rows, salt = None, pairs.select(*key, "a", "b"), times
+    while True:
+        sides = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("s")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("s"))))
+        width = _width(F.size("a") + F.size("b"), times)
+        each = (rows.repartition(*key).select(*key, width.alias("w"), sides.alias("v")).select(*key, "w", "v.sign", F.explode("v.s").alias("x"))
+                .withColumns({"c": _check(F.col("x")), **{f"h{t}": _hash(F.col("x"), t, salt) for t in range(PAIR_TABLES)}}))
+        put = [_row(F.lit(TO_NEXT), F.col("w"), _at(F.col(f"h{t}"), F.col("w"), t, PAIR_TABLES), F.col("sign"), F.col("x"), F.col("c"))
+               for t in range(PAIR_TABLES)]
+        tried = store(peel(_cells(each.select(*key, F.explode_outer(F.array(*put)).alias("e")), key), key, salt, counts))
+        failed = store(tried.filter("cell >= 0").select(*key).distinct())
+        good = tried.filter("cell < 0").join(failed, key, "left_anti")
+        good = good.select(*key, "n", "x")
         done = good if done is None else done.unionByName(good)
-        rows = tried.filter(~F.col("ok")).select(*key, "a", "b")
-        if rows.isEmpty():
-            return done
-        rows = _parts(rows, F.lit(4), F.lit(salt))
-        salt += 1
+        if failed.isEmpty():
+            found = F.sum("n") if counts else F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "x"))
+            return done.groupBy(*key).agg(found.alias("found"))
+        rows, times, salt = rows.join(failed, key, "left_semi"), times * 2, salt + 1
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
-    """(d, k, n) with the key of the next row (nd, nk) in ascending order, the first after the last.
+    """``keys`` (d, k, ...) with the key of the next row (nd, nk) in ascending order, the first after the last.
 
     Range partitions are numbered in order; what follows a partition's last
     row is the first row of the next one that has any (one row per partition)."""
@@ -163,24 +137,30 @@ def _in_order(keys: DataFrame) -> DataFrame:
     after = F.coalesce(F.lead("head").over(by_place), F.first("head").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     after = heads.withColumn("after", after).select("b", "after")
     rows = placed.withColumn("own", own).join(F.broadcast(after), "b")
-    return rows.withColumn("next", F.coalesce("own", "after")).select("d", "k", "n", F.col("next.d").alias("nd"), F.col("next.k").alias("nk"))
+    return rows.withColumn("next", F.coalesce("own", "after")).select(*keys.columns, F.col("next.d").alias("nd"), F.col("next.k").alias("nk"))
+
+
+def in_order(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, k, n, m, none, nd, nk): each distinct document's length, number of rows, whether its id is null, and the next one's key."""
+    d, k = row_key(F.col(id_col), F.col(text))
+    rows = docs.select(d, k, F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), F.col(id_col).isNull().alias("none"))
+    return store(_in_order(rows.groupBy("d", "k", "n", "none").agg(F.count("*").alias("m"))))
 
 
-def edited_versions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", divisor: int = 4) -> DataFrame:
-    """(d, k, n, edited_sha256, a, e, x): each distinct document's length, the hash of its edited text (its last
+def edited_versions(docs: DataFrame, order: DataFrame, id_col: str = "doc_id", text: str = "text", divisor: int = 4) -> DataFrame:
+    """(d, k, n, m, none, edited_sha256, a, e, x) for the documents of ``order``: the hash of the edited text (the last
     n / ``divisor`` code points replaced by the first ones of the next document), and the digests of the text, the
     edited text and the next text."""
     d, k = row_key(F.col(id_col), F.col(text))
     texts = docs.select(d, k, F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates(["d", "k"])
-    order = store(_in_order(docs.select(d, k, F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")).distinct()))
     cut = F.floor(F.col("n") / divisor).cast("int")
-    wanted = order.select(F.col("d").alias("pd"), F.col("k").alias("pk"), "n", F.col("nd").alias("d"), F.col("nk").alias("k"))
-    lent = texts.join(wanted, ["d", "k"]).select(F.col("pd").alias("d"), F.col("pk").alias("k"), "n",
+    wanted = order.select(F.col("d").alias("pd"), F.col("k").alias("pk"), "n", "m", "none", F.col("nd").alias("d"), F.col("nk").alias("k"))
+    lent = texts.join(wanted, ["d", "k"]).select(F.col("pd").alias("d"), F.col("pk").alias("k"), "n", "m", "none",
                                                  F.substring("t", F.lit(1), cut).alias("head"), digests(F.col("t")).alias("x"))
     both = texts.join(lent, ["d", "k"])
     edited = F.concat(F.substring("t", F.lit(1), F.col("n") - cut), F.col("head"))
     made = both.withColumn("edited", edited)
-    return made.select("d", "k", F.col("n").cast("long").alias("n"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    return made.select("d", "k", F.col("n").cast("long").alias("n"), "m", "none", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        digests(F.col("t")).alias("a"), digests(F.col("edited")).alias("e"), "x")
 
 
@@ -190,30 +170,73 @@ def likeness(size_a: Column, size_b: Column, different: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise((size_a + size_b - different) / 2 / union)
 
 
-def compare(versions: DataFrame) -> DataFrame:
-    """(d, k, n, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of ``edited_versions``."""
-    versions = store(versions)
-    cells = versions.select("*", *[sketch(F.col(c)).alias(f"s{c}") for c in "aex"])
-    peeled = cells.select("*", *[peel(subtract(F.col("sa"), F.col(f"s{c}"))).alias(f"p{c}") for c in "ex"])
-    first = store(peeled.select("d", "k", "n", "edited_sha256", fingerprint(F.col("sa")).alias("fingerprint"),
-                                fingerprint(F.col("se")).alias("edited_fingerprint"),
-                                *[F.size(c).alias(f"n{c}") for c in "aex"],
-                                *[F.when(is_empty(F.col(f"p{c}.cells")), F.size(f"p{c}.found")).alias(f"d{c}") for c in "ex"],
-                                *[F.when(~is_empty(F.col(f"p{c}.cells")), F.col(c)).alias(c) for c in "ex"],
-                                F.when(~(is_empty(F.col("pe.cells")) & is_empty(F.col("px.cells"))), F.col("a")).alias("a")))
-    open_pairs = first.select("d", "k", "a", F.explode(F.array(*[F.struct(F.lit(c).alias("pair"), F.col(c).alias("b")) for c in "ex"])).alias("p"))
-    open_pairs = open_pairs.select("d", "k", "p.pair", "a", "p.b").filter(F.col("b").isNotNull())
-    found = differences(open_pairs, ["d", "k", "pair"], counts=True).groupBy("d", "k").agg(
-        *[F.sum(F.when(F.col("pair") == c, F.col("found"))).alias(f"l{c}") for c in "ex"])
-    full = first.join(found, ["d", "k"], "left")
-    near = [likeness(F.col("na"), F.col(f"n{c}"), F.coalesce(f"d{c}", f"l{c}")).alias(name) for c, name in (("e", "near_edited"), ("x", "near_next"))]
-    return full.select("d", "k", "n", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+def _all_cells(versions: DataFrame) -> DataFrame:
+    """The cells of both fingerprints and both differences, and a document's facts as cells: n, 2 m + none, the three
+    numbers of digests and four quarters of the hash."""
+    sizes = [F.size(c).cast("long") for c in "aex"]
+    quarters = [F.conv(F.substring("edited_sha256", 1 + 16 * i, 16), 16, -10).cast("long") for i in range(4)]
+    facts = F.array(F.col("n"), F.col("m") * 2 + F.col("none").cast("long"), *sizes, *quarters)
+    lists = [F.struct(F.lit(i).alias("of"), v.alias("s")) for i, v in enumerate((F.col("a"), F.col("e"), F.col("x"), facts))]
+    each = versions.select("d", "k", _width(sizes[0] + sizes[1]).alias("we"), _width(sizes[0] + sizes[2]).alias("wx"), F.explode(F.array(*lists)).alias("v"))
+    each = each.select("d", "k", "we", "wx", "v.of", F.posexplode("v.s").alias("i", "x"))
+    each = each.withColumns({"c": _check(F.col("x")), **{f"h{t}": _hash(F.col("x"), t, 0) for t in range(PAIR_TABLES)}})
+
+    def put(pair: int, w: Column, sign: int, tables: int) -> list[Column]:
+        return [_row(F.lit(pair), w, _at(F.col(f"h{t}"), w, t, tables), F.lit(sign), F.col("x"), F.col("c")) for t in range(tables)]
+
+    we, wx, fixed = F.col("we"), F.col("wx"), F.lit(WIDTH)
+    own = F.array(*put(OWN, fixed, 1, TABLES), *put(TO_EDITED, we, 1, PAIR_TABLES), *put(TO_NEXT, wx, 1, PAIR_TABLES))
+    edited = F.array(*put(EDITED, fixed, 1, TABLES), *put(TO_EDITED, we, -1, PAIR_TABLES))
+    fact = F.array(_row(F.lit(FACTS), F.lit(0), F.col("i"), F.lit(0), F.col("x"), F.lit(0)))
+    made = F.when(F.col("of") == 0, own).when(F.col("of") == 1, edited).when(F.col("of") == 2, F.array(*put(TO_NEXT, wx, -1, PAIR_TABLES))).otherwise(fact)
+    return _cells(each.select("d", "k", F.explode_outer(made).alias("e")), ["d", "k"])
+
+
+def _packed(pair: int) -> Column:
+    """A fingerprint's cells in order, 15 bytes each: cell, count, digest and check sum."""
+    digit = F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("n"), 4, "0"), F.lpad(F.hex("x"), 16, "0"), F.lpad(F.hex("c"), 8, "0"))
+    return F.unhex(F.array_join(F.sort_array(F.collect_list(F.when(F.col("pair") == pair, digit))), ""))
+
+
+def compare(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, m, none, n, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every distinct document."""
+    order = in_order(docs, id_col, text)
+    cells = peel(_all_cells(edited_versions(docs, order, id_col, text)), ["d", "k"], 0, counts=True)
+    fact = lambda i: F.max(F.when((F.col("pair") == FACTS) & (F.col("cell") == i), F.col("x")))
+    whole = lambda p: F.when(F.max((F.col("pair") == p) & (F.col("cell") >= 0)), None).otherwise(
+        F.sum(F.when((F.col("pair") == p) & (F.col("cell") < 0), F.col("n")).otherwise(0)))
+    sha = F.unhex(F.concat(*[F.lpad(F.hex(fact(5 + i)), 16, "0") for i in range(4)]))
+    first = store(cells.groupBy("d", "k").agg(
+        fact(0).alias("n"), fact(1).alias("rows"), *[fact(2 + i).alias(f"n{c}") for i, c in enumerate("aex")], sha.alias("sha"),
+        _packed(OWN).alias("own"), _packed(EDITED).alias("edited"), whole(TO_EDITED).alias("de"), whole(TO_NEXT).alias("dx")))
+    failed = first.filter(F.col("de").isNull() | F.col("dx").isNull())
+    if not failed.isEmpty():
+        first = first.join(_again(docs, order, failed, id_col, text), ["d", "k"], "left")
+    else:
+        first = first.withColumns({"le": F.lit(0), "lx": F.lit(0)})
+    near = [likeness(F.col("na"), F.col(f"n{c}"), F.coalesce(f"d{c}", f"l{c}", F.lit(0))).alias(name) for c, name in (("e", "near_edited"), ("x", "near_next"))]
+    name = lambda c: F.when(F.length(c) == 0, "0").otherwise(F.lower(F.hex(c)))
+    return first.select("d", F.floor(F.col("rows") / 2).alias("m"), (F.col("rows") % 2 == 1).alias("none"), "n", F.lower(F.hex("sha")).alias("edited_sha256"),
+                        name("own").alias("fingerprint"), name("edited").alias("edited_fingerprint"), *near)
+
+
+def _again(docs: DataFrame, order: DataFrame, failed: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(d, k, le, lx): the differences of the documents whose first sketches did not peel, from sketches twice as wide."""
+    open_order = store(order.join(failed.select("d", "k"), ["d", "k"], "left_semi"))
+    needed = store(open_order.select("d", "k").unionByName(open_order.select(F.col("nd").alias("d"), F.col("nk").alias("k"))).distinct())
+    d, k = row_key(F.col(id_col), F.col(text))
+    some = docs.withColumns({"__d": d, "__k": k}).join(needed.select(F.col("d").alias("__d"), F.col("k").alias("__k")), ["__d", "__k"], "left_semi")
+    versions = edited_versions(some, open_order, id_col, text)
+    open_pairs = versions.select("d", "k", "a", F.explode(F.array(*[F.struct(F.lit(c).alias("pair"), F.col(c).alias("b")) for c in "ex"])).alias("p"))
+    open_pairs = store(open_pairs.select("d", "k", F.col("p.pair").alias("of"), "a", "p.b"))
+    found = differences(open_pairs, ["d", "k", "of"], counts=True, times=2)
+    return found.groupBy("d", "k").agg(*[F.sum(F.when(F.col("of") == c, F.col("found"))).alias(f"l{c}") for c in "ex"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row."""
-    found = compare(edited_versions(docs, id_col, text))
-    d, k = row_key(F.col(id_col), F.col(text))
-    every = docs.select(F.col(id_col).alias("doc_id"), d, k)
-    return every.join(found, ["d", "k"]).select(
-        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = compare(docs.select(id_col, text), id_col, text)
+    kind = docs.schema[id_col].dataType
+    each = found.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    return each.select(F.when(F.col("none"), None).otherwise(F.col("d")).cast(kind).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256",
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")

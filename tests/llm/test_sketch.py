@@ -44,7 +44,7 @@ def test_peeling_recovers_the_difference(spark, n):
     sets = spark.range(1).select(F.lit(1).alias("id"), F.transform(F.sequence(F.lit(1), F.lit(n + 700)), lambda i: F.xxhash64(i)).alias("a"),
                                  F.transform(F.sequence(F.lit(n + 1), F.lit(2 * n + 700)), lambda i: F.xxhash64(i)).alias("b"))
     if n == 0:
-        assert sets.select(K.is_empty(K.subtract(K.sketch(F.col("a")), K.sketch(F.col("b"))))).first()[0]
+        assert K.differences(sets, ["id"]).count() == 0  # what both share cancels
     found = K.differences(sets, ["id"]).select(F.explode("found").alias("f")).select("f.n", "f.x")
     a, b = (set(sets.select(F.explode(c)).toPandas().iloc[:, 0].tolist()) for c in "ab")
     got = [(r.n, r.x) for r in found.collect()]
