@@ -39,6 +39,8 @@ TABLES, WIDTH = 3, 10
 PAIR_TABLES, SHARE, MORE = 4, 0.5, 8
 #: Tables peeled before what is left counts as failed; a retry goes through as many.
 STEPS = 12
+#: Cells that the documents of one task have together, about; more documents make more tasks.
+CELLS_A_TASK = 400_000
 CELL = ["pair", "w", "cell"]
 #: The numbers of ``pair``: fingerprints of the text and the edited text, their difference, that from the next text, other facts.
 OWN, EDITED, TO_EDITED, TO_NEXT, FACTS = range(5)
@@ -147,12 +149,19 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return store(_in_order(rows.groupBy("d", "k", "n", "none").agg(F.count("*").alias("m"))))
 
 
+def _tasks(order: DataFrame) -> int:
+    """Tasks for the documents of ``order``, so that each holds about ``CELLS_A_TASK`` cells."""
+    pieces = F.col("n") / PIECE
+    total = order.agg(F.sum(pieces * 4 * PAIR_TABLES * SHARE + 2 * (TABLES * WIDTH + PAIR_TABLES * MORE))).first()[0] or 0.0
+    return max(partitions(order.sparkSession), int(total // CELLS_A_TASK) + 1)
+
+
 def edited_versions(docs: DataFrame, order: DataFrame, id_col: str = "doc_id", text: str = "text", divisor: int = 4) -> DataFrame:
     """(d, k, n, m, none, edited_sha256, a, e, x) for the documents of ``order``: the hash of the edited text (the last
     n / ``divisor`` code points replaced by the first ones of the next document), and the digests of the text, the
     edited text and the next text."""
     d, k = row_key(F.col(id_col), F.col(text))
-    texts = docs.select(d, k, F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates(["d", "k"])
+    texts = docs.select(d, k, F.coalesce(F.col(text), F.lit("")).alias("t")).repartition(_tasks(order), "d", "k").dropDuplicates(["d", "k"])
     cut = F.floor(F.col("n") / divisor).cast("int")
     wanted = order.select(F.col("d").alias("pd"), F.col("k").alias("pk"), "n", "m", "none", F.col("nd").alias("d"), F.col("nk").alias("k"))
     lent = texts.join(wanted, ["d", "k"]).select(F.col("pd").alias("d"), F.col("pk").alias("k"), "n", "m", "none",
