@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,23 @@ def keep_columns(df: DataFrame, new: list[str]) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of one column that a Python step turns into Python objects at a time (one longer text is taken alone).
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces whose texts in ``column`` hold about ``max_bytes``, none without rows.
+
+    When a task's rows end, Arrow's pool gives its unused memory back, so an idle reused worker holds little."""
+    for b in batches:
+        lo = 0
+        while lo < b.num_rows:
+            n = b.num_rows - lo
+            while n > 1 and b.column(column).slice(lo, n).nbytes > max_bytes:
+                n = (n + 1) // 2
+            yield b.slice(lo, n)
+            lo += n
+        del b
+    pa.default_memory_pool().release_unused()

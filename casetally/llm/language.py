@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetally.llm.common import keep_columns
+from casetally.llm.common import keep_columns, sliced
 
 PROFILE_SIZE = 300
 #: Bound of the labelled sample that profiles are learnt from, per language (expected rows).
@@ -101,7 +101,7 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", id_col
     sample = rows.join(F.broadcast(share), "l").filter(draw <= F.col("p")).select("l", "t")  # a row per language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             found: dict[str, list] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found.setdefault(name, []).append(gram_counts(t))
@@ -146,16 +146,16 @@ class Ranker:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1, higher: closer to the profile)."""
     kept = keep_columns(docs, ["lang_pred", "score"])
-    at = len(kept)
+    sent = [*kept] if text in kept else [*kept, text]  # the text goes to Python once
+    at, width = sent.index(text), len(kept)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, size)
-        for b in batches:
+        for b in sliced(batches, at):
             found = [ranker(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:at], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*b.columns[:width], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*kept, "lang_pred", "score"])
 
-    source = docs.select(*kept, F.col(text).alias("__text"))
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return source.mapInArrow(predict, schema)
+    return docs.select(*sent).mapInArrow(predict, schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetally.llm.common import keep_columns, partitions, row_key, store
+from casetally.llm.common import keep_columns, partitions, row_key, sliced, store
 
 BLANK = b" \t\n\x0b\x0c\r"
 ROWS = "h1 long, h2 long, d long, k long, pos int"
@@ -48,7 +48,7 @@ def line_keys(text: str | None) -> list[bytes]:
 def _explode(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in sliced(batches, 2):
             d, k = (b.column(i).to_numpy() for i in (0, 1))
             hashes, owner, pos, held = [], [], [], 0
             for i, text in enumerate(b.column(2).to_pylist()):
@@ -205,26 +205,51 @@ def kept_text(text: str | None, bitmap: bytes, n_lines: int) -> str:
     return "\n".join([x for x, on in zip((text or "").split("\n"), keep.tolist(), strict=True) if on])
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, min_chars: int = 1,
-                 id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` (long) and ``keep_bitmap`` (zlib-packed bits, a 1 for each line kept)."""
-    new = ["n_lines", "n_dropped", "keep_bitmap"]
-    kept = keep_columns(docs, new)
+NEW = ["n_lines", "n_dropped", "keep_bitmap"]
+
+
+def _with_gone(docs: DataFrame, min_docs: int, keep_first: bool, min_chars: int, id_col: str, text: str) -> DataFrame:
+    """``docs`` with ``__n`` lines and ``__gone``, the positions of the lines to drop (null: none)."""
     gone = common_lines(docs, min_docs, keep_first, min_chars, id_col, text).groupBy(
         F.col("d").alias("__d"), F.col("k").alias("__k")).agg(F.collect_set("pos").alias("__gone"))
     d, k = row_key(F.col(id_col), F.col(text))
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return docs.withColumns({"__d": d, "__k": k, "__n": lines}).join(gone, ["__d", "__k"], "left").drop("__d", "__k")
+
 
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, min_chars: int = 1,
+                 id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``n_lines``, ``n_dropped`` (long) and ``keep_bitmap`` (zlib-packed bits, a 1 for each line kept)."""
     @F.pandas_udf("binary")
     def bitmap(dropped: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([pack(x, int(m)) for x, m in zip(dropped, n, strict=True)])
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    full = docs.withColumns({"__d": d, "__k": k, "__n": lines}).join(gone, ["__d", "__k"], "left")
-    return full.select(*kept, F.col("__n").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    full = _with_gone(docs, min_docs, keep_first, min_chars, id_col, text)
+    return full.select(*keep_columns(docs, NEW), F.col("__n").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
                        bitmap("__gone", "__n").alias("keep_bitmap"))
 
 
+def dedup(docs: DataFrame, new: str = "text", min_docs: int = 10, keep_first: bool = False, min_chars: int = 1,
+          id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``keep_bitmaps(docs)`` with ``new``, the lines that the bitmap keeps, made in one Python step."""
+    full = _with_gone(docs, min_docs, keep_first, min_chars, id_col, text)
+    names, kept = full.columns, keep_columns(docs, [*NEW, new])
+    t, gone, lines, at = names.index(text), names.index("__gone"), names.index("__n"), [names.index(c) for c in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, t):
+            dropped, n = b.column(gone).to_pylist(), b.column(lines).to_pylist()
+            maps = [pack(x, m) for x, m in zip(dropped, n, strict=True)]
+            made = [kept_text(*x) for x in zip(b.column(t).to_pylist(), maps, n, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(j) for j in at), b.column(lines), pa.array([len(x or ()) for x in dropped], pa.int64()),
+                 pa.array(maps, pa.binary()), pa.array(made, pa.string())], names=[*kept, *NEW, new])
+
+    extra = [F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit(b"").alias("keep_bitmap"), F.lit("").alias(new)]
+    return full.mapInArrow(run, docs.select(*kept, *extra).schema)
+
+
 def _each_text(docs: DataFrame, text: str, new: str, kind: str, make) -> DataFrame:
     """``docs`` with column ``new``, made from text, bitmap and line count."""
     names = docs.columns

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetally.llm.common import partitions, row_key, store
+from casetally.llm.common import partitions, row_key, sliced, store
 from casetally.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, d, k, fp) for every row; d and k are ``row_key``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 3):
             fp = [fingerprint(t, shingle) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp, pa.int64())], names=["doc_id", "d", "k", "fp"])
 

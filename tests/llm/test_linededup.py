@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from casetally.llm import linededup as D
+from casetally.llm.common import sliced
 
 BIG = 2**63 - 1
 
@@ -45,6 +46,23 @@ def test_matches_brute_force(hard_docs, hard_rows, min_docs, keep_first):
         assert r.kept_sha256 == hashlib.sha256(r.kept_text.encode()).hexdigest()
 
 
+def test_dedup_in_one_step(hard_docs, no_docs):
+    """The same rows as bitmaps first and texts after."""
+    want = D.with_kept_text(D.keep_bitmaps(hard_docs, 2, True), new="kept")
+    found = D.dedup(hard_docs, new="kept", min_docs=2, keep_first=True)
+    assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    texts = D.dedup(hard_docs, min_docs=2, keep_first=True).collect()
+    assert sorted(r.text for r in texts) == sorted(r.kept for r in want.collect())
+    assert D.dedup(no_docs).count() == 0
+
+
+def test_slices_are_bounded_and_whole():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x" * n for n in (0, 5, 900, 3, 3, 0, 2000, 1, 40)])], names=["i", "t"])
+    pieces = list(sliced([batch.slice(0, 4), batch.slice(4), batch.slice(0, 0)], 1, 100))
+    assert [i for p in pieces for i in p.column(0).to_pylist()] == list(range(9))
+    assert all(p.num_rows == 1 or p.column(1).nbytes <= 100 for p in pieces)
+
+
 def test_empty_table(no_docs):
     assert D.keep_bitmaps(no_docs).count() == 0
 
