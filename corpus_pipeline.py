@@ -33,8 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = linededup.keep_bitmaps(docs, min_docs=10, keep_first=True)
-    kept = linededup.with_kept_text(marked, new="text")
+    kept = linededup.dedup(docs, min_docs=10, keep_first=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
