@@ -26,17 +26,23 @@ def values(text):
 
 
 def brute(rows):
-    owners = defaultdict(set)
-    for _, t, s in rows:
+    """A text belongs to the owner of its copy with the smallest id; a value counts texts and their owners."""
+    origin = {}
+    for i, t, s in rows:
+        at = (i is None, i or 0)
+        if t not in origin or at < origin[t][0]:
+            origin[t] = (at, s)
+    texts = defaultdict(set)
+    for t in origin:
         for v in values(t or ""):
-            owners[v[3]].add((s,))
+            texts[v[3]].add(t)
+    live = {v: len({(origin[t][1],) for t in found}) <= 1 and len(found) <= X.MAX_REPOSITORIES for v, found in texts.items()}
     out = []
     for i, t, _ in rows:
         all_, base = values(t or ""), base_spans(t or "")
-        shown = [(a, k, ["assign", "access", "hex", "live"][k], e) for a, k, e, v in all_
-                 if k < 3 or len(owners[v]) <= 1 and not any(b[0] < e and a < b[3] for b in base)]
-        out.append((i, ",".join(f"{n}:{a}:{e}" for a, _, n, e in sorted(shown)), sum(len(owners[v]) <= 1 for *_, v in [(a, k, e, v) for a, k, e, v in all_
-                    if k < 3 or len(owners[v]) <= 1 and not any(b[0] < e and a < b[3] for b in base)])))
+        shown = [(a, k, ["assign", "access", "hex", "live"][k], e, v) for a, k, e, v in all_
+                 if k < 3 or live[v] and not any(b[0] < e and a < b[3] for b in base)]
+        out.append((i, ",".join(f"{n}:{a}:{e}" for a, _, n, e, _ in sorted(shown)), sum(live[x[4]] for x in shown)))
     return sorted(out, key=str)
 
 
@@ -68,3 +74,14 @@ def test_matches_brute_force(spark, tmp_path):
 def test_defined_cases(hard_docs, hard_rows, no_docs):
     assert X.scan(hard_docs).count() == len(hard_rows)
     assert X.scan(no_docs).count() == 0
+
+
+def test_copies_make_no_example_and_many_texts_do(spark):
+    key, wide, two = "Zq9xKf7wLm3pTs8vBn2cRd", "Ab1Ab2Ab3Ab4Ab5Ab6Ab7Ab8", "Qw1Er2Ty3Ui4Op5As6Df7Gh8"
+    copies = [(i, f"copied with {key} inside", f"s{i % 3}") for i in range(40)]
+    many = [(100 + i, f"text {i} holds {wide}", "s1") for i in range(X.MAX_REPOSITORIES + 1)]
+    shared = [(200, f"one {two}", "s1"), (201, f"other {two}", "s2")]
+    found = X.scan(spark.createDataFrame(copies + many + shared, "doc_id long, text string, source string")).collect()
+    spans = {r.doc_id: r.spans for r in found}
+    assert all(len(spans[i]) == 1 and (spans[i][0].repositories, spans[i][0].owners, spans[i][0].live) == (1, 1, True) for i, *_ in copies)
+    assert not any(spans[i] for i, *_ in many + shared)
