@@ -661,6 +661,34 @@ l AS (SELECT c.*, amount IS NULL OR flag IS NULL AS open, imp FROM c, (SELECT CA
     exact_fit_ctes("amount", "l", "chmal1", "urgent"), exact_fit_ctes("flag", "l_amount", "chmal1", "amount")) + """
 SELECT row_key, imp, amount, flag FROM l_amount_flag WHERE open"""
 
+GROUP_CODES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def chained_ctes(src: str, name: str) -> str:
+    """``name``: the records of ``src`` completed by one exact round a year over group and flag, two imputations."""
+    codes = " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(GROUP_CODES, 1))
+    labels = " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GROUP_CODES, 1))
+    return f"""
+l AS (SELECT row_key, year, chmal1::BIGINT AS chmal1, medical::BIGINT AS urgent, (CASE race_ethn {codes} END)::BIGINT AS grp,
+             ipse::INTEGER::BIGINT AS flag, imp FROM {src}, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS imp)),
+""" + exact_fit_ctes("grp", "l", "chmal1", "urgent") + "," + exact_fit_ctes("flag", "l_grp", "chmal1", "grp") + f""",
+{name} AS (SELECT k.* REPLACE (CASE x.grp {labels} END AS race_ethn, x.flag = 1 AS ipse), x.imp
+           FROM {src} k JOIN l_grp_flag x USING (row_key))"""
+
+
+def after_chained(name: str) -> str:
+    """The SQL of a result with chained equations in the place of the hot-deck draws."""
+    sql = SQL[name].replace(long_cte("cases"), chained_ctes("cases", "long")).replace(long_cte("gated", "glong"), chained_ctes("gated", "glong"))
+    return sql.replace(f"/ {M} AS n_mn", "/ 2 AS n_mn").replace(f"count(*) < {M} THEN", "count(*) < 2 THEN")
+
+
+for _name in ("group_rates", "type_rates", "state_counts", "state_panel", "unit_rates", "unit_disparity"):
+    SQL[f"{_name}_chained"] = after_chained(_name)
+
+SQL["imputation_store"] = with_(CASES, chained_ctes("cases", "long")) + """
+SELECT x.row_key, x.imp, x.year, x.grp, x.flag FROM l_grp_flag x JOIN cases k USING (row_key)
+WHERE x.year >= 1994 AND (x.year <> 1996 OR k.medical)"""
+
 SQL["logistic_draw"] = with_(CASES) + f"""
 SELECT row_key, {u_sql('row_key', '1', 'ipse')} / {U32}.0::DOUBLE
        >= 1 - 1 / (1 + exp(-(0.25::DOUBLE - 1.5::DOUBLE * ((chmal1 - 1) / 4.0::DOUBLE) + CASE WHEN medical THEN 0.75::DOUBLE ELSE 0 END))) AS ipse

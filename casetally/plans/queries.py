@@ -621,6 +621,106 @@ def impute_exact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row_key", "imp", "amount", "flag")
 
 
+# ------------------------------------- draw store, results after chained equations
+
+from casetally.sources.drawstore import DrawStore  # noqa: E402
+
+#: Group (as its place among the levels) and flag, by one exact round a year.
+CHAIN_TARGETS = {"grp": ["chmal1", "urgent"], "flag": ["chmal1", "grp"]}
+GROUP_CODES = S.GROUP_LEVELS[1:]
+
+
+def _coded(cases: DataFrame) -> DataFrame:
+    return cases.withColumns({"grp": R.level_ordinal("race_ethn", GROUP_CODES).cast("long"), "flag": F.col("ipse").cast("int").cast("long"),
+                              "urgent": F.col("medical").cast("long"), "chmal1": F.col("chmal1").cast("long")})
+
+
+def _stored(spark: SparkSession, cases: DataFrame) -> DrawStore:
+    """The cases imputed by chained equations, each year for itself, and written as a draw store."""
+    from casetally.operators.chained import exact_round
+    coded = MT.materialize(_coded(cases))  # read by the fits and by the store
+    done = exact_round(coded.select("row_key", "year", "chmal1", "urgent", "grp", "flag"), CHAIN_TARGETS, ["row_key"], EXACT_M, S.SEED, by=["year"])
+    store = DrawStore(MT.new_folder(spark), list(CHAIN_TARGETS), ["row_key"])
+    store.write(coded.drop("race_ethn", "ipse"), done, EXACT_M)
+    return store
+
+
+def _decoded(df: DataFrame) -> DataFrame:
+    labels = F.array(*[F.lit(g) for g in GROUP_CODES])
+    return df.withColumns({"race_ethn": F.get(labels, F.col("grp").cast("int") - 1), "ipse": F.col("flag") == 1, "chmal1": F.col("chmal1").cast("int")})
+
+
+@query
+def imputation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form rebuilt from a draw store, from 1994 on; 1996 was written again with its medical reports only."""
+    store = _stored(spark, S.cases(spark, sf_dir))
+    of_1996 = store.split(spark, F.col("year") == 1996)
+    again = [df.filter("medical") for df in of_1996]
+    records = MT.materialize(again[0].unionByName(_without(again[1].filter(F.col("imp") == 1), store)))
+    store.write(records, MT.materialize(again[1]), EXACT_M)
+    return store.long(spark, F.col("year") >= 1994).select("row_key", "imp", "year", "grp", "flag")
+
+
+def _without(completed: DataFrame, store: DrawStore) -> DataFrame:
+    """Records of one imputation with all targets missing again: readers take each from the draws."""
+    return completed.withColumns({t: F.lit(None).cast("long") for t in store.targets}).drop(store.imp_col)
+
+
+def _latest_chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    full, done = _stored(spark, S.cases(spark, sf_dir)).split(spark)
+    return SV.latest_of_split(_decoded(full), _decoded(done), EXACT_M, where=F.col("ipse"))
+
+
+@query
+def group_rates_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure-2 shape read from the draw store after chained equations."""
+    stable, expanded = _latest_chained(spark, sf_dir)
+    return SV.group_rates_split(stable, expanded, S.population_by_year(spark, sf_dir), EXACT_M, min_year=1995)
+
+
+@query
+def type_rates_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure-1 shape read from the draw store after chained equations."""
+    stable, expanded = _latest_chained(spark, sf_dir)
+    return SV.type_rates_split(stable, expanded, S.population_by_year(spark, sf_dir), EXACT_M)
+
+
+def _state_counts_chained(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """Unit-years that pass the quality screen, imputed and stored; ``where`` prunes the years that are read."""
+    c = S.cases(spark, sf_dir)
+    c = Q.quality_gate(c, Q.quality_flags(c, ["state", "year"], "ipse", **STATE_QUALITY), ["state", "year"])
+    full, done = _stored(spark, c).split(spark, where)
+    return SV.counts_by_year(_decoded(full).filter("medical"), _decoded(done).filter("medical"), EXACT_M)
+
+
+@query
+def state_counts_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state_counts_chained(spark, sf_dir)
+
+
+@query
+def state_panel_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = SV.state_panel(_state_counts_chained(spark, sf_dir), S.population_by_year(spark, sf_dir), EXACT_M,
+                         exclude=S.EXCLUDED_UNITS, drop_units=[S.DROPPED_UNIT])
+    return out.withColumns({"n_mn": F.round("n_mn", 6), "r_mn": F.round("r_mn", 6)})
+
+
+def _unit_rates_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _state_counts_chained(spark, sf_dir, F.col("year") == S.FOCUS_YEAR)
+    return SV.unit_rates(counts, S.population_by_year(spark, sf_dir), EXACT_M, S.FOCUS_YEAR, exclude=S.EXCLUDED_UNITS, group_levels=S.GROUP_LEVELS)
+
+
+@query
+def unit_rates_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unit_rates_chained(spark, sf_dir).withColumns({"n_mn": F.round("n_mn", 6), "r_mn": F.round("r_mn", 6)})
+
+
+@query
+def unit_disparity_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SV.unit_disparity(_unit_rates_chained(spark, sf_dir), S.REFERENCE_GROUP, S.ORDER_GROUP,
+                             labels=("Greater than reference rate", "Less than or equal to reference rate"))
+
+
 @query
 def logistic_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draw of a two-class target from a logit with given coefficients."""

@@ -117,6 +117,22 @@ def latest_report_split(cases: DataFrame, imp: Imputation, roles: Roles,
     return stable, expanded
 
 
+def latest_of_split(observed: DataFrame, completed: DataFrame, m: int, roles: Roles = Roles(),
+                    where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same pair from records that are imputed already: ``observed`` without a missing target, ``completed`` the others
+    per imputation (chained equations or a draw store). Only records of persons with a completed one are repeated."""
+    r = roles
+    keys = [r.year, r.person]
+    open_ = completed.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = F.col(r.year).eqNullSafe(F.col(f"__{r.year}")) & F.col(r.person).eqNullSafe(F.col(f"__{r.person}"))
+    stable = observed.join(open_, same, "left_anti")
+    expanded = IM.with_imputations(observed.join(open_, same, "left_semi"), m, r.imp).unionByName(completed)
+    if where is not None:
+        stable, expanded = stable.filter(where), expanded.filter(where)
+    return (D.keep_latest(stable, keys, [r.date], [r.row_key]),
+            D.keep_latest(expanded, [r.imp, *keys], [r.date], [r.row_key]))
+
+
 def group_rates(cases: DataFrame, pop: DataFrame, imp: Imputation, roles: Roles = Roles(),
                 where: Column | None = None, min_year: int | None = None) -> DataFrame:
     """Pooled counts and rates per 1,000 by (year, group, source) (figure 2 shape)."""
@@ -230,7 +246,6 @@ def state_counts(cases: DataFrame, imp: Imputation, roles: Roles = Roles(),
         qf = Q.quality_flags(cases, [r.unit, r.year], r.flag, **quality)
         cases = Q.quality_gate(cases, qf, [r.unit, r.year])
     miss = _any_missing(list(imp.targets))
-    keys = [r.year, r.unit, r.group, r.slots[0], r.flag]
     observed = cases.filter(~miss)
     if where is not None:
         observed = observed.filter(where)
@@ -238,7 +253,14 @@ def state_counts(cases: DataFrame, imp: Imputation, roles: Roles = Roles(),
                                  imp_col=r.imp, donors=cases)
     if where is not None:
         long_m = long_m.filter(where)
-    counts = counts_from_split(observed, long_m, keys, imp.m, r.imp)
+    return counts_by_year(observed, long_m, imp.m, r)
+
+
+def counts_by_year(observed: DataFrame, completed: DataFrame, m: int, roles: Roles = Roles()) -> DataFrame:
+    """Zero-filled counts from records without imputed values and completed long records."""
+    r = roles
+    keys = [r.year, r.unit, r.group, r.slots[0], r.flag]
+    counts = counts_from_split(observed, completed, keys, m, r.imp)
     # completed within each year over the levels found in that year
     dims = {d: None for d in [r.imp, r.unit, r.group, r.slots[0], r.flag]}
     return RS.complete_grid(counts, dims, fill={"n": 0}, by=[r.year]).select(*keys, r.imp, "n")
