@@ -19,16 +19,16 @@ from casetally.operators.joins import estimated_bytes
 from casetally.session import checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     A written table in the shared folder: survives executor loss, cuts the
     lineage, and is columnar (faster to write and read than a serialised RDD
-    checkpoint). Eager.
+    checkpoint). Eager. ``file_rows``: rows of a file at most (0: no limit).
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -56,6 +56,10 @@ COEFFICIENTS = f"{ALL} int, {BY} string, beta array<double>, drawn array<double>
 FAN = 16
 #: Numbers of a block's model matrix and bytes of a block's rows at most (at least one row).
 BLOCK = 1 << 19
+#: Rows that a task of a model fit has on the average.
+FIT_ROWS = 1 << 16
+#: Rows of sorted donors and recipients that a task of the donor search holds at once.
+PIECE = 1 << 17
 
 
 def is_factor(dtype: T.DataType) -> bool:
@@ -131,6 +135,14 @@ def steady(x: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ blocks
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ranges of (imputation, by, a hash of the rest): a task has few keys, a key with many rows several tasks.
+
+    Blocks of one key are full then, and a pass sends about one sum per key, not one per key and task."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIT_ROWS))
+    return rows.repartitionByRange(tasks, ALL, BY, F.xxhash64(*rows.columns))
+
+
 def model_blocks(rows: DataFrame, design: Design, target: str, classes: Sequence[str] | None = None) -> DataFrame:
     """The rows' model matrix, target (class number or value) and weight as blocks of one key.
 
@@ -263,7 +275,7 @@ def fit_linear(rows: DataFrame, design: Design, target: str, m: int, draw: Draw)
         beta = steady(beta)
         return [beta, steady(beta + sigma * spread @ rng.standard_normal(p)), 0.0]
 
-    blocks = materialize(model_blocks(rows, design, target))
+    blocks = materialize(model_blocks(clustered(rows), design, target))
     return _solved(blocks, None, m, one, p, finish, blocks.rdd.getNumPartitions())[0]
 
 
@@ -335,7 +347,7 @@ def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[st
         chol = np.linalg.cholesky((covariance + covariance.T) / 2 + 1e-12 * np.eye(size))
         return [beta, steady(beta + chol @ np.random.default_rng(draw(*key)).standard_normal(size)), far]
 
-    blocks, fits = materialize(model_blocks(rows, design, target, classes)), start
+    blocks, fits = materialize(model_blocks(clustered(rows), design, target, classes)), start
     tasks = blocks.rdd.getNumPartitions()
     for _ in range(max_steps):
         fits, far = _solved(blocks, fits, m, one, p, finish, tasks)
@@ -467,51 +479,86 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
     ``recipients``: any columns, among them imputation, by, ``__p`` and the uniform integer ``u``.
     Of the donors with one prediction only the ``k`` smallest and the ``k`` largest values can be drawn; the others go first
     (every task keeps its own candidates before the shuffle). Rows are range-partitioned by (imputation, by, prediction,
-    donors first, value, u), so equal predictions spread too, and stored; the first and last ``2 k`` donors of every task's
-    piece (a table bounded by the number of tasks) give each piece its neighbours', so a prediction cut by a partition's
-    edge is whole on both sides.
+    donors first, value, u), so equal predictions spread too, and stored in that order, ``PIECE`` rows a file. A task holds
+    one piece at a time, as Arrow columns, whatever the size of its partition. The first and last ``2 k`` donors of each
+    key in every piece (a table bounded by the number of pieces and keys) give a piece its neighbours', so a prediction cut
+    by an edge is whole on both sides.
     """
-    spark = donors.sparkSession
     same = Window.partitionBy(ALL, BY, "__p")
     ends_of = [donors.withColumn("__r", F.row_number().over(same.orderBy(o))).filter(F.col("__r") <= k).drop("__r") for o in (F.asc("__v"), F.desc("__v"))]
     donors = ends_of[0].unionByName(ends_of[1]).distinct()
     order = [ALL, BY, "__p", "__kind", "__v", u]
     both = donors.withColumns({"__kind": F.lit(0), u: F.lit(0).cast("bigint")}).unionByName(
         recipients.withColumns({"__kind": F.lit(1), "__v": F.lit(None).cast("double"), WEIGHT: F.lit(0).cast("bigint")}), allowMissingColumns=True)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(both.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    # the number says partition and place in it, so one number is one file of the writer
+    number = F.floor(F.monotonically_increasing_id() / F.lit(PIECE)).cast("bigint")
+    ranged = materialize(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__piece", number), PIECE)
     pool = [ALL, BY, "__p", "__v", WEIGHT]
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first: dict[tuple, pd.DataFrame] = {}
-        last: dict[tuple, pd.DataFrame] = {}
-        for pdf in batches:
-            for key, g in pdf.groupby([ALL, BY], sort=False):
-                first[key] = pd.concat([first[key], g.head(2 * k)]).head(2 * k) if key in first else g.head(2 * k)
-                last[key] = pd.concat([last[key], g.tail(2 * k)]).tail(2 * k) if key in last else g.tail(2 * k)
-        if first:
-            yield pd.concat([*first.values(), *last.values()])
-
-    edge = ranged.filter("__kind = 0").select(*pool).mapInPandas(ends, f"{ALL} int, {BY} string, __p double, __v double, {WEIGHT} bigint").toPandas()
-    known = {key: g for key, g in edge.groupby([ALL, BY], sort=False)}
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            at = [i for lo, hi in _key_runs(piece) for i in (range(lo, hi) if hi - lo <= 4 * k else [*range(lo, lo + 2 * k), *range(hi - 2 * k, hi)])]
+            yield from piece.select(pool).take(pa.array(at)).to_batches()
+
+    edge = ranged.filter("__kind = 0").select(*pool, "__piece").mapInArrow(ends, f"{ALL} int, {BY} string, __p double, __v double, {WEIGHT} bigint").toPandas()
+    known = {key: tuple(g[c].to_numpy() for c in pool[2:]) for key, g in edge.sort_values(["__p", "__v"], kind="stable").groupby([ALL, BY], sort=False)}
     kept = [c for c in recipients.columns if c not in ("__p", u)]
     schema = T.StructType([*recipients.select(*kept).schema.fields, T.StructField(out, T.DoubleType())])
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        pdf = pd.concat(held, ignore_index=True)
-        for key, piece in pdf.groupby([ALL, BY], sort=False):
-            is_donor = piece["__kind"].to_numpy() == 0
-            who = piece[~is_donor]
-            if not len(who):
-                continue
-            own = piece.loc[is_donor, pool]
-            if key in known:
-                own = pd.concat([own, known[key]]).drop_duplicates(["__p", "__v"]).sort_values(["__p", "__v"], kind="stable")
-            res = who[kept].copy()
-            res[out] = nearest_donors(who["__p"].to_numpy(float), own["__p"].to_numpy(float), own["__v"].to_numpy(float), own[WEIGHT].to_numpy(np.int64),
-                                      who[u].to_numpy(np.int64), k) if len(own) else np.nan
-            yield res
-    return ranged.mapInPandas(match, schema)
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            kind, p, v, n, draw = (piece[c].to_numpy() for c in ("__kind", "__p", "__v", WEIGHT, u))
+            for lo, hi in _key_runs(piece):
+                first = lo + np.flatnonzero(kind[lo:hi] == 0)
+                who = lo + np.flatnonzero(kind[lo:hi] == 1)
+                if not len(who):
+                    continue
+                key = piece[ALL][lo].as_py(), piece[BY][lo].as_py()
+                own = _with_neighbours((p[first], v[first], n[first]), known.get(key), p[who[0]], p[who[-1]], k)
+                found = nearest_donors(p[who], *own, draw[who], k) if len(own[0]) else np.full(len(who), np.nan)
+                res = piece.select(kept).take(pa.array(who)).append_column(out, pa.array(found, pa.float64(), mask=np.isnan(found)))
+                yield from res.to_batches()
+
+    return ranged.mapInArrow(match, schema)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one ``__piece`` after the other; a piece lies in one file and comes whole."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        number = b.column("__piece").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and number[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = number[lo]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _key_runs(piece: pa.Table) -> list[tuple[int, int]]:
+    """First row and end of every run of one (imputation, by) in sorted rows."""
+    new = np.ones(piece.num_rows, bool)
+    imp, by = piece[ALL].to_numpy(), piece[BY].combine_chunks().dictionary_encode()
+    by = by.combine_chunks() if isinstance(by, pa.ChunkedArray) else by
+    code = by.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    new[1:] = (np.diff(imp) != 0) | (np.diff(code) != 0)
+    at = np.flatnonzero(new).tolist()
+    return list(zip(at, [*at[1:], piece.num_rows], strict=True))
+
+
+def _with_neighbours(own: tuple, known: tuple | None, low: float, high: float, k: int) -> tuple:
+    """A piece's donors (predictions, values, counts) and those of its neighbours that recipients between ``low`` and ``high`` can reach."""
+    if known is None:
+        return own
+    lo, hi = max(np.searchsorted(known[0], low, "left") - 2 * k, 0), np.searchsorted(known[0], high, "right") + 2 * k
+    p, v, n = (np.concatenate([a, b[lo:hi]]) for a, b in zip(own, known, strict=True))
+    order = np.lexsort((v, p))
+    p, v, n = p[order], v[order], n[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (np.diff(p) != 0) | (np.diff(v) != 0)
+    return p[new], v[new], n[new]

@@ -295,3 +295,37 @@ def test_exact_round_is_least_squares(spark):
     want = np.linalg.lstsq(np.column_stack([np.ones(300), x, z]), y, rcond=None)[0]
     assert np.allclose([v / whole for v in b], want)
     assert MO.fit_exact(rows_.limit(0), ["x"], "y", 2).count() == 0
+
+
+def test_donor_search_holds_one_piece_at_a_time(spark, monkeypatch):
+    """Pieces of seven rows, several files a task: recipients still reach all donors, and no file has more rows."""
+    import numpy as np
+    from casetally.operators import models as MO
+    monkeypatch.setattr(MO, "PIECE", 7)
+    stored, write = [], MO.materialize
+    monkeypatch.setattr(MO, "materialize", lambda df, *a: stored.append(write(df, *a)) or stored[-1])
+    rng = np.random.default_rng(4)
+    pool = sorted({(int(i), str(b), float(p), float(v)) for i, b, p, v in zip(
+        rng.integers(1, 3, 200), rng.choice(["a", "b"], 200), rng.integers(0, 12, 200), rng.integers(0, 30, 200), strict=True)})
+    asked = [(j, int(i), str(b), float(p), int(u)) for j, (i, b, p, u) in enumerate(zip(
+        rng.integers(1, 3, 150), rng.choice(["a", "b", None], 150), rng.integers(-2, 28, 150) / 2, rng.integers(0, 1 << 32, 150), strict=True))]
+    donors = spark.createDataFrame([(*k, 1) for k in pool], "__imp int, __by string, __p double, __v double, __n long")
+    need = spark.createDataFrame([(j, i, None if b == "None" else b, p, u) for j, i, b, p, u in asked], "row int, __imp int, __by string, __p double, __u long")
+    got = {r.row: r.out for r in MO.match_donors(donors, need, 3, "out").collect()}
+    assert max(r[0] for r in stored[0].groupBy(F.input_file_name()).agg(F.count(F.lit(1))).select("count(1)").collect()) <= 7
+    for j, i, b, p, u in asked:
+        own = [(q, v) for x, y, q, v in pool if (x, y) == (i, b)]
+        near = [x for x in own if x[0] < p][-3:] + [x for x in own if x[0] >= p][:3]
+        three = sorted(near, key=lambda x: (abs(x[0] - p), x))[:3]
+        assert got[j] == (three[u * len(three) >> 32][1] if three else None)
+
+
+def test_rows_of_a_key_meet_in_few_blocks(spark):
+    """30 keys scattered over all partitions: about one block a key, not one per key and task; no row is lost."""
+    from casetally.operators import models as MO
+    rows_ = spark.range(6000).repartition(16).select((F.col("id") % 3).cast("int").alias(MO.ALL), (F.col("id") % 10).cast("string").alias(MO.BY), F.col("id").cast("double").alias("x"),
+                                                     F.lit(1.0).alias("__y"), F.lit(1).cast("bigint").alias(MO.WEIGHT))
+    dealt = MO.clustered(rows_)
+    blocks = MO.model_blocks(dealt, MO.Design(numbers={"x": (0.0, 1.0, False)}), "__y")
+    assert blocks.count() <= 30 + dealt.rdd.getNumPartitions()
+    assert sum(len(r.w) // 8 for r in blocks.collect()) == 6000
