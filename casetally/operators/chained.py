@@ -87,6 +87,7 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
                             imp_col=imp_col, donors=df)
     by_key = F.to_json(F.struct(*by)) if by else F.lit("")
     cur = materialize(init.withColumns({MO.ALL: F.col(imp_col).cast("int"), MO.BY: by_key}))
+    cur = materialize(MO.clustered(cur))  # rows of a key stay together in all that is written from here
     missing = part.agg(*[F.count_if(F.col(f"__m_{t}")).alias(t) for t in names]).first()
     active = [t for t in names if missing[t]]
     schema = {f.name: f.dataType for f in df.schema.fields}
@@ -105,7 +106,7 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
         for t in active:
             spec, d = targets[t], design[t]
             known = cur.filter(~F.col(f"__m_{t}")).select(MO.ALL, MO.BY, *d.columns(), value[t])
-            rows = fixed[t].unionByName(known.withColumn(MO.WEIGHT, F.lit(1).cast("bigint")))
+            rows = materialize(fixed[t].unionByName(known.groupBy(*known.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT))))
             u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(t), F.lit(it))
             need = cur.filter(f"__m_{t}").withColumn("__u", u).select("*", *d.columns("__x_"))
             if spec["method"] == "pmm":
