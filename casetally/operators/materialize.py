@@ -19,6 +19,10 @@ from casetally.operators.joins import estimated_bytes
 from casetally.session import checkpoint_dir
 
 
+#: Rows that a task has on the average after its rows are repeated per imputation.
+REPEATED_ROWS = 1 << 19
+
+
 def materialize(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
@@ -108,6 +112,13 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread_repeated(df: DataFrame, copies: int, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, dealt evenly over so many tasks that each sorts a bounded number once its rows are repeated.
+
+    The number of shuffle partitions does not grow with the input; a task's sort would."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * copies // REPEATED_ROWS)))
+
+
 def _after_shuffle(df: DataFrame) -> bool:
     """Does the plan already pass through a (non single-partition) shuffle?"""
     try:

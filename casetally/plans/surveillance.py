@@ -29,6 +29,7 @@ from casetally.operators import aggregate as AG
 from casetally.operators import dedup as D
 from casetally.operators import impute as IM
 from casetally.operators import joins as J
+from casetally.operators import materialize as MT
 from casetally.operators import panel as PN
 from casetally.operators import pool as PL
 from casetally.operators import quality as Q
@@ -92,8 +93,9 @@ def latest_report_split(cases: DataFrame, imp: Imputation, roles: Roles,
     One aggregation per (year, person), partial on the map side, finds both
     whether any record misses a target and the latest record passing
     ``where``; stable persons need nothing else. Records of the other persons
-    are fetched by a semi join (which AQE splits if a person is hot), expanded
-    m times, completed, filtered and deduplicated by a partial ``min_by``.
+    are fetched by a semi join (which AQE splits if a person is hot), dealt over
+    tasks by their number (so a task's sort stays small), expanded m times,
+    completed, filtered and deduplicated by a partial ``min_by``.
     """
     r = roles
     miss = _any_missing(list(imp.targets))
@@ -109,6 +111,7 @@ def latest_report_split(cases: DataFrame, imp: Imputation, roles: Roles,
                  .select("__row.*").drop("__ok"))
     unstable_keys = per.filter(F.col("__unstable") == 1).select(r.year, r.person)
     unstable = cases.join(unstable_keys, [r.year, r.person], "left_semi")
+    unstable = MT.spread_repeated(unstable, imp.m, cases.count())
     long_u = IM.hotdeck_complete(unstable, imp.targets, [r.row_key], imp.m, imp.seed,
                                  imp_col=r.imp, donors=cases)
     if where is not None:

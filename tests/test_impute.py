@@ -329,3 +329,21 @@ def test_rows_of_a_key_meet_in_few_blocks(spark):
     blocks = MO.model_blocks(dealt, MO.Design(numbers={"x": (0.0, 1.0, False)}), "__y")
     assert blocks.count() <= 30 + dealt.rdd.getNumPartitions()
     assert sum(len(r.w) // 8 for r in blocks.collect()) == 6000
+
+
+def test_repeated_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """The kept reports do not depend on how many tasks repeat them, and a task has few rows, equal ones too."""
+    from casetally.operators import materialize as MT
+    from casetally.plans import surveillance as SV
+    monkeypatch.setattr(MT, "REPEATED_ROWS", 100)
+    same = spark.range(1000).select(F.lit(1).alias("x"))
+    per_task = [len(p) for p in MT.spread_repeated(same, 10, 1000).rdd.glom().collect()]
+    assert sum(per_task) == 1000 and max(per_task) <= 40
+    c = spark.sql("""SELECT id row_key, id % 40 person, 'S' state, 2000 year, date_add(DATE'2000-01-01', cast(id % 90 as int)) rptdt, id % 2 = 0 medical,
+        CASE WHEN id % 7 > 0 THEN 'g' || id % 3 END race_ethn, CASE WHEN id % 5 > 0 THEN id % 3 = 0 END ipse FROM range(300)""")
+    imp = SV.Imputation(targets={t: [["state", "year"]] for t in ("race_ethn", "ipse")}, m=3, seed=1)
+    found = [sorted(map(str, df.collect())) for df in SV.latest_report_split(c, imp, SV.Roles(), F.col("ipse"))]
+    sizes, spread = [], MT.spread_repeated
+    monkeypatch.setattr(MT, "spread_repeated", lambda df, *a: sizes.append(spread(df, *a).rdd.getNumPartitions()) or df)
+    assert found == [sorted(map(str, df.collect())) for df in SV.latest_report_split(c, imp, SV.Roles(), F.col("ipse"))]
+    assert sizes == [9]
