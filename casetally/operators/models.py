@@ -511,10 +511,10 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
             for lo, hi in _key_runs(piece):
                 first = lo + np.flatnonzero(kind[lo:hi] == 0)
                 who = lo + np.flatnonzero(kind[lo:hi] == 1)
-                if not len(who):
-                    continue
                 key = piece[ALL][lo].as_py(), piece[BY][lo].as_py()
-                own = _with_neighbours((p[first], v[first], n[first]), known.get(key), p[who[0]], p[who[-1]], k)
+                if not len(who) or None in key:  # rows without a group are not matched
+                    continue
+                own = _with_neighbours((p[first], v[first], n[first]), known.get(key), p[who], k)
                 found = nearest_donors(p[who], *own, draw[who], k) if len(own[0]) else np.full(len(who), np.nan)
                 res = piece.select(kept).take(pa.array(who)).append_column(out, pa.array(found, pa.float64(), mask=np.isnan(found)))
                 yield from res.to_batches()
@@ -551,14 +551,16 @@ def _key_runs(piece: pa.Table) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], piece.num_rows], strict=True))
 
 
-def _with_neighbours(own: tuple, known: tuple | None, low: float, high: float, k: int) -> tuple:
-    """A piece's donors (predictions, values, counts) and those of its neighbours that recipients between ``low`` and ``high`` can reach."""
+def _with_neighbours(own: tuple, known: tuple | None, asked: np.ndarray, k: int) -> tuple:
+    """A piece's donors (predictions, values, counts) and those of its neighbours that recipients at ``asked`` can reach.
+
+    A missing prediction comes last, as in the search."""
     if known is None:
         return own
-    lo, hi = max(np.searchsorted(known[0], low, "left") - 2 * k, 0), np.searchsorted(known[0], high, "right") + 2 * k
-    p, v, n = (np.concatenate([a, b[lo:hi]]) for a, b in zip(own, known, strict=True))
+    low, high = np.searchsorted(known[0], asked, "left"), np.searchsorted(known[0], asked, "right")
+    p, v, n = (np.concatenate([a, b[max(low.min() - 2 * k, 0):high.max() + 2 * k]]) for a, b in zip(own, known, strict=True))
     order = np.lexsort((v, p))
     p, v, n = p[order], v[order], n[order]
     new = np.ones(len(p), bool)
-    new[1:] = (np.diff(p) != 0) | (np.diff(v) != 0)
+    new[1:] = ((p[1:] != p[:-1]) & ~(np.isnan(p[1:]) & np.isnan(p[:-1]))) | (np.diff(v) != 0)
     return p[new], v[new], n[new]
