@@ -89,8 +89,9 @@ def letter_words(text: Column) -> Column:
 def repeated_words(words: Column, size: int = 3) -> Column:
     """Number of words that stand in a window of ``size`` words found twice or more.
 
-    33 bits of a window's hash and its position make one number; sorted, possible repeats are neighbours. Only these are
-    compared by 96 bits, again in sorted order, so the work is that of a sort, whatever repeats."""
+    A text whose windows all have other hashes repeats none and is done. Otherwise 33 bits of a window's hash and its
+    position make one number; sorted, possible repeats are neighbours. Only these are compared by 96 bits, again in
+    sorted order, so the work is that of a sort, whatever repeats."""
     def hashed(i: Column) -> list[Column]:
         return [F.get(words, (i + k).cast("int")) for k in range(size)]
 
@@ -101,7 +102,7 @@ def repeated_words(words: Column, size: int = 3) -> Column:
         return F.shiftright(x, 31)
 
     def likely(numbers: Column) -> Column:
-        near = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
+        near = lambda x, y: high(x.bitwiseXOR(y)) == 0  # noqa: E731  (null at the ends: not near)
         return F.filter(numbers, lambda x, i: near(x, F.get(numbers, i + 1)) | near(x, F.get(numbers, i - 1)))
 
     def twins(found: Column) -> Column:
@@ -118,9 +119,13 @@ def repeated_words(words: Column, size: int = 3) -> Column:
         return F.sort_array(F.transform(some, lambda x: F.struct(F.xxhash64(*hashed(low(x))).alias("h"), F.hash(*hashed(low(x))).alias("g"), low(x).alias("p"))))
 
     n = F.size(words) - size + 1
-    numbers = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*hashed(i)).bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("long")))
-    counted = _let(_let(_let(F.sort_array(numbers), likely), lambda some: _let(verified(some), twins)), covered)
-    return F.when(n > 1, counted).otherwise(F.lit(0).cast("long"))
+    def counted(hashes: Column) -> Column:
+        numbers = F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("long")))
+        found = _let(_let(_let(F.sort_array(numbers), likely), lambda some: _let(verified(some), twins)), covered)
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), found).otherwise(F.lit(0).cast("long"))
+
+    windows = F.transform(F.slice(words, F.lit(1), n), lambda w, i: F.xxhash64(w, *hashed(i)[1:]))
+    return F.when(n > 1, _let(windows, counted)).otherwise(F.lit(0).cast("long"))
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -188,9 +193,9 @@ def word_pattern(words: list[str]) -> str:
 def with_words(docs: DataFrame, text: str, common: list[str]) -> DataFrame:
     """``docs`` with the number of words ``__n``, and those of ``common`` that occur in ``__kinds`` with their counts.
 
-    One pattern finds all words (runs of letters) and names the common ones."""
+    One pattern finds all words (runs of letters), names the common ones and passes over what follows a word."""
     kept = docs.columns
-    pattern = rf"(?:({word_pattern(common)})(?!\p{{L}})|\p{{L}}++)" if common else r"\p{L}++()"
+    pattern = rf"(?:({word_pattern(common)})(?!\p{{L}})|\p{{L}}++)\P{{L}}*+" if common else r"\p{L}++()"
     upto = lambda i: F.coalesce(F.array_position("__at", F.get("__kinds", i + 1)), F.size("__at") + 1)
     return (docs.withColumn("__words", F.regexp_extract_all(lowered(F.col(text)), F.lit(pattern), F.lit(1)))
             .withColumn("__at", F.sort_array(F.array_remove("__words", ""))).withColumn("__kinds", F.array_distinct("__at"))
