@@ -6,13 +6,15 @@ functions on a third of the cells each. A cell holds a count, the exclusive-or
 of its digests and that of their check sums. The sketches of two versions are
 subtracted cell by cell, what they share cancels, and peeling recovers the
 digests that differ: a cell with one digest left gives it away, which frees
-other cells. Where peeling stops short, the digests are dealt over several
-sketches (a larger one, in parts) by further hash bits, again and again until
-every part peels. The likeness of two versions is their Jaccard index, from
-the two counts and the recovered difference.
+other cells. Where peeling stops short, or the sets are too large for their
+difference to fit, the digests are dealt over a larger sketch of one table
+with about one cell for ``LOAD`` digests: a subtracted cell with one digest
+left gives it away, and cells with more are split by further bits of their
+digests until all is recovered. The likeness of two versions is their Jaccard
+index, from the two counts and the recovered difference.
 
-All of it is array functions within a row: no cell is ever shuffled, and the
-work of a document grows with its length.
+All of it is array functions within a row: no cell is ever shuffled or stored,
+and the work of a document grows with its length.
 
 Defined cases: a null or empty text has no paragraph, an all-zero sketch, and
 likeness 1 to another such; equal texts have equal fingerprints; rows with the
@@ -26,16 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetally.llm.common import partitions, row_key, store
+from casetally.llm.common import computed_once, partitions, row_key, store
 
 #: What two versions share is told apart in pieces of this size.
 PIECE = 32
 TABLES, WIDTH = 3, 10
 CELLS = TABLES * WIDTH
-#: Digests that a part is planned for, parts made of one at once, and levels of parts before the first try.
-LOAD, FAN, LEVELS = 10, 64, 3
+#: Digests (of both sides) that a part is planned for, and times that a part may be split.
+LOAD, SPLITS = 4, 32
 ROUNDS = 10
-DIGESTS = "array<bigint>"
+DIGESTS, FOUND = "array<bigint>", "array<struct<n:int,x:bigint>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -59,7 +61,7 @@ def _cell(x: Column, table: int) -> Column:
 
 def _entry(x: Column, sign: Column) -> Column:
     """A digest with its sign, check sum and cells."""
-    return F.struct(sign.alias("n"), x.alias("x"), _check(x).alias("c"), F.array(*[_cell(x, t) for t in range(TABLES)]).alias("at"))
+    return F.struct(sign.alias("n"), x.alias("x"), _check(x).alias("c"), *[_cell(x, t).alias(f"t{t}") for t in range(TABLES)])
 
 
 def _put(cell: Column, e: Column, times: int) -> Column:
@@ -67,11 +69,15 @@ def _put(cell: Column, e: Column, times: int) -> Column:
 
 
 def _fill(cells: Column, entries: Column, times: int) -> Column:
-    """``cells`` with the entries added (or taken out)."""
-    def one(some: Column, cell: Column, i: Column) -> Column:
-        return _let(F.floor(i / WIDTH).cast("int"), lambda table: F.aggregate(
-            some, cell, lambda acc, e: F.when(F.get(e["at"], table) == i, _put(acc, e, times)).otherwise(acc)))
-    return _let(entries, lambda some: F.transform(cells, lambda cell, i: one(some, cell, i)))
+    """``cells`` with the entries added (or taken out); each half of a table looks through its own entries only."""
+    half = WIDTH // 2
+
+    def some_cells(before: Column, some: Column, t: int, first: int, n: int) -> Column:
+        own = F.filter(some, lambda e: e[f"t{t}"] < first + n if first == t * WIDTH else e[f"t{t}"] >= first)
+        one = lambda mine, i: F.aggregate(F.filter(mine, lambda e: e[f"t{t}"] == i), F.get(before, F.lit(i)), lambda acc, e: _put(acc, e, times))
+        return _let(own, lambda mine: F.array(*[one(mine, i) for i in range(first, first + n)]))
+    halves = [(t, t * WIDTH + at, n) for t in range(TABLES) for at, n in ((0, half), (half, WIDTH - half))]
+    return _let(cells, lambda before: _let(entries, lambda some: F.concat(*[some_cells(before, some, *h) for h in halves])))
 
 
 def _zero() -> Column:
@@ -102,7 +108,7 @@ def peel(cells: Column) -> Column:
         after = lambda some: F.struct(_fill(state["cells"], some, -1).alias("cells"),
                                       F.concat(state["found"], F.transform(some, found)).alias("found"))
         return _let(sure, lambda own: F.when(F.size(own) == 0, state).otherwise(_let(pure(own), after)))
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,x:bigint>>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
@@ -116,38 +122,71 @@ def fingerprint(cells: Column) -> Column:
         F.right(F.hex(c["n"].cast("long") + (1 << 32)), F.lit(4)), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["c"]), 8, "0")))), "")
 
 
-def _parts(rows: DataFrame, fan: Column, salt: Column) -> DataFrame:
-    """Each row's digest sets a and b dealt over ``fan`` parts by a hash with ``salt``."""
-    part = lambda s, j: F.filter(s, lambda x: F.pmod(F.xxhash64(x, F.lit("part"), salt), F.col("fan")) == j)
-    dealt = F.transform(F.sequence(F.lit(0), F.col("fan") - 1), lambda j: F.struct(part(F.col("a"), j).alias("a"), part(F.col("b"), j).alias("b")))
-    same = F.array(F.struct("a", "b"))
-    split = rows.withColumn("fan", fan).withColumn("p", F.explode(F.when(F.col("fan") == 1, same).otherwise(dealt)))
-    return split.withColumns({"a": F.col("p.a"), "b": F.col("p.b")}).drop("p", "fan")
+def _cuts(some: Column, shift: Column, fan: Column) -> Column:
+    """A sorted array cut into ``fan`` (a power of two) arrays by the bits from ``shift`` on, which change in sorted order."""
+    def cut(keys: Column) -> Column:
+        length = lambda lo, j, back: F.size(some) + 2 - lo - F.array_position(back, j)
+        piece = lambda j, back: _let(F.array_position(keys, j).cast("int"), lambda lo: F.when(lo == 0, F.array().cast(DIGESTS)).otherwise(
+            F.slice(some, lo, length(lo, j, back).cast("int"))))
+        return _let(F.reverse(keys), lambda back: F.transform(F.sequence(F.lit(0), fan - 1), lambda j: piece(j.cast("bigint"), back)))
+    return _let(F.transform(some, lambda x: F.call_function("shiftright", x, shift).bitwiseAND((fan - 1).cast("bigint"))), cut)
+
+
+def _dealt(a: Column, b: Column) -> Column:
+    """The sets dealt over parts planned for ``LOAD`` digests, by their leading bits in two steps; parts that are equal
+    on both sides have equal sketches and are left out. array<struct<a, b>>, sorted."""
+    some = lambda c, shift, bits: _cuts(c, shift, F.call_function("shiftleft", F.lit(1), bits))
+    pairs = lambda a, b, shift, bits: F.filter(F.zip_with(
+        some(a, shift, bits), some(b, shift, bits), lambda x, y: F.struct(x.alias("a"), y.alias("b"))), lambda p: p["a"] != p["b"])
+    bits = F.greatest(F.ceil(F.log2((F.size(a) + F.size(b) + 1) / LOAD)), F.lit(2)).cast("int")
+
+    def two(all_bits: Column, first: Column) -> Column:
+        coarse = pairs(a, b, 64 - first, first)
+        return F.flatten(F.transform(coarse, lambda p: pairs(p["a"], p["b"], 64 - all_bits, all_bits - first)))
+    return _let(bits, lambda n: _let(F.shiftright(n, 1), lambda first: two(n, first)))
+
+
+def _given(a: Column, b: Column) -> Column:
+    """What the subtracted cell of a part gives away: struct(n, x), or null if not exactly one digest is left in it.
+
+    No other cell shows a wrong digest here, so the check sums have 64 bits."""
+    def cell(both: Column, n: Column) -> Column:
+        check = lambda x: F.xxhash64(x, F.lit("check"))
+        folded = lambda body: F.aggregate(both, F.lit(0).cast("bigint"), lambda c, x: c.bitwiseXOR(body(x)))
+        left = lambda x: F.struct(n.alias("n"), x.alias("x"))
+        sure = _let(folded(lambda x: x), lambda x: F.when(folded(check) == check(x), left(x)))
+        return F.when(F.size(both) == 1, left(F.get(both, F.lit(0)))).otherwise(sure)  # one digest is its cell
+    return _let(F.size(a) - F.size(b), lambda n: F.when(F.abs(n) == 1, _let(F.concat(a, b), lambda both: cell(both, n))))
+
+
+def recovered(a: Column, b: Column) -> Column:
+    """The digests of a not in b (n = 1) and of b not in a (n = -1), array<struct<n, x>>.
+
+    The sets are dealt over as many cells as a sketch of their size needs. A subtracted cell with one digest left gives
+    it away; the others are split by further bits of the digests, again and again until all is recovered. Two digests
+    differ in one of their 64 bits, so ``SPLITS`` times are enough."""
+    bits = 64 // SPLITS
+    split = lambda p, level: F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda bit: F.struct(*[F.filter(
+        p[c], lambda x: F.call_function("shiftright", x, level).bitwiseAND((1 << bits) - 1) == bit).alias(c) for c in "ab"]))
 
+    def tried(parts: Column, found: Column) -> Column:
+        tries = F.transform(parts, lambda p: F.struct(_given(p["a"], p["b"]).alias("x"), p.alias("p")))
+        return _let(tries, lambda some: F.struct(
+            F.transform(F.filter(some, lambda r: r["x"].isNull()), lambda r: r["p"]).alias("open"),
+            F.concat(found, F.filter(F.transform(some, lambda r: r["x"]), lambda x: x.isNotNull())).alias("found")))
 
-def _tried(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("state", peel(_fill(_fill(_zero(), _signed(F.col("a"), 1), 1), _signed(F.col("b"), 1), -1)))
-    return rows.withColumns({"ok": is_empty(F.col("state.cells")), "found": F.col("state.found")}).drop("state")
+    def again(state: Column, level: Column) -> Column:
+        parts = F.filter(F.flatten(F.transform(state["open"], lambda p: split(p, level))), lambda p: p["a"] != p["b"])
+        return F.when(F.size(state["open"]) == 0, state).otherwise(tried(parts, state["found"]))
+    parts = _let(F.sort_array(a), lambda s: _let(F.sort_array(b), lambda t: _dealt(s, t)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63), F.lit(bits)), tried(parts, F.array().cast(FOUND)), again, lambda state: state["found"])
 
 
 def differences(pairs: DataFrame, key: list[str], counts: bool = False) -> DataFrame:
-    """(key, found): the digests of a not in b (n = 1) and of b not in a (n = -1), for rows (key, a, b) whose
-    first sketch did not peel; one row for every part. With ``counts``, only how many were found."""
-    size = F.size("a") + F.size("b")
-    rows = pairs.select(*key, "a", "b")
-    for level in range(LEVELS):
-        rows = _parts(rows, F.least(F.greatest(F.ceil(size / LOAD), F.lit(1)), F.lit(FAN)).cast("int"), F.lit(level))
-    done, salt = None, LEVELS
-    while True:  # larger, until all is recovered; the parts halve each time, so the rounds are few
-        tried = _tried(rows).withColumn("found", F.size("found")) if counts else _tried(rows)
-        tried = store(tried.withColumns({x: F.when(F.col("ok"), None).otherwise(F.col(x)) for x in ("a", "b")}))
-        good = tried.filter("ok").select(*key, "found")
-        done = good if done is None else done.unionByName(good)
-        rows = tried.filter(~F.col("ok")).select(*key, "a", "b")
-        if rows.isEmpty():
-            return done
-        rows = _parts(rows, F.lit(4), F.lit(salt))
-        salt += 1
+    """(key, found): the digests of a not in b (n = 1) and of b not in a (n = -1), for rows (key, a, b); with
+    ``counts``, only how many were found."""
+    found = recovered(F.col("a"), F.col("b"))
+    return pairs.select(*key, (F.size(found) if counts else found).alias("found"))
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
@@ -192,21 +231,19 @@ def likeness(size_a: Column, size_b: Column, different: Column) -> Column:
 
 def compare(versions: DataFrame) -> DataFrame:
     """(d, k, n, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of ``edited_versions``."""
-    versions = store(versions)
-    cells = versions.select("*", *[sketch(F.col(c)).alias(f"s{c}") for c in "aex"])
-    peeled = cells.select("*", *[peel(subtract(F.col("sa"), F.col(f"s{c}"))).alias(f"p{c}") for c in "ex"])
-    first = store(peeled.select("d", "k", "n", "edited_sha256", fingerprint(F.col("sa")).alias("fingerprint"),
-                                fingerprint(F.col("se")).alias("edited_fingerprint"),
-                                *[F.size(c).alias(f"n{c}") for c in "aex"],
-                                *[F.when(is_empty(F.col(f"p{c}.cells")), F.size(f"p{c}.found")).alias(f"d{c}") for c in "ex"],
-                                *[F.when(~is_empty(F.col(f"p{c}.cells")), F.col(c)).alias(c) for c in "ex"],
-                                F.when(~(is_empty(F.col("pe.cells")) & is_empty(F.col("px.cells"))), F.col("a")).alias("a")))
-    open_pairs = first.select("d", "k", "a", F.explode(F.array(*[F.struct(F.lit(c).alias("pair"), F.col(c).alias("b")) for c in "ex"])).alias("p"))
-    open_pairs = open_pairs.select("d", "k", "p.pair", "a", "p.b").filter(F.col("b").isNotNull())
-    found = differences(open_pairs, ["d", "k", "pair"], counts=True).groupBy("d", "k").agg(
-        *[F.sum(F.when(F.col("pair") == c, F.col("found"))).alias(f"l{c}") for c in "ex"])
-    full = first.join(found, ["d", "k"], "left")
-    near = [likeness(F.col("na"), F.col(f"n{c}"), F.coalesce(f"d{c}", f"l{c}")).alias(name) for c, name in (("e", "near_edited"), ("x", "near_next"))]
+    versions = computed_once(versions)
+    cells = computed_once(versions.select("*", *[sketch(F.col(c)).alias(f"s{c}") for c in "ae"]))
+
+    def different(c: str) -> Column:
+        """First from the two fingerprints; from a larger sketch where they cannot hold the difference or do not peel."""
+        other = F.col(f"s{c}") if c == "e" else sketch(F.col(c))
+        first = _let(peel(subtract(F.col("sa"), other)), lambda p: F.when(is_empty(p["cells"]), F.size(p["found"])))
+        larger = F.size(recovered(F.col("a"), F.col(c)))
+        return F.when(F.size("a") + F.size(c) <= 2 * CELLS, F.coalesce(first, larger)).otherwise(larger)
+    full = computed_once(cells.select("d", "k", "n", "edited_sha256", fingerprint(F.col("sa")).alias("fingerprint"),
+                                       fingerprint(F.col("se")).alias("edited_fingerprint"), *[F.size(c).alias(f"n{c}") for c in "aex"],
+                                       *[different(c).alias(f"d{c}") for c in "ex"]))
+    near = [likeness(F.col("na"), F.col(f"n{c}"), F.col(f"d{c}")).alias(name) for c, name in (("e", "near_edited"), ("x", "near_next"))]
     return full.select("d", "k", "n", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
 
 

@@ -56,3 +56,22 @@ def test_short_texts_keep_likeness(spark):
     text = lambda i, n: "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(n))
     docs = spark.createDataFrame([(i, text(i, n)) for i, n in enumerate((48, 60, 90, 128, 170, 200))], "doc_id long, text string")
     assert all(r.near_edited > 0 for r in K.fingerprints(docs).collect())
+
+
+def test_only_keys_are_stored(spark, monkeypatch, hard_docs, hard_rows):
+    """No text, digest or cell is written to disk to be read back: what does not peel is recovered in its row."""
+    kept = []
+    monkeypatch.setattr(K, "store", lambda df, stored=K.store: kept.extend(df.dtypes) or stored(df))
+    assert K.fingerprints(hard_docs).count() == len(hard_rows)
+    assert {kind for _, kind in kept} <= {"bigint", "int"}
+
+
+def test_recovery_in_the_row(spark):
+    """Empty sides, equal sides, neighbours that differ in one bit, extreme digests and many digests; each side is told apart."""
+    big = [(i * 0x9E3779B97F4A7C15 + 7) % 2**64 - 2**63 for i in range(3000)]
+    ends = [-2**63, 2**63 - 1, 0, -1, 1, 2, 3, 1 << 62]
+    pairs = [([], []), ([5], []), ([], [5]), (ends, ends[::-1]), (ends, []), (ends[:4], ends[4:]), (big, big[:-1]), (big[:1500], big[1500:]), (big[:2000], big[1000:]),
+             ([1 << i for i in range(63)], [3 << i for i in range(61)]), (big, ends)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a array<bigint>, b array<bigint>")
+    got = {r.id: sorted((f.n, f.x) for f in r.found) for r in rows.select("id", K.recovered(F.col("a"), F.col("b")).alias("found")).collect()}
+    assert got == {i: sorted([(1, x) for x in set(a) - set(b)] + [(-1, x) for x in set(b) - set(a)]) for i, (a, b) in enumerate(pairs)}
