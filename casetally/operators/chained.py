@@ -15,8 +15,9 @@ completed data:
 
 Fits and donor search are distributed (``operators.models``): no group of
 rows is gathered, all imputations and groups are fitted in the same passes.
-Draws use the keyed hash with the round number. Each drawn target is written
-to the shared checkpoint folder to cut the lineage. Coefficients are rounded
+Draws use the keyed hash with the round number. The records are written once,
+then after each drawn target the rows that miss it, and no others, to the
+shared checkpoint folder to cut the lineage. Coefficients are rounded
 to ten digits before use, so the order in which Spark adds up partial sums
 does not show in the draws.
 """
@@ -27,16 +28,19 @@ import zlib
 from collections.abc import Sequence
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casetally.functions.draws import uniform_u32
 from casetally.operators import models as MO
 from casetally.operators.impute import IMP, hotdeck_complete, with_imputations
-from casetally.operators.materialize import materialize
+from casetally.operators.joins import natural_left_join
+from casetally.operators.materialize import REPEATED_ROWS, discard, materialize
 
 KINDS = ("factor", "number")
+#: Which targets a record missed, as bits.
+GAPS = "__gaps"
 
 
 def methods_from_schema(df: DataFrame, targets: Sequence[str], kinds: dict[str, str] | None = None) -> dict[str, str]:
@@ -81,34 +85,45 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
     targets = {t: {"method": defaults[t], **spec} for t, spec in targets.items()}
     names = list(targets)
     any_missing = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in names])
+    df = materialize(df)  # read by every aggregate below
     full = df.filter(~any_missing)
-    part = df.filter(any_missing).withColumns({f"__m_{t}": F.col(t).isNull() for t in names})
-    init = hotdeck_complete(part, {t: targets[t].get("cells", [[]]) for t in names}, row_key, m, seed,
-                            imp_col=imp_col, donors=df)
     by_key = F.to_json(F.struct(*by)) if by else F.lit("")
-    cur = materialize(init.withColumns({MO.ALL: F.col(imp_col).cast("int"), MO.BY: by_key}))
-    cur = materialize(MO.clustered(cur))  # rows of a key stay together in all that is written from here
-    missing = part.agg(*[F.count_if(F.col(f"__m_{t}")).alias(t) for t in names]).first()
+    bit = {t: 1 << i for i, t in enumerate(names)}
+    gaps = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(t).isNull(), bit[t]).otherwise(0) for t in names])
+    part = materialize(df.filter(any_missing).withColumns({GAPS: gaps, MO.BY: by_key}))
+    of_group = part.groupBy(MO.BY).agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(~_observed(bit[t])).alias(t) for t in names])
+    missing = of_group.agg(F.max("__rows").alias("__most"), F.sum("__rows").alias("__rows"), *[F.sum(t).alias(t) for t in names]).first()
     active = [t for t in names if missing[t]]
+    init = hotdeck_complete(part, {t: targets[t].get("cells", [[]]) for t in names}, row_key, m, seed,
+                            imp_col=imp_col, donors=df)
+    cur = _dealt(init.withColumn(MO.ALL, F.col(imp_col).cast("int")).drop(imp_col), row_key, m, missing["__rows"] or 0, missing["__most"] or 0)
+    # every row lies in one layer: that of the last target drawn for it
+    layers = [(materialize(cur), 0)]
     schema = {f.name: f.dataType for f in df.schema.fields}
     kind = {c: (kinds or {}).get(c, "factor" if MO.is_factor(schema[c]) else "number") for c in schema}
-    design = {t: MO.Design.of(df, targets[t]["predictors"], kind) for t in active}
+    every = MO.Design.of(df, list(dict.fromkeys(p for t in active for p in targets[t]["predictors"])), kind)
+    design = {t: every.only(targets[t]["predictors"]) for t in active}
     value = {t: (MO.text(t) if targets[t]["method"] != "pmm" else F.col(t).cast("double")).alias("__y") for t in active}
     classes = {t: sorted(r[0] for r in df.filter(F.col(t).isNotNull()).select(MO.text(t)).distinct().collect())
                for t in active if targets[t]["method"] != "pmm"}  # bounded by the target's domain
     # the patterns of complete records never change
     fixed = {}
+    parts_of_by = [F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)]
+    by_of_pattern = F.to_json(F.struct(*[F.col(f"__by_{i}").alias(c) for i, c in enumerate(by)])) if by else F.lit("")
     for t in active:
-        seen = full.select(F.lit(0).alias(MO.ALL), by_key.alias(MO.BY), *design[t].columns(), value[t])
-        fixed[t] = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
+        seen = full.select(*parts_of_by, *design[t].columns(), value[t])
+        counts = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT))
+        fixed[t] = materialize(counts.select(F.lit(0).alias(MO.ALL), by_of_pattern.alias(MO.BY), *seen.columns[len(by):], MO.WEIGHT))
     fits: dict[str, DataFrame] = {}
     for it in range(1, maxit + 1 if active else 1):
         for t in active:
             spec, d = targets[t], design[t]
-            known = cur.filter(~F.col(f"__m_{t}")).select(MO.ALL, MO.BY, *d.columns(), value[t])
-            rows = materialize(fixed[t].unionByName(known.groupBy(*known.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT))))
-            u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col), F.lit(t), F.lit(it))
-            need = cur.filter(f"__m_{t}").withColumn("__u", u).select("*", *d.columns("__x_"))
+            cur = _rows_of(layers)
+            known = cur.filter(_observed(bit[t])).select(MO.ALL, MO.BY, *d.columns(), value[t])
+            known = materialize(known.groupBy(*known.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
+            rows = fixed[t].unionByName(known)
+            u = uniform_u32(F.lit(seed), *[F.col(k) for k in row_key], F.col(MO.ALL), F.lit(t), F.lit(it))
+            need = cur.filter(~_observed(bit[t])).withColumn("__u", u).select("*", *d.columns("__x_"))
             if spec["method"] == "pmm":
                 drawn = _matched(rows, need, d, t, m, seed, it, donors)
             elif len(classes[t]) == 1:
@@ -119,22 +134,60 @@ def chained_impute(df: DataFrame, targets: dict[str, dict], row_key: Sequence[st
                 drawn = MO.draw_classes(need, d, classes[t], fits[t], "__u", "__drawn")
             # a group without any observed value keeps its hot-deck draw
             drawn = drawn.withColumn(t, F.coalesce(F.col("__drawn").cast(schema[t]), F.col(t)))
-            cur = materialize(cur.filter(~F.col(f"__m_{t}")).unionByName(drawn.select(*cur.columns)))
-    done = cur.select(*df.columns, imp_col)
+            layers = _redrawn(layers, materialize(drawn.select(*cur.columns)), bit[t], sum(bit[a] for a in active))
+    done = _rows_of(layers).select(*df.columns, F.col(MO.ALL).alias(imp_col))
     if split:
         return full, done
     return with_imputations(full, m, imp_col).unionByName(done)
 
 
+def _dealt(long: DataFrame, row_key: Sequence[str], m: int, rows: int, most: int) -> DataFrame:
+    """The ``m`` rows of each of ``rows`` records (``most`` in one group), an imputation's rows in tasks of their own of about
+    ``REPEATED_ROWS`` and a group's in few of them: a task counts the patterns of few models."""
+    tasks = max(-(-rows * m // REPEATED_ROWS), long.sparkSession.sparkContext.defaultParallelism)
+    each = -(-tasks // m)  # of an imputation
+    pieces = max(-(-4 * each * most // max(rows, 1)), 1)  # of a group, so that none fills a task
+    piece = F.pmod(F.xxhash64(*row_key), F.lit(pieces))
+    return long.repartitionById(each * m, ((F.col(MO.ALL) - 1) * each + F.pmod(F.xxhash64(F.col(MO.BY), piece), F.lit(each))).cast("int"))
+
+
+def _observed(targets: int) -> Column:
+    """Was none of these targets (bits) missing in the record?"""
+    return F.col(GAPS).bitwiseAND(targets) == 0
+
+
+def _rows_of(layers: list[tuple[DataFrame, int]]) -> DataFrame:
+    """The current rows: a layer's rows without those that miss one of the targets drawn since."""
+    return reduce(DataFrame.unionByName, [df.filter(_observed(since)) if since else df for df, since in layers])
+
+
+def _redrawn(layers: list[tuple[DataFrame, int]], drawn: DataFrame, target: int, active: int) -> list[tuple[DataFrame, int]]:
+    """The layers once ``drawn`` holds all rows that miss ``target``. One that has lost the rows of every target is empty; its files go."""
+    kept = []
+    for df, since in layers:
+        if since | target == active:
+            discard(df)
+        else:
+            kept.append((df, since | target))
+    return [*kept, (drawn, 0)]
+
+
 def _matched(rows: DataFrame, need: DataFrame, design: MO.Design, target: str, m: int, seed: int, draw_round: int,
              donors: int) -> DataFrame:
     """``need`` with the value of a donor with a near prediction in ``__drawn``."""
     fits = MO.fit_linear(rows, design, "__y", m, partial(_key, seed, target, draw_round))
-    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, fits, "beta", m, ["__v", MO.WEIGHT])
-    pool = pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
-    kept = [c for c in need.columns if not c.startswith("__x_") and c not in (MO.ALL, MO.BY)]
-    asked = MO.predicted(need, design, fits, "drawn", m, kept, "__x_")
-    return MO.match_donors(pool, asked, donors, "__drawn")
+    # rows with equal predictors have one prediction: of them no more can be drawn, whatever the imputations add
+    outer = MO.outer_donors(rows.withColumnRenamed("__y", "__v"), [MO.ALL, MO.BY, *design.numbers, *design.factors], donors)
+    pool = MO.predicted(outer, design, fits, "beta", ["__v", MO.WEIGHT])
+    pool = materialize(pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT)))
+    # rows of a key with equal predictors have the same nearest donors: these are searched once, a row draws among them
+    keys = [MO.ALL, MO.BY, *[f"__x_{p}" for p in [*design.numbers, *design.factors]]]
+    points = materialize(need.select(*keys).distinct())
+    points = MO.predicted(points, design, fits, "drawn", keys[2:], "__x_", shared=False)
+    near = materialize(MO.match_donors(pool, points, donors, "__near", None))
+    found = natural_left_join(need, near, keys=keys, null_safe=True, broadcast_max_bytes=None)
+    place = F.floor(F.col("__u") / F.lit(MO.U32) * F.size("__near")).cast("int")
+    return found.withColumn("__drawn", F.get("__near", place))
 
 
 def exact_round(df: DataFrame, targets: dict[str, Sequence[str]], row_key: Sequence[str], m: int, seed: int, imp_col: str = IMP,

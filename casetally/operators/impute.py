@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from casetally.operators.joins import natural_left_join
 from casetally.operators.materialize import materialize, saved_with_stats, spread_small
 
 IMP = "imp"
+#: Entries of a distribution that are compared one after the other.
+SHORT = 8
 
 
 def with_imputations(df: DataFrame, m: int, imp_col: str = IMP) -> DataFrame:
@@ -102,36 +105,48 @@ def backoff_table(cells_needed: DataFrame, donors: DataFrame, targets: dict[str,
 def with_draw(df: DataFrame, out: str, thr: str, tot: str, u: Column, max_len: int) -> DataFrame:
     """Add column ``out`` = the value drawn from threshold array ``thr``.
 
-    The drawn entry is the first with ``hi > floor(u * total / 2**32)``, found
-    by binary lifting over the bits of the position: ``bit_length(max_len)``
-    steps per row. Integers only; totals may reach 2**47.
+    The drawn entry is the first with ``hi > floor(u * total / 2**32)``. Up to
+    ``SHORT`` entries are compared one after the other, in code compiled with
+    the plan; longer arrays are searched by binary lifting over the bits of
+    the position: ``bit_length(max_len)`` steps per row. Integers only; totals
+    may reach 2**47.
     """
-    arr = F.col(thr)
-    n = F.size(arr)
-    r = scaled(u, F.col(tot))
-    top = max(int(max_len), 1).bit_length() - 1
-    bits = F.array(*[F.lit(1 << b) for b in range(top, -1, -1)])
-
-    def step(p, bit):
-        nxt = p + bit
-        ok = (nxt <= n) & (F.element_at(arr, F.least(nxt, F.greatest(n, F.lit(1))))["hi"] <= r)
-        return F.when(ok, nxt).otherwise(p)
-
+    arr, r, size = F.col(thr), F.col("__r"), max(int(max_len), 1)
+    # columns of their own, so a row's hash is taken once and not in every step of the search
+    df = df.withColumn("__h", u).withColumn("__r", scaled(F.col("__h"), F.col(tot)))
     # p = number of entries with hi <= r; the drawn entry is the next one
-    p = F.aggregate(bits, F.lit(0), step)
-    return df.withColumn(out, F.when(arr.isNotNull(), F.element_at(arr, p + 1)["v"]))
+    if size <= SHORT:
+        p = reduce(lambda a, b: a + b, [F.when(F.get(arr, F.lit(i))["hi"] <= r, 1).otherwise(0) for i in range(size)])
+    else:
+        n, bits = F.size(arr), F.array(*[F.lit(1 << b) for b in range(size.bit_length() - 1, -1, -1)])
 
+        def step(p, bit):
+            nxt = p + bit
+            ok = (nxt <= n) & (F.element_at(arr, F.least(nxt, F.greatest(n, F.lit(1))))["hi"] <= r)
+            return F.when(ok, nxt).otherwise(p)
+        p = F.aggregate(bits, F.lit(0), step)
+    return df.withColumn(out, F.when(r.isNotNull(), F.get(arr, p)["v"])).drop("__h", "__r")
 
-def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict]:
-    """Join the materialised table (Spark broadcasts it if its files are small); also return the longest array per column."""
+
+def _saved(table: DataFrame) -> tuple[DataFrame, dict]:
+    """The materialised table and the longest array per column."""
     thr_cols = [c for c in table.columns if c.endswith("_thr")]
     stats = {c: F.coalesce(F.max(F.size(c)), F.lit(0)) for c in thr_cols}
     small = saved_with_stats(table, stats)
-    lengths = {c: int(stats[c]) for c in thr_cols}
+    return small, {c: int(stats[c]) for c in thr_cols}
+
+
+def _attached(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join the materialised table (Spark broadcasts it if its files are small)."""
     if not keys:  # whole-table distribution only: one row, constant key
         return (df.withColumn("__all", F.lit(0))
-                  .join(small.withColumn("__all", F.lit(0)), "__all", "left").drop("__all")), lengths
-    return natural_left_join(df, small, keys=list(keys), null_safe=True, broadcast_max_bytes=None), lengths
+                  .join(small.withColumn("__all", F.lit(0)), "__all", "left").drop("__all"))
+    return natural_left_join(df, small, keys=list(keys), null_safe=True, broadcast_max_bytes=None)
+
+
+def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, dict]:
+    small, lengths = _saved(table)
+    return _attached(df, small, keys), lengths
 
 
 def hotdeck_draws(df: DataFrame, target: str, cells: Sequence[Sequence[str]], row_key: Sequence[str],
@@ -187,19 +202,28 @@ def hotdeck_complete(df: DataFrame, targets: dict[str, Sequence[Sequence[str]]],
     groups: dict[tuple, dict] = {}
     for t, cells in targets.items():
         groups.setdefault(tuple(_levels(cells)[0]), {})[t] = cells
-    part = part_rows
     lengths: dict[str, int] = {}
+    tables = {}
     for finest, group in groups.items():
-        table = backoff_table(part_rows.select(*finest).distinct(), pool, group)
-        part, found = _attach(part, table, finest)
+        tables[finest], found = _saved(backoff_table(part_rows.select(*finest).distinct(), pool, group))
         lengths.update(found)
-    part = with_imputations(part, m, imp_col)
+    # long distributions go only with the rows that draw from them
+    branches: list[tuple[DataFrame, list[str]]] = [(part_rows, [])]
+    for finest, group in groups.items():
+        wanted = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in group])
+        whole = max(lengths[f"{t}_thr"] for t in group) <= SHORT
+        branches = [b for rows, drawn in branches for b in
+                    [(_attached(rows if whole else rows.filter(wanted), tables[finest], finest), [*drawn, *group]), *([] if whole else [(rows.filter(~wanted), drawn)])]]
     u_cols = [F.lit(seed), *[F.col(k) for k in row_key], F.col(imp_col)]
-    for t in targets:
-        u = uniform_u32(*u_cols, F.lit(t), F.lit(0))
-        part = with_draw(part, "__drawn", f"{t}_thr", f"{t}_tot", u, lengths[f"{t}_thr"])
-        part = part.withColumn(t, F.coalesce(F.col(t), F.col("__drawn").cast(df.schema[t].dataType))).drop("__drawn")
-    return full.unionByName(part.select(*df.columns, imp_col))
+    done = [full]
+    for part, drawn in branches:
+        part = with_imputations(part, m, imp_col)
+        for t in sorted(drawn, key=lambda t: -lengths[f"{t}_thr"]):
+            u = F.when(F.col(t).isNull(), uniform_u32(*u_cols, F.lit(t), F.lit(0)))
+            part = with_draw(part, "__drawn", f"{t}_thr", f"{t}_tot", u, lengths[f"{t}_thr"])
+            part = part.withColumn(t, F.coalesce(F.col(t), F.col("__drawn").cast(df.schema[t].dataType))).drop("__drawn", f"{t}_thr", f"{t}_tot")
+        done.append(part.select(*df.columns, imp_col))
+    return reduce(DataFrame.unionByName, done)
 
 
 # -------------------------------------------------- predictive mean matching
@@ -225,11 +249,11 @@ def pmm_draws(df: DataFrame, target: str, numeric: Sequence[str], categorical: S
     rows = materialize(seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias(MO.WEIGHT)))
     target_code = zlib.crc32(target.encode())
     fits = MO.fit_linear(rows, design, "__y", m, lambda imp, _: [seed, imp, draw_round, target_code])
-    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, fits, "beta", m, ["__v", MO.WEIGHT])
+    pool = MO.predicted(rows.withColumnRenamed("__y", "__v"), design, fits, "beta", ["__v", MO.WEIGHT])
     pool = pool.groupBy(MO.ALL, MO.BY, "__p", "__v").agg(F.sum(MO.WEIGHT).alias(MO.WEIGHT))
     missing = with_imputations(spread_small(df.filter(value.isNull())), m, imp_col)
     u = uniform_u32(F.lit(seed), *[F.col(c) for c in row_key], F.col(imp_col), F.lit(target), F.lit(draw_round))
     need = missing.withColumns({MO.ALL: F.col(imp_col), MO.BY: F.lit(""), "__u": u}).select("*", *design.columns("__x_"))
-    asked = MO.predicted(need, design, fits, "drawn", m, [*df.columns, imp_col, "__u"], "__x_")
+    asked = MO.predicted(need, design, fits, "drawn", [*df.columns, imp_col, "__u"], "__x_", shared=False)
     found = MO.match_donors(pool, asked, donors, "__drawn")
     return found.withColumn(target, F.col("__drawn").cast(df.schema[target].dataType)).select(*df.columns, imp_col)

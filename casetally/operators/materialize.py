@@ -58,6 +58,15 @@ def release_materialized(spark) -> bool:
     return bool(fs.exists(path) and fs.delete(path, True))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote (``df`` reads nothing else), which nothing reads any more."""
+    jvm, own = df.sparkSession.sparkContext._jvm, _app_folder(df.sparkSession)
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() == own.rpartition("/")[2]:
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved_with_stats(df: DataFrame, stats: dict) -> DataFrame:
     """Materialise ``df`` and compute ``stats`` (name -> aggregate Column) over it; their values replace the Columns.
 

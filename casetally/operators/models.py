@@ -6,10 +6,11 @@ contribution to the normal equations (linear) or to gradient and information
 (multinomial logit, one pass per Newton step); the sums meet in a tree by key
 (imputation and ``by`` group), and the task that adds the last of them solves
 the system. Coefficients are a table of one row per key, written to the shared
-folder and joined back to the rows. Rows travel in blocks of one key, so a
-block carries its coefficients once and they reach Python without a closure or
-a forced broadcast, whatever their number. The driver reads one number per
-pass: how far the furthest key still has to go.
+folder and joined back to the rows, without a closure or a forced broadcast,
+whatever their number; predictions and draws are column expressions over them.
+The driver reads one number per pass: how far the furthest key still has to
+go. Where the distinct rows of the model matrix of every ``by`` group are few
+(``GROUP``), one task makes all steps of a group's fits, in one pass in all.
 
 All imputations and all ``by`` groups are fitted in the same passes. Rows
 without a missing value are the same in every imputation; they come once
@@ -32,6 +33,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -58,6 +60,10 @@ FAN = 16
 BLOCK = 1 << 19
 #: Rows that a task of a model fit has on the average.
 FIT_ROWS = 1 << 16
+#: Numbers of the model matrix of a ``by`` group at most that one task fits whole.
+GROUP = 1 << 22
+#: Where all steps are made in one task: a step of this squared length is the last, what is left is below the coefficients' ten digits.
+SETTLED = 1e-12
 #: Rows of sorted donors and recipients that a task of the donor search holds at once.
 PIECE = 1 << 17
 
@@ -102,6 +108,34 @@ class Design:
         """What ``matrix`` needs of a row."""
         return [F.col(p).cast("double").alias(rename + p) for p in self.numbers] + [text(p).alias(rename + p) for p in self.factors]
 
+    def only(self, predictors: Sequence[str]) -> Design:
+        """The design of some of the predictors, in their order."""
+        return Design({p: self.numbers[p] for p in predictors if p in self.numbers}, {p: self.factors[p] for p in predictors if p in self.factors})
+
+    def levels(self, rename: str = "") -> dict[str, Column]:
+        """What ``product`` needs besides the columns: each factor's place among its levels (-1: none of them)."""
+        out = {}
+        for p, levels in self.factors.items():
+            known = [F.lit(v) for v in levels if v is not None]
+            place = F.array_position(F.array(*known), F.col(rename + p)).cast("int") - 1 if known else F.when(F.col(rename + p).isNotNull(), F.lit(-1))
+            out[f"__k_{p}"] = F.coalesce(place, F.lit(len(levels) - 1))
+        return out
+
+    def product(self, c: Column, start: int = 0, rename: str = "") -> Column:
+        """A row of ``matrix`` times the ``width`` coefficients from ``start`` in the array ``c``, the columns of ``levels`` being there."""
+        total, at = F.get(c, F.lit(start)), start + 1
+        for p, (lo, span, nulls) in self.numbers.items():
+            v = F.col(rename + p)
+            unknown = F.get(c, F.lit(at + 1)) if nulls else F.raise_error(F.lit(f"predictor {p} has missing values that its design does not know")).cast("double")
+            total = total + F.when(v.isNull() | F.isnan(v), unknown).otherwise((v - F.lit(float(lo))) / F.lit(float(span)) * F.get(c, F.lit(at)))
+            at += 1 + nulls
+        for p, levels in self.factors.items():
+            if len(levels) > 1:
+                place = F.col(f"__k_{p}")
+                total = total + F.when(place >= 1, F.get(c, place + F.lit(at - 1))).otherwise(F.lit(0.0))
+                at += len(levels) - 1
+        return total
+
     @property
     def width(self) -> int:
         return 1 + sum(1 + n[2] for n in self.numbers.values()) + sum(max(len(v) - 1, 0) for v in self.factors.values())
@@ -254,6 +288,32 @@ def _solved(blocks: DataFrame, fits: DataFrame | None, m: int, one: Callable[...
     return table, seen.get["far"] or 0.0
 
 
+def _small_groups(rows: DataFrame, width: int) -> bool:
+    """Is the model matrix of every ``by`` group below ``GROUP`` numbers? (Only the largest count reaches the driver.)"""
+    if rows.count() * width <= GROUP:
+        return True
+    seen = Observation()
+    rows.groupBy(BY).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.max("n").alias("n")).write.format("noop").mode("overwrite").save()
+    return (seen.get["n"] or 0) * width <= GROUP
+
+
+def _each_group(rows: DataFrame, fit: Callable[[pd.DataFrame, str], list], columns: str) -> DataFrame:
+    """``fit(rows, by)`` of every ``by`` group as rows of ``columns``; a group's rows are in one task. Rows without a group are left out."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(fit(pdf, pdf[BY].iloc[0]), columns=names).astype({ALL: np.int32})
+    # an explicit number: small groups are dealt over all cores all the same
+    dealt = rows.filter(F.col(BY).isNotNull()).repartition(rows.sparkSession.sparkContext.defaultParallelism, BY)
+    return dealt.groupBy(BY).applyInPandas(run, columns)
+
+
+def _imputations(imp: np.ndarray, m: int) -> list[int]:
+    """Imputations that a group's rows belong to (0: all of them)."""
+    found = {int(i) for i in np.unique(imp)}
+    return sorted((found | set(range(1, m + 1)) if 0 in found else found) - {0})
+
+
 def fit_linear(rows: DataFrame, design: Design, target: str, m: int, draw: Draw) -> DataFrame:
     """Coefficient table of the normal linear model; ``drawn`` comes from its posterior, by the generator key ``draw(imp, by)``.
 
@@ -275,8 +335,22 @@ def fit_linear(rows: DataFrame, design: Design, target: str, m: int, draw: Draw)
         beta = steady(beta)
         return [beta, steady(beta + sigma * spread @ rng.standard_normal(p)), 0.0]
 
-    blocks = materialize(model_blocks(clustered(rows), design, target))
-    return _solved(blocks, None, m, one, p, finish, blocks.rdd.getNumPartitions())[0]
+    # equal rows of the model matrix enter the sums once
+    y, w = F.col(target), F.col(WEIGHT).cast("double")
+    sums = materialize(rows.groupBy(ALL, BY, *design.numbers, *design.factors).agg(F.sum(w).alias("__w"), F.sum(w * y).alias("__wy"), F.sum(w * y * y).alias("__wyy")))
+    if not _small_groups(sums, p):
+        blocks = materialize(model_blocks(clustered(rows), design, target))
+        return _solved(blocks, None, m, one, p, finish, blocks.rdd.getNumPartitions())[0]
+
+    def fit(pdf: pd.DataFrame, by: str) -> list:
+        x, imp = design.matrix(pdf), pdf[ALL].to_numpy()
+        n, ny, nyy = (pdf[c].to_numpy(float) for c in ("__w", "__wy", "__wyy"))
+
+        def total(at: np.ndarray) -> np.ndarray:
+            return np.concatenate([((x[at] * n[at, None]).T @ x[at]).ravel(), x[at].T @ ny[at], [nyy[at].sum(), n[at].sum()]])
+        shared = total(imp == 0)
+        return [(i, by, *finish((i, by), shared + total(imp == i))) for i in _imputations(imp, m)]
+    return materialize(_each_group(sums, fit, COEFFICIENTS))
 
 
 def class_probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -289,15 +363,19 @@ def class_probabilities(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
 
 def _gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and information of the multinomial log likelihood at ``beta`` (classes - 1, width)."""
+    return _counted_gradient(x, (y[:, None] == np.arange(1, len(beta) + 1)[None, :]) * w[:, None], w, beta)
+
+
+def _counted_gradient(x: np.ndarray, hits: np.ndarray, w: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_gradient`` of rows with weights ``w``, of which ``hits`` are of the classes but the first."""
     k, p = beta.shape
     prob = class_probabilities(x, beta)[:, 1:]
-    hit = (y[:, None] == np.arange(1, k + 1)[None, :]).astype(float)
     info = np.zeros((k, p, k, p))
     for a in range(k):
         for b in range(a, k):
             block = (x * (w * prob[:, a] * ((a == b) - prob[:, b]))[:, None]).T @ x
             info[a, :, b], info[b, :, a] = block, block.T
-    return (((hit - prob) * w[:, None]).T @ x).ravel(), info.reshape(k * p, k * p)
+    return ((hits - prob * w[:, None]).T @ x).ravel(), info.reshape(k * p, k * p)
 
 
 def pseudo_observations(mean: np.ndarray, sd: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,7 +391,8 @@ def pseudo_observations(mean: np.ndarray, sd: np.ndarray, classes: int) -> tuple
 
 def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[str], m: int, start: DataFrame | None = None,
               draw: Draw | None = None, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
-    """Coefficient table of the multinomial logit by Newton's method, all imputations and by groups at once, one pass per step.
+    """Coefficient table of the multinomial logit by Newton's method, all imputations and by groups at once, one pass per step
+    (small groups: one pass in all, with the same steps).
 
     ``start``: a table of earlier coefficients of the same design and classes. With ``draw`` the coefficients ``drawn`` come
     from the normal approximation of their posterior, else they are the estimates. Stops when every key's next step is below
@@ -322,9 +401,9 @@ def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[st
     p, k = design.width, len(classes)
     size = p * (k - 1)
 
-    def one(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray | None) -> np.ndarray:
+    def one(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray | None, gradient: Callable = _gradient) -> np.ndarray:
         beta = np.zeros(size) if beta is None else beta
-        grad, info = _gradient(x, y, w, beta.reshape(k - 1, p))
+        grad, info = gradient(x, y, w, beta.reshape(k - 1, p))
         xw = x * w[:, None]
         # the coefficients come along, weighted like the rows, so the solving task knows where the step starts
         return np.concatenate([grad, info.ravel(), xw.sum(axis=0), (xw * x).sum(axis=0), beta * w.sum()])
@@ -347,6 +426,8 @@ def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[st
         chol = np.linalg.cholesky((covariance + covariance.T) / 2 + 1e-12 * np.eye(size))
         return [beta, steady(beta + chol @ np.random.default_rng(draw(*key)).standard_normal(size)), far]
 
+    if _small_groups(rows, p):
+        return _fit_groups(rows, design, target, classes, m, start, one, finish, tolerance, max_steps)
     blocks, fits = materialize(model_blocks(clustered(rows), design, target, classes)), start
     tasks = blocks.rdd.getNumPartitions()
     for _ in range(max_steps):
@@ -356,34 +437,89 @@ def fit_logit(rows: DataFrame, design: Design, target: str, classes: Sequence[st
     raise RuntimeError(f"the logit model of {target} did not converge in {max_steps} steps")
 
 
+def _fit_groups(rows: DataFrame, design: Design, target: str, classes: Sequence[str], m: int, start: DataFrame | None,
+                one: Callable, finish: Callable, tolerance: float, max_steps: int) -> DataFrame:
+    """All steps of a ``by`` group's fits in one task. Every key makes as many steps as the one that needs most, as in passes:
+    a task keeps the steps from the first below the tolerance to the one after which nothing moves."""
+    k, cols = len(classes), [*design.numbers, *design.factors]
+    number = {c: i for i, c in enumerate(classes)}
+    seen = rows.select(ALL, BY, *cols, F.col(target).alias("__class"), F.col(WEIGHT).cast("double").alias("__w"), F.lit(None).cast("array<double>").alias("beta"))
+    if start is not None:
+        seen = seen.unionByName(start.select(ALL, BY, "beta"), allowMissingColumns=True)
+
+    def fit(pdf: pd.DataFrame, by: str) -> list:
+        begun = pdf["beta"].notna().to_numpy()
+        begin = {int(i): np.asarray(b, float) for i, b in zip(pdf[ALL][begun], pdf["beta"][begun], strict=True)}
+        pdf = pdf[~begun]
+        if not len(pdf):
+            return []
+        imp, y, w = pdf[ALL].to_numpy(), pdf["__class"].map(number).to_numpy(float), pdf["__w"].to_numpy(float)
+        points, at = np.unique(design.matrix(pdf), axis=0, return_inverse=True)
+        at = at.ravel()
+
+        def counted(of: np.ndarray) -> np.ndarray:
+            """Weight of every point, then of each class there but the first."""
+            return np.column_stack([np.bincount(at[own], w[own], len(points)) for own in (of, *(of & (y == c) for c in range(1, k)))])
+        shared, made = counted(imp == 0), []
+        for i in _imputations(imp, m):
+            counts = shared + counted(imp == i)
+            there = counts[:, 0] > 0
+            x, weight, hits = points[there], counts[there, 0], counts[there, 1:]
+            beta, enough, steps = begin.get(i), 0, []
+            for step in range(1, max_steps + 1):
+                beta, drawn, far = finish((i, by), one(x, hits, weight, beta, _counted_gradient))
+                enough = enough or (step if far < tolerance else 0)
+                if enough:
+                    steps.append((step, beta, drawn, far))
+                    if far < SETTLED:
+                        break
+            if not enough:
+                enough, steps = max_steps + 1, [(max_steps, beta, drawn, far)]
+            made += [(i, by, step, steps[-1][0], enough, *found) for step, *found in steps]
+        return made
+    counted_steps = Observation()
+    table = _each_group(seen, fit, f"{ALL} int, {BY} string, step int, last int, enough int, beta array<double>, drawn array<double>, far double")
+    table = materialize(table.observe(counted_steps, F.max("enough").alias("steps")))
+    steps = counted_steps.get["steps"] or 0
+    if steps > max_steps:
+        raise RuntimeError(f"the logit model of {target} did not converge in {max_steps} steps")
+    return table.filter(F.col("step") == F.least(F.col("last"), F.lit(steps))).select(ALL, BY, "beta", "drawn", "far")
+
+
 def draw_classes(rows: DataFrame, design: Design, classes: Sequence[str], fits: DataFrame, u: str, out: str) -> DataFrame:
     """``rows`` with the class drawn by the uniform integer in column ``u``; the design's columns are prefixed ``__x_``.
 
-    A key without coefficients draws nothing (null)."""
+    A key without coefficients draws nothing (null), rows without a group are left out. The softmax over the classes (the
+    first is the baseline) is a column expression over the key's coefficients."""
     kept = [c for c in rows.columns if not c.startswith("__x_") and c != u]
-    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField(out, T.StringType())])
-    names = np.array(classes, object)
+    names, c, p = list(classes), F.col("__c"), design.width
+    rows = rows.filter(F.col(BY).isNotNull()).join(fits.select(ALL, BY, F.col("drawn").alias("__c")), [ALL, BY], "left")
+    rows = rows.withColumns(design.levels("__x_"))
+    rows = rows.withColumns({"__e_0": F.lit(0.0)} | {f"__e_{k}": design.product(c, (k - 1) * p, "__x_") for k in range(1, len(names))})
+    rows = rows.withColumn("__top", F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"__e_{k}") for k in range(1, len(names))]))
+    rows = rows.withColumns({f"__w_{k}": F.exp(F.col(f"__e_{k}") - F.col("__top")) for k in range(len(names))})
+    rows = rows.withColumns({"__all": _sum([F.col(f"__w_{k}") for k in range(len(names))]), "__at": F.col(u) / F.lit(U32)})
+    upto = [_sum([F.col(f"__w_{j}") / F.col("__all") for j in range(k + 1)]) for k in range(len(names) - 1)]
+    pick = F.lit(names[-1])
+    for name, to in reversed(list(zip(names, upto, strict=False))):
+        pick = F.when(to > F.col("__at"), F.lit(name)).otherwise(pick)
+    return rows.select(*kept, F.when(c.isNotNull(), pick).alias(out))
 
-    def make(pdf: pd.DataFrame, key: Key, found: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
-        drawn = np.full(len(pdf), None, object)
-        if key[0] in found:
-            cum = np.cumsum(class_probabilities(design.matrix(pdf, "__x_"), found[key[0]].reshape(len(classes) - 1, -1)), axis=1)
-            pick = (cum <= pdf[u].to_numpy()[:, None] / U32).sum(axis=1)
-            drawn = names[np.minimum(pick, len(classes) - 1)]
-        yield pdf[kept].assign(**{out: drawn})
-    return _each_block(_row_blocks(rows), fits, "drawn", schema, make)
 
+def _sum(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts)
 
-def predicted(rows: DataFrame, design: Design, fits: DataFrame, column: str, m: int, keep: Sequence[str], prefix: str = "") -> DataFrame:
+
+def predicted(rows: DataFrame, design: Design, fits: DataFrame, column: str, keep: Sequence[str], prefix: str = "", shared: bool = True) -> DataFrame:
     """Imputation, by, columns ``keep`` and the linear predictor ``__p`` by the coefficients ``column``; rows of imputation
-    0 once for every imputation. Other rows of a key without coefficients have ``__p`` 0."""
-    schema = T.StructType([*rows.select(ALL, BY, *keep).schema.fields, T.StructField("__p", T.DoubleType())])
+    0 (``shared``: there may be such) once for every imputation. Other rows of a key without coefficients have ``__p`` 0,
+    rows without a group are left out."""
+    found = fits.select(ALL, BY, F.col(column).alias("__c"))
 
-    def make(pdf: pd.DataFrame, key: Key, found: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
-        x = design.matrix(pdf, prefix)
-        for i in sorted(found) if key[0] == 0 else [key[0]]:
-            yield pdf[[ALL, BY, *keep]].assign(**{ALL: np.int32(i), "__p": x @ found[i] if i in found else 0.0})
-    return _each_block(_row_blocks(rows), fits, column, schema, make)
+    def by_key(joined: DataFrame) -> DataFrame:
+        return joined.withColumns(design.levels(prefix)).select(ALL, BY, *keep, F.coalesce(design.product(F.col("__c"), 0, prefix), F.lit(0.0)).alias("__p"))
+    own = by_key(rows.filter(F.col(BY).isNotNull() & (F.col(ALL) != 0)).join(found, [ALL, BY], "left"))
+    return own.unionByName(by_key(rows.filter(F.col(ALL) == 0).drop(ALL).join(found, BY))) if shared else own
 
 
 # ------------------------------------------------- exact least squares
@@ -452,11 +588,11 @@ def predicted_exact(rows: DataFrame, predictors: Sequence[str], fits: DataFrame,
     return _each_block(_row_blocks(rows), fits, "beta", schema, make, read=lambda c: [int(v) for v in c])
 
 
-def nearest_donors(x: float | np.ndarray, ys: np.ndarray, vs: np.ndarray, ns: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
-    """For every recipient at ``x``: one of the ``k`` nearest donors; the uniform integer ``u`` picks among them.
+def _ranked_donors(x: float | np.ndarray, ys: np.ndarray, ns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every recipient at ``x``: places of donor groups in order of nearness, and how many of ``k`` donors they count up to each.
 
-    Donor groups (``ys``, ``vs`` with counts ``ns``) are in order of prediction, then value. The ``k`` groups below ``x``
-    and the ``k`` at or above it are ranked by distance, prediction and value, and taken until they count ``k`` donors."""
+    Donor groups (``ys`` with counts ``ns``) are in order of prediction, then value. The ``k`` groups below ``x`` and the ``k``
+    at or above it are ranked by distance, prediction and value, and taken until they count ``k`` donors."""
     position = np.searchsorted(ys, x, side="left")
     at = position[:, None] + np.arange(-k, k)[None, :]
     # equal predictions right of the position come in order; those left of it are all smaller
@@ -466,14 +602,39 @@ def nearest_donors(x: float | np.ndarray, ys: np.ndarray, vs: np.ndarray, ns: np
     order = np.argsort(distance, axis=1, kind="stable")
     at = np.take_along_axis(at, order, axis=1)
     n = np.where(np.take_along_axis(valid, order, axis=1), ns[at], 0)
-    upto = np.cumsum(n, axis=1)
-    upto = np.minimum(upto, k)
-    wanted = np.floor(u / U32 * upto[:, -1]).astype(np.int64)
-    return vs[np.take_along_axis(at, (upto <= wanted[:, None]).sum(axis=1)[:, None], axis=1)[:, 0]]
+    return at, np.minimum(np.cumsum(n, axis=1), k)
+
+
+def _donor_at(at: np.ndarray, upto: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(at, (upto <= wanted[:, None]).sum(axis=1)[:, None], axis=1)[:, 0]
+
+
+def nearest_donors(x: float | np.ndarray, ys: np.ndarray, vs: np.ndarray, ns: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
+    """For every recipient at ``x``: one of the ``k`` nearest donors (``_ranked_donors``); the uniform integer ``u`` picks among them."""
+    at, upto = _ranked_donors(x, ys, ns, k)
+    return vs[_donor_at(at, upto, np.floor(u / U32 * upto[:, -1]).astype(np.int64))]
+
+
+def all_nearest_donors(x: float | np.ndarray, ys: np.ndarray, vs: np.ndarray, ns: np.ndarray, k: int) -> list[np.ndarray]:
+    """For every recipient at ``x``: the values of the donors among which ``nearest_donors`` picks, in its order."""
+    at, upto = _ranked_donors(x, ys, ns, k)
+    size = upto[:, -1]
+    places = [_donor_at(at, upto, np.minimum(place, np.maximum(size - 1, 0))) for place in range(k)]
+    return [v[:n] for v, n in zip(vs[np.column_stack(places)], size, strict=True)]
+
+
+def outer_donors(donors: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The donors with the ``k`` smallest and the ``k`` largest values ``__v`` of each combination of ``keys``.
+
+    ``donors``: one row per distinct combination of keys and value."""
+    same = Window.partitionBy(*keys)
+    ranked = donors.withColumns({"__up": F.row_number().over(same.orderBy(F.asc("__v"))), "__down": F.row_number().over(same.orderBy(F.desc("__v")))})
+    return ranked.filter(F.least("__up", "__down") <= k).drop("__up", "__down")
 
 
-def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u: str = "__u") -> DataFrame:
-    """``recipients`` with the drawn donor's value in column ``out`` (double).
+def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u: str | None = "__u") -> DataFrame:
+    """``recipients`` with the drawn donor's value in column ``out`` (double); without ``u`` the values of all donors that can be
+    drawn there, in order, as an array.
 
     ``donors``: imputation, by, ``__p`` (prediction), ``__v`` (value), weight, one row per distinct combination.
     ``recipients``: any columns, among them imputation, by, ``__p`` and the uniform integer ``u``.
@@ -484,6 +645,9 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
     key in every piece (a table bounded by the number of pieces and keys) give a piece its neighbours', so a prediction cut
     by an edge is whole on both sides.
     """
+    every, u = u is None, u or "__u"
+    if every:
+        recipients = recipients.withColumn(u, F.lit(0).cast("bigint"))
     same = Window.partitionBy(ALL, BY, "__p")
     ends_of = [donors.withColumn("__r", F.row_number().over(same.orderBy(o))).filter(F.col("__r") <= k).drop("__r") for o in (F.asc("__v"), F.desc("__v"))]
     donors = ends_of[0].unionByName(ends_of[1]).distinct()
@@ -503,7 +667,7 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
     edge = ranged.filter("__kind = 0").select(*pool, "__piece").mapInArrow(ends, f"{ALL} int, {BY} string, __p double, __v double, {WEIGHT} bigint").toPandas()
     known = {key: tuple(g[c].to_numpy() for c in pool[2:]) for key, g in edge.sort_values(["__p", "__v"], kind="stable").groupby([ALL, BY], sort=False)}
     kept = [c for c in recipients.columns if c not in ("__p", u)]
-    schema = T.StructType([*recipients.select(*kept).schema.fields, T.StructField(out, T.DoubleType())])
+    schema = T.StructType([*recipients.select(*kept).schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()) if every else T.DoubleType())])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
@@ -515,9 +679,12 @@ def match_donors(donors: DataFrame, recipients: DataFrame, k: int, out: str, u:
                 if not len(who) or None in key:  # rows without a group are not matched
                     continue
                 own = _with_neighbours((p[first], v[first], n[first]), known.get(key), p[who], k)
-                found = nearest_donors(p[who], *own, draw[who], k) if len(own[0]) else np.full(len(who), np.nan)
-                res = piece.select(kept).take(pa.array(who)).append_column(out, pa.array(found, pa.float64(), mask=np.isnan(found)))
-                yield from res.to_batches()
+                if every:
+                    values = pa.array(all_nearest_donors(p[who], *own, k) if len(own[0]) else [None] * len(who), pa.list_(pa.float64()))
+                else:
+                    found = nearest_donors(p[who], *own, draw[who], k) if len(own[0]) else np.full(len(who), np.nan)
+                    values = pa.array(found, pa.float64(), mask=np.isnan(found))
+                yield from piece.select(kept).take(pa.array(who)).append_column(out, values).to_batches()
 
     return ranged.mapInArrow(match, schema)
 

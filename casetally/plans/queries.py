@@ -590,7 +590,7 @@ def impute_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three targets by chained equations (polytomous, logistic, PMM), m = 10, 5 rounds,
     one independent run per year."""
     from casetally.operators.chained import chained_impute
-    c = S.cases(spark, sf_dir)
+    c = S.cases(spark, sf_dir).select("row_key", "year", "state", "medical", "chmal1", "race_ethn", "ipse", "amount")
     long = chained_impute(c, CHAINED_TARGETS, ["row_key"], S.M, S.SEED, maxit=5, by=["year"])
     return long.select("row_key", "imp", "race_ethn", "ipse", "amount")
 

@@ -347,3 +347,96 @@ def test_repeated_rows_of_a_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(MT, "spread_repeated", lambda df, *a: sizes.append(spread(df, *a).rdd.getNumPartitions()) or df)
     assert found == [sorted(map(str, df.collect())) for df in SV.latest_report_split(c, imp, SV.Roles(), F.col("ipse"))]
     assert sizes == [9]
+
+
+def test_fits_of_whole_groups_equal_passes(spark, monkeypatch):
+    """Small groups are fitted in one task each, large ones in passes: the same steps, coefficients and posterior draws."""
+    import numpy as np
+    from casetally.operators import models as MO
+    rng = np.random.default_rng(6)
+    data = [(int(i), str(b), float(x), None if z > 2 else "uvw"[z], "abc"[y], float(y * x), int(n)) for i, b, x, z, y, n in zip(
+        rng.integers(0, 3, 400), rng.integers(0, 3, 400), rng.integers(0, 4, 400), rng.integers(0, 4, 400), rng.integers(0, 3, 400), rng.integers(1, 9, 400), strict=True)]
+    rows_ = spark.createDataFrame(data, "__imp int, __by string, x double, z string, __y string, v double, __n long")
+    design = MO.Design(numbers={"x": (0.0, 3.0, False)}, factors={"z": ["u", "v", "w", None]})
+    key = lambda imp, by: [imp, int(by)]
+
+    def found():
+        first = MO.fit_logit(rows_, design, "__y", ["a", "b", "c"], 2, draw=key)
+        again = MO.fit_logit(rows_.filter("__n > 2"), design, "__y", ["a", "b", "c"], 2, start=first, draw=key)
+        return [{(r[0], r[1]): (r.beta, r.drawn) for r in df.collect()} for df in (first, again, MO.fit_linear(rows_.drop("__y"), design, "v", 2, key))]
+    whole, passes = [], []
+    monkeypatch.setattr(MO, "_solved", lambda *a, f=MO._solved: passes.append(1) or f(*a))
+    whole = found()
+    assert not passes
+    monkeypatch.setattr(MO, "GROUP", 0)
+    by_pass = found()
+    assert len(passes) > 5 and [len(x) for x in whole] == [6, 6, 6]
+    for a, b in zip(whole, by_pass, strict=True):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-6, atol=1e-7) for k in a)
+
+
+def test_drawn_classes_follow_the_softmax(spark):
+    """The column expression against numpy: missing and unknown predictors, a key without coefficients, a missing group."""
+    import numpy as np
+    import pandas as pd
+    from casetally.operators import models as MO
+    rng = np.random.default_rng(7)
+    design = MO.Design(numbers={"x": (1.0, 4.0, True)}, factors={"z": ["u", "v", "w", None], "o": ["only"]})
+    fits = {(i, b): rng.normal(size=3 * design.width).tolist() for i in (1, 2) for b in ("p", "q")}
+    table = spark.createDataFrame([(*k, v, v, 0.0) for k, v in fits.items()], MO.COEFFICIENTS)
+    data = [(j, int(rng.integers(1, 4)), [None, "p", "q"][j % 3], None if j % 5 == 0 else float(j % 7), [None, "u", "v", "w", "new"][j % 5], "only", int(rng.integers(0, 1 << 32))) for j in range(600)]
+    rows_ = spark.createDataFrame(data, "row int, __imp int, __by string, __x_x double, __x_z string, __x_o string, __u long")
+    got = {r.row: r.out for r in MO.draw_classes(rows_, design, list("abcd"), table, "__u", "out").collect()}
+    assert got.keys() == {d[0] for d in data if d[2]}
+    for j, i, b, x, z, o, u in data:
+        if b:
+            p = MO.class_probabilities(design.matrix(pd.DataFrame({"x": [x], "z": [z], "o": [o]}).astype({"x": float})), np.array(fits[i, b]).reshape(3, -1))[0] if i < 3 else None
+            assert got[j] == (None if i == 3 else "abcd"[min((np.cumsum(p) <= u / 2**32).sum(), 3)])
+
+
+def test_nearest_donors_of_a_prediction_are_searched_once(spark):
+    """The list of donors of a prediction holds what a row there draws, with few donors and none too."""
+    from casetally.operators import models as MO
+    donors = spark.createDataFrame([(1, "a", p / 2, float(v), 1 + v % 2) for p in range(9) for v in range(p, p + 3)] + [(1, "b", 1.0, 7.0, 2)], "__imp int, __by string, __p double, __v double, __n long")
+    us = [0, 1 << 30, 1 << 31, 3 << 30, (1 << 32) - 1]
+    need = spark.createDataFrame([(1, b, q / 4, u) for b in "abc" for q in range(-3, 22) for u in us], "__imp int, __by string, __p double, __u long").withColumn("at", F.col("__p"))
+    lists = {(r["__by"], r["at"]): r.near for r in MO.match_donors(donors, need.drop("__u").distinct(), 4, "near", None).collect()}
+    for r in MO.match_donors(donors, need.withColumn("u", F.col("__u")), 4, "out").collect():
+        near = lists[r["__by"], r["at"]]
+        assert r.out == (near[r.u * len(near) >> 32] if near else None)
+    assert lists["b", 0.0] == [7.0, 7.0] and not lists["c", 0.0] and {len(v) for k, v in lists.items() if k[0] == "a"} == {4}
+
+
+def test_a_draw_writes_the_rows_that_miss_its_target(spark, monkeypatch):
+    """Each drawn target writes its own missing rows, once per imputation, and no others; replaced files go; keys may repeat."""
+    from casetally.operators import chained as C
+    from casetally.operators import materialize as MT
+    data = [(i // 2, 2000 + i % 2, "st"[i % 3 == 0], None if i % 5 == 0 else "uv"[i % 4 > 1], None if i % 7 == 0 else i % 3 == 0, None if i % 11 == 0 else i % 6) for i in range(500)]
+    df = spark.createDataFrame(data, "row_key long, year int, s string, g string, f boolean, y int")
+    written, gone = [], []
+    monkeypatch.setattr(C, "materialize", lambda x, f=C.materialize: written.append(f(x)) or written[-1])
+    monkeypatch.setattr(C, "discard", lambda x: gone.append((x, x.count())))
+    targets = {"g": {"predictors": ["s", "f"]}, "f": {"predictors": ["s", "g"]}, "y": {"method": "pmm", "predictors": ["s", "g", "f"]}}
+    long = C.chained_impute(df, targets, ["row_key"], m=3, seed=2, maxit=2, by=["year"])
+    gaps = {t: sum(d[i] is None for d in data) for t, i in (("g", 3), ("f", 4), ("y", 5))}
+    layers = [x.count() for x in written if C.GAPS in x.columns and C.MO.ALL in x.columns]
+    part = sum(None in d for d in data)
+    assert layers == [3 * part] + [3 * gaps[t] for t in ("g", "f", "y")] * 2
+    assert [n for _, n in gone] == [3 * part] + [3 * gaps[t] for t in ("g", "f", "y")]
+    assert long.count() == 1500 and long.filter("g IS NULL OR f IS NULL OR y IS NULL").count() == 0
+    want = long.orderBy(*long.columns).collect()
+    for x, _ in gone:  # nothing reads them any more, and no other file goes with them
+        MT.discard(x)
+    assert long.orderBy(*long.columns).collect() == want
+
+
+def test_long_distributions_and_short_ones_draw_alike(spark, monkeypatch):
+    """A target's draws do not depend on how its distribution is searched, nor on other targets being missing too."""
+    data = [(i, "S" + str(i % 3), i % 2, None if i % 4 == 0 else (i * 7) % 40, None if i % 6 == 0 else "xyz"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(data, "row_key long, state string, year int, y int, g string")
+    cells = {"y": [["state"]], "g": [["state", "year"], ["state"]]}
+    both = rows(IM.hotdeck_complete(df, cells, ["row_key"], 2, 5))
+    monkeypatch.setattr(IM, "SHORT", 1000)
+    assert both == rows(IM.hotdeck_complete(df, cells, ["row_key"], 2, 5))
+    alone = IM.hotdeck_draws(df, "y", [["state"]], ["row_key"], 2, 5)
+    assert rows(alone.select("row_key", "imp", "y")) == sorted((r[0], r[5], r[3]) for r in both if r[0] % 4 == 0)
